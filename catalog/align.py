@@ -143,7 +143,7 @@ def j11(t):
 
 @query("j12_period_masks", sql("""
 SELECT ts, hour(ts) < 8 AS early, hour(ts) >= 16 AS late, CASE WHEN hour(ts) < 8 THEN 'early' WHEN hour(ts) >= 16 THEN 'late' ELSE 'unlabelled' END AS period_label,
-  0 AS "overlaps" FROM (SELECT DISTINCT ts FROM devh)
+  (hour(ts) < 8)::INT + (hour(ts) >= 16)::INT AS "overlaps" FROM (SELECT DISTINCT ts FROM devh)
 """, "devh"), i='"overlaps"')
 def j12(t):
     masks = devh(t).select("ts").distinct().select("ts", (F.hour("ts") < 8).alias("early"), (F.hour("ts") >= 16).alias("late"))
