@@ -20,7 +20,7 @@ PR = "(SELECT *, measured - expected AS r FROM pairs)"
 
 @query("a01_strict_sum", sql("""
 SELECT ts, CASE WHEN count(value) = 5 THEN sum(value) END AS plant, count(value) AS computed,
-  array_to_string(list_sort(list_filter(['click', 'error', 'purchase', 'signup', 'view'], x -> NOT list_contains(coalesce(list(inverter_id) FILTER (value IS NOT NULL), []), x))), ',') AS missing
+  concat_ws(',', """ + ", ".join(f"CASE WHEN count(value) FILTER (inverter_id = '{r}') = 0 THEN '{r}' END" for r in ROSTER) + """) AS missing
 FROM (SELECT ts, inverter_id, CASE WHEN k <> 50 THEN value END AS value FROM fleeth) GROUP BY ts
 """, "fleeth"), d="plant", i="computed")
 def a01(t):

@@ -201,10 +201,12 @@ def with_quantiles(grouped: DataFrame, df: DataFrame, keys, wanted: dict) -> Dat
     return join_null_safe(grouped, found, list(keys))
 
 
-def average_ranks(df: DataFrame, keys, value: str, name: str, widths=(_RESOLUTION / 8, _RESOLUTION * 4)) -> DataFrame:
-    """Per distinct value: its average rank within the key, and its count ``__c``."""
+def average_ranks(df: DataFrame, keys, value: str, name: str, weight: str | None = None,
+                  widths=(_RESOLUTION / 8, _RESOLUTION * 4)) -> DataFrame:
+    """Per distinct value: its average rank within the key, and its (weighted) count ``__c``."""
     keys = list(keys)
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("__c"))
               .withColumn("__b", value_bucket(F.col(value).cast("double"))))
     sums = counts.groupBy(*keys, "__b").agg(F.sum("__c").alias("__s"))
     sums = running_total(sums, keys, "__b", "__s", "__base", widths)

@@ -214,8 +214,8 @@ def complete_scales(intervals: DataFrame, scale: str, expected: str, measured: s
         F.sum(pe).alias("__se"), F.sum(pm).alias("__sm"), F.bool_and(clear).alias("qc_clear"))
     span = bins.agg(F.min("bin").alias("a"), F.max("bin").alias("z"))
     if scale == "month":
-        steps = span.select(F.explode(F.sequence(F.col("a").cast("date"), F.col("z").cast("date"),
-                                                 F.expr("interval 1 month"))).cast("timestamp_ntz").alias("bin"))
+        months = F.sequence(F.col("a").cast("date"), F.col("z").cast("date"), F.expr("interval 1 month"))
+        steps = span.select(F.explode(months).alias("m")).select(F.col("m").cast("timestamp_ntz").alias("bin"))
     else:
         steps = grid(span, "a", "z", 3600 if scale == "hour" else 86400, "bin")
     out = steps.join(bins, "bin", "left").withColumn("valid_intervals", F.coalesce("valid_intervals", F.lit(0)))
