@@ -5,6 +5,8 @@ from typing import Callable, Optional
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from sunward.session import prepare
+
 QUERIES: dict = {}
 
 
@@ -47,7 +49,7 @@ def query(name: str, sql: str | None = None, d: str = "", i: str = "", t: str =
         if name in QUERIES:
             raise ValueError(f"query registered twice: {name}")
         ids = tuple(covers) or (name.split("_")[0].upper(),)
-        QUERIES[name] = Query(name, lambda spark, path: tidy(run(Tables(spark, path))), text, ids)
+        QUERIES[name] = Query(name, lambda spark, path: tidy(run(Tables(prepare(spark), path))), text, ids)
         return run
     return add
 

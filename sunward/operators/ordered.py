@@ -138,58 +138,63 @@ def value_bucket(v: Column) -> Column:
     return (F.when(v > 0, code).when(v < 0, -code).otherwise(F.lit(0))).cast("long")
 
 
+# Most rank requests that may be held by every task; beyond it the rows are shuffled to them.
+BROADCAST_ASKS = 50_000
+
+
 def exact_quantiles(df: DataFrame, keys, wanted: dict) -> DataFrame:
     """Exact linearly interpolated quantiles per key, for groups of any size.
 
     ``wanted`` maps output name -> (column, probability); NULLs are skipped.
-    Pass one counts rows per (key, column, value bucket). Pass two reads only
-    the buckets that hold a wanted rank, as distinct values with counts. No
-    task holds a whole group, however large. Groups without any value are
-    absent from the result.
+    A first job counts rows per (key, column, value bucket) and finds which
+    buckets hold a wanted rank. The second pass reads only those buckets, as
+    distinct values with counts. No task holds a whole group, however large.
+    The rank requests (a few per key) are counted: up to ``BROADCAST_ASKS``
+    they are broadcast, so the data are filtered in place; a longer list is
+    joined by shuffle. Groups without any value are absent from the result.
     """
     keys = list(keys)
     columns = sorted({c for c, _ in wanted.values()})
-    pairs = F.array(*[F.struct(F.lit(c).alias("__m"), F.col(c).cast("double").alias("__v")) for c in columns])
-    rows = (df.select(*keys, F.explode(pairs).alias("__p")).select(*keys, "__p.*")
-            .where(F.col("__v").isNotNull()).withColumn("__b", value_bucket(F.col("__v"))))
+    pairs = F.array(*[F.struct(F.lit(i).alias("__m"), F.col(c).cast("double").alias("__v")) for i, c in enumerate(columns)])
+    rows = (df.select(*keys, F.inline(pairs)).where(F.col("__v").isNotNull())
+            .withColumn("__b", value_bucket(F.col("__v"))))
     group = keys + ["__m"]
     histogram = rows.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__c"))
     w = W.partitionBy(*group).orderBy("__b")
     histogram = (histogram
                  .withColumn("__hi", F.sum("__c").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
                  .withColumn("__n", F.sum("__c").over(W.partitionBy(*group))))
-    specs = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(c).alias("m"), F.lit(float(p)).alias("p"))
-                      for name, (c, p) in sorted(wanted.items())])
-    position = (F.col("__n") - 1) * F.col("__s.p")
-    ranks = (histogram
-             .withColumn("__s", F.explode(F.filter(specs, lambda s: s["m"] == F.col("__m"))))
-             .select(*group, "__b", "__hi", (F.col("__hi") - F.col("__c")).alias("__lo"),
-                     F.col("__s.name").alias("__name"), position.alias("__pos")))
-    below, above = F.floor("__pos"), F.ceil("__pos")
-    ranks = ranks.where(((below >= F.col("__lo")) & (below < F.col("__hi")))
-                        | ((above >= F.col("__lo")) & (above < F.col("__hi"))))
-    needed = ranks.groupBy(*group, "__b").agg(
-        F.first("__lo").alias("__lo"), F.collect_list(F.struct("__name", "__pos")).alias("__asks"))
-    found = join_null_safe(rows, needed, group + ["__b"], "inner") if keys else rows.join(needed, group + ["__b"])
+    specs = F.array(*[F.struct(F.lit(i).alias("name"), F.lit(columns.index(c)).alias("m"), F.lit(float(p)).alias("p"))
+                      for i, (c, p) in enumerate(wanted.values())])
+    low = F.col("__hi") - F.col("__c")
+
+    def here(s):
+        at = (F.col("__n") - 1) * s["p"]
+        return (s["m"] == F.col("__m")) & (((F.floor(at) >= low) & (F.floor(at) < F.col("__hi")))
+                                           | ((F.ceil(at) >= low) & (F.ceil(at) < F.col("__hi"))))
+
+    asks = F.transform(F.filter(specs, here), lambda s: F.struct(s["name"].alias("__name"), ((F.col("__n") - 1) * s["p"]).alias("__pos")))
+    needed = histogram.select(*group, "__b", low.alias("__lo"), asks.alias("__asks")).where(F.size("__asks") > 0)
+    few = needed.limit(BROADCAST_ASKS + 1).collect()
+    if len(few) <= BROADCAST_ASKS:
+        needed = F.broadcast(df.sparkSession.createDataFrame(few, needed.schema))
+    found = join_null_safe(rows, needed, group + ["__b"], "inner")
     counts = found.groupBy(*group, "__b", "__v").agg(
         F.count(F.lit(1)).alias("__c"), F.first("__lo").alias("__lo"), F.first("__asks").alias("__asks"))
     inside = W.partitionBy(*group, "__b").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
     counts = counts.withColumn("__to", F.col("__lo") + F.sum("__c").over(inside))
     counts = counts.withColumn("__from", F.col("__to") - F.col("__c"))
-    hits = counts.select(*keys, "__v", "__from", "__to", F.explode("__asks").alias("__a")).select(
-        *keys, "__v", "__from", "__to", "__a.__name", "__a.__pos")
+    hits = counts.select(*keys, "__v", "__from", "__to", F.inline("__asks"))
     below, above = F.floor("__pos"), F.ceil("__pos")
-    share = F.col("__pos") - below
 
     def at(rank):
         return F.max(F.when((rank >= F.col("__from")) & (rank < F.col("__to")), F.col("__v")))
 
     points = hits.groupBy(*keys, "__name").agg(at(below).alias("__x"), at(above).alias("__y"),
-                                               F.first(share).alias("__t"))
+                                               F.first(F.col("__pos") - below).alias("__t"))
     points = points.withColumn("__q", F.col("__x") + (F.col("__y") - F.col("__x")) * F.col("__t"))
-    names = list(wanted)
     return points.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("__name") == n, F.col("__q"))).alias(n) for n in names])
+        *[F.max(F.when(F.col("__name") == i, F.col("__q"))).alias(n) for i, n in enumerate(wanted)])
 
 
 def with_quantiles(grouped: DataFrame, df: DataFrame, keys, wanted: dict) -> DataFrame:

@@ -193,37 +193,47 @@ def merge_sums(sums: DataFrame, groups=()) -> DataFrame:
 SCALES = ("hour", "day", "month")
 
 
-def complete_scales(intervals: DataFrame, scale: str, expected: str, measured: str, clear: str, ts: str = "ts",
+def complete_scales(intervals: DataFrame, scale, expected: str, measured: str, clear: str, ts: str = "ts",
                     per_hour: int = 4) -> DataFrame:
-    """Quarter-hour averages to hour, day or month.
+    """Quarter-hour averages to hour, day or month; several scales share one pass.
 
     Totals exist only for complete bins; the ``observed_*`` and ``paired_*``
     columns use exactly the pairs at hand. Bins without a row are emitted too.
+    With a list of scales the result carries a ``scale`` column.
     """
     from .timeline import grid
 
-    start = {"hour": lambda c: clock.floor_to(c, 60), "day": clock.day_start, "month": clock.month_start}[scale]
-    need = {"hour": F.lit(per_hour), "day": F.lit(per_hour * 24),
-            "month": F.dayofmonth(F.last_day(F.col("bin").cast("date"))) * per_hour * 24}[scale]
+    scales = [scale] if isinstance(scale, str) else list(scale)
+    starts = {"hour": lambda c: clock.floor_to(c, 60), "day": clock.day_start, "month": clock.month_start}
     e, m = finite(expected), finite(measured)
     both = e.isNotNull() & m.isNotNull()
     pe, pm = F.when(both, e), F.when(both, m)
-    bins = intervals.groupBy(start(F.col(ts)).alias("bin")).agg(
-        F.avg(e).alias("__e"), F.avg(m).alias("__m"), count_if(both).alias("valid_intervals"),
-        F.avg(pe).alias("paired_expected_kw"), F.avg(pm).alias("paired_measured_kw"),
-        F.sum(pe).alias("__se"), F.sum(pm).alias("__sm"), F.bool_and(clear).alias("qc_clear"))
-    span = bins.agg(F.min("bin").alias("a"), F.max("bin").alias("z"))
-    if scale == "month":
-        months = F.sequence(F.col("a").cast("date"), F.col("z").cast("date"), F.expr("interval 1 month"))
-        steps = span.select(F.explode(months).alias("m")).select(F.col("m").cast("timestamp_ntz").alias("bin"))
-    else:
-        steps = grid(span, "a", "z", 3600 if scale == "hour" else 86400, "bin")
-    out = steps.join(bins, "bin", "left").withColumn("valid_intervals", F.coalesce("valid_intervals", F.lit(0)))
+    tags = F.array(*[F.struct(F.lit(s).alias("scale"), starts[s](F.col(ts)).alias("bin")) for s in scales])
+    rows = intervals.select(e.alias("e"), m.alias("m"), pe.alias("pe"), pm.alias("pm"), F.col(clear).alias("q"), F.inline(tags))
+    bins = rows.groupBy("scale", "bin").agg(
+        F.avg("e").alias("__e"), F.avg("m").alias("__m"), F.count("pe").alias("valid_intervals"),
+        F.avg("pe").alias("paired_expected_kw"), F.avg("pm").alias("paired_measured_kw"),
+        F.sum("pe").alias("__se"), F.sum("pm").alias("__sm"), F.bool_and("q").alias("qc_clear"))
+    span = intervals.agg(F.min(ts).alias("a"), F.max(ts).alias("z"))
+    steps = None
+    for s in scales:
+        ends = span.select(starts[s](F.col("a")).alias("a"), starts[s](F.col("z")).alias("z"))
+        if s == "month":
+            months = F.sequence(F.col("a").cast("date"), F.col("z").cast("date"), F.expr("interval 1 month"))
+            part = ends.select(F.explode(months).alias("m")).select(F.col("m").cast("timestamp_ntz").alias("bin"))
+        else:
+            part = grid(ends, "a", "z", 3600 if s == "hour" else 86400, "bin")
+        part = part.withColumn("scale", F.lit(s))
+        steps = part if steps is None else steps.unionByName(part)
+    out = steps.join(bins, ["scale", "bin"], "left").withColumn("valid_intervals", F.coalesce("valid_intervals", F.lit(0)))
+    need = (F.when(F.col("scale") == "hour", F.lit(per_hour)).when(F.col("scale") == "day", F.lit(per_hour * 24))
+            .otherwise(F.dayofmonth(F.last_day(F.col("bin").cast("date"))) * per_hour * 24))
     out = out.withColumn("required_intervals", need.cast("long"))
     full = F.col("valid_intervals") == F.col("required_intervals")
     hours = F.col("required_intervals") / per_hour
+    named = [] if isinstance(scale, str) else ["scale"]
     return out.select(
-        "bin", "valid_intervals", "required_intervals",
+        *named, "bin", "valid_intervals", "required_intervals",
         (F.col("valid_intervals") / F.col("required_intervals")).alias("coverage"),
         full.alias("complete"), F.coalesce("qc_clear", F.lit(True)).alias("qc_clear"),
         F.when(full, F.col("__e")).alias("expected_kw"), F.when(full, F.col("__m")).alias("measured_kw"),

@@ -39,10 +39,14 @@ def plant_table(devices: DataFrame, roster, ts="ts") -> DataFrame:
                       F.when(F.col("__m") == size, F.col("__sm")).alias("measured_plant_ac_power"))
 
 
+def _columns(p: Pair) -> list:
+    total = F.count(F.lit(1))
+    return [total.alias("total"), p.count().alias("n"), (total - p.count()).alias("excluded"), p.mae().alias("mae"),
+            p.rmse().alias("rmse"), p.mbe().alias("mbe"), p.r_squared().alias("r_squared")]
+
+
 def _scored(df: DataFrame, stage: str, expected: str, measured: str, population: str = "all") -> DataFrame:
-    p, total = Pair(expected, measured), F.count(F.lit(1))
-    out = df.agg(total.alias("total"), p.count().alias("n"), (total - p.count()).alias("excluded"), p.mae().alias("mae"),
-                 p.rmse().alias("rmse"), p.mbe().alias("mbe"), p.r_squared().alias("r_squared"))
+    out = df.agg(*_columns(Pair(expected, measured)))
     return out.select(F.lit(stage).alias("stage"), F.lit(population).alias("population"), *ORDER[2:])
 
 
@@ -61,8 +65,9 @@ def frozen_baseline(prepared: DataFrame, readings: DataFrame, meter: DataFrame,
     out = out.unionByName(_scored(plant, "plant_ac", "expected_plant_ac_power", "measured_plant_ac_power"))
     intervals = meter_intervals(plant, meter, flagged, "expected_plant_ac_power", reading, scale)
     out = out.unionByName(_scored(intervals, "meter_15min", "expected_kw", reading))
-    for step in validation.SCALES:
-        bins = validation.complete_scales(intervals, step, "expected_kw", reading, "meter_qc_clear")
-        out = out.unionByName(_scored(bins, f"meter_{step}", "expected_kw", "measured_kw", "complete"))
-        out = out.unionByName(_scored(bins, f"meter_{step}", "paired_expected_kw", "paired_measured_kw", "observed"))
-    return out
+    bins = validation.complete_scales(intervals, validation.SCALES, "expected_kw", reading, "meter_qc_clear")
+    views = F.array(
+        F.struct(F.lit("complete").alias("population"), F.col("expected_kw").alias("e"), F.col("measured_kw").alias("m")),
+        F.struct(F.lit("observed").alias("population"), F.col("paired_expected_kw").alias("e"), F.col("paired_measured_kw").alias("m")))
+    long = bins.select(F.concat(F.lit("meter_"), "scale").alias("stage"), F.inline(views))
+    return out.unionByName(long.groupBy("stage", "population").agg(*_columns(Pair("e", "m"))).select(*ORDER))

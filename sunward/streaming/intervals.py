@@ -1,0 +1,40 @@
+"""Bounded ingestion of growing tables.
+
+A directory that gains Parquet files is read in bounded batches; finished
+batches are remembered in the checkpoint, so a restarted run resumes where
+it stopped instead of reading everything again.
+"""
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from ..functions import clock
+
+
+def new_files(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 64) -> DataFrame:
+    """Streaming scan of a Parquet directory, a bounded number of files at a time."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+def interval_samples(rows: DataFrame, value: str, minutes: int, late: str = "1 hour", keys=(), ts: str = "ts") -> DataFrame:
+    """Per interval and key: sample count and strict-sum ingredients, closed by watermark.
+
+    Labels are naive wall clock; they are read as UTC here because a
+    watermark needs an instant, and come back naive.
+    """
+    timed = rows.withColumn("__t", F.col(ts).cast("timestamp")).withWatermark("__t", late)
+    v = F.col(value)
+    grouped = timed.groupBy(F.window("__t", f"{minutes} minutes").alias("__w"), *keys).agg(
+        F.count(v).alias("samples"), F.sum(v).alias("total"))
+    return grouped.select(F.col("__w.start").cast("timestamp_ntz").alias("bin"), *keys, "samples", "total")
+
+
+def strict_average(samples: DataFrame, required: int, out: str = "average") -> DataFrame:
+    """Average of complete intervals; NULL for the others."""
+    return samples.withColumn(out, F.when(F.col("samples") == required, F.col("total") / required))
+
+
+def append_available(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Write everything available now in bounded batches, then return."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start(path)
+    query.awaitTermination()
