@@ -19,7 +19,7 @@ from .physics import OFFSETS, TEMP, blend, corners, geometry_view, model, sandia
 from .profiles import strata
 from .quality import RULES, ledger
 from .registry import query
-from .views import ROSTER, SQL, _view, env15, ev, fleeth, meter15, site5, sql, unitmonth, wx
+from .views import ROSTER, SQL, _view, env15, ev, fleeth, meter15, once, site5, sql, unitmonth, wx
 from .windows import _tag, ramps
 
 PACO, PDCO = 10000.0, 12000.0
@@ -45,7 +45,7 @@ def readings(t):
 
 
 def features(t):
-    return sc.candidate_features(baseline_rows(t), readings(t), 5, ("view",), 3600)
+    return once(sc.candidate_features(baseline_rows(t), readings(t), 5, ("view",), 3600))
 
 
 _view("base", """SELECT ts, poa, 640.0 AS ev_, 2 + poa / 100 AS ei_, 640.0 * (2 + poa / 100) AS ep_, n > 6 AS inputs, n > 7 AS computed, v > 60 AS eqc, v < 30 AS iqc FROM (

@@ -9,7 +9,7 @@ from sunward.functions import clock, physics as ph, solar
 from sunward.operators import modelling as mo
 
 from .registry import query
-from .views import SQL, NEEDS, _view, env15, meter15, site5, sql, wx
+from .views import _view, env15, meter15, once, site5, sql, wx
 
 # Synthetic coefficients for the stand-in plant (not a product's).
 INVERTER = InverterParameters(paco=27600.0, pdco=28199.173828, vdco=620.0, pso=90.0, c0=-1.5e-6, c1=1e-5, c2=1e-3,
@@ -220,7 +220,7 @@ def conversions(t):
                        (i * (0.97 + F.col("ambient") / 1000)).alias("measured_dc_current"),
                        (p * (0.90013 + F.col("tax") * 1.6)).alias("measured_ac_power"),
                        (F.col("tax") != 0.06).alias("electrical_qc_clear"))
-    return mo.measured_conversion(rows, INVERTER)
+    return once(mo.measured_conversion(rows, INVERTER))
 
 
 @query("x12_measured_conversion", sql("""
@@ -285,8 +285,8 @@ def geometry_view(name, source, offset=None, spring=None, fall=None):
     g4 = f"""SELECT *, CASE WHEN u IS NULL THEN NULL ELSE e + CASE WHEN e > 85 THEN 0.0 WHEN e > 5 THEN 58.1 / {tan} - 0.07 / pow({tan}, 3) + 0.000086 / pow({tan}, 5)
       WHEN e > -0.575 THEN 1735.0 + e * (-518.2 + e * (103.4 + e * (-12.79 + e * 0.711))) ELSE -20.774 / {tan} END / 3600.0 END AS elevation,
       CASE WHEN u IS NULL THEN NULL ELSE degrees(atan2(sin(h), cos(h) * sin({la}) - tan(d) * cos({la}))) + 180.0 END AS azimuth FROM ({g3})"""
-    g5 = f"""SELECT *, degrees(acos(least(1.0, greatest(-1.0, cos(radians(90.0 - elevation)) * cos(radians({SITE.tilt})) + sin(radians(90.0 - elevation)) * sin(radians({SITE.tilt}))
-      * cos(radians(azimuth - {SITE.azimuth})))))) AS aoi, CASE WHEN elevation > 0 THEN CASE WHEN azimuth < 180 THEN 'AM' ELSE 'PM' END END AS phase FROM ({g4})"""
+    g5 = f"""SELECT *, CASE WHEN u IS NOT NULL THEN degrees(acos(least(1.0, greatest(-1.0, cos(radians(90.0 - elevation)) * cos(radians({SITE.tilt})) + sin(radians(90.0 - elevation)) * sin(radians({SITE.tilt}))
+      * cos(radians(azimuth - {SITE.azimuth})))))) END AS aoi, CASE WHEN elevation > 0 THEN CASE WHEN azimuth < 180 THEN 'AM' ELSE 'PM' END END AS phase FROM ({g4})"""
     return g5
 
 

@@ -15,7 +15,7 @@ from .physics import INVERTER, OFFSETS, candidates, conversions, shifted
 from .quality import RULES, ledger
 from .registry import query
 from .timeline import spring
-from .views import _view, env15, ev, meter15, pairs, site5, slots15, sql, stamped, wx
+from .views import _view, env15, ev, meter15, once, pairs, site5, slots15, sql, stamped, wx
 
 
 def cut_sql(x, edges, missing="NULL"):
@@ -140,10 +140,10 @@ def strata(t):
     from sunward.functions import physics as ph, solar
     from .physics import SITE
     rows = solar.with_geometry(wx(t), SITE).withColumn("temp_cell", ph.cell_temperature("poa", "ambient", "wind"))
-    return rows.select("ts", "poa", "ambient", "wind", "temp_cell", F.col("aoi_deg").alias("aoi"), F.col("solar_phase").alias("phase"),
+    return once(rows.select("ts", "poa", "ambient", "wind", "temp_cell", F.col("aoi_deg").alias("aoi"), F.col("solar_phase").alias("phase"),
                        F.when(F.col("tax") != 0.02, (600 + F.col("tax") * 500) / (700 - F.col("ambient"))).alias("voltage_ratio"),
                        ((F.col("poa") / 30 + F.col("wind")) / (F.col("poa") / 25)).alias("current_ratio"),
-                       ((F.col("poa") + F.col("ambient")) / (F.col("poa") + 30)).alias("power_ratio"), clock.season("ts").alias("season"))
+                       ((F.col("poa") + F.col("ambient")) / (F.col("poa") + 30)).alias("power_ratio"), clock.season("ts").alias("season")))
 
 
 RATIOS = ("voltage_ratio", "current_ratio", "power_ratio")

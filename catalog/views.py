@@ -4,6 +4,7 @@ Every Spark view has a same-named entry in ``SQL``; ``sql(...)`` prefixes a
 query with the views it needs.
 """
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from sunward.functions import clock
@@ -35,6 +36,15 @@ def sql(body: str, *names) -> str:
     return f"WITH {head}\n{body}" if order else body
 
 
+def once(df):
+    """Keep a derived stand-in that several passes of one query read.
+
+    Real readings come straight from a scan; these are computed from the
+    order book first, and exact quantiles read their input more than once.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 _view("ev", """SELECT event_id, ts, user_id, event_type, value,
   CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
   'inv_' || lpad(CAST(user_id % 24 + 1 AS VARCHAR), 2, '0') AS inverter_id FROM events""")

@@ -59,7 +59,8 @@ def with_geometry(df: DataFrame, site: Site, ts: str = "ts", offset: Column | No
     z, tilt = F.radians("solar_zenith_deg"), math.radians(site.tilt)
     toward = F.cos(F.radians(F.col("solar_azimuth_deg") - site.azimuth))
     cosi = F.cos(z) * math.cos(tilt) + F.sin(z) * math.sin(tilt) * toward
-    df = df.withColumn("aoi_deg", F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosi)))))
+    # least/greatest skip NULL, so unresolved labels are excluded first.
+    df = df.withColumn("aoi_deg", F.when(known, F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosi))))))
     phase = F.when(F.col("solar_elevation_deg") > 0, F.when(F.col("solar_azimuth_deg") < 180, "AM").otherwise("PM"))
     df = df.withColumn("solar_phase", phase).withColumn("clock_phase", F.when(F.hour(t) < 12, "AM").otherwise("PM"))
     return df.withColumn("diagnostic_clock_valid", known).drop("__g", "__u", "__h", "__d", "__e")

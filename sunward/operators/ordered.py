@@ -122,7 +122,7 @@ def condition_runs(df: DataFrame, keys, order: str, step, condition: Column, min
 
 
 # Buckets per factor of two when locating quantiles.
-_RESOLUTION = 512.0
+_RESOLUTION = 128.0
 
 
 def value_bucket(v: Column) -> Column:
@@ -138,6 +138,16 @@ def value_bucket(v: Column) -> Column:
     return (F.when(v > 0, code).when(v < 0, -code).otherwise(F.lit(0))).cast("long")
 
 
+def stacked(df: DataFrame, keep, columns: dict, tag: str, value: str) -> DataFrame:
+    """One row per (row, column): ``tag`` names the column, ``value`` holds it.
+
+    The stack generator ends the compiled stage below it, so whatever derives
+    the columns and whatever consumes the many narrow rows compile separately.
+    """
+    parts = [x for name, c in columns.items() for x in (F.lit(name), c)]
+    return df.select(*keep, F.stack(F.lit(len(columns)), *parts).alias(tag, value))
+
+
 # Most rank requests that may be held by every task; beyond it the rows are shuffled to them.
 BROADCAST_ASKS = 50_000
 
@@ -155,9 +165,8 @@ def exact_quantiles(df: DataFrame, keys, wanted: dict) -> DataFrame:
     """
     keys = list(keys)
     columns = sorted({c for c, _ in wanted.values()})
-    pairs = F.array(*[F.struct(F.lit(i).alias("__m"), F.col(c).cast("double").alias("__v")) for i, c in enumerate(columns)])
-    rows = (df.select(*keys, F.inline(pairs)).where(F.col("__v").isNotNull())
-            .withColumn("__b", value_bucket(F.col("__v"))))
+    rows = (stacked(df, keys, {i: F.col(c).cast("double") for i, c in enumerate(columns)}, "__m", "__v")
+            .where(F.col("__v").isNotNull()).withColumn("__b", value_bucket(F.col("__v"))))
     group = keys + ["__m"]
     histogram = rows.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__c"))
     w = W.partitionBy(*group).orderBy("__b")

@@ -10,7 +10,7 @@ from ..functions.binning import cut, floor_bin
 from ..functions.errors import Pair
 from ..functions.values import count_if, finite, holds, is_finite, ratio
 from .align import _tag, offset_block
-from .ordered import average_ranks, exact_quantiles, islands, join_null_safe, with_quantiles
+from .ordered import average_ranks, islands, stacked, with_quantiles
 
 INF = float("inf")
 # Fixed bin edges.
@@ -139,8 +139,10 @@ def ratio_profiles(df: DataFrame, dimensions: dict, ratios, probabilities=(.1, .
     ``dimensions`` maps name -> label column. Rows are repeated per dimension,
     but what is shuffled is one count per (dimension, bin, value bucket).
     """
-    tags = F.array(*[F.struct(F.lit(n).alias("dimension"), c.cast("string").alias("bin")) for n, c in dimensions.items()])
-    rows = df.select(*[finite(r).alias(r) for r in ratios], F.explode(tags).alias("__t")).select("__t.*", *ratios)
+    clean = df
+    for r in ratios:
+        clean = clean.withColumn(r, finite(r))
+    rows = stacked(clean, ratios, {n: c.cast("string") for n, c in dimensions.items()}, "dimension", "bin")
     keys = ["dimension", "bin"]
     counts = []
     for r in ratios:

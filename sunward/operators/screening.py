@@ -219,7 +219,7 @@ def ramp_timing(pairs: DataFrame, offsets, ts: str = "ts"):
     cols = F.array(*[F.struct(F.lit(o).alias("offset_minutes"), F.col(f"poa_change_{_tag(o)}").alias("x")) for o in offsets])
     long = pairs.select(ts, "split", F.col("electrical_change").alias("y"), F.inline(cols))
     fit = long.where(F.col("split") == "selection").groupBy("offset_minutes").agg(
-        F.greatest(F.lit(0.0), F.sum(F.col("x") * F.col("y")) / F.sum(F.col("x") * F.col("x"))).alias("gain"))
+        F.greatest(F.lit(0.0), F.sum(F.col("x") * F.col("y")) / F.nullif(F.sum(F.col("x") * F.col("x")), F.lit(0.0))).alias("gain"))
     rows = long.join(fit, "offset_minutes")
     tags = F.array(
         F.struct(F.lit("all").alias("grouping"), F.lit("all").alias("value")),

@@ -45,7 +45,7 @@ METRIC = T.StructType([
 def read_metadata(spark: SparkSession, path) -> DataFrame:
     """One row per metric of a system metadata document."""
     schema = T.StructType([T.StructField("Metrics", T.MapType(T.StringType(), METRIC))])
-    document = spark.read.schema(schema).option("multiLine", True).option("encoding", "UTF-8").json(path)
+    document = spark.read.schema(schema).option("multiLine", True).json(path)
     return document.select(F.explode("Metrics").alias("metric_id", "m")).select("metric_id", "m.*")
 
 

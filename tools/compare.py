@@ -36,7 +36,7 @@ def canonical(frame: pd.DataFrame):
         for v in values:
             if isinstance(v, (list, tuple)) or type(v).__name__ == "ndarray":
                 out.append("[" + ",".join(map(str, v)) + "]")
-            elif v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+            elif v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
                 out.append("~")
             elif isinstance(v, bool) or type(v).__name__ == "bool_":
                 out.append(str(bool(v)))
