@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sunward.functions.values import is_finite
+from sunward.functions.values import beside
 from sunward.operators import audit as au
 
 from .registry import query
@@ -122,7 +122,7 @@ def q08(t):
     rows = _conformance(t)
     good = rows.where("in_metadata and unit_ok and name_ok and scale_ok")
     confirmed = au.check_units(good, CHECKS).agg(F.count(F.lit(1)).alias("confirmed"))
-    return rows.agg(F.count(F.lit(1)).alias("channels")).join(confirmed, F.lit(True))
+    return beside(rows.agg(F.count(F.lit(1)).alias("channels")), confirmed)
 
 
 @query("q09_set_differences", """

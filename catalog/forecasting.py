@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sunward.functions import clock, solar
 from sunward.functions.errors import Pair
+from sunward.functions.values import beside
 from sunward.operators import evaluation as ev_
 from sunward.operators import features as ft
 from sunward.operators import learners as ml
@@ -245,7 +246,7 @@ def m15(t):
     counts = ft.label_splits(origins(t), edges(t)).groupBy("split").agg(F.count("*").alias("n"))
     packed = counts.agg(F.collect_list(F.struct("split", "n")).alias("s"))  # three splits
     plan = ml.search_plan(t.spark)
-    return plan.join(F.broadcast(packed), F.lit(True)).select("family", "config", "baseline", F.inline("s"))
+    return beside(plan, packed).select("family", "config", "baseline", F.inline("s"))
 
 
 def _ledger(t, label="target"):

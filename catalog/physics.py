@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sunward.config import InverterParameters, LossConfig, Site, SystemConfig
 from sunward.functions import clock, physics as ph, solar
+from sunward.functions.values import beside
 from sunward.operators import modelling as mo
 
 from .registry import query
@@ -368,6 +369,6 @@ FROM labels_ WHERE physics IS NOT NULL
 def x18(t):
     rows = labelled(t)
     scale = mo.correction_scale(rows.where((F.col("validity") == "labelled") & (F.dayofmonth("target_ts") <= 20)))
-    out = rows.where("physics_forecast_kw is not null").join(F.broadcast(scale), F.lit(True))  # one row
+    out = beside(rows.where("physics_forecast_kw is not null"), scale)
     out = out.withColumn("normalised", F.col("forecast_poa") / 1000)
     return out.select("origin", mo.final_power("physics_forecast_kw", "normalised", "scale").alias("final_kw"))

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 INFINITY = float("inf")
 
@@ -61,3 +61,11 @@ def to_celsius(fahrenheit) -> Column:
 
 def to_metres_per_second(miles_per_hour) -> Column:
     return _c(miles_per_hour) * 0.44704
+
+
+def beside(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Every row of ``df`` next to the single row of an ungrouped aggregate.
+
+    One row is the proven size of the broadcast side.
+    """
+    return df.join(F.broadcast(row), F.lit(True))

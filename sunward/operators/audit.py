@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import clock
 from ..functions.binning import equal_width_bin
-from ..functions.values import INFINITY, circular_difference, count_if, finite, is_finite
+from ..functions.values import INFINITY, beside, circular_difference, count_if, finite, is_finite
 from .ordered import TIME_WIDTHS, condition_runs, islands, neighbours, numbered, with_quantiles
 
 # Fixed patterns: channel names look like inv_07_ac_power_inv_1234.
@@ -143,7 +143,7 @@ def missing_runs(df: DataFrame, row: str, missing: Column, keys=(), widths=(100_
     """Missing runs in row order, row numbers being consecutive."""
     runs = condition_runs(df, keys, row, 1, missing, 1, widths)
     last = df.groupBy(*keys).agg(F.max(row).alias("last_row"))
-    both = runs.join(last, list(keys)) if keys else runs.join(last, F.lit(True))
+    both = runs.join(last, list(keys)) if keys else beside(runs, last)
     return both.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("runs"), count_if(F.col("samples") == 1).alias("isolated"),
         count_if(F.col("samples") > 1).alias("blocks"), F.max("samples").alias("longest"),
@@ -281,7 +281,7 @@ def night_dates(df: DataFrame, value: str, floor: float = 0.0, before_hour: int
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Equal-width histogram over the observed range, last edge inclusive."""
     span = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    rows = df.join(F.broadcast(span), F.lit(True))  # one row
+    rows = beside(df, span)
     counted = rows.groupBy(equal_width_bin(value, "lo", "hi", bins).alias("bin")).agg(
         F.count(F.lit(1)).alias("records"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import clock
-from ..functions.values import count_if, holds, is_finite
+from ..functions.values import beside, count_if, holds, is_finite
 from .align import _tag, asof_backward, offset_block
 
 HORIZON = 15
@@ -33,7 +33,7 @@ def label_splits(df: DataFrame, edges: DataFrame, target: str = "target_ts", out
     label = (F.when((t >= F.col("start")) & (t < F.col("validation_start")), "training")
              .when((t >= F.col("validation_start")) & (t < F.col("testing_start")), "validation")
              .when((t >= F.col("testing_start")) & (t < F.col("end")), "testing"))
-    return df.join(F.broadcast(edges), F.lit(True)).select(*df.columns, label.alias(out))  # one row
+    return beside(df, edges).select(*df.columns, label.alias(out))
 
 
 def training_blocks(edges: DataFrame, fractions=(.4, .6, .8), grid_minutes: int = 5) -> DataFrame:

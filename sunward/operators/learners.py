@@ -7,7 +7,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.errors import Pair
-from ..functions.values import count_if
+from ..functions.values import beside, count_if
 from .ordered import exact_quantiles
 
 SEED = 17
@@ -22,7 +22,7 @@ def training_medians(train: DataFrame, columns) -> DataFrame:
 
 def impute(df: DataFrame, medians: DataFrame, columns) -> DataFrame:
     """Fill from training medians; a 0/1 indicator per column, present or not."""
-    joined = df.join(F.broadcast(medians), F.lit(True))  # one row
+    joined = beside(df, medians)
     rest = [c for c in df.columns if c not in columns]
     return joined.select(*rest, *[F.coalesce(F.col(c), F.col(f"{c}__median")).alias(c) for c in columns],
                          *[F.col(c).isNull().cast("double").alias(f"{c}__missing") for c in columns])
@@ -35,7 +35,7 @@ def scaling(train: DataFrame, columns) -> DataFrame:
 
 
 def standardise(df: DataFrame, scales: DataFrame, columns) -> DataFrame:
-    joined = df.join(F.broadcast(scales), F.lit(True))  # one row
+    joined = beside(df, scales)
     rest = [c for c in df.columns if c not in columns]
     return joined.select(*rest, *[((F.col(c) - F.col(f"{c}__mean")) / F.col(f"{c}__sd")).alias(c) for c in columns])
 
@@ -237,4 +237,4 @@ def ledger_integrity(ledger: DataFrame, plan_ids: DataFrame, recorded: DataFrame
     again = winners(ledger).select("family", F.col("id").alias("again"))
     wrong = again.join(recorded.select("family", F.col("id").alias("noted")), "family", "full_outer").agg(
         count_if(~F.col("again").eqNullSafe(F.col("noted"))).alias("winners_differ"))
-    return base.join(missing, F.lit(True)).join(wrong, F.lit(True))
+    return beside(beside(base, missing), wrong)

@@ -14,6 +14,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.values import beside
+
 DAY = 86400
 TIME_WIDTHS = (DAY, 60 * DAY)
 
@@ -22,10 +24,6 @@ def _chunk(order: str, width) -> Column:
     return F.floor(F.col(order) / F.lit(width)).cast("long")
 
 
-def _same(left: DataFrame, right: DataFrame, names) -> Column:
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, names, how="left") -> DataFrame:
     """Equi-join where NULL keys match; right-hand key copies are dropped."""
     other = right.select(*[F.col(n).alias(f"__k_{n}") if n in names else F.col(n) for n in right.columns])
@@ -210,8 +208,7 @@ def with_quantiles(grouped: DataFrame, df: DataFrame, keys, wanted: dict) -> Dat
     """``grouped`` (one row per key) widened by :func:`exact_quantiles`."""
     found = exact_quantiles(df, keys, wanted)
     if not keys:
-        one = F.lit(1)
-        return grouped.withColumn("__one", one).join(found.withColumn("__one", one), "__one", "left").drop("__one")
+        return beside(grouped, found)
     return join_null_safe(grouped, found, list(keys))
 
 

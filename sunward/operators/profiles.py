@@ -8,7 +8,7 @@ from ..config import InverterParameters
 from ..functions import clock
 from ..functions.binning import cut, floor_bin
 from ..functions.errors import Pair
-from ..functions.values import count_if, finite, holds, is_finite, ratio
+from ..functions.values import beside, count_if, finite, holds, is_finite, ratio
 from .align import _tag, offset_block
 from .ordered import average_ranks, islands, stacked, with_quantiles
 
@@ -389,7 +389,7 @@ def check_predictions(df: DataFrame, models) -> None:
 def improvement(scores: DataFrame, reference: str, error: str, out: str, keys=()) -> DataFrame:
     """Percent improvement over a reference model; NULL when its error is zero."""
     ref = scores.where(F.col("model") == reference).select(*keys, F.col(error).alias("__r"))
-    joined = scores.join(ref, list(keys)) if keys else scores.join(ref, F.lit(True))
+    joined = scores.join(ref, list(keys)) if keys else beside(scores, ref)
     r = F.col("__r")
     return joined.withColumn(out, F.when(r != 0, 100.0 * (r - F.col(error)) / r)).drop("__r")
 
@@ -468,7 +468,7 @@ def dataset_summary(series: dict, cadences: dict, values: dict) -> DataFrame:
         missing = sum((F.sum(F.col(v).isNull().cast("long")) for v in values[name]), F.lit(0))
         row = df.agg(F.count(F.lit(1)).alias("records"), F.min("ts").alias("first"), F.max("ts").alias("last"),
                      (F.floor(seconds / c) + 1).alias("expected_slots"), missing.alias("missing_cells"))
-        row = row.join(modal_interval(df.select("ts")).select(F.col("step").alias("modal_seconds")), F.lit(True))
+        row = beside(row, modal_interval(df.select("ts")).select(F.col("step").alias("modal_seconds")))
         row = row.withColumn("coverage_pct", 100.0 * F.col("records") / F.col("expected_slots")).withColumn("dataset", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out

@@ -7,7 +7,7 @@ line, or blanks exactly the approved observations.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import clock
-from ..functions.values import count_if, finite, holds, is_finite
+from ..functions.values import beside, count_if, finite, holds, is_finite
 
 
 def arrange_channels(df: DataFrame, renames: dict, absent, order) -> DataFrame:
@@ -126,7 +126,7 @@ def measurement_violations(df: DataFrame, ts: str, poa: str, ambient: str, wind:
         F.count(F.lit(1)).alias("records"), count_if(F.col(ts).isNull()).alias("missing_labels"),
         *[count_if(~is_finite(c)).alias(f"nonfinite_{c}") for c in weather],
         count_if(finite(poa) < 0).alias(f"negative_{poa}"), count_if(finite(wind) < 0).alias(f"negative_{wind}"))
-    return bad.join(labels, F.lit(True))
+    return beside(bad, labels)
 
 
 def check_measurements(df: DataFrame, ts="ts", poa="poa", ambient="ambient", wind="wind") -> DataFrame:

@@ -7,7 +7,7 @@ within ``keys``). Cadences are in seconds.
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import clock
-from ..functions.values import count_if
+from ..functions.values import beside, count_if
 from .ordered import TIME_WIDTHS, condition_runs, neighbours
 
 DAY = 86400
@@ -34,7 +34,7 @@ def order_report(df: DataFrame, row: str, ts: str = "ts", widths=(100_000, 10_00
         count_if(F.col(ts) == F.col(f"prev_{ts}")).alias("equal_steps"))
     dup = df.groupBy(ts).agg(F.count(F.lit(1)).alias("c")).agg(
         F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("duplicate_labels"))
-    return (flow.join(dup, F.lit(True)).withColumn("is_monotonic", F.col("backward_steps") == 0)
+    return (beside(flow, dup).withColumn("is_monotonic", F.col("backward_steps") == 0)
             .withColumn("is_strict", (F.col("backward_steps") == 0) & (F.col("equal_steps") == 0)))
 
 
@@ -59,7 +59,7 @@ def interval_histogram(df: DataFrame, keys=(), ts: str = "ts") -> DataFrame:
     steps = with_steps(df.select(*keys, ts), keys, ts).where(F.col("step").isNotNull())
     counts = steps.groupBy(*keys, "step").agg(F.count(F.lit(1)).alias("intervals"))
     total = counts.groupBy(*keys).agg(F.sum("intervals").alias("all"))
-    joined = counts.join(total, list(keys)) if keys else counts.join(total, F.lit(True))
+    joined = counts.join(total, list(keys)) if keys else beside(counts, total)
     return joined.select(*keys, "step", "intervals", (F.col("intervals") / F.col("all")).alias("share"))
 
 

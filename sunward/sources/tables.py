@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions import clock
+from ..functions.values import beside
 
 
 def wide_schema(channels, key: str = "measured_on") -> T.StructType:
@@ -106,7 +106,7 @@ def provenance(inputs: DataFrame, counts: DataFrame, settings: dict, policy: dic
     """One-row sidecar: input manifest, counts, settings and policy as JSON text."""
     files = inputs.agg(F.to_json(F.array_sort(F.collect_list(F.struct("path", "length", "digest")))).alias("inputs"))
     rows = counts.agg(F.to_json(F.collect_list(F.struct(*counts.columns))).alias("counts"))
-    return (files.join(rows, F.lit(True)).withColumn("settings", F.lit(json.dumps(settings, sort_keys=True)))
+    return (beside(files, rows).withColumn("settings", F.lit(json.dumps(settings, sort_keys=True)))
             .withColumn("policy", F.lit(json.dumps(policy, sort_keys=True))))
 
 
