@@ -105,6 +105,14 @@ def a15(t):
     return pf.conversion_metrics(conversions(t), {"main": F.col("conversion_analysis_mask"), "below_rating_guards": pf.below_rating(INVERTER)})
 
 
+@query("d12_conversion_study", sql(f"""
+SELECT 'main' AS population, unit, {CM} FROM conv WHERE ok GROUP BY unit UNION ALL SELECT 'below_rating_guards', unit, {CM} FROM conv WHERE {GUARD} GROUP BY unit
+""", "conv"), d="mae rmse mbe r_squared", i="unit total n excluded", covers=("D12", "A15", "A16"))
+def d12(t):
+    masks = {"main": F.col("conversion_analysis_mask"), "below_rating_guards": pf.below_rating(INVERTER)}
+    return pf.conversion_metrics(conversions(t), masks, ["unit"]).where("total > 0")
+
+
 @query("a16_device_efficiency", sql("""
 SELECT unit, count(*) AS records, count(*) FILTER (ratio > 1) AS ratio_gt_1_count, min(eff) AS efficiency_min, max(eff) AS efficiency_max, median(ratio) AS ratio_median,
   quantile_cont(eff, 0.1) AS efficiency_p10, median(eff) AS efficiency_median, quantile_cont(eff, 0.9) AS efficiency_p90 FROM conv WHERE ok GROUP BY 1
