@@ -2,12 +2,24 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sunward.llm import decontamination, mixing, sharding
+from sunward.llm import decontamination, jaccard_join, mixing, quality_classifier, sharding
 from sunward.llm.shared import DOCUMENT_COLUMNS, n_words, stored, table
 
 SHARDS = 40
 
 
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose chance of the best grade is under one half go, and those without text."""
+    docs = docs.select(*DOCUMENT_COLUMNS)
+    graded = quality_classifier.grades_of(table(spark, sf_dir, "labels"))
+    return quality_classifier.scored(docs, quality_classifier.train(docs, graded)).filter("kept").select(*DOCUMENT_COLUMNS)
+
+
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the smallest id."""
+    return jaccard_join.one_of_each(docs.select(*DOCUMENT_COLUMNS))
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which at least one word in 20 stands in a window of the benchmark go."""
     return decontamination.decontaminated(docs.select(*DOCUMENT_COLUMNS), table(spark, sf_dir, "benchmark"))
@@ -24,7 +36,7 @@ def put_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows
 
 
-STAGES = [("decontamination", decontaminate), ("mixing", mix_sources), ("sharding", put_into_shards)]
+STAGES = [("quality", classify_quality), ("near_duplicates", join_near_duplicates), ("decontamination", decontaminate), ("mixing", mix_sources), ("sharding", put_into_shards)]
 
 #: The first stage is a trained model, which SQL can't express.
 ORACLE_SQL = None

@@ -2,11 +2,22 @@
 
 from pyspark.sql import functions as F
 
-from . import chat_trees, decontamination, mixing, sharding, token_prefix
+from . import chat_trees, decontamination, jaccard_join, license_scan, line_rules, mixing, quality_classifier, sharding, token_prefix, url_templates
 from .shared import WORD, n_words, table
 
 SHARDS = 40
 TOKEN_LIMIT = 4096
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op1_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.train(docs, quality_classifier.grades_of(table(spark, sf_dir, "labels")))
+    return quality_classifier.scored(docs, model).select("doc_id", "expected_grade", "tail", "kept")
+
+
+def op2_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
 def op3_source_mix(spark, sf_dir):
@@ -19,6 +30,21 @@ def op4_slot_sharding(spark, sf_dir):
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op5_line_rules(spark, sf_dir):
+    out = line_rules.clean(table(spark, sf_dir, "documents"), with_text=False)
+    first = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select(*first, *[c for c in out.columns if c not in first])
+
+
+def op6_ngram_jaccard_join(spark, sf_dir):
+    out = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("class").alias("set_class"))
+
+
+def op7_url_templates(spark, sf_dir):
+    return url_templates.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_token_counts(spark, sf_dir):
     import public_tokenizers
     return token_prefix.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), TOKEN_LIMIT)
@@ -41,6 +67,6 @@ def op10_chat_formatting(spark, sf_dir):
                        F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"), "formatted_chars")
 
 
-QUERIES = {f.__name__: f for f in (op3_source_mix, op4_slot_sharding, op8_token_counts, op9_benchmark_decontamination, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_source_mix, op4_slot_sharding, op5_line_rules, op6_ngram_jaccard_join, op7_url_templates, op8_token_counts, op9_benchmark_decontamination, op10_chat_formatting)}
 
 SQL = {}

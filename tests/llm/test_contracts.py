@@ -190,3 +190,98 @@ def test_op10_chat(spark, folder):
         assert r["n_turns"] == len(turns) and r["turns_sha256"] == hashlib.sha256(told.encode()).hexdigest(), r
         assert r["loss_chars"] == len(learned) and r["loss_sha256"] == hashlib.sha256(learned.encode()).hexdigest()
         assert r["formatted_chars"] >= len(told)
+
+
+def grams(text):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", low(text or ""))
+    return {tuple(ws[i:i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def linked(sets):
+    """Components by comparing all pairs that share a gram; ids to their least id."""
+    root = {i: i for i in range(len(sets))}
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    lists = defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s:
+            lists[g].append(i)
+    for i, s in enumerate(sets):
+        for j, n in Counter(j for g in s for j in lists[g] if j < i).items():
+            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_op6_components(spark, folder):
+    docs = documents(spark, folder)
+    sets = [grams(d.text) for d in docs]
+    least = {}
+    for d, r in zip(docs, linked(sets)):
+        least[r] = min(least.get(r, d.doc_id), d.doc_id)
+    want = sorted((d.doc_id, len(s), least[r]) for d, s, r in zip(docs, sets, linked(sets)))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in answers(spark, folder, "op6")) == want
+    assert len({w[2] for w in want}) < len(want)
+
+
+def test_op5_rules(spark, folder):
+    docs = {d.doc_id: d.text or "" for d in documents(spark, folder)}
+    rows = answers(spark, folder, "op5")
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    for r in rows:
+        text = docs[r["doc_id"]]
+        ws = WORDS.findall(text)
+        three = Counter(tuple(ws[i:i + 3]) for i in range(len(ws) - 2))
+        inside = {j for i in range(len(ws) - 2) if three[tuple(ws[i:i + 3])] > 1 for j in range(i, i + 3)}
+        seen, dup = set(), 0
+        for line in text.split("\n"):
+            dup += bool(WORDS.search(line)) and line in seen
+            seen.add(line)
+        failed = len(ws) < 50 or 100 * len(inside) > 50 * len(ws)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == (
+            len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(inside), failed), r
+        assert not (r["kept"] and failed)
+
+
+def test_op7_rules_and_parts(spark, folder):
+    from sunward.llm.catalog import URL_RULES
+    pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    want = []
+    for p in pages:
+        host, path = "", ""
+        if p.url and "://" in p.url:
+            rest = p.url.split("://", 1)[1]
+            host = re.match(r"[^/?#]*", rest)[0]
+            path = re.match(r"[^?#]*", rest[len(host):])[0]
+            host = low(host)
+        fits = [(len(r), v, r) for v, r in URL_RULES for h, _, t in [r.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + t)]
+        want.append((p.page_id, host, path, max(fits)[2] if fits else None, max(fits)[1] if fits else None))
+    rows = answers(spark, folder, "op7")
+    key = lambda x: (x[0], x[2])
+    got = sorted(((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"] if r["rule"] else None) for r in rows), key=key)
+    assert got == sorted(want, key=key)
+    assert {r["verdict"] for r in rows} <= {"allow", "block"}
+
+
+def test_op2_licences(spark, folder):
+    from sunward.llm.license_scan import TEMPLATES, THRESHOLD
+    bag = lambda ws: Counter(zip(ws, ws[1:]))
+    known = [(name, bag(bench_words(text))) for name, text in TEMPLATES]
+    docs = {d.doc_id: d.text or "" for d in documents(spark, folder)}
+    rows = answers(spark, folder, "op2")
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    for r in rows:
+        text, best = docs[r["doc_id"]], {}
+        for part in {text, *re.split(r"\n[\x20\x09-\x0D]*\n", text), *text.split("\n")}:
+            own = bag(bench_words(part))
+            for name, other in known:
+                both = 2 * sum((own & other).values())
+                if own and both * 100 >= THRESHOLD * (own.total() + other.total()):
+                    best[name] = max(best.get(name, 0), both / (own.total() + other.total()))
+        top = min(((-v, k) for k, v in best.items()), default=(None, None))
+        assert (r["license"], r["n_licenses"]) == (top[1], len(best)) and (r["dice"] is None if top[0] is None else r["dice"] == pytest.approx(-top[0])), r
