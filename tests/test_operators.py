@@ -244,6 +244,27 @@ def test_slope_is_recovered_with_and_without_a_step(spark):
     assert abs(performance.fit_slopes(_index_rows(spark, True)).first().slope + 1.0) > 0.1
 
 
+def test_slopes_of_unbalanced_rows_match_a_direct_solve(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"u{u}", dt.datetime(2019 + k // 12, k % 12 + 1, 1), float(100 + u - 0.3 * k + rng.normal()), float(rng.random())) for u in range(5) for k in range(40) if rng.random() > 0.3]
+    df = spark.createDataFrame(rows, "unit string, month timestamp_ntz, index double, zero_fraction double")
+    jumps = spark.createDataFrame([("u2", dt.datetime(2020, 5, 1))], "unit string, boundary timestamp_ntz")
+    got = performance.fit_slopes(df, jumps=jumps, zeros=True).first()
+    design = np.array([[1, y - 2019 + (m - 1) / 12, *(u == f"u{i}" for i in range(1, 5)), *(m == i for i in range(2, 13)), u == "u2" and (y, m) >= (2020, 5), z]
+                       for u, t, _, z in rows for y, m in [(t.year, t.month)]], float)
+    value = np.array([r[2] for r in rows])
+    beta = np.linalg.lstsq(design, value, rcond=None)[0]
+    months = sorted({r[1] for r in rows})
+    error = value - design @ beta
+    scores = np.array([sum((design[i] * error[i] for i, r in enumerate(rows) if r[1] == t), np.zeros(design.shape[1])) for t in months])
+    bread = np.linalg.inv(design.T @ design)
+    pure = scores @ bread[1]
+    variance = pure @ pure + 2 * sum((1 - lag / 4) * pure[lag:] @ pure[:-lag] for lag in (1, 2, 3))
+    width = performance.t_quantile(0.975, max(1, len(months) - design.shape[1] // 24 - 2)) * math.sqrt(max(0, variance))
+    assert math.isclose(got.slope, beta[1], abs_tol=1e-8) and math.isclose(got.upper - got.slope, width, rel_tol=1e-6)
+    assert (got.months, got.observations, got["rank"], got.parameters) == (len(months), len(rows), np.linalg.matrix_rank(design), design.shape[1])
+
+
 def test_t_quantiles():
     for df, want in ((1, 12.7062), (5, 2.5706), (30, 2.0423), (200, 1.9719)):
         assert abs(performance.t_quantile(0.975, df) - want) < 1e-3
