@@ -40,15 +40,20 @@ _view("points", """SELECT p * 100.0 AS poa, t * 10.0 - 20.0 AS temp, 31 - 0.12 *
   38 - 0.14 * (t * 10.0 - 20.0 - 25) AS voc, 9.0 * (p * 100.0) / 1000 AS isc FROM range(12) AS a(p), range(15) AS b(t)""")
 
 
+def cell(value, step, low, high):
+    """The cell of a value; a value on the map's upper edge is in the last cell."""
+    return f"(CASE WHEN ({value}) = {(high + 1) * step} THEN {high} ELSE floor(({value}) / {step}) END)"
+
+
 def blend(v, poa, temp, a="c"):
-    x, y = f"(({poa}) / 100 - floor(({poa}) / 100))", f"(({temp}) / 10 - floor(({temp}) / 10))"
+    x, y = f"(({poa}) / 100 - {cell(poa, 100, 0, 10)})", f"(({temp}) / 10 - {cell(temp, 10, -2, 11)})"
     return (f"CASE WHEN ({poa}) = 0 THEN 0 ELSE ({a}00.{v} * (1 - {x}) + {a}10.{v} * {x}) * (1 - {y}) "
             f"+ ({a}01.{v} * (1 - {x}) + {a}11.{v} * {x}) * {y} END")
 
 
 def corners(poa, temp, a="c"):
     return " ".join(
-        f"LEFT JOIN points {a}{i}{j} ON {a}{i}{j}.poa = (floor(({poa}) / 100) + {i}) * 100 AND {a}{i}{j}.temp = (floor(({temp}) / 10) + {j}) * 10"
+        f"LEFT JOIN points {a}{i}{j} ON {a}{i}{j}.poa = ({cell(poa, 100, 0, 10)} + {i}) * 100 AND {a}{i}{j}.temp = ({cell(temp, 10, -2, 11)} + {j}) * 10"
         for i in (0, 1) for j in (0, 1))
 
 
@@ -132,18 +137,15 @@ def x05(t):
 
 
 @query("x05_plant_model", sql(f"""
-SELECT l_orderkey, l_linenumber, l_suppkey, count(a) AS computed, sum(a) * 24 AS total FROM (
-  SELECT *, {sandia('v', 'p * 0.97', 27600.0)} AS a FROM arr WHERE flag = 'R') GROUP BY 1, 2, 3
+SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN count(*) = 1 THEN count(a) * 24 ELSE 0 END AS computed, CASE WHEN count(*) = 1 THEN sum(a) * 24 END AS total FROM (
+  SELECT *, {sandia('v', 'p * 0.97', 27600.0)} AS a FROM arr) GROUP BY 1, 2, 3
 """, "arr"), d="total", i="computed")
 def x05b(t):
     m = model(t.spark)
-    rows = m.dc_foundation(wx(t).where("flag = 'R'"))
-    rows = m.inverter_model(m.dc_model(rows, LossConfig(0.97)))
+    rows = m.inverter_model(m.dc_model(m.dc_foundation(wx(t)), LossConfig(0.97)))
     keys = ("l_orderkey", "l_linenumber", "l_suppkey")
-    units, plant = m.plant_model(rows, ROSTER24, keys)
-    per = rows.groupBy(*keys).agg(F.count("expected_ac_power").alias("computed"))
-    total = units.groupBy(*keys).agg(F.sum("expected_ac_power").alias("total"))
-    return per.join(total, list(keys))
+    _, plant = m.plant_model(rows, ROSTER24, keys)
+    return plant.select(*keys, F.col("computed"), F.col("expected_plant_ac_power").alias("total"))
 
 
 AC = ["expected_ac_power"]

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F, types as T
 
 from sunward.functions import clock
+from sunward.functions.values import beside
 from sunward.operators import timeline as tl
 from sunward.sources import tables as src
 
@@ -15,10 +16,13 @@ from .views import ev, pairs, sql, stamped
 
 
 def scratch(spark, name):
-    """A fresh path in the cluster's shared folder; a local one only when none is set."""
+    """A fresh path in the folder all executors share; one of this machine only where all runs in it."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or tempfile.mkdtemp(prefix="spark-sunward-")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-sunward-")
+    return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
 
 
 NUMBERS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()),
@@ -35,7 +39,7 @@ def s01(t):
 
 
 @query("s02_pruned_csv", "SELECT count(*) AS records, min(ts) AS \"first\", max(ts) AS \"last\" FROM (SELECT date_trunc('second', ts) AS ts FROM events)",
-       i="records", covers=("S02", "S12"))
+       i="records")
 def s02(t):
     path = scratch(t.spark, "events-csv")
     stamped_text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("measured_on")
@@ -50,7 +54,9 @@ SELECT event_type, count(*) AS records, count(TRY_CAST(v AS DOUBLE)) AS numeric,
 FROM (SELECT event_type, CASE WHEN event_id % 50 = 1 THEN 'bad' ELSE CAST(k AS VARCHAR) END AS v FROM ev) GROUP BY 1
 """, "ev"), d="total", i='records "numeric"')
 def s03(t):
-    rows = ev(t).select("event_type", F.when(F.col("event_id") % 50 == 1, "bad").otherwise(F.col("k").cast("string")).alias("v"))
+    path = scratch(t.spark, "texts-csv")
+    ev(t).select("event_type", F.when(F.col("event_id") % 50 == 1, "bad").otherwise(F.col("k").cast("string")).alias("v")).write.option("header", True).csv(path)
+    rows = src.read_text_csv(t.spark, path, ["event_type", "v"])
     return rows.groupBy("event_type").agg(F.count("*").alias("records"), F.count(src.to_number("v")).alias("numeric"),
                                           F.sum(src.to_number("v")).alias("total"))
 
@@ -116,6 +122,14 @@ def s11(t):
     return rows.groupBy("inverter_id").agg(F.count("*").alias("records"), F.sum("k").alias("total"))
 
 
+@query("s12_csv_summary", "SELECT o_orderpriority, count(*) AS records, sum(o_totalprice) AS total FROM orders GROUP BY 1", d="total", i="records")
+def s12(t):
+    path = scratch(t.spark, "summary")
+    sums = t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("records"), F.sum("o_totalprice").alias("total"))
+    src.write_summary(sums, path)
+    return t.spark.read.schema("o_orderpriority string, records long, total double").option("header", True).csv(path)
+
+
 @query("s14_provenance")
 def s14(t):
     counts = t.events.groupBy("event_type").agg(F.count("*").alias("records"))
@@ -125,18 +139,34 @@ def s14(t):
 
 @query("s15_manifest")
 def s15(t):
-    return src.manifest(t.spark, t.path).select("path", "length", "digest")
+    return src.manifest(t.spark, f"{t.path}/lineitem.parquet").select("path", "length", "records", "digest")
 
 
-@query("s15_manifest_changes")
+@query("s15_manifest_changes", """
+SELECT event_type, state, count(*) AS files FROM (SELECT DISTINCT event_type FROM events WHERE event_type <> 'error'), (VALUES ('before'), ('after')) s(state) WHERE event_type = 'click' GROUP BY ALL
+UNION ALL SELECT event_type, 'before', 1 FROM (SELECT DISTINCT event_type FROM events WHERE event_type = 'error')
+""", i="files")
 def s15b(t):
-    return src.manifest_changes(src.manifest(t.spark, t.path), src.manifest(t.spark, t.path))
-
-
-@query("s16_fingerprint", """
-SELECT event_type, count(*) AS records, sum(CAST('0x' || substr(h, 1, 8) AS BIGINT)) AS high, sum(CAST('0x' || substr(h, 9, 8) AS BIGINT)) AS low
-FROM (SELECT event_type, md5(event_id || '|' || user_id || '|' || event_type || '|' || props) AS h FROM events) GROUP BY 1
-""", i="records high low")
+    """Two states of one table, a file for each event type: later, one value of the clicks differs and the errors are gone."""
+    first, later = scratch(t.spark, "state"), scratch(t.spark, "state")
+    events = t.events.select("event_type", "event_id", "user_id")
+    last = events.where("event_type = 'click'").agg(F.max("event_id").alias("last"))
+    write = lambda df, path: df.repartition("event_type").sortWithinPartitions("event_id").write.partitionBy("event_type").parquet(path)
+    write(events, first)
+    moved = beside(events, last).withColumn("user_id", F.when(F.col("event_id") == F.col("last"), F.col("user_id") + 1).otherwise(F.col("user_id"))).drop("last")
+    write(moved.where("event_type <> 'error'"), later)
+    kind = F.regexp_extract("path", "event_type=([^/]+)", 1)
+    return src.manifest_changes(src.manifest(t.spark, first), src.manifest(t.spark, later), kind).groupBy(F.col("path").alias("event_type"), "state").agg(F.count_distinct("path").alias("files"))
+
+
+_PARTS = "coalesce(length({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_ROW = " || ".join(_PARTS.format(c) for c in ("event_id", "user_id", "event_type", "props"))
+
+
+@query("s16_fingerprint", f"""
+SELECT event_type, count(*) AS records, {', '.join(f"sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS word{i + 1}" for i in range(4))}
+FROM (SELECT event_type, md5({_ROW}) AS h FROM events) GROUP BY 1
+""", i="records word1 word2 word3 word4")
 def s16(t):
     return src.fingerprint(t.events, ["event_id", "user_id", "event_type", "props"], ["event_type"])
 

@@ -55,11 +55,17 @@ def with_offsets(anchors: DataFrame, series: DataFrame, values, offsets, keys=()
 
 
 def strict_mean(anchors: DataFrame, series: DataFrame, value: str, offsets, out: str, keys=(), ts: str = "ts"):
-    """Mean over exact offsets, NULL unless every sample exists; plus the sample count."""
+    """Mean over exact offsets, NULL unless every sample exists and none is repeated; plus the count of samples.
+
+    An offset whose label stands twice in the series has no sample.
+    """
     sent = series.select(*keys, ts, value, F.explode(F.array(*[F.lit(o) for o in offsets])).alias("__o"))
     sent = sent.withColumn(ts, clock.shift(ts, -F.col("__o")))
     v = F.when(is_finite(value), F.col(value))
-    block = sent.groupBy(*keys, ts).agg(F.count(v).alias(f"{out}_samples"), F.sum(v).alias("__s"))
+    # per anchor the samples are at most the offsets and their repeats; each offset is told by its own column of counts
+    single = [(F.count(F.when(F.col("__o") == o, F.lit(1))) == 1, F.max(F.when(F.col("__o") == o, v))) for o in offsets]
+    block = sent.groupBy(*keys, ts).agg(F.array_compact(F.array(*[F.when(one, x) for one, x in single])).alias("__v"))
+    block = block.select(*keys, ts, F.size("__v").cast("long").alias(f"{out}_samples"), F.aggregate("__v", F.lit(0.0), lambda a, x: a + x).alias("__s"))
     joined = anchors.join(block, [*keys, ts], "left")
     n = F.coalesce(F.col(f"{out}_samples"), F.lit(0))
     return (joined.withColumn(f"{out}_samples", n)

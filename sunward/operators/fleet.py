@@ -44,26 +44,36 @@ def check_roster_complete(outputs, times, roster, unit="inverter_id", ts="ts") -
         raise ValueError(f"the fleet is not complete, for example {bad[0].asDict()}")
 
 
+def per_unit(outputs: DataFrame, values, keys, unit: str) -> DataFrame:
+    """One row per key and device: each value where the device has exactly one row and it is finite, else NULL.
+
+    A repeated device is not a second device, and which of its rows holds is not known, so it
+    counts as uncomputed.
+    """
+    single = F.count(F.lit(1)) == 1
+    return outputs.groupBy(*keys, unit).agg(*[F.when(single, F.max(F.when(is_finite(v), F.col(v)))).alias(v) for v in values])
+
+
 def strict_sum(outputs: DataFrame, value: str, roster, out: str, keys=("ts",), unit: str = "inverter_id") -> DataFrame:
-    """Fleet sum, NULL unless every rostered device has a finite value.
+    """Fleet sum, NULL unless every rostered device has exactly one row with a finite value.
 
     Also counts the computed devices and names the others.
     """
     size = len(list(roster))
-    v = F.when(is_finite(value), F.col(value))
-    named = F.collect_set(F.when(v.isNotNull(), F.col(unit)))
-    grouped = outputs.where(F.col(unit).isin(*roster)).groupBy(*keys).agg(
-        F.count(v).alias("computed"), F.sum(v).alias("__sum"), named.alias("__have"))
+    devices = per_unit(outputs.where(F.col(unit).isin(*roster)), [value], keys, unit)
+    named = F.collect_set(F.when(F.col(value).isNotNull(), F.col(unit)))
+    grouped = devices.groupBy(*keys).agg(F.count(value).alias("computed"), F.sum(value).alias("__sum"), named.alias("__have"))
     absent = F.array_sort(F.array_except(_ids(roster), F.col("__have")))
     return grouped.select(*keys, F.when(F.col("computed") == size, F.col("__sum")).alias(out), "computed",
                           absent.alias("uncomputed_ids"))
 
 
 def complete_fleet(outputs: DataFrame, value: str, roster_size: int, flagged: DataFrame | None, out: str,
-                   ts: str = "ts") -> DataFrame:
-    """Sum per label where all devices are finite, not negative and the label is unflagged; else NULL."""
-    good = F.when(is_finite(value) & (F.col(value) >= 0), F.col(value))
-    sums = outputs.groupBy(ts).agg(F.count(good).alias("__n"), F.sum(good).alias("__s"))
+                   ts: str = "ts", unit: str = "inverter_id") -> DataFrame:
+    """Sum per label where all devices are finite, single, not negative and the label is unflagged; else NULL."""
+    devices = per_unit(outputs, [value], [ts], unit)
+    good = F.when(F.col(value) >= 0, F.col(value))
+    sums = devices.groupBy(ts).agg(F.count(good).alias("__n"), F.sum(good).alias("__s"))
     keep = F.col("__n") == roster_size
     if flagged is not None:
         sums = sums.join(flagged.select(ts).distinct().withColumn("__f", F.lit(True)), ts, "left")

@@ -17,7 +17,9 @@ MODULE_VALUES = ("vmp", "imp", "voc", "isc")
 def performance_cells(points: DataFrame, poa_step: float, temp_step: float) -> DataFrame:
     """Turn a module performance map (``poa, temp`` + module values) into grid cells.
 
-    A point is a corner of up to four cells; each cell row carries its corners.
+    A point is a corner of up to four cells; each cell row carries its corners. The
+    upper edges of the map belong to its last cells: a key on an edge leads to the cell below
+    it (``bi``, ``bj``), so the highest irradiance and temperature of the grid have values.
     """
     i = F.round(F.col("poa") / poa_step).cast("long")
     j = F.round(F.col("temp") / temp_step).cast("long")
@@ -26,8 +28,13 @@ def performance_cells(points: DataFrame, poa_step: float, temp_step: float) -> D
         "ti", j - F.col("__c.b"))
     cols = [F.max(F.when((F.col("__c.a") == a) & (F.col("__c.b") == b), F.col(v))).alias(f"{v}{a}{b}")
             for v in MODULE_VALUES for a in (0, 1) for b in (0, 1)]
-    return sent.groupBy("pi", "ti").agg(*cols).where(F.col("vmp11").isNotNull() & F.col("vmp00").isNotNull()
-                                                     & F.col("vmp01").isNotNull() & F.col("vmp10").isNotNull())
+    cells = sent.groupBy("pi", "ti").agg(*cols).where(F.col("vmp11").isNotNull() & F.col("vmp00").isNotNull()
+                                                      & F.col("vmp01").isNotNull() & F.col("vmp10").isNotNull())
+    names = [c for c in cells.columns if c not in ("pi", "ti")]
+    keyed = cells.select(F.col("pi").alias("bi"), F.col("ti").alias("bj"), *names, F.explode(corners).alias("__c")).select(
+        (F.col("bi") + F.col("__c.a")).alias("pi"), (F.col("bj") + F.col("__c.b")).alias("ti"), F.struct((F.col("__c.a") + F.col("__c.b")).alias("__far"), F.col("__c.a").alias("__right"), "bi", "bj", *names).alias("__cell"))
+    nearest = keyed.groupBy("pi", "ti").agg(F.min("__cell").alias("__cell"))
+    return nearest.select("pi", "ti", "__cell.bi", "__cell.bj", *[F.col(f"__cell.{n}") for n in names])
 
 
 def module_dc(df: DataFrame, cells: DataFrame, poa_step: float, temp_step: float, poa: str = "poa",
@@ -40,13 +47,14 @@ def module_dc(df: DataFrame, cells: DataFrame, poa_step: float, temp_step: float
     pi, ti = F.floor(p / poa_step).cast("long"), F.floor(t / temp_step).cast("long")
     left = df.withColumn("__pi", pi).withColumn("__ti", ti)
     joined = left.join(cells, (F.col("__pi") == F.col("pi")) & (F.col("__ti") == F.col("ti")), "left")
-    x = (p - F.col("__pi") * poa_step) / poa_step
-    y = (t - F.col("__ti") * temp_step) / temp_step
+    x = (p - F.col("bi") * poa_step) / poa_step
+    y = (t - F.col("bj") * temp_step) / temp_step
+    on_map = (x <= 1) & (y <= 1)
     out = []
     for v in values:
         blend = ((F.col(f"{v}00") * (1 - x) + F.col(f"{v}10") * x) * (1 - y)
                  + (F.col(f"{v}01") * (1 - x) + F.col(f"{v}11") * x) * y)
-        out.append(F.when(p == 0, F.lit(0.0)).otherwise(blend).alias(f"{prefix}{v}"))
+        out.append(F.when(p == 0, F.lit(0.0)).when(on_map, blend).alias(f"{prefix}{v}"))
     joined = joined.select(*df.columns, *out)
     return joined.withColumn(f"{prefix}pmp", F.col(f"{prefix}vmp") * F.col(f"{prefix}imp"))
 

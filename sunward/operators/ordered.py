@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.values import beside
+from ..functions.values import beside, finite, is_finite
 
 DAY = 86400
 TIME_WIDTHS = (DAY, 60 * DAY)
@@ -76,7 +76,7 @@ def running_total(df: DataFrame, keys, order: str, weight: str, name: str, width
     sums = running_total(sums, keys, chunk, "__sum", base, tuple(x / widths[0] for x in widths[1:]))
     w = W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     inner = df.withColumn(within, F.coalesce(F.sum(weight).over(w), F.lit(0)))
-    joined = inner.join(sums.select(*part, base), part, "left")
+    joined = join_null_safe(inner, sums.select(*part, base), part)
     return joined.withColumn(name, F.col(within) + F.col(base)).drop(chunk, within, base)
 
 
@@ -119,21 +119,37 @@ def condition_runs(df: DataFrame, keys, order: str, step, condition: Column, min
     return kept.where(F.col("samples") >= minimum)
 
 
-# Buckets per factor of two when locating quantiles.
-_RESOLUTION = 128.0
+# Codes of doubles: a bucket holds 2^40 neighbouring codes, so a factor of two falls into 4096 buckets.
+_BUCKET_BITS = 40
+# Chunks of codes inside a bucket, and of buckets, in which running counts are taken.
+_CODE_WIDTHS, _BUCKET_WIDTHS = (2.0 ** 14, 2.0 ** 27), (2.0 ** 12, 2.0 ** 18)
 
 
-def value_bucket(v: Column) -> Column:
-    """Order-preserving integer bucket of a finite double.
+def value_code(v: Column) -> Column:
+    """Order-preserving integer of a finite double, one for each double.
 
-    Buckets split every factor of two into equal steps, so their number is
-    bounded by the exponent range and not by the number of rows.
+    Exponent and the 52 bits behind it, as a signed number; both zeros are 0.
     """
     a = F.abs(v)
-    exponent = F.floor(F.log2(a))
-    mantissa = F.floor((a / F.pow(F.lit(2.0), exponent.cast("double")) - 1.0) * _RESOLUTION)
-    code = (exponent + 1100) * F.lit(_RESOLUTION) + mantissa + 1
-    return (F.when(v > 0, code).when(v < 0, -code).otherwise(F.lit(0))).cast("long")
+    guess = F.least(F.floor(F.log2(a)).cast("double"), F.lit(1023.0))
+    m = a / F.pow(F.lit(2.0), guess)
+    # the logarithm may be off by one next to a power of two
+    e = guess + F.when(m >= 2, 1).when(m < 1, -1).otherwise(0)
+    m = F.when(m >= 2, m / 2).when(m < 1, m * 2).otherwise(m)
+    step = F.lit(2.0 ** 52)
+    normal = (e + 1023).cast("long") * F.lit(2 ** 52) + ((m - 1) * step).cast("long")
+    code = F.when(a < F.lit(2.0 ** -1022), (a / F.lit(5e-324)).cast("long")).otherwise(normal)
+    return F.when(v > 0, code).when(v < 0, -code).otherwise(F.lit(0).cast("long"))
+
+
+def value_bucket(code: Column) -> Column:
+    """The bucket of a value's code; buckets are bounded by the range of doubles, not by the rows."""
+    return F.shiftright(code, _BUCKET_BITS)
+
+
+def _inside(code: Column, bucket: Column) -> Column:
+    """A code's place in its bucket, from 0."""
+    return code - F.shiftleft(bucket, _BUCKET_BITS)
 
 
 def stacked(df: DataFrame, keep, columns: dict, tag: str, value: str) -> DataFrame:
@@ -153,18 +169,19 @@ BROADCAST_ASKS = 50_000
 def exact_quantiles(df: DataFrame, keys, wanted: dict) -> DataFrame:
     """Exact linearly interpolated quantiles per key, for groups of any size.
 
-    ``wanted`` maps output name -> (column, probability); NULLs are skipped.
-    A first job counts rows per (key, column, value bucket) and finds which
+    ``wanted`` maps output name -> (column, probability); NULL, NaN and infinite values are
+    skipped. A first job counts rows per (key, column, value bucket) and finds which
     buckets hold a wanted rank. The second pass reads only those buckets, as
-    distinct values with counts. No task holds a whole group, however large.
+    distinct values with counts, and numbers them in chunks of their codes, so neither a
+    group nor a bucket is sorted in one task, however its values lie together.
     The rank requests (a few per key) are counted: up to ``BROADCAST_ASKS``
     they are broadcast, so the data are filtered in place; a longer list is
     joined by shuffle. Groups without any value are absent from the result.
     """
     keys = list(keys)
     columns = sorted({c for c, _ in wanted.values()})
-    rows = (stacked(df, keys, {i: F.col(c).cast("double") for i, c in enumerate(columns)}, "__m", "__v")
-            .where(F.col("__v").isNotNull()).withColumn("__b", value_bucket(F.col("__v"))))
+    rows = stacked(df, keys, {i: finite(F.col(c).cast("double")) for i, c in enumerate(columns)}, "__m", "__v").where(F.col("__v").isNotNull())
+    rows = rows.withColumn("__k", value_code(F.col("__v"))).withColumn("__b", value_bucket(F.col("__k")))
     group = keys + ["__m"]
     histogram = rows.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__c"))
     w = W.partitionBy(*group).orderBy("__b")
@@ -186,11 +203,12 @@ def exact_quantiles(df: DataFrame, keys, wanted: dict) -> DataFrame:
     if len(few) <= BROADCAST_ASKS:
         needed = F.broadcast(df.sparkSession.createDataFrame(few, needed.schema))
     found = join_null_safe(rows, needed, group + ["__b"], "inner")
-    counts = found.groupBy(*group, "__b", "__v").agg(
-        F.count(F.lit(1)).alias("__c"), F.first("__lo").alias("__lo"), F.first("__asks").alias("__asks"))
-    inside = W.partitionBy(*group, "__b").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    counts = counts.withColumn("__to", F.col("__lo") + F.sum("__c").over(inside))
-    counts = counts.withColumn("__from", F.col("__to") - F.col("__c"))
+    counts = found.groupBy(*group, "__b", "__k").agg(
+        F.count(F.lit(1)).alias("__c"), F.first("__v").alias("__v"), F.first("__lo").alias("__lo"), F.first("__asks").alias("__asks"))
+    counts = counts.withColumn("__i", _inside(F.col("__k"), F.col("__b")))
+    counts = running_total(counts, group + ["__b"], "__i", "__c", "__in", _CODE_WIDTHS)
+    counts = counts.withColumn("__from", F.col("__lo") + F.col("__in"))
+    counts = counts.withColumn("__to", F.col("__from") + F.col("__c"))
     hits = counts.select(*keys, "__v", "__from", "__to", F.inline("__asks"))
     below, above = F.floor("__pos"), F.ceil("__pos")
 
@@ -212,17 +230,16 @@ def with_quantiles(grouped: DataFrame, df: DataFrame, keys, wanted: dict) -> Dat
     return join_null_safe(grouped, found, list(keys))
 
 
-def average_ranks(df: DataFrame, keys, value: str, name: str, weight: str | None = None,
-                  widths=(_RESOLUTION / 8, _RESOLUTION * 4)) -> DataFrame:
-    """Per distinct value: its average rank within the key, and its (weighted) count ``__c``."""
+def average_ranks(df: DataFrame, keys, value: str, name: str, weight: str | None = None) -> DataFrame:
+    """Per distinct finite value: its average rank within the key, and its (weighted) count ``__c``."""
     keys = list(keys)
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("__c"))
-              .withColumn("__b", value_bucket(F.col(value).cast("double"))))
+    counts = df.where(is_finite(value)).groupBy(*keys, value).agg(size.alias("__c"))
+    counts = counts.withColumn("__k", value_code(F.col(value).cast("double"))).withColumn("__b", value_bucket(F.col("__k")))
     sums = counts.groupBy(*keys, "__b").agg(F.sum("__c").alias("__s"))
-    sums = running_total(sums, keys, "__b", "__s", "__base", widths)
-    w = W.partitionBy(*keys, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumn("__in", F.coalesce(F.sum("__c").over(w), F.lit(0)))
+    sums = running_total(sums, keys, "__b", "__s", "__base", _BUCKET_WIDTHS)
+    counts = counts.withColumn("__i", _inside(F.col("__k"), F.col("__b")))
+    counts = running_total(counts, keys + ["__b"], "__i", "__c", "__in", _CODE_WIDTHS)
     out = join_null_safe(counts, sums.select(*keys, "__b", "__base"), keys + ["__b"])
     rank = F.col("__base") + F.col("__in") + (F.col("__c") + 1) / 2.0
     return out.withColumn(name, rank).select(*keys, value, name, "__c")

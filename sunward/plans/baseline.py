@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.errors import Pair
-from ..functions.values import is_finite
 from ..operators import fleet, validation
 from ..operators.align import meter_intervals
 from ..operators.modelling import PlantModel
@@ -29,14 +28,13 @@ def fleet_metrics(devices: DataFrame, populations: dict, unit="inverter_id"):
     return sums, validation.merge_sums(sums, ["population"])
 
 
-def plant_table(devices: DataFrame, roster, ts="ts") -> DataFrame:
-    """Strict expected and measured plant power per label."""
+def plant_table(devices: DataFrame, roster, ts="ts", unit="inverter_id") -> DataFrame:
+    """Strict expected and measured plant power per label: every rostered device once, or NULL."""
     size = len(tuple(roster))
-    e = F.when(is_finite("expected_ac_power"), F.col("expected_ac_power"))
-    m = F.when(is_finite("measured_ac_power"), F.col("measured_ac_power"))
-    out = devices.groupBy(ts).agg(F.count(e).alias("__e"), F.sum(e).alias("__se"), F.count(m).alias("__m"), F.sum(m).alias("__sm"))
-    return out.select(ts, F.when(F.col("__e") == size, F.col("__se")).alias("expected_plant_ac_power"),
-                      F.when(F.col("__m") == size, F.col("__sm")).alias("measured_plant_ac_power"))
+    rows = devices.where(F.col(unit).isin(*roster))
+    single = fleet.per_unit(rows, ["expected_ac_power", "measured_ac_power"], [ts], unit)
+    sums = {name: (F.count(f"{name}_ac_power") == size, F.sum(f"{name}_ac_power")) for name in ("expected", "measured")}
+    return single.groupBy(ts).agg(*[F.when(whole, total).alias(f"{name}_plant_ac_power") for name, (whole, total) in sums.items()])
 
 
 def _columns(p: Pair) -> list:

@@ -4,8 +4,6 @@ import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.values import beside
-
 
 def wide_schema(channels, key: str = "measured_on") -> T.StructType:
     """String label plus one double per channel."""
@@ -83,12 +81,11 @@ def check_row_count(df: DataFrame, recorded: int, what: str = "table") -> DataFr
 def write_table(df: DataFrame, path, partition_by=(), rows_per_file: int = 0) -> None:
     """Snappy Parquet that refuses to replace an existing table.
 
-    With ``partition_by`` the rows are spread by key and by a hash of the row,
-    so one heavy key is still written by many tasks.
+    With ``partition_by`` rows are brought together by key, and Spark splits a heavy key by its
+    bytes, so it is written by as many tasks as it needs.
     """
     if partition_by:
-        spread = F.pmod(F.xxhash64(*df.columns), F.lit(64))
-        df = df.repartition(*[F.col(c) for c in partition_by], spread)
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     writer = df.write.mode("errorifexists").option("compression", "snappy")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
@@ -103,43 +100,55 @@ def write_summary(df: DataFrame, path) -> None:
 
 
 def provenance(inputs: DataFrame, counts: DataFrame, settings: dict, policy: dict) -> DataFrame:
-    """One-row sidecar: input manifest, counts, settings and policy as JSON text."""
-    files = inputs.agg(F.to_json(F.array_sort(F.collect_list(F.struct("path", "length", "digest")))).alias("inputs"))
-    rows = counts.agg(F.to_json(F.collect_list(F.struct(*counts.columns))).alias("counts"))
-    return (beside(files, rows).withColumn("settings", F.lit(json.dumps(settings, sort_keys=True)))
-            .withColumn("policy", F.lit(json.dumps(policy, sort_keys=True))))
+    """Sidecar rows ``kind, name, content``: a row for each input file and each count, one for settings and one for policy."""
+    files = inputs.select(F.lit("input").alias("kind"), F.col("path").alias("name"), F.to_json(F.struct(*[c for c in inputs.columns if c != "path"])).alias("content"))
+    names = F.concat_ws("/", *[F.col(c).cast("string") for c in counts.columns[:-1]])
+    rows = counts.select(F.lit("count").alias("kind"), names.alias("name"), F.to_json(F.struct(*counts.columns)).alias("content"))
+    fixed = inputs.sparkSession.createDataFrame(
+        [(kind, kind, json.dumps(value, sort_keys=True)) for kind, value in (("settings", settings), ("policy", policy))], "kind string, name string, content string")
+    return files.unionByName(rows).unionByName(fixed)
+
+
+def manifest(spark: SparkSession, path) -> DataFrame:
+    """Path, length, modification time, rows and content digest of each Parquet file, whatever its size.
+
+    The digest is the order-independent fingerprint of the file's rows, summed by the tasks that
+    scan its splits; no file is held as one record. Files without rows are not listed.
+    """
+    df = spark.read.option("recursiveFileLookup", True).parquet(path)
+    at = F.col("_metadata")
+    rows = df.select(at["file_path"].alias("path"), at["file_size"].alias("length"), at["file_modification_time"].alias("modificationTime"), F.struct(*df.columns).alias("row"))
+    sums = fingerprint(rows.withColumn("row", F.to_json("row", {"ignoreNullFields": "false"})), ["row"], ["path", "length", "modificationTime"])
+    digest = F.sha2(F.concat_ws("/", *[F.col(c).cast("string") for c in ("records", *WORDS)]), 256)
+    return sums.select("path", "length", "modificationTime", "records", digest.alias("digest"))
 
 
-def manifest(spark: SparkSession, path, digest_below: int = 256 * 1024 * 1024) -> DataFrame:
-    """Path, length, modification time and SHA-256 of each input file.
+def manifest_changes(before: DataFrame, after: DataFrame, name: Column | None = None) -> DataFrame:
+    """Files that appeared, vanished or changed between two manifests.
 
-    A file is one record here, so contents are only read below a bound;
-    larger inputs are identified by :func:`fingerprint` of their rows.
+    ``name`` says what a file is called in both states where their folders differ.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    small = files.where(F.col("length") < digest_below).select(
-        "path", "length", "modificationTime", F.sha2("content", 256).alias("digest"))
-    large = files.where(F.col("length") >= digest_below).select(
-        "path", "length", "modificationTime", F.lit(None).cast("string").alias("digest"))
-    return small.unionByName(large)
-
-
-def manifest_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Files that appeared, vanished or changed between two manifests."""
-    a = before.select("path", "length", "digest")
-    b = after.select("path", "length", "digest")
+    shown = F.col("path") if name is None else name
+    a = before.select(shown.alias("path"), "length", "digest")
+    b = after.select(shown.alias("path"), "length", "digest")
     return (a.exceptAll(b).withColumn("state", F.lit("before"))
             .unionByName(b.exceptAll(a).withColumn("state", F.lit("after"))))
 
 
+#: The four words of a row digest.
+WORDS = ("word1", "word2", "word3", "word4")
+
+
 def fingerprint(df: DataFrame, columns, keys=()) -> DataFrame:
-    """Order-independent content fingerprint: row count and summed row digests."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    """Order-independent content fingerprint: row count and the summed words of row digests.
+
+    Each field stands behind its length, and a NULL field is a single sign no length has, so
+    different rows give different texts.
+    """
+    text = F.concat(*[F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns])
     digest = F.md5(text)
-    high = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    low = F.conv(F.substring(digest, 9, 8), 16, 10).cast("long")
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), F.sum(high).alias("high"),
-                                 F.sum(low).alias("low"))
+    words = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), *[F.sum(w).alias(n) for w, n in zip(words, WORDS)])
 
 
 def literal_ledger(spark: SparkSession, rows, schema) -> DataFrame:

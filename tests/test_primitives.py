@@ -5,6 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sunward.operators import align, fleet, modelling
+from sunward.sources import tables as src
 from sunward.operators import ordered as o
 
 
@@ -74,8 +76,57 @@ def test_average_ranks(df, frame):
     assert np.allclose(got.sort_index().to_numpy(), want.sort_index().to_numpy())
 
 
-def test_value_bucket_is_monotone(spark):
-    values = np.concatenate([-np.logspace(-12, 12, 500), [0.0], np.logspace(-12, 12, 500), 2.0 ** np.arange(-20, 20)])
-    pdf = pd.DataFrame({"v": np.sort(values)})
-    got = spark.createDataFrame(pdf).withColumn("b", o.value_bucket(F.col("v"))).toPandas().sort_values("v").b
-    assert got.is_monotonic_increasing
+def test_value_codes_are_the_bits_of_doubles(spark):
+    rng = np.random.default_rng(7)
+    edges = [x for k in range(-1074, 1024) for x in (2.0 ** k, np.nextafter(2.0 ** k, 0), np.nextafter(2.0 ** k, np.inf))]
+    values = np.concatenate([edges, rng.integers(0, 2 ** 63 - 2 ** 53, 3000).view(np.float64), [0.0, 5e-324, 1.7976931348623157e308]])
+    values = values[np.isfinite(values)]
+    pdf = pd.DataFrame({"v": np.concatenate([values, -values])})
+    got = spark.createDataFrame(pdf).select("v", o.value_code(F.col("v")).alias("k")).toPandas()
+    bits = np.abs(got.v.to_numpy()).view(np.int64)
+    assert (got.k.to_numpy() == np.where(got.v < 0, -bits, bits)).all()
+
+
+def test_quantiles_of_values_that_lie_together(spark, monkeypatch):
+    rows = spark.range(20_000).select(F.lit("a").alias("k"), (230.0 + F.col("id") / 40_000).alias("v"))
+    odd = spark.createDataFrame([("a", float("nan")), ("a", float("inf")), ("a", float("-inf")), ("b", float("nan"))], "k string, v double")
+    seen = []
+    plain = o.running_total
+
+    def watched(df, keys, order, weight, name, widths=o.TIME_WIDTHS):
+        if widths and "__b" in keys:
+            seen.append(df.groupBy(*keys, F.floor(F.col(order) / widths[0])).count().agg(F.max("count")).first()[0])
+        return plain(df, keys, order, weight, name, widths)
+
+    monkeypatch.setattr(o, "running_total", watched)
+    got = {r.k: r for r in o.exact_quantiles(rows.unionByName(odd), ["k"], {"m": ("v", 0.5), "top": ("v", 1.0), "q": ("v", 0.1)}).collect()}
+    assert got.keys() == {"a"} and abs(got["a"].m - (230 + 9999.5 / 40_000)) < 1e-12 and got["a"].top == 230 + 19_999 / 40_000
+    ranks = {r.v: r.r for r in o.average_ranks(rows.unionByName(odd), ["k"], "v", "r").collect()}
+    assert len(ranks) == 20_000 and ranks[230.0] == 1.0 and ranks[230 + 19_999 / 40_000] == 20_000
+    assert seen and max(seen) <= 2 ** 14
+
+
+def test_map_edges_have_values(spark):
+    grid = [(100.0 * i, 10.0 * j, 30.0 + i, 1.0 + j, 40.0, 2.0) for i in range(3) for j in range(3)]
+    cells = modelling.performance_cells(spark.createDataFrame(grid, "poa double, temp double, vmp double, imp double, voc double, isc double"), 100.0, 10.0)
+    asked = [(200.0, 20.0), (200.0, 5.0), (50.0, 20.0), (100.0, 10.0), (100.0, 0.0), (200.5, 5.0), (50.0, 20.5), (50.0, -1.0), (0.0, 99.0)]
+    rows = spark.createDataFrame(asked, "poa double, temp_cell double")
+    got = {(r.poa, r.temp_cell): (r.vmp, r.imp) for r in modelling.module_dc(rows, cells, 100.0, 10.0).collect()}
+    assert got == {(200.0, 20.0): (32.0, 3.0), (200.0, 5.0): (32.0, 1.5), (50.0, 20.0): (30.5, 3.0), (100.0, 10.0): (31.0, 2.0), (100.0, 0.0): (31.0, 1.0),
+                   (200.5, 5.0): (None, None), (50.0, 20.5): (None, None), (50.0, -1.0): (None, None), (0.0, 99.0): (0.0, 0.0)}
+
+
+def test_repeated_devices_are_not_computed(spark):
+    df = spark.createDataFrame([("t1", "a", 1.0), ("t1", "a", 1.0), ("t2", "a", 1.0), ("t2", "b", 2.0)], "ts string, inverter_id string, v double")
+    got = {r.ts: (r.plant, r.computed, r.uncomputed_ids) for r in fleet.strict_sum(df, "v", ["a", "b"], "plant").collect()}
+    assert got == {"t1": (None, 0, ["a", "b"]), "t2": (3.0, 2, [])}
+    whole = {r.ts: r.plant for r in fleet.complete_fleet(df, "v", 2, None, "plant").collect()}
+    assert whole == {"t1": None, "t2": 3.0}
+    series = spark.createDataFrame([("2023-01-01 00:00:00", 1.0), ("2023-01-01 00:05:00", 3.0), ("2023-01-01 00:05:00", 3.0), ("2023-01-01 01:00:00", 1.0), ("2023-01-01 01:05:00", 3.0)], "ts string, v double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    anchors = series.where("minute(ts) = 0").select("ts")
+    assert [(r.m, r.m_samples) for r in align.strict_mean(anchors, series, "v", [0, 5], "m").orderBy("ts").collect()] == [(None, 1), (2.0, 2)]
+
+
+def test_fingerprints_of_fields_that_run_together(spark):
+    one = lambda *row: src.fingerprint(spark.createDataFrame([row], "a string, b string"), ["a", "b"]).first()
+    assert len({one("x|y", "z"), one("x", "y|z"), one("x", "y"), one(None, "~"), one("~", None), one("-", "~"), one("", "1:x")}) == 7

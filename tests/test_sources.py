@@ -43,14 +43,20 @@ def test_sink_refuses_to_overwrite_and_counts(spark, tmp_path):
 
 
 def test_manifest_sees_changes(spark, tmp_path):
-    (tmp_path / "d").mkdir()
-    (tmp_path / "d" / "a.bin").write_bytes(b"one")
-    before = [r.asDict() for r in src.manifest(spark, str(tmp_path / "d")).collect()]
-    before = spark.createDataFrame([(r["path"], r["length"], r["digest"]) for r in before], "path string, length long, digest string")
-    (tmp_path / "d" / "a.bin").write_bytes(b"two")
-    changes = src.manifest_changes(before, src.manifest(spark, str(tmp_path / "d"))).collect()
-    assert sorted(r.state for r in changes) == ["after", "before"]
-    assert src.manifest(spark, str(tmp_path / "d"), 2).first().digest is None
+    rows = spark.range(2000).withColumn("v", F.col("id") * 7 % 1000)
+    rows.where("id < 1000").coalesce(1).write.parquet(str(tmp_path / "d" / "one"))
+    rows.where("id >= 1000").coalesce(1).write.parquet(str(tmp_path / "d" / "two"))
+    before = src.manifest(spark, str(tmp_path / "d")).collect()
+    assert len(before) == 2 and all(r.digest and r.records == 1000 for r in before)
+    # one value differs and the file is as long as before
+    changed = spark.createDataFrame(before).withColumn("digest", F.when(F.col("path").contains("/one/"), F.lit("other")).otherwise(F.col("digest")))
+    changes = src.manifest_changes(spark.createDataFrame(before), changed).collect()
+    assert {(r.state, "/one/" in r.path) for r in changes} == {("before", True), ("after", True)}
+    kept = src.manifest(spark, str(tmp_path / "d" / "one")).first().digest
+    rows.where("id < 1000").withColumn("v", F.when(F.col("id") == 5, F.lit(36)).otherwise(F.col("v"))).coalesce(1).write.parquet(str(tmp_path / "e"))
+    assert src.manifest(spark, str(tmp_path / "e")).first().digest != kept
+    rows.where("id < 1000").orderBy(F.desc("id")).coalesce(1).write.parquet(str(tmp_path / "f"))
+    assert src.manifest(spark, str(tmp_path / "f")).first().digest == kept
 
 
 def test_resume_and_selection(spark):
