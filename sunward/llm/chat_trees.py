@@ -13,7 +13,7 @@ a text says.
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import release, stored
+from .shared import stored
 
 OPEN, OPENED, CLOSE = "<turn:", ">", "</turn>\n"
 
@@ -53,30 +53,25 @@ def same(left: str, right: str, node: str, other: str):
 
 
 def climbs(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Tables of jumps up the trees, and every leaf with its depth and score.
+    """Tables of jumps up the trees, and every leaf with the score of its path.
 
-    ``nodes`` has tree_id, node_id, parent_id, score, one row a node. Table k holds for each node
-    the one 2^k replies above it (NULL past the root) and the score of the replies from the node
-    up to there; it is table k-1 joined with itself. Leaves climb along, so a path of n replies
-    is closed after log2(n) rounds, and no table carries whole paths.
+    ``nodes`` has tree_id, node_id, parent_id, score, one row a node. Table k holds the nodes that
+    have a reply 2^k above them, and that reply. Each round joins the nodes still on their way
+    with all nodes, which doubles the way; nodes that reach their root leave with the score of
+    their path, so a round costs the nodes deeper than 2^k, and no table carries whole paths.
     """
     up = nodes.select(F.col("tree_id").alias("t"), F.col("node_id").alias("p"))
-    jumps = nodes.join(up, same("tree_id", "t", "parent_id", "p"), "left").select("tree_id", "node_id", F.col("p").alias("above"), "score")
-    levels = [stored(jumps, "reply-jumps")]
-    n = levels[0].count()
-    answered = levels[0].filter("above is not null").select(F.col("tree_id").alias("t"), F.col("above").alias("p")).distinct()
-    ends = levels[0].join(answered, same("tree_id", "t", "node_id", "p"), "left_anti")
-    ends = stored(ends.select("tree_id", F.col("node_id").alias("leaf_id"), "above", F.lit(1).cast("long").alias("depth"), "score"), "reply-leaves")
-    while 2 ** len(levels) <= 2 * n and not ends.filter("above is not null").isEmpty():
-        jump = levels[-1].select(F.col("tree_id").alias("t"), F.col("node_id").alias("p"), F.col("above").alias("higher"), F.col("score").alias("more"))
-        step, on = 2 ** (len(levels) - 1), same("tree_id", "t", "above", "p")
-        climbed = ends.join(jump, on, "left")
-        more = F.coalesce("more", F.lit(0.0))
-        # past the root a jump covers fewer replies than its width: depths are counted at the end
-        old, ends = ends, stored(climbed.select("tree_id", "leaf_id", F.col("higher").alias("above"), (F.col("depth") + F.when(F.col("higher").isNotNull(), F.lit(step)).otherwise(F.lit(0))).alias("depth"), (F.col("score") + more).alias("score")), "reply-leaves")
-        release(old)
-        levels.append(stored(levels[-1].join(jump, on, "left").select("tree_id", "node_id", F.col("higher").alias("above"), (F.col("score") + more).alias("score")), "reply-jumps"))
-    return levels, ends.filter("above is null").drop("above", "depth")
+    state = stored(nodes.join(up, same("tree_id", "t", "parent_id", "p"), "left").select("tree_id", "node_id", F.col("p").alias("above"), "score"), "reply-ways")
+    n, levels, rooted = state.count(), [state.filter("above is not null")], state.filter("above is null")
+    while 2 ** (len(levels) - 1) <= n and not levels[-1].isEmpty():
+        known = levels[-1].unionByName(rooted).select(F.col("tree_id").alias("t"), F.col("node_id").alias("p"), F.col("above").alias("higher"), F.col("score").alias("more"))
+        went = levels[-1].join(known, same("tree_id", "t", "above", "p")).select("tree_id", "node_id", F.col("higher").alias("above"), (F.col("score") + F.col("more")).alias("score"))
+        went = stored(went, "reply-ways")
+        levels.append(went.filter("above is not null"))
+        rooted = rooted.unionByName(went.filter("above is null"))
+    answered = levels[0].select(F.col("tree_id").alias("t"), F.col("above").alias("p")).distinct()
+    leaves = rooted.join(answered, same("tree_id", "t", "node_id", "p"), "left_anti")
+    return levels, leaves.select("tree_id", F.col("node_id").alias("leaf_id"), "score")
 
 
 def path_nodes(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:
@@ -87,7 +82,7 @@ def path_nodes(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """
     marked = leaves.select("tree_id", "leaf_id", F.col("leaf_id").alias("node_id"), F.lit(0).cast("long").alias("up"))
     for k in reversed(range(len(levels))):
-        jump = levels[k].filter("above is not null").select(F.col("tree_id").alias("t"), F.col("node_id").alias("p"), "above")
+        jump = levels[k].select(F.col("tree_id").alias("t"), F.col("node_id").alias("p"), "above")
         marked = marked.unionByName(marked.join(jump, same("tree_id", "t", "node_id", "p")).select("tree_id", "leaf_id", F.col("above").alias("node_id"), (F.col("up") + 2 ** k).alias("up")))
         marked = stored(marked, "reply-marks") if k % 3 == 0 else marked
     return marked
