@@ -274,9 +274,9 @@ def j22(t):
 
 
 @query("j23_device_masks", sql("""
-SELECT s.ts, u.inverter_id, s.poa > 400 AS candidate, s.poa > 400 AND d.value IS NOT NULL AS eligible FROM (SELECT * FROM site5 WHERE minute(ts) = 0) s,
+SELECT s.ts, u.inverter_id, s.poa > 400 AS candidate, s.poa > 400 AND d.value IS NOT NULL AS eligible FROM site5 s,
   (SELECT 'inv_' || lpad(CAST(g AS VARCHAR), 2, '0') AS inverter_id FROM range(1, 25) AS r(g)) u LEFT JOIN devh d ON d.ts = s.ts AND d.inverter_id = u.inverter_id
 """, "site5", "devh"))
 def j23(t):
-    mask = site5(t).where(F.minute("ts") == 0).select("ts", (F.col("poa") > 400).alias("candidate"))
+    mask = site5(t).select("ts", (F.col("poa") > 400).alias("candidate"))
     return fl.device_masks(mask, devh(t), UNITS, "candidate", "value")

@@ -137,10 +137,10 @@ def q09(t):
 @query("q10_availability_crosstab", sql(f"""
 SELECT r.inverter_id, {", ".join(f"count(*) FILTER (event_type = '{r}') AS {r}" for r in ROSTER)}
 FROM (SELECT 'inv_' || lpad(CAST(g AS VARCHAR), 2, '0') AS inverter_id FROM range(1, 25) AS x(g)) r
-LEFT JOIN (SELECT * FROM ev WHERE k > 90) e ON r.inverter_id = e.inverter_id GROUP BY 1
+LEFT JOIN ev e ON r.inverter_id = e.inverter_id GROUP BY 1
 """, "ev"), i=" ".join(ROSTER))
 def q10(t):
-    return au.availability_crosstab(ev(t).where("k > 90"), UNITS, "inverter_id", "event_type", ROSTER)
+    return au.availability_crosstab(ev(t), UNITS, "inverter_id", "event_type", ROSTER)
 
 
 @query("q11_dtype_report", sql("""

@@ -37,9 +37,10 @@ def baseline_rows(t):
 
 
 def readings(t):
-    """Per-unit hourly DC and AC; the unit 'view' has no voltage channel."""
-    rows = fleeth(t).where("k <> 33").withColumn("voltage", F.when(F.col("inverter_id") != "view", 520 + F.col("k") * 2))
-    rows = rows.withColumn("current", 4 + F.sqrt("value") / 3)
+    """Per-unit hourly DC and AC; the unit 'view' has no voltage channel, and readings are missing where k is 33."""
+    here = F.coalesce(F.col("k") != 33, F.lit(False))
+    rows = fleeth(t).withColumn("voltage", F.when(here & (F.col("inverter_id") != "view"), 520 + F.col("k") * 2))
+    rows = rows.withColumn("current", F.when(here, 4 + F.sqrt("value") / 3))
     return rows.select("ts", "inverter_id", "voltage", "current", (F.col("voltage") * F.col("current")).alias("power"),
                        (600 * F.col("current") + F.col("k")).alias("ac"))
 
@@ -50,7 +51,7 @@ def features(t):
 
 _view("base", """SELECT ts, poa, 640.0 AS ev_, 2 + poa / 100 AS ei_, 640.0 * (2 + poa / 100) AS ep_, n > 6 AS inputs, n > 7 AS computed, v > 60 AS eqc, v < 30 AS iqc FROM (
   SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ts, avg(k) * 10 AS poa, count(*) AS n, avg(value) AS v FROM ev GROUP BY 1)""", ("ev",))
-_view("reads", """SELECT ts, inverter_id, v, i, v * i AS p, 600 * i + k AS ac FROM (SELECT ts, inverter_id, k, CASE WHEN inverter_id <> 'view' THEN 520 + k * 2 END AS v, 4 + sqrt(value) / 3 AS i FROM fleeth WHERE k <> 33)""", ("fleeth",))
+_view("reads", """SELECT ts, inverter_id, v, i, v * i AS p, 600 * i + k AS ac FROM (SELECT ts, inverter_id, k, CASE WHEN inverter_id <> 'view' AND k <> 33 THEN 520 + k * 2 END AS v, CASE WHEN k <> 33 THEN 4 + sqrt(value) / 3 END AS i FROM fleeth)""", ("fleeth",))
 _view("feat", """WITH m AS (SELECT ts, median(i) AS mi, median(ac) AS mac FROM reads GROUP BY 1),
   g AS (SELECT b.ts, count(v) = 4 AS fv, count(i) = 5 AS fi, count(ac) = 5 AS fa, median(v) AS v_med, median(i) AS i_med, median(p) AS p_med, median(ac) AS ac_med, median(v / ev_) AS v_r, median(i / ei_) AS i_r,
     median(p / ep_) AS p_r, max(abs(v / ev_ - 1)) AS v_dev, max(abs(i - mi) / mi) AS i_dev, max(abs(ac - mac) / mac) AS ac_dev, min(ac) AS ac_min, max(ac) AS ac_max, max(CASE WHEN v IS NOT NULL THEN ac / p END) AS acdc
@@ -258,7 +259,7 @@ def d09b(t):
 
 @query("d10_weather_matched_years", sql("""
 WITH b AS (SELECT flag AS unit, year(ts) AS year, month(ts) AS month, floor(poa / 300) AS poa_bin, floor(ambient / 25) AS ambient_bin, count(r) AS n, median(r) AS mid FROM (
-  SELECT *, (ambient + 10) / (poa / 10) AS r FROM wx WHERE poa > 50) GROUP BY 1, 2, 3, 4, 5),
+  SELECT *, CASE WHEN poa > 50 THEN (ambient + 10) / (poa / 10) END AS r FROM wx) GROUP BY 1, 2, 3, 4, 5),
 p AS (SELECT b.unit, b.year, b.mid, c.mid AS mid_r, least(b.n, c.n) AS w FROM b JOIN b c ON b.unit = c.unit AND b.month = c.month AND b.poa_bin = c.poa_bin AND b.ambient_bin = c.ambient_bin
   WHERE c.year = 1998 AND b.year <> 1998 AND b.n >= 20 AND c.n >= 20),
 s AS (SELECT unit, year, count(*) AS shared_bins, sum(w) AS balanced_weight, sum(mid * w) / sum(w) AS ratio_year, sum(mid_r * w) / sum(w) AS ratio_reference FROM p GROUP BY 1, 2)
@@ -266,9 +267,9 @@ SELECT k.unit, k.year, coalesce(shared_bins, 0) AS shared_bins, coalesce(balance
 FROM (SELECT DISTINCT unit, year FROM b WHERE year <> 1998) k LEFT JOIN s ON s.unit = k.unit AND s.year = k.year
 """, "wx"), d="ratio_year ratio_reference", i="year shared_bins balanced_weight", covers=("D10", "J18"))
 def d10(t):
-    rows = wx(t).where("poa > 50").select(F.col("flag").alias("unit"), F.year("ts").alias("year"), F.month("ts").alias("month"),
+    rows = wx(t).select(F.col("flag").alias("unit"), F.year("ts").alias("year"), F.month("ts").alias("month"),
                                           F.floor(F.col("poa") / 300).alias("poa_bin"), F.floor(F.col("ambient") / 25).alias("ambient_bin"),
-                                          ((F.col("ambient") + 10) / (F.col("poa") / 10)).alias("r"))
+                                          F.when(F.col("poa") > 50, (F.col("ambient") + 10) / (F.col("poa") / 10)).alias("r"))
     return sc.weather_matched_years(rows, "unit", "r", ["month", "poa_bin", "ambient_bin"], 1998)
 
 

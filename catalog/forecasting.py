@@ -14,6 +14,7 @@ from sunward.operators import profiles as pf
 from .physics import SITE, geometry_view, labelled
 from .profiles import MODELS, predictions, score_sql
 from .registry import query
+from .sources import scratch
 from .views import _view, env15, site5, sql, stamped, slots15
 
 _view("edges", """SELECT a AS "start", to_timestamp(ceil((epoch(a) + (epoch(z) - epoch(a)) * 0.7) / 300) * 300)::TIMESTAMP AS vstart,
@@ -215,8 +216,9 @@ PLAN = [("ridge", {"alpha": 0.1}), ("ridge", {"alpha": 1000.0}), ("forest", {"tr
 def m13(t):
     rows = training_table(t)
     train = F.col("split") == "training"
-    half = F.dayofmonth("ts")
-    folds = [("1", train & (half <= 8), train & half.between(9, 12)), ("2", train & (half <= 12), train & half.between(13, 16))]
+    blocks = ft.training_blocks(edges(t)).orderBy("block").collect()  # three cutoffs
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    folds = [(str(b.block), train & (F.col("target_ts") < at(b.cutoff)), train & (F.col("target_ts") >= at(b.cutoff)) & (F.col("target_ts") < at(b.block_end))) for b in blocks]
     ledger = ml.select_models(rows, COLS, "target", "ac_kw_lag0", folds, PLAN, lambda c: mk.constrained(c, "wind", F.lit(1.0)))
     return pf.pooled_folds(ledger, ["family", "config"])
 
@@ -252,8 +254,7 @@ def m15(t):
 def _ledger(t, label="target"):
     rows = training_table(t).withColumn("day", F.hour("target_ts").between(6, 19))
     train, valid = rows.where("split = 'training' and target is not null"), rows.where("split = 'validation' and target is not null")
-    plan = [("ridge_00", "ridge", {"alpha": 0.1}), ("ridge_01", "ridge", {"alpha": 100.0}), ("forest_00", "forest", {"trees": 5, "depth": 4}),
-            ("broken_00", "unknown", {})]
+    plan = ml.planned(ml.search_plan(t.spark).where("family = 'ridge'")) + [("forest_00", "forest", {"trees": 5, "depth": 4}), ("broken_00", "unknown", {})]
     return ml.run_search(train, valid, COLS, label, plan, "target", "day")
 
 
@@ -293,6 +294,17 @@ def m19(t):
     return scored.agg(p.count().alias("n"), p.mae().alias("mae"), p.rmse().alias("rmse"), p.mbe().alias("bias"))
 
 
+@query("m23_stored_model")
+def m23(t):
+    """Fit on the training split, store, load what was stored, and score the testing split with it."""
+    rows = training_table(t)
+    path = scratch(t.spark, "forecast-model")
+    ml.fit_model(rows.where("split = 'training'"), COLS, "target", "ridge", {"alpha": 10.0}).save(path)
+    scored = ml.load_model(t.spark, path).predict(rows.where("split = 'testing'"), "prediction").withColumn("persistence", F.col("ac_kw_lag0"))
+    scored = scored.withColumn("day", F.hour("target_ts").between(6, 19))
+    return pf.model_scores(scored, "target", ("prediction", "persistence"), "day")
+
+
 IMPR = """count(*) AS samples, count(DISTINCT CAST(target_ts AS DATE)) AS dates, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(e) AS bias,
   100 * (avg(abs(r)) - avg(abs(e))) / nullif(avg(abs(r)), 0) AS mae_improvement_pct, 100 * (sqrt(avg(r * r)) - sqrt(avg(e * e))) / nullif(sqrt(avg(r * r)), 0) AS rmse_improvement_pct"""
 SLICES = {"all_daytime": "true", "rapid_change": "abs(actual - persistence) >= 30", "target_recorded_zero": "actual = 0", "target_generating": "actual > 0",
@@ -312,7 +324,7 @@ def boot_sql(pairs, draws=2000, seed=17):
     return f"""w AS (SELECT {g}, date_trunc('week', target_ts) AS week, count(*) AS n, sum(abs(e)) AS a, sum(abs(r)) AS p, sum(e * e) AS s, sum(r * r) AS ps FROM ({long}) GROUP BY ALL),
 i AS (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY week) - 1 AS i, count(*) OVER (PARTITION BY {g}) AS b FROM w),
 k AS (SELECT DISTINCT {g}, b FROM i),
-d AS (SELECT {g}, b, draw, CAST('0x' || substr(md5(draw || '|' || j || '|{seed}'), 1, 8) AS BIGINT) % b AS i FROM k, range({draws}) AS x(draw), range(100) AS y(j) WHERE j < b),
+d AS (SELECT {g}, b, draw, CAST('0x' || substr(md5(draw || '|' || j || '|{seed}'), 1, 8) AS BIGINT) % b AS i FROM k, range({draws}) AS x(draw), range((SELECT max(b) FROM k)) AS y(j) WHERE j < b),
 t AS (SELECT split, model, reference, draw, max(d.b) AS b, sum(n) AS n, sum(a) AS a, sum(p) AS p, sum(s) AS s, sum(ps) AS ps FROM d JOIN i USING ({g}, i) GROUP BY 1, 2, 3, 4),
 v AS (SELECT *, (p - a) / n AS x, 100 * (p - a) / p AS y, 100 * (sqrt(ps / n) - sqrt(s / n)) / sqrt(ps / n) AS z FROM t),
 boot AS (SELECT {g}, max(b) AS blocks, quantile_cont(x, 0.025) AS mae_saving_lower, quantile_cont(x, 0.975) AS mae_saving_upper, quantile_cont(y, 0.025) AS mae_improvement_lower,

@@ -334,11 +334,11 @@ def x16(t):
 
 
 _view("fc", """SELECT s.ts AS origin, s.ts + INTERVAL 15 MINUTE AS target_ts, s.poa AS forecast_poa, CASE WHEN s.n <> 3 THEN s.power / 5 END AS forecast_ambient,
-  s.power / 10 - 0.2 AS forecast_wind FROM site5 s WHERE s.power < 300""", ("site5",))
+  s.power / 10 - 0.2 AS forecast_wind FROM site5 s""", ("site5",))
 
 
 def forecasts(t):
-    return site5(t).where("power < 300").select(
+    return site5(t).select(
         F.col("ts").alias("origin"), clock.shift("ts", 15).alias("target_ts"), F.col("poa").alias("forecast_poa"),
         F.when(F.col("n") != 3, F.col("power") / 5).alias("forecast_ambient"), (F.col("power") / 10 - 0.2).alias("forecast_wind"))
 

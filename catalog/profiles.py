@@ -404,7 +404,7 @@ def score_sql(model, where="true"):
 SC = "day_mae day_rmse day_bias day_r2 all_mae all_rmse all_bias all_r2"
 
 
-@query("a31_model_scores", sql(" UNION ALL ".join(score_sql(m) for m in MODELS), "preds"), d=SC, i="day_n all_n", covers=("A31", "M23"))
+@query("a31_model_scores", sql(" UNION ALL ".join(score_sql(m) for m in MODELS), "preds"), d=SC, i="day_n all_n")
 def a31(t):
     return pf.model_scores(predictions(t), "actual", MODELS, "day", ["split"])
 

@@ -22,10 +22,10 @@ def ledger(t):
         "qc_zero": ((F.col("k") == 0) & F.hour("ts").between(10, 15), "daytime zero")})
 
 
-@query("c01_arrange_channels", sql("SELECT inverter_id AS unit, ts AS measured_on, count(*) AS n, CAST(NULL AS DOUBLE) AS dc_voltage FROM ev WHERE k > 97 GROUP BY 1, 2", "ev"),
+@query("c01_arrange_channels", sql("SELECT inverter_id AS unit, ts AS measured_on, count(*) AS n, CAST(NULL AS DOUBLE) AS dc_voltage FROM ev GROUP BY 1, 2", "ev"),
        d="dc_voltage", i="n")
 def c01(t):
-    rows = ev(t).where("k > 97").groupBy("inverter_id", "ts").agg(F.count("*").alias("n"))
+    rows = ev(t).groupBy("inverter_id", "ts").agg(F.count("*").alias("n"))
     return qc.arrange_channels(rows, {"inverter_id": "unit", "ts": "measured_on"}, ["dc_voltage"],
                                ["unit", "measured_on", "n", "dc_voltage"])
 

@@ -3,7 +3,8 @@
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressionModel,
+                                   RandomForestRegressor)
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.errors import Pair
@@ -111,6 +112,25 @@ class Fitted:
         return scored.select(*names, F.col("prediction").alias(out))
 
 
+    def save(self, path: str) -> None:
+        """Model, medians and scales below ``path``, a folder that all executors share."""
+        self.model.write().overwrite().save(f"{path}/model")
+        self.preprocessor.medians.write.mode("overwrite").parquet(f"{path}/medians")
+        self.preprocessor.scales.write.mode("overwrite").parquet(f"{path}/scales")
+        about = [(self.family, list(self.preprocessor.columns), list(self.preprocessor.outputs))]
+        spark = self.preprocessor.medians.sparkSession
+        spark.createDataFrame(about, "family string, columns array<string>, outputs array<string>").write.mode("overwrite").parquet(f"{path}/about")
+
+
+def load_model(spark, path: str) -> Fitted:
+    """What :meth:`Fitted.save` has stored."""
+    about = spark.read.parquet(f"{path}/about").first()
+    kind = {"ridge": LinearRegressionModel, "forest": RandomForestRegressionModel}.get(about.family, GBTRegressionModel)
+    rows = {name: _frozen(spark.read.parquet(f"{path}/{name}")) for name in ("medians", "scales")}
+    pre = Preprocessor(tuple(about.columns), rows["medians"], rows["scales"], outputs=tuple(about.outputs))
+    return Fitted(about.family, pre, kind.load(f"{path}/model"))
+
+
 def fit_model(train: DataFrame, columns, label: str, family: str, config: dict, pre: Preprocessor | None = None) -> Fitted:
     """Fit one family on rows whose label is known."""
     train = train.where(F.col(label).isNotNull())
@@ -167,12 +187,12 @@ def forecast_block(df: DataFrame, columns, label: str, family: str, config: dict
 RIDGE_ALPHAS = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
 SPACES = {
     "forest": {"depth": [6, 12, 18], "leaf": [5, 10, 20], "subset": ["0.5", "1.0"]},
-    "histogram": {"rate": [0.03, 0.05, 0.1], "steps": [100, 200, 300], "leaves": [7, 15, 31], "leaf": [20, 50]},
+    "histogram": {"rate": [0.03, 0.05, 0.1], "steps": [100, 200, 300], "leaf": [20, 50]},
     "boosted": {"rate": [0.03, 0.05, 0.1], "steps": [100, 200, 300], "depth": [3, 5, 7], "leaf": [1, 5, 10]},
 }
 BASELINES = {
     "forest": {"depth": 12, "leaf": 5, "subset": "1.0"},
-    "histogram": {"rate": 0.05, "steps": 200, "leaves": 15, "leaf": 20},
+    "histogram": {"rate": 0.05, "steps": 200, "leaf": 20},
     "boosted": {"rate": 0.05, "steps": 200, "depth": 5, "leaf": 1},
 }
 
@@ -196,6 +216,20 @@ def search_plan(spark, seed: int = SEED, sampled: int = 11) -> DataFrame:
     return out
 
 
+def planned(plan: DataFrame) -> list:
+    """A plan's candidates as ``(id, family, settings)``, baselines first in each family.
+
+    A plan is a short list by construction, so its rows are read.
+    """
+    out, numbers = [], {}
+    for row in plan.orderBy("family", F.desc("baseline"), "config").collect():
+        settings = dict(part.split("=") for part in row.config.split("|"))
+        settings = {k: v if k == "subset" else float(v) if k in ("alpha", "rate") else int(v) for k, v in settings.items()}
+        numbers[row.family] = numbers.get(row.family, -1) + 1
+        out.append((f"{row.family}_{numbers[row.family]:02d}", row.family, settings))
+    return out
+
+
 def run_search(train: DataFrame, valid: DataFrame, columns, label: str, plan, actual: str, day: str, compose=None):
     """Fit every planned candidate once; failures stay in the ledger with their message.
 
@@ -213,7 +247,7 @@ def run_search(train: DataFrame, valid: DataFrame, columns, label: str, plan, ac
             row.update(scored.agg(light.count().alias("day_n"), light.mae().alias("day_mae"), light.rmse().alias("day_rmse"),
                                   every.mae().alias("all_mae")).first().asDict())
         except Exception as problem:  # a failed trial is a result
-            row.update(status="failed", message=str(problem)[:200])
+            row.update(status="failed", message=str(problem))
         rows.append(row)
     names = ("id", "family", "config", "rank", "status", "message", "day_n", "day_mae", "day_rmse", "all_mae")
     schema = ("id string, family string, config string, rank long, status string, message string, day_n long, "

@@ -316,3 +316,30 @@ def test_basis_check(spark):
         timeline.check_timestamp_basis(df, "ts", "aware")
     with pytest.raises(ValueError):
         SystemConfig(modules_per_string=0)
+
+
+def test_stored_models_predict_as_before(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(float(x), float(z) if z > 0.2 else None, float(3 * x - z)) for x, z in rng.random((200, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    for family, config in (("ridge", {"alpha": 1.0}), ("forest", {"trees": 3, "depth": 3}), ("histogram", {"steps": 3, "depth": 2})):
+        fitted = learners.fit_model(df, ["a", "b"], "y", family, config)
+        fitted.save(str(tmp_path / family))
+        again = learners.load_model(spark, str(tmp_path / family))
+        assert again.predict(df, "p").select("p").collect() == fitted.predict(df, "p").select("p").collect()
+
+
+def test_trees_split_a_step_where_it_is(spark):
+    df = spark.createDataFrame([(float(i), 1.0 if i < 30 else 5.0) for i in range(60)], "x double, y double")
+    for family, config in (("forest", {"trees": 1, "depth": 2, "leaf": 1}), ("boosted", {"steps": 1, "depth": 2, "leaf": 1})):
+        got = learners.fit_model(df, ["x"], "y", family, config).predict(df, "p").groupBy("y").agg(F.avg("p").alias("p"), F.stddev_pop("p").alias("s")).orderBy("y").collect()
+        assert all(abs(r.p - r.y) < 0.5 and r.s < 0.5 for r in got)
+
+
+def test_a_plan_is_what_a_search_runs(spark):
+    plan = learners.planned(learners.search_plan(spark))
+    assert len({i for i, _, _ in plan}) == len(plan) == 7 + 3 * 12
+    assert ("forest_00", "forest", {"depth": 12, "leaf": 5, "subset": "1.0"}) in plan and all("leaves" not in c for _, _, c in plan)
+    df = spark.createDataFrame([(float(i), float(2 * i), i % 2 == 0) for i in range(40)], "x double, y double, day boolean")
+    ledger = learners.run_search(df, df, ["x"], "y", [p for p in plan if p[1] == "ridge"], "y", "day")
+    assert ledger.where("status = 'complete'").count() == 7
