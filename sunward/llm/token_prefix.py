@@ -13,6 +13,8 @@ independent segments, and the prefix counts of a segment are remembered (up to a
 """
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +23,33 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import arrow_pass
 
 BLANK = "▁"
+#: Characters between remembered heads of segments, and how many such steps the longest head has.
+HEAD, LONGEST_HEAD = 3, 8
+
+
+class Remembered(dict):
+    """A function's results in two generations: when the young one is full it becomes the old one.
+
+    What is asked for again stays, and memory is bounded by twice ``bound`` entries.
+    """
+
+    def __init__(self, function, bound: int):
+        self.function, self.bound, self.old = function, bound, {}
+
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.function(key)
+        if len(self) >= self.bound:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class PrefixCounter:
     """Prefix counts under one sentencepiece BPE model with an identity normaliser."""
 
-    SEGMENTS, PAIRS, REMEMBERED_CHARS = 300_000, 300_000, 48
-
     def __init__(self, model_file: str):
         import sentencepiece
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -35,7 +57,8 @@ class PrefixCounter:
             raise ValueError("the prefix counts need a model that only escapes blanks")
         n = self.library.get_piece_size()
         ordinary = [i for i in range(n) if not (self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_byte(i) or self.library.is_unused(i))]
-        self.pieces = {self.library.id_to_piece(i) for i in ordinary}
+        self.names = [self.library.id_to_piece(i) for i in range(n)]
+        self.pieces = {self.names[i]: i for i in ordinary}
         self.longest = max(map(len, self.pieces))
         inner = [p for p in self.pieces if BLANK in p[1:] and p.strip(BLANK)]
         if inner:
@@ -49,46 +72,43 @@ class PrefixCounter:
         signs = "".join(re.escape(c) for c in map(chr, range(33, 127)) if not re.match(r"\w", c) and c not in after)
         ended = f"{BLANK}*\\w+(?=[{signs}])|" if signs else ""
         self.cut = re.compile(f"{ended}{BLANK}+[^{BLANK}{apart}]*|{lone}|[^{BLANK}{apart}]+")
-        self.segments: dict[str, bytes] = {}
-        self.pairs: dict[tuple, bool] = {}
+        self.totals = Remembered(lambda s: self.segment(s)[-1], 400_000)
+        self.heads = Remembered(lambda s: self.walked(s), 60_000)
+        self.pairs = Remembered(lambda pair: self.apart(self.names[pair // n], self.names[pair % n]), 400_000)
 
-    def agrees(self, left: str, right: str) -> bool:
+    def apart(self, left: str, right: str) -> bool:
         """Whether two tokens stay apart when their concatenation is encoded."""
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) > self.PAIRS:
-                self.pairs.clear()
-            # the line feed has no piece, so nothing merges with what the library puts in front
-            got = self.library.encode("\n" + left + right, out_type=str)[2:]
-            known = self.pairs[key] = got == [left, right]
-        return known
-
-    def segment(self, s: str):
-        """Counts at every prefix of a segment, the empty one first."""
-        known = self.segments.get(s)
-        if known is not None:
-            return known
-        pieces, longest, agrees = self.pieces, self.longest, self.agrees
+        # the line feed has no piece, so nothing merges with what the library puts in front
+        return self.library.encode("\n" + left + right, out_type=str)[2:] == [left, right]
+
+    def walked(self, s: str) -> tuple[list[int], list[int | None]]:
+        """Count and last token (its id) at every prefix of a segment, the empty one first.
+
+        They depend on nothing behind the prefix, so a segment goes on from where the remembered
+        head of its first characters, HEAD by HEAD, has come to.
+        """
+        pieces, longest, pairs, n = self.pieces, self.longest, self.pairs, len(self.names)
         count, last = [0], [None]
-        for i in range(1, len(s) + 1):
+        head = min((len(s) - 1) // HEAD, LONGEST_HEAD) * HEAD
+        if head:
+            count, last = (known.copy() for known in self.heads[s[:head]])
+        for i in range(head + 1, len(s) + 1):
             for j in range(max(0, i - longest), i):
-                token = s[j:i]
-                if token in pieces:
+                token = pieces.get(s[j:i])
+                if token is not None:
                     before = last[j]
-                    if before is None or agrees(before, token):
+                    if before is None or pairs[before * n + token]:
                         count.append(count[j] + 1)
                         last.append(token)
                         break
             else:  # no piece ends here: the character falls back to its bytes, and nothing merges with it
                 count.append(count[i - 1] + len(s[i - 1].encode("utf-8", "surrogatepass")))
                 last.append(None)
-        if len(s) > self.REMEMBERED_CHARS:
-            return count
-        if len(self.segments) > self.SEGMENTS:
-            self.segments.clear()
-        out = self.segments[s] = bytes(count)  # at most four tokens a character
-        return out
+        return count, last
+
+    def segment(self, s: str) -> list[int]:
+        """Token counts at every prefix of a segment, the empty one first."""
+        return self.walked(s)[0]
 
     def cuts(self, text: str) -> list[str]:
         """Segments of a text; the first starts with the blank the library puts in front."""
@@ -105,20 +125,17 @@ class PrefixCounter:
         out[0] = 0  # the library gives an empty text no tokens, not even the blank
         return out
 
-    def total(self, text: str) -> int:
-        segment = self.segment
-        return sum(segment(s)[-1] for s in self.cuts(text))
-
     def fits(self, text: str, budget: int) -> tuple[int, int]:
         """Tokens of the text, and the length of its longest prefix of at most ``budget``."""
-        total, at, fit, segment = 0, -1, None, self.segment
-        for s in self.cuts(text):
-            own = segment(s)
-            if fit is None and total + own[-1] > budget:
-                fit = at + max(k for k in range(len(own)) if total + own[k] <= budget)
-            total += own[-1]
-            at += len(s)
-        return total, len(text) if fit is None else max(fit, 0)
+        cuts = self.cuts(text)
+        reached = list(accumulate(map(self.totals.__getitem__, cuts), initial=0))
+        if reached[-1] <= budget:
+            return reached[-1], len(text)
+        # a whole segment never has fewer tokens than none of it, so the prefix ends in the first that goes over
+        k = bisect_right(reached, budget) - 1
+        own = self.segment(cuts[k])
+        inside = max(i for i, n in enumerate(own) if reached[k] + n <= budget)
+        return reached[-1], max(0, sum(map(len, cuts[:k])) + inside - 1)
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
