@@ -31,11 +31,6 @@ def floor_to(ts, minutes: int) -> Column:
     return from_seconds((F.floor(seconds(ts) / step) * step).cast("long"))
 
 
-def ceil_to(ts, minutes: int) -> Column:
-    step = minutes * 60
-    return from_seconds((F.ceil(seconds(ts) / step) * step).cast("long"))
-
-
 def shift(ts, minutes) -> Column:
     """``ts`` moved by a signed number of minutes (int or Column)."""
     c = F.col(ts) if isinstance(ts, str) else ts

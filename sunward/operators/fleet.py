@@ -106,8 +106,3 @@ def device_masks(mask: DataFrame, readings: DataFrame, roster, candidate: str, v
     finite_now = readings.select(ts, unit, is_finite(value).alias("__ok"))
     out = rows.join(finite_now, [ts, unit], "left")
     return out.withColumn("eligible", F.col(candidate) & F.coalesce("__ok", F.lit(False))).drop("__ok")
-
-
-def fleet_condition(conditions, keys=("ts",)):
-    """Conjunction of row conditions where unknown counts as failed."""
-    return holds(all_of(conditions))

@@ -235,7 +235,3 @@ def correction_scale(train: DataFrame, label: str = "correction_kw") -> DataFram
 
 def final_power(physics, normalised, scale) -> Column:
     return F.col(physics) + F.col(normalised) * F.col(scale)
-
-
-def geometry_ready(df: DataFrame) -> Column:
-    return F.col("diagnostic_clock_valid") & F.col("solar_phase").isNotNull()

@@ -139,7 +139,15 @@ def value_code(v: Column) -> Column:
     step = F.lit(2.0 ** 52)
     normal = (e + 1023).cast("long") * F.lit(2 ** 52) + ((m - 1) * step).cast("long")
     code = F.when(a < F.lit(2.0 ** -1022), (a / F.lit(5e-324)).cast("long")).otherwise(normal)
-    return F.when(v > 0, code).when(v < 0, -code).otherwise(F.lit(0).cast("long"))
+    return F.when(v > 0, code).when(v < 0, -code).when(v == 0, F.lit(0).cast("long"))
+
+
+def code_value(code: Column) -> Column:
+    """The double of a code."""
+    a = F.abs(code)
+    high, low = F.shiftright(a, 52), a.bitwiseAND(F.lit(2 ** 52 - 1)).cast("double")
+    normal = (low / F.lit(2.0 ** 52) + 1) * F.pow(F.lit(2.0), (high - 1023).cast("double"))
+    return F.when(high > 0, normal).otherwise(low * F.lit(5e-324)) * F.when(code < 0, -1.0).otherwise(1.0)
 
 
 def value_bucket(code: Column) -> Column:
@@ -166,7 +174,7 @@ def stacked(df: DataFrame, keep, columns: dict, tag: str, value: str) -> DataFra
 BROADCAST_ASKS = 50_000
 
 
-def exact_quantiles(df: DataFrame, keys, wanted: dict) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys, wanted: dict, coded: bool = False) -> DataFrame:
     """Exact linearly interpolated quantiles per key, for groups of any size.
 
     ``wanted`` maps output name -> (column, probability); NULL, NaN and infinite values are
@@ -177,11 +185,13 @@ def exact_quantiles(df: DataFrame, keys, wanted: dict) -> DataFrame:
     The rank requests (a few per key) are counted: up to ``BROADCAST_ASKS``
     they are broadcast, so the data are filtered in place; a longer list is
     joined by shuffle. Groups without any value are absent from the result.
+    With ``coded`` the columns hold codes already (:func:`value_code` of finite values), so a
+    caller that repeats its rows works them out once.
     """
     keys = list(keys)
     columns = sorted({c for c, _ in wanted.values()})
-    rows = stacked(df, keys, {i: finite(F.col(c).cast("double")) for i, c in enumerate(columns)}, "__m", "__v").where(F.col("__v").isNotNull())
-    rows = rows.withColumn("__k", value_code(F.col("__v"))).withColumn("__b", value_bucket(F.col("__k")))
+    codes = {i: F.col(c) if coded else value_code(finite(F.col(c).cast("double"))) for i, c in enumerate(columns)}
+    rows = stacked(df, keys, codes, "__m", "__k").where(F.col("__k").isNotNull()).withColumn("__b", value_bucket(F.col("__k")))
     group = keys + ["__m"]
     histogram = rows.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__c"))
     w = W.partitionBy(*group).orderBy("__b")
@@ -204,8 +214,8 @@ def exact_quantiles(df: DataFrame, keys, wanted: dict) -> DataFrame:
         needed = F.broadcast(df.sparkSession.createDataFrame(few, needed.schema))
     found = join_null_safe(rows, needed, group + ["__b"], "inner")
     counts = found.groupBy(*group, "__b", "__k").agg(
-        F.count(F.lit(1)).alias("__c"), F.first("__v").alias("__v"), F.first("__lo").alias("__lo"), F.first("__asks").alias("__asks"))
-    counts = counts.withColumn("__i", _inside(F.col("__k"), F.col("__b")))
+        F.count(F.lit(1)).alias("__c"), F.first("__lo").alias("__lo"), F.first("__asks").alias("__asks"))
+    counts = counts.withColumn("__i", _inside(F.col("__k"), F.col("__b"))).withColumn("__v", code_value(F.col("__k")))
     counts = running_total(counts, group + ["__b"], "__i", "__c", "__in", _CODE_WIDTHS)
     counts = counts.withColumn("__from", F.col("__lo") + F.col("__in"))
     counts = counts.withColumn("__to", F.col("__from") + F.col("__c"))
@@ -222,9 +232,9 @@ def exact_quantiles(df: DataFrame, keys, wanted: dict) -> DataFrame:
         *[F.max(F.when(F.col("__name") == i, F.col("__q"))).alias(n) for i, n in enumerate(wanted)])
 
 
-def with_quantiles(grouped: DataFrame, df: DataFrame, keys, wanted: dict) -> DataFrame:
+def with_quantiles(grouped: DataFrame, df: DataFrame, keys, wanted: dict, coded: bool = False) -> DataFrame:
     """``grouped`` (one row per key) widened by :func:`exact_quantiles`."""
-    found = exact_quantiles(df, keys, wanted)
+    found = exact_quantiles(df, keys, wanted, coded)
     if not keys:
         return beside(grouped, found)
     return join_null_safe(grouped, found, list(keys))

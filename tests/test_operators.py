@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sunward.config import CandidateThresholds, InverterParameters, LossConfig, Site, SystemConfig
 from sunward.functions import clock, physics as ph, solar
 from sunward.functions.errors import Normalization, Pair
-from sunward.operators import align, evaluation, features, fleet, learners, masks, modelling, performance, profiles, quality, screening
+from sunward.operators import align, audit, evaluation, features, fleet, learners, masks, modelling, performance, profiles, quality, screening
 from sunward.operators import timeline, validation, windows
 
 Q = InverterParameters(27600.0, 28199.173828, 620.0, 90.0, -1.5e-6, 1e-5, 1e-3, -2e-4, 8.28)
@@ -343,3 +343,25 @@ def test_a_plan_is_what_a_search_runs(spark):
     df = spark.createDataFrame([(float(i), float(2 * i), i % 2 == 0) for i in range(40)], "x double, y double, day boolean")
     ledger = learners.run_search(df, df, ["x"], "y", [p for p in plan if p[1] == "ridge"], "y", "day")
     assert ledger.where("status = 'complete'").count() == 7
+
+
+def test_gates_refuse_what_they_are_for(spark):
+    keys = spark.createDataFrame([(1,), (2,)], "k int")
+    align.check_same_keys(keys, keys, ["k"])
+    with pytest.raises(ValueError):
+        align.check_same_keys(keys, keys.where("k = 1"), ["k"])
+    roster = spark.createDataFrame([("inv_01", 0, 0), ("inv_02", 1, 0)], "inverter string, duplicated int, missing int")
+    audit.check_roster(roster.where("duplicated = 0"))
+    with pytest.raises(ValueError):
+        audit.check_roster(roster)
+    final = spark.createDataFrame([(2.0, 1.0, 3.0)], "p double, c double, f double")
+    features.check_reconstruction(final, "p", "c", "f")
+    with pytest.raises(ValueError):
+        features.check_reconstruction(final.withColumn("f", F.lit(9.0)), "p", "c", "f")
+    profiles.check_predictions(final, ["p", "c"])
+    with pytest.raises(ValueError):
+        profiles.check_predictions(final.withColumn("p", F.lit(float("nan"))), ["p"])
+    weather = spark.createDataFrame([("2023-06-01 12:00:00", 500.0, 20.0, 2.0)], "ts string, poa double, ambient double, wind double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    quality.check_measurements(weather)
+    with pytest.raises(ValueError):
+        quality.check_measurements(weather.where("poa < 0"))

@@ -82,9 +82,9 @@ def test_value_codes_are_the_bits_of_doubles(spark):
     values = np.concatenate([edges, rng.integers(0, 2 ** 63 - 2 ** 53, 3000).view(np.float64), [0.0, 5e-324, 1.7976931348623157e308]])
     values = values[np.isfinite(values)]
     pdf = pd.DataFrame({"v": np.concatenate([values, -values])})
-    got = spark.createDataFrame(pdf).select("v", o.value_code(F.col("v")).alias("k")).toPandas()
+    got = spark.createDataFrame(pdf).select("v", o.value_code(F.col("v")).alias("k")).withColumn("w", o.code_value(F.col("k"))).toPandas()
     bits = np.abs(got.v.to_numpy()).view(np.int64)
-    assert (got.k.to_numpy() == np.where(got.v < 0, -bits, bits)).all()
+    assert (got.k.to_numpy() == np.where(got.v < 0, -bits, bits)).all() and (got.w == got.v).all()
 
 
 def test_quantiles_of_values_that_lie_together(spark, monkeypatch):
