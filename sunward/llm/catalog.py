@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat_trees, decontamination, jaccard_join, license_scan, line_rules, mixing, quality_classifier, sharding, token_prefix, url_templates
+from . import chat_trees, decontamination, jaccard_join, license_scan, line_rules, mixing, oracles, quality_classifier, sharding, token_prefix, url_templates
 from .shared import WORD, n_words, table
 
 SHARDS = 40
@@ -22,7 +22,7 @@ def op2_license_scan(spark, sf_dir):
 
 def op3_source_mix(spark, sf_dir):
     out = mixing.mix(table(spark, sf_dir, "documents"), n_words(F.col("text")))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
 
 
 def op4_slot_sharding(spark, sf_dir):
@@ -38,7 +38,7 @@ def op5_line_rules(spark, sf_dir):
 
 def op6_ngram_jaccard_join(spark, sf_dir):
     out = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("class").alias("set_class"))
+    return out.select("doc_id", "n_shingles", "component_id")
 
 
 def op7_url_templates(spark, sf_dir):
@@ -69,4 +69,5 @@ def op10_chat_formatting(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_source_mix, op4_slot_sharding, op5_line_rules, op6_ngram_jaccard_join, op7_url_templates, op8_token_counts, op9_benchmark_decontamination, op10_chat_formatting)}
 
-SQL = {}
+SQL = {"op2_license_scan": oracles.OP2, "op3_source_mix": oracles.OP3, "op5_line_rules": oracles.OP5, "op6_ngram_jaccard_join": oracles.OP6,
+       "op9_benchmark_decontamination": oracles.OP9, "op10_chat_formatting": oracles.OP10}

@@ -125,7 +125,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, share=20) -> DataFrame
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     windows, _ = item_windows(benchmark)
     spans = stored(occurrences(docs, prefixes(docs, windows)).distinct(), "bench-hits")
-    hits = hit_words(spans).select(F.col("doc_id").alias("hit_doc"), F.col("print").alias("hit_print"), "n_hit")
+    # stored, so that Spark knows its size when it chooses the join
+    hits = stored(hit_words(spans).select(F.col("doc_id").alias("hit_doc"), F.col("print").alias("hit_print"), "n_hit"), "bench-marked")
     marked = docs.withColumn("bench_print", fingerprint(F.col("text"))).withColumn("bench_words", F.size(words(F.col("text"))))
     on = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("bench_print") == F.col("hit_print")) & (F.col("n_hit") * share >= F.col("bench_words"))
     return marked.join(hits, on, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -11,37 +11,39 @@ the length filter (sizes within t), the positional filter (what is left behind t
 still reach the overlap) and, per pair, the suffix filter (a split of both remainders at a pivot
 bounds the overlap) before sets are compared.
 
-Copies of one text are thousands that all resemble each other. Their pairs are not listed: in
-rounds, every list links its members to one hub; then only members of lists that still hold
-several components are compared with each other, until all pairs across components are decided.
-So no link between components is lost, while pairs inside one need no comparison.
+Near copies of one text are thousands that all resemble each other. Where lists hold many more
+pairs than entries, pairs are not listed at first: in rounds, every list links its members to one
+hub. Then members of lists that still hold several components are compared with each other, so
+that every pair across components is decided. No link between components is lost, while pairs
+inside one need no comparison.
 """
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components, union
-from .shared import LOWER_BYTES, WordHashes, arrow_pass, gram_hashes, release, stored
+from .shared import WordHashes, arrow_pass, gram_sets, release, stored
 
 GRAM = 5
 #: Similarity as a fraction of integers: 75 of 100.
 OVER, UNDER = 75, 100
-#: Buckets of the sketch (4 bytes each, sent to every executor) and pieces in which tasks add them up.
-SKETCH_BITS, SKETCH_PIECES = 20, 64
+#: Buckets of the sketch (4 bytes each, sent to every executor), and bits of the two bitmaps of
+#: prefix grams (32 MB); tasks add both up in pieces. Their sizes are the same for any input.
+SKETCH_BITS, REPEAT_BITS, PIECES = 22, 27, 64
+#: Pairs across components, per entry of the lists, up to which all of them are decided at once.
+DENSE = 20
+#: Documents hashed at a time.
+BATCH = 512
 #: Bits of the bitmap that thins out the documents read again for their sets.
 SLOT_BITS = 23
 
 _WORDS = WordHashes()
 
 
-def gram_set(text: bytes | None, n=GRAM) -> np.ndarray:
-    """Distinct hashes of a text's word n-grams, ascending; A-Z are lower-cased."""
-    words = text.translate(LOWER_BYTES).split() if text else []
-    return np.unique(gram_hashes(_WORDS.of(words), n))
-
-
 def set_key(grams: np.ndarray) -> int:
     """A signed 64-bit digest of a set. Among a billion distinct sets two agree with a chance under 3 %."""
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
@@ -60,33 +62,80 @@ def rare_order(grams: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return grams[np.argsort(sketch[buckets(grams)], kind="stable")]
 
 
-def count_sketch(docs: DataFrame) -> np.ndarray:
-    """How many documents' grams fall into each bucket: 2^SKETCH_BITS counts, whatever the input."""
-    per = (1 << SKETCH_BITS) // SKETCH_PIECES
+def batches_of(column) -> list[list]:
+    texts = column.to_pylist()
+    return [texts[i:i + BATCH] for i in range(0, len(texts), BATCH)]
 
-    def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            met = [buckets(gram_set(text)) for text in batch.column(0).to_pylist()]
-            total += np.bincount(np.concatenate(met), minlength=len(total)) if met else 0
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PIECES), pa.int32()), pa.array([total[i * per:(i + 1) * per].tobytes() for i in range(SKETCH_PIECES)], pa.binary())], ["piece", "counts"])
 
+def in_pieces(array: np.ndarray) -> pa.RecordBatch:
+    """A task's array as compressed pieces, to be added up piece by piece."""
+    per = len(array) // PIECES
+    packed = [zlib.compress(array[i * per:(i + 1) * per].tobytes(), 1) for i in range(PIECES)]
+    return pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(packed, pa.binary())], ["piece", "data"])
+
+
+def added_up(parts: DataFrame, kind, fold, finish, out_kind) -> dict[int, np.ndarray]:
+    """Pieces of all tasks, folded: an array of fixed size in all, which the driver receives."""
     def add(batches):
         held = {}
         for batch in batches:
-            for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = np.frombuffer(counts, np.int64)
-                held[piece] = held[piece] + own if piece in held else own
+            for piece, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held[piece] = fold(held.get(piece), np.frombuffer(zlib.decompress(data), kind))
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([c.tobytes() for c in held.values()], pa.binary())], ["piece", "counts"])
+            packed = [zlib.compress(finish(x).tobytes(), 1) for x in held.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(packed, pa.binary())], ["piece", "data"])
+
+    sums = arrow_pass(parts.repartition(PIECES, "piece"), add, "piece int, data binary").collect()
+    return {piece: np.frombuffer(zlib.decompress(data), out_kind) for piece, data in sums}
+
+
+def count_sketch(docs: DataFrame) -> np.ndarray:
+    """How many documents' grams fall into each bucket: 2^SKETCH_BITS counts, whatever the input."""
+    def count(batches):
+        total, some = np.zeros(1 << SKETCH_BITS, np.int64), False
+        for batch in batches:
+            for texts in batches_of(batch.column(0)):
+                met = np.concatenate(gram_sets(texts, _WORDS, GRAM))
+                total += np.bincount(buckets(met), minlength=len(total))
+                some = some or len(met) > 0
+        if some:
+            yield in_pieces(np.minimum(total, 65535).astype(np.uint16))
+
+    parts = arrow_pass(docs.select(F.col("text").cast("binary").alias("text")), count, "piece int, data binary")
+    pieces = added_up(parts, np.uint16, lambda held, x: x.astype(np.int64) if held is None else held + x, lambda x: np.minimum(x, 2 ** 31 - 1).astype(np.int32), np.int32)
+    none = np.zeros((1 << SKETCH_BITS) // PIECES, np.int32)
+    return np.concatenate([pieces.get(i, none) for i in range(PIECES)])
+
+
+def repeat_cells(tokens: np.ndarray) -> np.ndarray:
+    return (tokens.view(np.uint64) >> np.uint64(64 - REPEAT_BITS)).astype(np.int64)
+
+
+def repeated_cells(rows: DataFrame) -> np.ndarray:
+    """A bitmap of the cells that two or more prefix grams fall into.
 
-    parts = arrow_pass(docs.select(F.col("text").cast("binary").alias("text")), count, "piece int, counts binary")
-    sums = arrow_pass(parts.repartition(SKETCH_PIECES, "piece"), add, "piece int, counts binary")
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for piece, counts in sums.collect():  # 2^SKETCH_BITS numbers in all
-        out[piece * per:(piece + 1) * per] = np.frombuffer(counts, np.int64)
-    return np.minimum(out, 2 ** 31 - 1).astype(np.int32)
+    A gram alone in its cell is in no list of two, so it need not be shuffled; the bitmap lets
+    through every gram that is not alone, and by chance some that are.
+    """
+    def bits(cells):
+        out = np.zeros((1 << REPEAT_BITS) // 8, np.uint8)
+        np.add.at(out, cells >> 3, np.uint8(128) >> (cells & 7).astype(np.uint8))  # cells differ, so bits never carry
+        return out.reshape(PIECES, -1)
+
+    def mark(batches):
+        met = [repeat_cells(np.asarray(batch.column(0).flatten())).astype(np.uint32) for batch in batches]
+        if sum(map(len, met)):
+            cells, counts = np.unique(np.concatenate(met), return_counts=True)
+            yield in_pieces(np.stack([bits(cells), bits(cells[counts > 1])], axis=1).reshape(-1))
+
+    def fold(held, x):
+        once, twice = x.reshape(2, -1)
+        return (once, twice) if held is None else (held[0] | once, held[1] | twice | (held[0] & once))
+
+    parts = arrow_pass(rows.filter("prefix is not null").select("prefix"), mark, "piece int, data binary")
+    pieces = added_up(parts, np.uint8, fold, lambda x: x[1], np.uint8)
+    none = np.zeros((1 << REPEAT_BITS) // PIECES // 8, np.uint8)
+    return np.concatenate([pieces.get(i, none) for i in range(PIECES)])
 
 
 def with_prefixes(docs: DataFrame, sketch) -> DataFrame:
@@ -95,11 +144,11 @@ def with_prefixes(docs: DataFrame, sketch) -> DataFrame:
         counts = sketch.value
         for batch in batches:
             ns, keys, prefixes = [], [], []
-            for text in batch.column(1).to_pylist():
-                grams = gram_set(text)
-                ns.append(len(grams))
-                keys.append(set_key(grams) if len(grams) else None)
-                prefixes.append(rare_order(grams, counts)[:prefix_length(len(grams))].view(np.int64) if len(grams) else None)
+            for texts in batches_of(batch.column(1)):
+                for grams in gram_sets(texts, _WORDS, GRAM):
+                    ns.append(len(grams))
+                    keys.append(set_key(grams) if len(grams) else None)
+                    prefixes.append(rare_order(grams, counts)[:prefix_length(len(grams))].view(np.int64) if len(grams) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "class", "prefix"])
 
     return arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), scan, "doc_id long, n long, class long, prefix array<long>")
@@ -114,15 +163,28 @@ def reach(n, m, place, other):
     return (F.least(n, m) * UNDER >= F.greatest(n, m) * OVER) & (left * (OVER + UNDER) >= (n + m) * OVER)
 
 
-def entries(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def entries(rows: DataFrame) -> DataFrame:
     """Inverted lists of the prefix grams that at least two classes have: token, class, n, place.
 
-    ``classes`` names one row of ``rows`` for each class. Lists of one are found by a grouped
-    count and dropped before anything is paired.
+    Grams alone in their cell of the bitmap go first, without a shuffle; then a grouped minimum
+    and maximum of the classes, which copies of one text do not change, finds the lists of one.
     """
-    named = classes.select(F.col("class").alias("c"), "rep")
-    reps = rows.join(named, (F.col("class") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("class", "n", "prefix")
-    each = reps.select("class", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "token"))
+    sent = rows.sparkSession.sparkContext.broadcast(repeated_cells(rows))
+
+    def scan(batches):
+        bitmap = sent.value
+        for batch in batches:
+            prefix = batch.column(2)
+            tokens = np.asarray(prefix.flatten())
+            lengths = np.diff(np.asarray(prefix.offsets))
+            cells = repeat_cells(tokens)
+            keep = (bitmap[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
+            place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            owner = np.repeat(np.arange(len(lengths)), lengths)[keep]
+            ns, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(keys[owner]), pa.array(ns[owner].astype(np.int32)), pa.array(place[keep].astype(np.int32))], ["token", "class", "n", "place"])
+
+    each = arrow_pass(rows.filter("class is not null").select("n", "class", "prefix"), scan, "token long, class long, n int, place int")
     shared = each.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("token")
     return each.join(shared, "token").select("token", "class", "n", "place").distinct()
 
@@ -147,8 +209,8 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         held = sent.value
         for batch in batches:
             keys, ids, grams = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = gram_set(text)
+            sets = (own for texts in batches_of(batch.column(1)) for own in gram_sets(texts, _WORDS, GRAM))
+            for doc_id, own in zip(batch.column(0).to_pylist(), sets):
                 if len(own):
                     key = set_key(own)
                     at = (key ^ (-1 if doc_id is None else doc_id)) & mask
@@ -217,8 +279,9 @@ def cross_pairs(lists: DataFrame) -> DataFrame:
 def cross_count(lists: DataFrame) -> int:
     """Pairs of entries across components, by counting."""
     per = lists.groupBy("token", "part").count()
-    own = per.groupBy("token").agg((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("pairs"))
-    return (own.agg(F.sum("pairs")).first()[0] or 0) // 2
+    n = F.col("count").cast("double")
+    own = per.groupBy("token").agg((F.sum(n) * F.sum(n) - F.sum(n * n)).alias("pairs"))
+    return int((own.agg(F.sum("pairs")).first()[0] or 0) // 2)
 
 
 def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -231,21 +294,25 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sketch = docs.sparkSession.sparkContext.broadcast(count_sketch(docs))
     rows = stored(with_prefixes(docs, sketch), "gram-rows")
     classes = stored(rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "gram-classes")
-    lists = stored(entries(rows, classes), "gram-lists")
-    wanted = classes.join(lists.select("class").distinct(), "class", "left_semi")
-    sets = candidate_sets(docs, wanted)
-    links, checked, parts = [], [], None
-    n_entries = lists.count()
-    turn = 0
+    lists = stored(entries(rows), "gram-lists")
+    links, checked, parts, sets, wanted = [], [], None, [], []
+    n_entries, turn, grown = lists.count(), 0, True
     while True:
         placed = lists.withColumn("part", F.col("class")) if parts is None else lists.join(parts.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("part", F.coalesce("root", "class")).drop("root")
         placed = stored(placed, "gram-placed")
-        last = turn > 0 and (not grown or cross_count(placed) <= 2 * n_entries)
+        last = not grown or cross_count(placed) <= DENSE * n_entries
         pairs = cross_pairs(placed) if last else hub_pairs(placed, turn)
         if checked:
             pairs = pairs.join(union(checked), ["a", "b"], "left_anti")
         pairs = stored(pairs, "gram-pairs")
-        found = stored(verified(pairs, sets), "gram-links")
+        # documents are read again only for the sets that no earlier round has read
+        asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+        asked = classes.join(asked, "class", "left_semi")
+        asked = stored(asked.join(union(wanted), "class", "left_anti") if wanted else asked, "gram-asked")
+        if not asked.isEmpty():
+            wanted.append(asked.select("class"))
+            sets.append(candidate_sets(docs, asked))
+        found = stored(verified(pairs, union(sets)), "gram-links") if sets else pairs
         grown = not found.isEmpty()
         checked.append(pairs)
         links.append(found)
@@ -255,6 +322,7 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         turn += 1
         if last:
             break
+    release(lists, *sets)
     if parts is None:
         out = classes.withColumn("part", F.col("class"))
     else:

@@ -1,7 +1,7 @@
 """Quality rules, line first (operator 5).
 
-Every line is judged by itself: does it end like a sentence, is it navigation, is it boilerplate,
-does it repeat an earlier line. Lines that fail are taken out, and a document that loses more
+Every line is judged by itself: does it end like a sentence, is it navigation, has it a sign
+for every word, is it boilerplate, does it repeat an earlier line. Lines that fail are taken out, and a document that loses more
 than a set share of its words is rejected. The document counts that the rules start from are
 taken from the whole text in the same pass, without a shuffle.
 """
@@ -30,6 +30,7 @@ SHORT = 15
 
 _WORDS = WordHashes()
 _SEPARATOR = re.compile(f"[{re.escape(SEPARATORS)}]")
+_SYMBOL = re.compile(f"[{re.escape(SYMBOLS.decode())}]")
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
 
 
@@ -46,9 +47,11 @@ def repeated_words(words: list) -> int:
 
 
 def line_fault(line: str, n_words: int) -> str | None:
-    """The first rule a line fails: navigation, boilerplate or punctuation; or none."""
+    """The first rule a line fails: navigation, symbols, boilerplate or punctuation; or none."""
     if len(_SEPARATOR.findall(line)) * 3 >= n_words > 1:
         return "navigation"
+    if len(_SYMBOL.findall(line)) >= n_words > 1:
+        return "symbols"
     if n_words <= SHORT and _BOILERPLATE.search(line.lower()):
         return "boilerplate"
     if not line.rstrip().endswith(ENDINGS):
@@ -76,7 +79,7 @@ def clean(docs: DataFrame, with_text=True) -> DataFrame:
     text is an empty one: no words, base_failed, not kept, cleaned is empty. Rows are judged one
     by one, so ids may be NULL or repeated; an empty table gives an empty table.
     """
-    rules = ("navigation", "boilerplate", "punctuation", "repeated")
+    rules = ("navigation", "symbols", "boilerplate", "punctuation", "repeated")
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "kept_words", *(f"{r}_lines" for r in rules))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in counts) + (", cleaned string" if with_text else "")
 

@@ -11,6 +11,7 @@ document is scored in one narrow pass.
 
 import re
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,10 @@ BITS = 18
 #: Most graded rows that are fitted on, and hashed tokens of a row that are used to fit (all are used to score).
 SAMPLE = 20_000
 #: A token must stand in so many sampled rows to have a weight.
-LEAST_ROWS = 3
-PENALTY, STEP, ROUNDS = 1e-3, 0.1, 150
+LEAST_ROWS = 5
+#: Standard errors by which the mean grade of a token's rows must differ from that of all rows.
+APART = 3.5
+PENALTY, STEP, ROUNDS = 1e-4, 0.1, 200
 #: Documents are selected if P(grade >= GOOD) is at least this.
 GOOD, SELECT = 2, 0.5
 
@@ -32,10 +35,13 @@ _WORDS = WordHashes()
 
 
 def features(text: bytes | None) -> np.ndarray:
-    """Ascending distinct buckets of a text's tokens: words, and runs of signs."""
+    """Ascending distinct buckets of a text's tokens: words, runs of signs, and how often a token follows itself."""
     if not text:
         return np.zeros(0, np.int64)
-    tokens = set(_TOKENS.findall(text.translate(LOWER_BYTES)))
+    row = _TOKENS.findall(text.translate(LOWER_BYTES))
+    tokens, again = set(row), sum(map(eq, row, row[1:]))
+    if again > 2:
+        tokens.add(b"\x00again %d" % (10 * again // len(row)))
     return np.unique((_WORDS.of(list(tokens)) >> np.uint64(64 - BITS)).astype(np.int64))
 
 
@@ -50,6 +56,13 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
 
+def telling(index: np.ndarray, owner: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """Buckets whose rows have a mean grade that chance alone would not give."""
+    n = np.bincount(index, minlength=1 << BITS)
+    mean = np.bincount(index, grades[owner], minlength=1 << BITS) / np.maximum(n, 1)
+    return (n >= LEAST_ROWS) & (np.abs(mean - grades.mean()) * np.sqrt(n) >= APART * grades.std())
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, top: int) -> Model | None:
     """Maximum penalised likelihood by full-batch Adam; thresholds stay ordered by their gaps.
 
@@ -59,7 +72,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, top: int) -> Model | None:
         return None
     index = np.concatenate(rows)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    known = np.bincount(index, minlength=1 << BITS) >= LEAST_ROWS
+    known = telling(index, owner, grades)
     index, owner = index[known[index]], owner[known[index]]
     used, column = np.unique(index, return_inverse=True)
     # start at the thresholds that the grades' shares alone give
@@ -83,7 +96,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, top: int) -> Model | None:
         np.add.at(by_cut, grades + 1, -slope[at, grades + 1] / p / len(rows))
         by_cut = by_cut[1:top + 1]
         tails_of = np.cumsum(by_cut[::-1])[::-1]
-        gradient = np.concatenate([np.bincount(column, by_score[owner], minlength=len(used)) + PENALTY * w / len(rows) * 100, tails_of[:1], tails_of[1:] * gaps])
+        gradient = np.concatenate([np.bincount(column, by_score[owner], minlength=len(used)) + PENALTY * w, tails_of[:1], tails_of[1:] * gaps])
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient ** 2
         theta = theta - STEP * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
     weights = np.zeros(1 << BITS, np.float64)

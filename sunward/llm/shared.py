@@ -139,7 +139,24 @@ def gram_hashes(ids: np.ndarray, n: int) -> np.ndarray:
     n = min(n, len(ids))
     if n == 0:
         return ids
-    out = np.zeros(len(ids) - n + 1, np.uint64)
-    for i in range(n):
-        out = out * _MIX + mixed(ids[i:len(ids) - n + 1 + i] + np.uint64(i + 1))
-    return mixed(out)
+    out = ids[:len(ids) - n + 1].copy()
+    for i in range(1, n):
+        out *= _MIX
+        out += ids[i:len(ids) - n + 1 + i]
+    return mixed(out + np.uint64(n))
+
+
+def gram_sets(texts: list, words: "WordHashes", n: int) -> list[np.ndarray]:
+    """For each text (bytes or None) its distinct n-word runs as ascending hashes; A-Z are lower-cased.
+
+    The texts of a batch are hashed as one long row of words, whose runs over a text's end are left out.
+    """
+    rows = [text.translate(LOWER_BYTES).split() if text else [] for text in texts]
+    ids = words.of([w for row in rows for w in row])
+    every = gram_hashes(ids, n) if len(ids) >= n else ids[:0]
+    out, at = [], 0
+    for row in rows:
+        k = len(row)
+        out.append(np.unique(every[at:at + k - n + 1]) if k >= n else gram_hashes(ids[at:at + k], n))
+        at += k
+    return out

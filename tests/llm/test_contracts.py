@@ -285,3 +285,81 @@ def test_op2_licences(spark, folder):
                     best[name] = max(best.get(name, 0), both / (own.total() + other.total()))
         top = min(((-v, k) for k, v in best.items()), default=(None, None))
         assert (r["license"], r["n_licenses"]) == (top[1], len(best)) and (r["dice"] is None if top[0] is None else r["dice"] == pytest.approx(-top[0])), r
+
+
+def test_op1_hard_rows(spark, data):
+    rows = {r["doc_id"]: r for r in answers(spark, data, "op1")}
+    docs = {d.doc_id: d.text for d in documents(spark, data)}
+    assert rows.keys() == docs.keys()
+    for i, r in rows.items():
+        if not (docs[i] or "").strip(" \t\n"):
+            assert (r["expected_grade"], r["tail"], r["kept"]) == (0.0, 0.0, False)
+        else:
+            assert 0 <= r["tail"] <= 1 and r["kept"] == (r["tail"] >= 0.5)
+    assert rows[1] == {**rows[2], "doc_id": 1}
+
+
+def url_verdicts(urls, rules):
+    """The template tree by loops: {(host, shapes): (template, purity)}."""
+    from sunward.llm import url_templates as U
+
+    def shapes(path):
+        parts = path.split("/")[1:]
+        deep = parts[:U.DEPTH - 1] + (["/".join(parts[U.DEPTH - 1:])] if len(parts) >= U.DEPTH else [])
+        deep = [re.sub(r"[0-9]+", "{n}", re.sub(r"[0-9A-Fa-f]{16,}|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "{id}", s)) for s in deep]
+        return tuple(deep + [""] * (U.DEPTH - len(deep)))
+
+    stats = defaultdict(lambda: [0, 0, 0])
+    for host, path, verdict in urls:
+        s = stats[host, shapes(path)]
+        s[0] += 1
+        s[1] += verdict is not None
+        s[2] += verdict == "allow"
+    now = {k: list(k[1]) for k in stats}
+    for k in range(U.DEPTH):
+        kinds = defaultdict(Counter)
+        for key, seg in now.items():
+            kinds[key[0], tuple(seg[:k])][seg[k]] += stats[key][0]
+        for key, seg in now.items():
+            own = kinds[key[0], tuple(seg[:k])] if seg[k] else {}
+            if len(own) > U.FAN_OUT and len(own) > own.total() * U.FAN_SHARE:
+                seg[k] = "*"
+    good, labelled = sum(s[2] for s in stats.values()), sum(s[1] for s in stats.values())
+    p = good / labelled if labelled else 1.0
+    for k in reversed(range(U.DEPTH)):
+        branch = defaultdict(lambda: [0, 0])
+        for key, seg in now.items():
+            b = branch[key[0], tuple(seg[:k] + seg[k + 1:]), seg[k]]
+            b[0] += stats[key][1]
+            b[1] += stats[key][2]
+        family = defaultdict(dict)
+        for (host, around, own), b in branch.items():
+            family[host, around][own] = b
+        merged = set()
+        for (host, around), members in family.items():
+            for own, (n, g) in members.items():
+                rest_n = sum(b[0] for b in members.values()) - n + U.PRIOR
+                rest_g = sum(b[1] for b in members.values()) - g + U.PRIOR * p
+                pooled = (g + rest_g) / (n + rest_n)
+                differs = n > 0 and abs(g / n - rest_g / rest_n) > U.APART * (pooled * (1 - pooled) * (1 / n + 1 / rest_n)) ** 0.5
+                if len(members) > 1 and own and not differs:
+                    merged.add((host, around, own))
+        for key, seg in now.items():
+            if (key[0], tuple(seg[:k] + seg[k + 1:]), seg[k]) in merged:
+                seg[k] = "*"
+    total = defaultdict(lambda: [0, 0])
+    name = {key: key[0] + "".join(f"/{s}" for s in seg if s) for key, seg in now.items()}
+    for key in now:
+        total[name[key]][0] += stats[key][1]
+        total[name[key]][1] += stats[key][2]
+    return {key: (name[key], (total[name[key]][1] + U.PRIOR * p) / (total[name[key]][0] + U.PRIOR)) for key in now}, shapes
+
+
+def test_op7_templates(spark, folder):
+    from sunward.llm.url_templates import PURITY
+    rows = answers(spark, folder, "op7")
+    want, shapes = url_verdicts([(r["host"], r["path"], r["verdict"] if r["rule"] else None) for r in rows], None)
+    for r in rows:
+        template, purity = want[r["host"], shapes(r["path"])]
+        assert r["template"] == template and r["purity"] == pytest.approx(purity), r
+        assert r["rule"] or r["verdict"] == ("allow" if purity >= PURITY else "block")

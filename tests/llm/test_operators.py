@@ -1,0 +1,135 @@
+"""Operators beyond their queries: held-out accuracy, round trips, rebalancing, and each stage of the pipeline."""
+
+
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sunward.llm import chat_trees, decontamination, jaccard_join, mixing, quality_classifier, sharding, token_prefix
+from sunward.llm.components import components
+from sunward.llm.shared import n_words
+
+from test_contracts import contamination, data, grams, item_windows, linked  # noqa: F401
+
+SMALL = "/root/testdata/sf0.1"
+
+
+def test_classifier_on_rows_it_was_not_fitted_on(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    graded = quality_classifier.grades_of(spark.read.parquet(f"{SMALL}/labels.parquet"))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    model = quality_classifier.train(docs, graded.filter(~held))
+    assert np.all(np.diff(model.thresholds) > 0)
+    rows = quality_classifier.scored(docs.join(graded.filter(held), "doc_id"), model).collect()
+    right = [r.kept == (r.grade == 2) for r in rows]
+    by_grade = [np.mean([r.expected_grade for r in rows if r.grade == g]) for g in range(3)]
+    assert np.mean(right) > 0.9 and by_grade[0] < by_grade[1] < by_grade[2]  # a twentieth of the labels is noise
+    assert np.mean([r.kept for r in rows if r.grade == 2]) > 0.98
+
+
+def test_classifier_without_grades(spark):
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_classifier.train(docs, quality_classifier.grades_of(none)) is None
+    rows = {r.doc_id: r for r in quality_classifier.scored(docs, None).collect()}
+    assert rows[1].kept and rows[1].tail is None and not rows[2].kept
+
+
+def test_components_of_chains_and_rings(spark):
+    pairs = [(i, i + 1) for i in range(1, 40)] + [(101, 100), (100, 102), (102, 101), (7, 7), (200, 300), (200, 300)]
+    rows = dict(components(spark.createDataFrame(pairs, "a long, b long")).collect())
+    assert rows == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100, 200: 200, 300: 200}
+
+
+def test_join_of_a_dense_group_compares_few_pairs(spark):
+    base = [f"w{i}" for i in range(120)]
+    docs = [(i, " ".join(base[:i % 100] + [f"own{i}"] + base[i % 100:])) for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    _, parts, links = jaccard_join.similar_classes(frame)
+    assert parts.select("part").distinct().count() == 1 and links.count() < 300 * 20
+
+
+def test_prefixes_of_texts(spark):
+    import public_tokenizers
+    import sentencepiece
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    texts = ["", "Hello  wörld\n\tx", "<s> a</s> ▁▁b 日本語 😀", "aaaaaaaaaaaaaaaa,,,  ", "supercalifragilistic" * 5]
+    out = token_prefix.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model, 4, prefixes=True).collect()
+    for r in out:
+        text = texts[r.doc_id]
+        assert r.prefix_tokens == [len(library.encode(text[:k])) for k in range(len(text) + 1)]
+        assert r.fit_chars == max(k for k, n in enumerate(r.prefix_tokens) if n <= 4)
+
+
+def test_best_branch_of_a_reply_tree(spark):
+    nodes = [(1, 1, None, "user", "ask", 0.0), (1, 2, 1, "assistant", "bad", 0.1), (1, 3, 1, "assistant", "good", 0.9), (1, 4, 3, "user", "more", 0.0), (1, 5, 4, "assistant", "last", 0.5),
+             (1, 6, 2, "user", "leaf", 0.2), (2, 1, 9, "user", "orphan", None), (3, 1, 2, "user", "ring", 0.0), (3, 2, 1, "user", "ring", 0.0)]
+    frame = spark.createDataFrame(nodes, "tree_id long, node_id long, parent_id long, role string, text string, score double")
+    rows = chat_trees.formatted(frame, branches=2).select("tree_id", "leaf_id", "rank", chat_trees.turns_of(F.col("output")).alias("turns"), "output", chat_trees.loss_spans(F.col("output")).alias("spans")).collect()
+    got = {(r.tree_id, r["rank"]): [t.text for t in r.turns] for r in rows}
+    assert got == {(1, 1): ["ask", "good", "more", "last"], (1, 2): ["ask", "bad", "leaf"], (2, 1): ["orphan"]}
+    for r in rows:
+        assert [r.output[s.start:s.start + s.length] for s in r.spans] == [t.text for t in r.turns if t.role == "assistant"]
+
+
+def test_rebalancing_moves_few_slots():
+    rng = np.random.default_rng(5)
+    loads = [(i, int(b), 1) for i, b in enumerate(rng.integers(50, 150, 2000))]
+    first = sharding.first_map(loads, 40)
+    grown = sharding.rebalanced(first, loads, 41)
+    moved = [b for a, b in zip(first, grown) if a[2] != b[2]]
+    filled = np.bincount([r[2] for r in grown], [r[3] for r in grown], minlength=41)
+    assert {r[0] for r in grown} == {2} and filled.max() < filled.mean() * 1.02 and len(moved) < 2000 / 41 * 1.5
+    fewer = sharding.rebalanced(grown, loads, 39)
+    assert {r[2] for r in fewer} <= set(range(39)) and all(a[2] == b[2] for a, b in zip(grown, fewer) if a[2] < 39 and b[2] == a[2])
+
+
+def test_mixed_documents_meet_their_targets(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    plan = mixing.mix(docs, n_words(F.col("text"))).groupBy("source").agg(F.first("target").alias("target"), F.max("size").alias("most")).collect()
+    got = dict(mixing.mixed_documents(docs, n_words(F.col("text"))).groupBy("source").agg(F.sum(n_words(F.col("text")))).collect())
+    assert all(abs(got[r.source] - r.target) <= r.most for r in plan)
+
+
+def test_pipeline_stage_by_stage(spark, data):  # noqa: F811
+    import corpus_pipeline
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.select("doc_id", "text", "lang", "source", "n_chars").collect()
+        out = stage(spark, docs, data)
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        after = docs.collect()
+        if name == "near_duplicates":
+            roots = linked([grams(r.text) for r in before])
+            assert sorted(r.doc_id for r in after) == sorted({min(b.doc_id for b, q in zip(before, roots) if q == p) for p in roots})
+        elif name == "decontamination":
+            windows = item_windows(spark, data)
+            clean = []
+            for r in before:
+                n, hit, _ = contamination(r.text, windows)
+                clean += [r.doc_id] if hit == 0 or 20 * hit < n else []
+            assert sorted(r.doc_id for r in after) == sorted(clean)
+        elif name == "mixing":
+            assert {r.doc_id for r in after} <= {r.doc_id for r in before} and max(sum(a.doc_id == b.doc_id for a in after) for b in before) <= 2
+        elif name == "sharding":
+            assert len(after) == len(before)
+        if name != "sharding":
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            assert {tuple(r) for r in after} <= {tuple(r) for r in before}
+
+
+def test_repeated_rows_and_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text), (1, text), (1, "other words than those of the first text here"), (None, text), (None, None), (None, "alone without an id but with words")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(map(str, jaccard_join.near_duplicates(frame).select("doc_id", "n_shingles", "component_id").collect()))
+    assert found == sorted(map(str, [t for t in spark.createDataFrame([(1, 26, 1), (1, 26, 1), (1, 5, 1), (None, 26, 1), (None, 0, None), (None, 3, None)], "doc_id long, n_shingles long, component_id long").collect()]))
+    assert sorted((str(r.doc_id), r.text or "") for r in jaccard_join.one_of_each(frame).collect()) == sorted([("1", text), ("1", rows[2][1]), ("None", text), ("None", ""), ("None", rows[5][1])])
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    marked = decontamination.scan(frame, bench).collect()
+    assert sorted((str(r.doc_id), r.n_hit) for r in marked) == sorted([("1", 30), ("1", 30), ("1", 0), ("None", 30), ("None", 0), ("None", 0)])
+    shards, _ = sharding.shard(frame, 3)
+    assert shards.count() == 6
+    assert mixing.mix(frame.withColumn("source", F.lit(None).cast("string")), n_words(F.col("text"))).count() == 6
