@@ -31,11 +31,13 @@ from .shared import WordHashes, arrow_pass, gram_sets, release, stored
 GRAM = 5
 #: Similarity as a fraction of integers: 75 of 100.
 OVER, UNDER = 75, 100
-#: Buckets of the sketch (4 bytes each, sent to every executor), and bits of the two bitmaps of
-#: prefix grams (32 MB); tasks add both up in pieces. Their sizes are the same for any input.
-SKETCH_BITS, REPEAT_BITS, PIECES = 22, 27, 64
+#: Buckets of the sketch (4 bytes each, sent to every executor), whatever the input.
+SKETCH_BITS = 22
+#: Cells of the bitmap for each prefix gram, and its most bits (32 MB); beyond them it lets more
+#: through, and the result is the same. Tasks add sketch and bitmap up in pieces.
+CELLS, MOST_BITS, PIECES = 4, 28, 64
 #: Pairs across components, per entry of the lists, up to which all of them are decided at once.
-DENSE = 20
+DENSE = 5
 #: Documents hashed at a time.
 BATCH = 512
 #: Bits of the bitmap that thins out the documents read again for their sets.
@@ -62,9 +64,10 @@ def rare_order(grams: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     return grams[np.argsort(sketch[buckets(grams)], kind="stable")]
 
 
-def batches_of(column) -> list[list]:
-    texts = column.to_pylist()
-    return [texts[i:i + BATCH] for i in range(0, len(texts), BATCH)]
+def batches_of(column):
+    """A column's texts, a few at a time, so that a large batch is not held twice."""
+    for i in range(0, len(column), BATCH):
+        yield column.slice(i, BATCH).to_pylist()
 
 
 def in_pieces(array: np.ndarray) -> pa.RecordBatch:
@@ -107,26 +110,36 @@ def count_sketch(docs: DataFrame) -> np.ndarray:
     return np.concatenate([pieces.get(i, none) for i in range(PIECES)])
 
 
-def repeat_cells(tokens: np.ndarray) -> np.ndarray:
-    return (tokens.view(np.uint64) >> np.uint64(64 - REPEAT_BITS)).astype(np.int64)
+def repeat_cells(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (tokens.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def repeated_cells(rows: DataFrame) -> np.ndarray:
-    """A bitmap of the cells that two or more prefix grams fall into.
+def repeated_cells(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of the cells that two or more prefix grams fall into, and the bits of a cell's number.
 
     A gram alone in its cell is in no list of two, so it need not be shuffled; the bitmap lets
     through every gram that is not alone, and by chance some that are.
     """
-    def bits(cells):
-        out = np.zeros((1 << REPEAT_BITS) // 8, np.uint8)
-        np.add.at(out, cells >> 3, np.uint8(128) >> (cells & 7).astype(np.uint8))  # cells differ, so bits never carry
-        return out.reshape(PIECES, -1)
+    n = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    bits = min(MOST_BITS, max(12, (CELLS * n).bit_length()))
+    per = (1 << bits) // PIECES
+
+    def packed(cells, first):
+        out = np.zeros(per // 8, np.uint8)
+        at = cells - first
+        np.add.at(out, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))  # cells differ, so bits never carry
+        return out
 
     def mark(batches):
-        met = [repeat_cells(np.asarray(batch.column(0).flatten())).astype(np.uint32) for batch in batches]
+        met = [repeat_cells(np.asarray(batch.column(0).flatten()), bits).astype(np.uint32) for batch in batches]
         if sum(map(len, met)):
             cells, counts = np.unique(np.concatenate(met), return_counts=True)
-            yield in_pieces(np.stack([bits(cells), bits(cells[counts > 1])], axis=1).reshape(-1))
+            cells, ends = cells.astype(np.int64), np.searchsorted(cells, np.arange(PIECES + 1) * per)
+            data = []
+            for i in range(PIECES):
+                own, again = cells[ends[i]:ends[i + 1]], counts[ends[i]:ends[i + 1]] > 1
+                data.append(zlib.compress(np.concatenate([packed(own, i * per), packed(own[again], i * per)]).tobytes(), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(data, pa.binary())], ["piece", "data"])
 
     def fold(held, x):
         once, twice = x.reshape(2, -1)
@@ -134,8 +147,8 @@ def repeated_cells(rows: DataFrame) -> np.ndarray:
 
     parts = arrow_pass(rows.filter("prefix is not null").select("prefix"), mark, "piece int, data binary")
     pieces = added_up(parts, np.uint8, fold, lambda x: x[1], np.uint8)
-    none = np.zeros((1 << REPEAT_BITS) // PIECES // 8, np.uint8)
-    return np.concatenate([pieces.get(i, none) for i in range(PIECES)])
+    none = np.zeros(per // 8, np.uint8)
+    return np.concatenate([pieces.get(i, none) for i in range(PIECES)]), bits
 
 
 def with_prefixes(docs: DataFrame, sketch) -> DataFrame:
@@ -169,7 +182,8 @@ def entries(rows: DataFrame) -> DataFrame:
     Grams alone in their cell of the bitmap go first, without a shuffle; then a grouped minimum
     and maximum of the classes, which copies of one text do not change, finds the lists of one.
     """
-    sent = rows.sparkSession.sparkContext.broadcast(repeated_cells(rows))
+    found, bits = repeated_cells(rows)
+    sent = rows.sparkSession.sparkContext.broadcast(found)
 
     def scan(batches):
         bitmap = sent.value
@@ -177,7 +191,7 @@ def entries(rows: DataFrame) -> DataFrame:
             prefix = batch.column(2)
             tokens = np.asarray(prefix.flatten())
             lengths = np.diff(np.asarray(prefix.offsets))
-            cells = repeat_cells(tokens)
+            cells = repeat_cells(tokens, bits)
             keep = (bitmap[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
             place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             owner = np.repeat(np.arange(len(lengths)), lengths)[keep]
@@ -186,7 +200,9 @@ def entries(rows: DataFrame) -> DataFrame:
 
     each = arrow_pass(rows.filter("class is not null").select("n", "class", "prefix"), scan, "token long, class long, n int, place int")
     shared = each.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("token")
-    return each.join(shared, "token").select("token", "class", "n", "place").distinct()
+    out = stored(each.join(shared, "token").select("token", "class", "n", "place").distinct(), "gram-lists")
+    sent.destroy()
+    return out
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -207,10 +223,9 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def scan(batches):
         held = sent.value
-        for batch in batches:
+        for batch in (b.slice(i, BATCH) for b in batches for i in range(0, len(b), BATCH)):
             keys, ids, grams = [], [], []
-            sets = (own for texts in batches_of(batch.column(1)) for own in gram_sets(texts, _WORDS, GRAM))
-            for doc_id, own in zip(batch.column(0).to_pylist(), sets):
+            for doc_id, own in zip(batch.column(0).to_pylist(), gram_sets(batch.column(1).to_pylist(), _WORDS, GRAM)):
                 if len(own):
                     key = set_key(own)
                     at = (key ^ (-1 if doc_id is None else doc_id)) & mask
@@ -223,7 +238,9 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     passed = arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), scan, "class long, doc_id long, grams binary")
     found = passed.join(wanted.select(F.col("class").alias("c"), "rep"), (F.col("class") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    return stored(found.select("class", "grams").dropDuplicates(["class"]), "gram-sets")
+    out = stored(found.select("class", "grams").dropDuplicates(["class"]), "gram-sets")
+    sent.destroy()
+    return out
 
 
 def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int) -> int:
@@ -248,7 +265,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b: classes) that meet the threshold."""
     def compare(batches):
         for batch in batches:
-            keep = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     full = pairs.join(sets.select(F.col("class").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("grams").alias("y")), "b")
@@ -293,8 +310,9 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     sketch = docs.sparkSession.sparkContext.broadcast(count_sketch(docs))
     rows = stored(with_prefixes(docs, sketch), "gram-rows")
+    sketch.destroy()
     classes = stored(rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "gram-classes")
-    lists = stored(entries(rows), "gram-lists")
+    lists = entries(rows)
     links, checked, parts, sets, wanted = [], [], None, [], []
     n_entries, turn, grown = lists.count(), 0, True
     while True:

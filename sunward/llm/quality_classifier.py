@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import LOWER_BYTES, WordHashes, arrow_pass
 
 BITS = 18
+#: Documents scored at a time.
+BATCH = 512
 #: Most graded rows that are fitted on, and hashed tokens of a row that are used to fit (all are used to score).
 SAMPLE = 20_000
 #: A token must stand in so many sampled rows to have a weight.
 LEAST_ROWS = 5
 #: Standard errors by which the mean grade of a token's rows must differ from that of all rows.
-APART = 3.5
-PENALTY, STEP, ROUNDS = 1e-4, 0.1, 200
+APART = 4.5
+PENALTY, STEP, ROUNDS = 1e-4, 0.1, 400
 #: Documents are selected if P(grade >= GOOD) is at least this.
 GOOD, SELECT = 2, 0.5
 
@@ -153,7 +155,7 @@ def scored(docs: DataFrame, model: Model | None, good=GOOD, select=SELECT) -> Da
 
     def scan(batches):
         known = sent.value
-        for batch in batches:
+        for batch in (b.slice(i, BATCH) for b in batches for i in range(0, len(b), BATCH)):
             rows = [features(None if t is None else t.encode()) for t in batch.column(place).to_pylist()]
             some = np.array([len(r) > 0 for r in rows], bool)
             if known is None:
