@@ -125,21 +125,29 @@ _BUCKET_BITS = 40
 _CODE_WIDTHS, _BUCKET_WIDTHS = (2.0 ** 14, 2.0 ** 27), (2.0 ** 12, 2.0 ** 18)
 
 
+def _given(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def value_code(v: Column) -> Column:
     """Order-preserving integer of a finite double, one for each double.
 
     Exponent and the 52 bits behind it, as a signed number; both zeros are 0.
     """
-    a = F.abs(v)
-    guess = F.least(F.floor(F.log2(a)).cast("double"), F.lit(1023.0))
-    m = a / F.pow(F.lit(2.0), guess)
-    # the logarithm may be off by one next to a power of two
-    e = guess + F.when(m >= 2, 1).when(m < 1, -1).otherwise(0)
-    m = F.when(m >= 2, m / 2).when(m < 1, m * 2).otherwise(m)
-    step = F.lit(2.0 ** 52)
-    normal = (e + 1023).cast("long") * F.lit(2 ** 52) + ((m - 1) * step).cast("long")
-    code = F.when(a < F.lit(2.0 ** -1022), (a / F.lit(5e-324)).cast("long")).otherwise(normal)
-    return F.when(v > 0, code).when(v < 0, -code).when(v == 0, F.lit(0).cast("long"))
+    def from_parts(q):
+        # the logarithm may be off by one next to a power of two
+        over, under = (q["m"] >= 2).cast("int"), (q["m"] < 1).cast("int")
+        m = q["m"] * F.element_at(F.array(F.lit(1.0), F.lit(0.5), F.lit(2.0)), 1 + over + 2 * under)
+        normal = (q["g"] + over - under + 1023).cast("long") * F.lit(2 ** 52) + ((m - 1) * F.lit(2.0 ** 52)).cast("long")
+        code = F.when(q["a"] < F.lit(2.0 ** -1022), (q["a"] / F.lit(5e-324)).cast("long")).otherwise(normal)
+        return F.when(q["v"] > 0, code).when(q["v"] < 0, -code).when(q["v"] == 0, F.lit(0).cast("long"))
+
+    def scaled(s):
+        return F.struct(s["v"].alias("v"), s["a"].alias("a"), s["g"].alias("g"), (s["a"] / F.pow(F.lit(2.0), s["g"])).alias("m"))
+
+    guess = F.least(F.floor(F.log2(F.abs(v))).cast("double"), F.lit(1023.0))
+    return _given(_given(F.struct(v.alias("v"), F.abs(v).alias("a"), guess.alias("g")), scaled), from_parts)
 
 
 def code_value(code: Column) -> Column:
