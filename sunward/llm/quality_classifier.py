@@ -26,8 +26,10 @@ BATCH = 512
 SAMPLE = 20_000
 #: A token must stand in so many sampled rows to have a weight.
 LEAST_ROWS = 5
-#: Standard errors by which the mean grade of a token's rows must differ from that of all rows.
+#: Standard errors by which the share of some grade or better among a token's rows must differ from that of all rows.
 APART = 4.5
+#: Bytes of the beginnings of words that are tokens too: rare words of one stem share their evidence.
+STEMS = (5, 7)
 PENALTY, STEP, ROUNDS = 1e-4, 0.1, 400
 #: Documents are selected if P(grade >= GOOD) is at least this.
 GOOD, SELECT = 2, 0.5
@@ -37,11 +39,12 @@ _WORDS = WordHashes()
 
 
 def features(text: bytes | None) -> np.ndarray:
-    """Ascending distinct buckets of a text's tokens: words, runs of signs, and how often a token follows itself."""
+    """Ascending distinct buckets of a text's tokens: words and their beginnings, runs of signs, and how often a token follows itself."""
     if not text:
         return np.zeros(0, np.int64)
     row = _TOKENS.findall(text.translate(LOWER_BYTES))
     tokens, again = set(row), sum(map(eq, row, row[1:]))
+    tokens |= {b"\x01" + w[:n] for n in STEMS for w in tokens if len(w) > n}
     if again > 2:
         tokens.add(b"\x00again %d" % (10 * again // len(row)))
     return np.unique((_WORDS.of(list(tokens)) >> np.uint64(64 - BITS)).astype(np.int64))
@@ -59,10 +62,17 @@ class Model:
 
 
 def telling(index: np.ndarray, owner: np.ndarray, grades: np.ndarray) -> np.ndarray:
-    """Buckets whose rows have a mean grade that chance alone would not give."""
+    """Buckets whose rows have a share of some grade or better that chance alone would not give.
+
+    Each threshold is asked for itself: rows of a middle grade hardly move the mean of all grades.
+    """
     n = np.bincount(index, minlength=1 << BITS)
-    mean = np.bincount(index, grades[owner], minlength=1 << BITS) / np.maximum(n, 1)
-    return (n >= LEAST_ROWS) & (np.abs(mean - grades.mean()) * np.sqrt(n) >= APART * grades.std())
+    known = np.zeros(1 << BITS, bool)
+    for k in range(1, int(grades.max()) + 1):
+        reached = (grades >= k).astype(np.float64)
+        share = np.bincount(index, reached[owner], minlength=1 << BITS) / np.maximum(n, 1)
+        known |= np.abs(share - reached.mean()) * np.sqrt(n) >= APART * reached.std()
+    return known & (n >= LEAST_ROWS)
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, top: int) -> Model | None:
