@@ -17,7 +17,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
-    return jaccard_join.one_of_each(docs.select(*DOCUMENT_COLUMNS))
+    return jaccard_join.one_row_of_each(docs.select(*DOCUMENT_COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

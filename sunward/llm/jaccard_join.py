@@ -370,7 +370,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows without words are components of their own and all stay. Rows that share an id that
     stays all stay if their texts differ; a row repeated with its id and text stays once. Where
     no row of a component has an id, its rows without id stay. Ids decide who stays, so a text
-    moves once, in the join with those ids.
+    moves once, in the join with those ids. Where ids are NULL or repeated more than one row of
+    a component can stay; ``one_row_of_each`` keeps exactly one.
     """
     found = near_duplicates(docs.select("doc_id", "text"))
     stays = found.filter(F.col("class").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -382,3 +383,43 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     if not stays.filter("stays_n > 1").isEmpty():
         out.append(kept.filter("stays_n > 1").select(*named).dropDuplicates(["doc_id", "text"]))
     return union(out)
+
+
+def with_class(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` and gram_class: the digest of a text's set, NULL where it has no words."""
+    names, place = docs.columns, docs.columns.index("text")
+
+    def scan(batches):
+        for batch in (b.slice(i, BATCH) for b in batches for i in range(0, len(b), BATCH)):
+            texts = [None if t is None else t.encode() for t in batch.column(place).to_pylist()]
+            keys = [set_key(own) if len(own) else None for own in gram_sets(texts, _WORDS, GRAM)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*names, "gram_class"])
+
+    return arrow_pass(docs, scan, ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "gram_class long"]))
+
+
+def one_row_of_each(docs: DataFrame) -> DataFrame:
+    """Exactly one row of each component, with the columns of ``docs``; rows without words all stay.
+
+    Of a component its class with the least id stays (classes without id last; ties by digest),
+    and of that class the row with this id and the first text. Where one row has the id, the id
+    alone finds it; NULL and repeated ids are told apart by the digests of their texts.
+    """
+    rows, parts, _ = similar_classes(docs.select("doc_id", "text"))
+    first = parts.groupBy("part").agg(F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "class")).alias("first"))
+    again = rows.filter("class is not null and doc_id is not null").groupBy(F.col("doc_id").alias("again")).count().filter("count > 1").select("again")
+    stays = first.select(F.col("first.rep").alias("stays"), F.col("first.class").alias("stays_class")).join(again, F.col("stays") == F.col("again"), "left")
+    stays = stored(stays.select("stays", "stays_class", (F.col("stays").isNotNull() & F.col("again").isNull()).alias("alone")), "gram-stays")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    named = [f"`{c}`" for c in docs.columns]
+    kept = docs.filter(worded)
+    out = [kept.join(stays.filter("alone").select("stays"), F.col("doc_id") == F.col("stays")).select(*named), docs.filter(~worded).select(*named)]
+    shared = stays.filter("not alone")
+    if not shared.isEmpty():
+        repeated = shared.filter("stays is not null").select("stays").distinct()
+        asked = with_class(union([kept.filter("doc_id is null").select(*named), kept.join(repeated, F.col("doc_id") == F.col("stays"), "left_semi").select(*named)]))
+        met = asked.join(shared, F.col("doc_id").eqNullSafe(F.col("stays")) & (F.col("gram_class") == F.col("stays_class")))
+        row = F.struct(*named)
+        one = met.groupBy("stays", "stays_class").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row"))
+        out.append(one.select("row.*"))
+    return union(out)

@@ -142,3 +142,15 @@ def test_repeated_rows_and_ids(spark):
     shards, _ = sharding.shard(frame, 3)
     assert shards.count() == 6
     assert mixing.mix(frame.withColumn("source", F.lit(None).cast("string")), n_words(F.col("text"))).count() == 6
+
+
+def test_one_row_of_each_component_stays_without_and_with_repeated_ids(spark):
+    import corpus_pipeline
+    text = lambda p, own="": " ".join([f"{p}{i}" for i in range(60)] + [own] * bool(own))
+    groups = [[(None, text("a")), (None, text("a", "x")), (None, text("a"))], [(None, text("b")), (7, text("b")), (8, text("b", "y"))],
+              [(5, text("c")), (6, text("c", "z"))], [(3, text("d")), (5, text("d", "v")), (3, text("d").upper())]]
+    rows = [(i, t, None, None, 1) for g in groups for i, t in g] + [(None, " ", None, None, 1), (None, None, None, None, 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    out = corpus_pipeline.join_near_duplicates(spark, frame, "").collect()
+    per = [[r.doc_id for r in out if (r.text or "").lower().startswith(p)] for p in "abcd"]
+    assert per == [[None], [7], [5], [3]] and len(out) == 6 and {tuple(r) for r in out} <= set(rows)
