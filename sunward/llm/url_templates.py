@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import LOWER, UPPER, stored
 
-#: Levels of the tree; what lies deeper is one last segment.
+#: Levels that are worked before the table is stored again on the way down the tree, which has as many as its paths need.
 DEPTH = 4
 #: A node with more different children than this, most of them rare, has a wildcard for a child.
 FAN_OUT, FAN_SHARE = 50, 0.5
@@ -45,15 +45,38 @@ def rule_column(host, path, rules, value) -> Column:
 
 
 def segment_shapes(path) -> Column:
-    """Exactly DEPTH shapes of a path's segments: numbers and ids are wildcards, missing ones empty."""
-    parts = F.slice(F.split(path, "/"), 2, 2 ** 30)
-    deep = F.concat(F.slice(parts, 1, DEPTH - 1), F.when(F.size(parts) >= DEPTH, F.array(F.array_join(F.slice(parts, DEPTH, 2 ** 30), "/"))).otherwise(F.array().cast("array<string>")))
-    shape = lambda s: F.regexp_replace(F.regexp_replace(s, r"[0-9A-Fa-f]{16,}|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "{id}"), r"[0-9]+", "{n}")
-    return F.concat(F.transform(deep, shape), F.array_repeat(F.lit(""), F.lit(DEPTH) - F.size(deep)))
+    """Shapes of a path's segments: numbers and ids are wildcards; empty segments at the end are left out."""
+    parts = F.slice(F.split(F.regexp_replace(path, r"/+\z", ""), "/"), 2, 2 ** 30)
+    return F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"[0-9A-Fa-f]{16,}|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "{id}"), r"[0-9]+", "{n}"))
 
 
-def levels(prefix="s") -> list[str]:
-    return [f"{prefix}{k}" for k in range(1, DEPTH + 1)]
+def segment(k: int) -> Column:
+    """The k-th segment; behind the last one empty."""
+    return F.coalesce(F.get("segments", F.lit(k - 1)), F.lit(""))
+
+
+def before(k: int) -> Column:
+    """The segments before the k-th, with empty ones for those that are missing."""
+    return F.concat(F.slice("segments", 1, k - 1), F.array_repeat(F.lit(""), F.lit(k - 1) - F.size("segments")))
+
+
+def replaced(k: int, value) -> Column:
+    return F.concat(before(k), F.array(value), F.slice("segments", k + 1, 2 ** 30))
+
+
+def levels(nodes: DataFrame) -> int:
+    """The deepest level at which a wildcard or a merging is possible.
+
+    It needs a path that reaches the level and another one of the host that reaches the level
+    above, so one path that is deeper than all others of its host by more adds nothing. In hosts
+    with empty segments inside of paths a shorter path can stand for one that ends in such, so
+    there every level counts.
+    """
+    depths = nodes.groupBy("host", F.size("segments").alias("depth")).agg(F.count(F.lit(1)).alias("n"), F.max(F.array_contains("segments", "")).alias("gaps"))
+    per = depths.groupBy("host").agg(F.max(F.struct("depth", "n")).alias("top"), F.max("gaps").alias("gapped"))
+    below = depths.join(per, "host").filter(F.col("depth") < F.col("top.depth")).groupBy("host").agg(F.max("depth").alias("next"))
+    last = F.when((F.col("top.n") > 1) | F.col("gapped"), F.col("top.depth")).otherwise(F.least("top.depth", F.coalesce("next", F.lit(-1)) + 1))
+    return per.join(below, "host", "left").agg(F.max(last)).first()[0] or 0
 
 
 def template_tree(pages: DataFrame) -> DataFrame:
@@ -61,33 +84,37 @@ def template_tree(pages: DataFrame) -> DataFrame:
 
     Gives host, shapes, template, labelled, n_good, pages. The tree holds one row for each
     different (host, shapes) with counts, so a host with a third of all pages is a few rows.
+    Every segment is a level of its own, whatever the depth.
     """
     nodes = pages.groupBy("host", "shapes").agg(F.count(F.lit(1)).alias("pages"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("n_good"))
-    nodes = stored(nodes.select("*", *[F.get("shapes", F.lit(k)).alias(f"s{k + 1}") for k in range(DEPTH)]), "url-nodes")
+    nodes = stored(nodes.withColumn("segments", F.col("shapes")), "url-nodes")
+    deepest = levels(nodes)
     # down the tree: very many children, most of them rare, are one
-    for k in range(1, DEPTH + 1):
-        parent = ["host", *levels()[:k - 1]]
-        children = nodes.groupBy(*parent, f"s{k}").agg(F.sum("pages").alias("pages"))
-        wide = children.groupBy(*parent).agg(F.count(F.lit(1)).alias("kinds"), F.sum("pages").alias("total")).filter((F.col("kinds") > FAN_OUT) & (F.col("kinds") > F.col("total") * FAN_SHARE))
-        nodes = nodes.join(wide.select(*parent, F.lit(True).alias("wide")), parent, "left").withColumn(f"s{k}", F.when(F.coalesce("wide", F.lit(False)) & (F.col(f"s{k}") != ""), F.lit("*")).otherwise(F.col(f"s{k}"))).drop("wide")
-    nodes = stored(nodes, "url-nodes")
+    for k in range(1, deepest + 1):
+        placed = nodes.withColumns({"parent": before(k), "child": segment(k)})
+        children = placed.groupBy("host", "parent", "child").agg(F.sum("pages").alias("pages"))
+        wide = children.groupBy("host", "parent").agg(F.count(F.lit(1)).alias("kinds"), F.sum("pages").alias("total")).filter((F.col("kinds") > FAN_OUT) & (F.col("kinds") > F.col("total") * FAN_SHARE))
+        placed = placed.join(wide.select("host", "parent", F.lit(True).alias("wide")), ["host", "parent"], "left")
+        nodes = placed.withColumn("segments", F.when(F.coalesce("wide", F.lit(False)) & (F.col("child") != ""), replaced(k, F.lit("*"))).otherwise(F.col("segments"))).drop("parent", "child", "wide")
+        if k % DEPTH == 0 or k == deepest:
+            nodes = stored(nodes, "url-nodes")
     prior = nodes.agg((F.sum("n_good") / F.sum("labelled")).alias("p")).select(F.coalesce("p", F.lit(1.0)))
     p = float(prior.first()[0])
     # up the tree: branches that do not differ from their siblings are merged
-    for k in reversed(range(1, DEPTH + 1)):
-        around = ["host", *levels()[:k - 1], *levels()[k:]]
-        branch = nodes.groupBy(*around, f"s{k}").agg(F.sum("labelled").alias("n"), F.sum("n_good").alias("g"))
-        family = branch.groupBy(*around).agg(F.sum("n").alias("all_n"), F.sum("g").alias("all_g"), F.count(F.lit(1)).alias("kinds"))
+    for k in reversed(range(1, deepest + 1)):
+        placed = nodes.withColumns({"around": replaced(k, F.lit("")), "child": segment(k)})
+        branch = placed.groupBy("host", "around", "child").agg(F.sum("labelled").alias("n"), F.sum("n_good").alias("g"))
+        family = branch.groupBy("host", "around").agg(F.sum("n").alias("all_n"), F.sum("g").alias("all_g"), F.count(F.lit(1)).alias("kinds"))
         rest_n = F.col("all_n") - F.col("n") + PRIOR
         rest_g = F.col("all_g") - F.col("g") + PRIOR * p
         pooled = (F.col("g") + rest_g) / (F.col("n") + rest_n)
         error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("n") + 1 / rest_n))
         differs = (F.col("n") > 0) & (F.abs(F.col("g") / F.nullif("n", F.lit(0)) - rest_g / rest_n) > APART * error)
-        merged = branch.join(family, around).filter((F.col("kinds") > 1) & (F.col(f"s{k}") != "") & ~F.coalesce(differs, F.lit(False))).select(*around, f"s{k}", F.lit(True).alias("merged"))
-        nodes = nodes.join(merged, [*around, f"s{k}"], "left").withColumn(f"s{k}", F.when(F.coalesce("merged", F.lit(False)), F.lit("*")).otherwise(F.col(f"s{k}"))).drop("merged")
-        nodes = stored(nodes, "url-nodes")
-    template = F.concat(F.col("host"), *[F.when(F.col(s) != "", F.concat(F.lit("/"), F.col(s))).otherwise(F.lit("")) for s in levels()])
-    nodes = nodes.withColumn("template", template)
+        merged = branch.join(family, ["host", "around"]).filter((F.col("kinds") > 1) & (F.col("child") != "") & ~F.coalesce(differs, F.lit(False))).select("host", "around", "child", F.lit(True).alias("merged"))
+        placed = placed.join(merged, ["host", "around", "child"], "left")
+        nodes = stored(placed.withColumn("segments", F.when(F.coalesce("merged", F.lit(False)), replaced(k, F.lit("*"))).otherwise(F.col("segments"))).drop("around", "child", "merged"), "url-nodes")
+    shown = F.filter("segments", lambda s: s != "")
+    nodes = nodes.withColumn("template", F.when(F.size(shown) > 0, F.concat_ws("/", F.col("host"), F.array_join(shown, "/"))).otherwise(F.col("host")))
     own = nodes.groupBy("template").agg(F.sum("labelled").alias("labelled"), F.sum("n_good").alias("n_good"), F.sum("pages").alias("pages"))
     own = own.withColumn("purity", (F.col("n_good") + PRIOR * p) / (F.col("labelled") + PRIOR))
     return nodes.select("host", "shapes", "template").join(own, "template")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sunward.llm import chat_trees, decontamination, jaccard_join, mixing, quality_classifier, sharding, token_prefix
+from sunward.llm import chat_trees, decontamination, jaccard_join, mixing, quality_classifier, sharding, token_prefix, url_templates
 from sunward.llm.components import components
 from sunward.llm.shared import n_words
 
@@ -154,3 +154,12 @@ def test_one_row_of_each_component_stays_without_and_with_repeated_ids(spark):
     out = corpus_pipeline.join_near_duplicates(spark, frame, "").collect()
     per = [[r.doc_id for r in out if (r.text or "").lower().startswith(p)] for p in "abcd"]
     assert per == [[None], [7], [5], [3]] and len(out) == 6 and {tuple(r) for r in out} <= set(rows)
+
+
+def test_templates_of_deep_paths_keep_branches_behind_wildcards_apart(spark):
+    user = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    pages = [(f"/a/b/c/{user(i)}/{'spam' if i % 2 else 'about'}", (i + 1) % 2) for i in range(120)] + [("/a/b", None)]
+    frame = spark.createDataFrame([("h", path, good) for path, good in pages], "host string, path string, good int")
+    rows = url_templates.template_tree(frame.select("host", url_templates.segment_shapes(F.col("path")).alias("shapes"), "good")).collect()
+    deep = {(r.template, r.purity < 0.5) for r in rows if r.labelled}
+    assert len(rows) == 121 and deep == {("h/a/b/c/*/spam", True), ("h/a/b/c/*/about", False)}
