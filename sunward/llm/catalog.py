@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import chat_trees, decontamination, jaccard_join, license_scan, line_rules, mixing, oracles, quality_classifier, sharding, token_prefix, url_templates
+from . import chat_trees, decontamination, infill, jaccard_join, license_scan, line_rules, mixing, oracles, quality_classifier, secret_scan, sharding, token_prefix, turn_repair, url_templates
 from .shared import WORD, n_words, table
 
 SHARDS = 40
@@ -22,7 +22,7 @@ def op2_license_scan(spark, sf_dir):
 
 def op3_source_mix(spark, sf_dir):
     out = mixing.mix(table(spark, sf_dir, "documents"), n_words(F.col("text")))
-    return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_slot_sharding(spark, sf_dir):
@@ -67,7 +67,31 @@ def op10_chat_formatting(spark, sf_dir):
                        F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"), "formatted_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_source_mix, op4_slot_sharding, op5_line_rules, op6_ngram_jaccard_join, op7_url_templates, op8_token_counts, op9_benchmark_decontamination, op10_chat_formatting)}
+def op11_turn_repair(spark, sf_dir):
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = turn_repair.repaired(turn_repair.damaged(talks)).withColumnRenamed("conv_id", "found_id")
+    every = talks.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in turn_repair.COUNTS]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    out = infill.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    again = infill.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op13_secret_scan(spark, sf_dir):
+    out = secret_scan.secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "found")
+    told = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    of_kind = lambda kind: F.filter("found", lambda s: s["kind"] == kind)
+    counts = [F.size(of_kind(kind)).cast("long").alias(f"n_{kind}") for kind, *_ in secret_scan.BASE]
+    base = F.filter("found", lambda s: s["kind"] != secret_scan.NOVEL)
+    return out.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("found")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_source_mix, op4_slot_sharding, op5_line_rules, op6_ngram_jaccard_join, op7_url_templates, op8_token_counts, op9_benchmark_decontamination, op10_chat_formatting,
+                                 op11_turn_repair, op12_fill_in_middle, op13_secret_scan)}
 
 SQL = {"op2_license_scan": oracles.OP2, "op3_source_mix": oracles.OP3, "op5_line_rules": oracles.OP5, "op6_ngram_jaccard_join": oracles.OP6,
-       "op9_benchmark_decontamination": oracles.OP9, "op10_chat_formatting": oracles.OP10}
+       "op9_benchmark_decontamination": oracles.OP9, "op10_chat_formatting": oracles.OP10, "op12_fill_in_middle": oracles.OP12}

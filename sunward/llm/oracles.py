@@ -49,7 +49,7 @@ budget AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(floor(target) / s
 placed AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.epochs, CAST(floor(b.target) AS BIGINT) - b.epochs * b.source_size AS rest,
                   coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun
            FROM d JOIN budget b ON d.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 3) AS target, CAST(epochs * size + greatest(0, least(size, rest - begun)) AS BIGINT) AS taken FROM placed
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - begun)) AS BIGINT) AS taken FROM placed
 """
 
 _ends = "|".join(e if e.isalnum() or ord(e) > 127 else f"\\{e}" for e in line_rules.ENDINGS).replace("'", "''")
@@ -117,3 +117,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(length('<turn:></turn>') + 1 + length(replace({_escaped('role')}, '>', chr(92) || 'g')) + length({_escaped('text')})) AS BIGINT) AS formatted_chars
 FROM talks GROUP BY conv_id
 """
+
+OP12 = """
+WITH drawn AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+numbers AS (SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n, [('0x' || substr(h, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS h FROM drawn),
+cuts AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS p, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS q,
+                CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers),
+parts AS (SELECT *, substring(text, 1, p) AS a, substring(text, p + 1, q - p) AS b, substring(text, q + 1) AS c FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""

@@ -92,6 +92,16 @@ def arrow_pass(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def free_names(taken, stem: str, n: int = 1) -> list[str]:
+    """``n`` column names that no column in ``taken`` has (Spark does not tell case apart)."""
+    used, out, k = {c.lower() for c in taken}, [], 0
+    while len(out) < n:
+        if f"{stem}_{k}" not in used:
+            out.append(f"{stem}_{k}")
+        k += 1
+    return out
+
+
 def lower_ascii(c):
     """Lower-case A-Z and nothing else; texts that are all ASCII take the quick path."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

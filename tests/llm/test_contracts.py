@@ -9,59 +9,7 @@ import pytest
 
 from sunward.llm import catalog
 
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-SEVEN = "one two three four five six seven"
-
-
-def low(text):
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
-
-
-def hard_documents():
-    base = " ".join(f"w{i}" for i in range(60))
-    near = base.replace("w30", "other")
-    rows = [(1, base, "en", "b", 10), (2, base, "en", "b", 10), (3, near, "en", "a", 10), (4, None, "en", None, None), (5, "", None, "a", 0), (6, "  \n\t ", "en", "a", 5),
-            (7, SEVEN, "en", "c", 5), (8, SEVEN.upper(), "en", "c", 5), (9, "one two", "en", "é", 5), (10, "one two", "de", "é", 5),
-            (11, "Ünï " * 3000, "de", "big", 9), (12, "Solo", "de", "A", 4), (13, " ".join(f"x{i % 7}" for i in range(400)), "en", "b", 3),
-            (14, "\x1cone\x1c two three   four", "en", "b", 3), (15, "a\nb\nb\n\nc ### $$ <|>", "en", "c", 3), (16, "<s> </s>▁x  y", "en", "c", 3)]
-    rows += [(100 + i, f"{base} tail{i} end{i} more{i}", "en", "b", 60) for i in range(30)]
-    return rows
-
-
-@pytest.fixture(scope="module")
-def data(spark, tmp_path_factory):
-    """A folder of hard tables: NULLs, empty and long texts, copies, extra columns that clash."""
-    root = tmp_path_factory.mktemp("hard")
-    docs = hard_documents()
-    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
-    clash = {c: frame["n_chars"] for c in ("size", "shard", "slot", "key", "n", "ws", "print", "class", "token", "n_words", "mix_copies", "kept", "host", "path", "rule")}
-    frame.withColumns(clash).repartition(3).write.parquet(f"{root}/documents.parquet")
-    items = [(1, " ".join(f"W{i}" for i in range(20, 40))), (2, "one, TWO. three"), (3, None), (4, ""), (5, "solo"), (6, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 nothing"), (10, "one, TWO. three")]
-    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
-    spark.createDataFrame([(d[0], d[0] % 2, int(d[0] % 5 == 0)) for d in docs], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
-    pages = [(1, "http://A.Example.org/es/1?x=/y"), (2, "https://example.org/en/12/../q#f"), (3, None), (4, "no scheme/x"), (5, "http://x.de/fr/1"), (6, "ftp://q.com/fr/a/b"), (7, "http://com/de/9"), (8, "http://notcom/de/9"), (9, "http://n.net"), (10, "://"), (11, "http://h.com/de/1"), (11, "http://h.com/de/1")]
-    pages += [(20 + i, f"http://h{i % 3}.com/{'de' if i % 2 else 'fr'}/{i}") for i in range(40)] + [(70 + i, f"http://h{i % 3}.com/zz/{i}.html") for i in range(9)]
-    spark.createDataFrame([(a, b, "<p>") for a, b in pages], "page_id long, url string, html string").write.parquet(f"{root}/pages.parquet")
-    chat = [(1, 0, "user", "hi <turn:assistant> \\l"), (1, 1, "assistant", None), (1, 2, "user", ""), (1, 2, "user", ""), (2, 5, None, "x</turn>\n"), (3, 0, "assistant", "\\b\\l<>\\"), (3, 1, "assistant", "é😀")]
-    chat += [(9, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(70)]
-    spark.createDataFrame(chat, "conv_id long, turn long, role string, text string").withColumn("node_id", __import__("pyspark").sql.functions.lit(1)).write.parquet(f"{root}/conversations.parquet")
-    return str(root)
-
-
-@pytest.fixture(scope="module")
-def empty(spark, data, tmp_path_factory):
-    root = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "benchmark", "labels", "pages", "conversations"):
-        spark.read.parquet(f"{data}/{name}.parquet").limit(0).write.parquet(f"{root}/{name}.parquet")
-    return str(root)
-
-
-GIVEN = "/root/testdata/sf0.001"
-
-
-@pytest.fixture(params=["hard", "given"])
-def folder(request, data):
-    return data if request.param == "hard" else GIVEN
+from brute_force import WORDS, bench_words, contamination, grams, item_windows, linked, low
 
 
 def answers(spark, folder, name):
@@ -139,30 +87,6 @@ def test_op8_token_counts(spark, folder):
         assert n <= 4096 and r["fit_chars"] == len(text) or len(library.encode(text[:r["fit_chars"] + 1])) > 4096
 
 
-def bench_words(text):
-    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text or ""))
-
-
-def contamination(text, windows):
-    ws = bench_words(text)
-    hit, items = set(), set()
-    for n in {len(w) for w in windows}:
-        for i in range(len(ws) - n + 1):
-            for item in windows.get(tuple(ws[i:i + n]), ()):
-                items.add(item)
-                hit.update(range(i, i + n))
-    return len(ws), len(hit), items
-
-
-def item_windows(spark, folder):
-    windows = defaultdict(set)
-    for b in spark.read.parquet(f"{folder}/benchmark.parquet").collect():
-        ws = bench_words(b.text)
-        for i in range(max(1, len(ws) - 12) if ws else 0):
-            windows[tuple(ws[i:i + 13])].add(b.item_id)
-    return windows
-
-
 def test_op9_contamination(spark, folder):
     windows = item_windows(spark, folder)
     docs = {d.doc_id: d.text for d in documents(spark, folder)}
@@ -192,32 +116,6 @@ def test_op10_chat(spark, folder):
         assert r["formatted_chars"] >= len(told)
 
 
-def grams(text):
-    ws = re.findall(r"[^\x20\x09-\x0D]+", low(text or ""))
-    return {tuple(ws[i:i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
-
-
-def linked(sets):
-    """Components by comparing all pairs that share a gram; ids to their least id."""
-    root = {i: i for i in range(len(sets))}
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    lists = defaultdict(list)
-    for i, s in enumerate(sets):
-        for g in s:
-            lists[g].append(i)
-    for i, s in enumerate(sets):
-        for j, n in Counter(j for g in s for j in lists[g] if j < i).items():
-            if 100 * n >= 75 * (len(s) + len(sets[j]) - n):
-                root[find(i)] = find(j)
-    return [find(i) for i in range(len(sets))]
-
-
 def test_op6_components(spark, folder):
     docs = documents(spark, folder)
     sets = [grams(d.text) for d in docs]

@@ -10,7 +10,7 @@ from sunward.llm import chat_trees, decontamination, jaccard_join, mixing, quali
 from sunward.llm.components import components
 from sunward.llm.shared import n_words
 
-from test_contracts import contamination, data, grams, item_windows, linked  # noqa: F401
+from brute_force import contamination, grams, item_windows, linked
 
 SMALL = "/root/testdata/sf0.1"
 
@@ -103,7 +103,7 @@ def test_mixed_documents_meet_their_targets(spark):
     assert all(abs(got[r.source] - r.target) <= r.most for r in plan)
 
 
-def test_pipeline_stage_by_stage(spark, data):  # noqa: F811
+def test_pipeline_stage_by_stage(spark, data):
     import corpus_pipeline
     docs = spark.read.parquet(f"{data}/documents.parquet")
     before = docs.select("doc_id", "text", "lang", "source", "n_chars").collect()
