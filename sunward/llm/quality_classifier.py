@@ -17,12 +17,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import LOWER_BYTES, WordHashes, arrow_pass
+from .shared import LOWER_BYTES, WordHashes, arrow_pass, release, stored
 
 BITS = 18
 #: Documents scored at a time.
 BATCH = 512
-#: Most graded rows that are fitted on, and hashed tokens of a row that are used to fit (all are used to score).
+#: Most graded rows that are fitted on; of each its whole text.
 SAMPLE = 20_000
 #: A token must stand in so many sampled rows to have a weight.
 LEAST_ROWS = 5
@@ -31,6 +31,8 @@ APART = 4.5
 #: Bytes of the beginnings of words that are tokens too: rare words of one stem share their evidence.
 STEMS = (5, 7)
 PENALTY, STEP, ROUNDS = 1e-4, 0.1, 400
+#: Numbers that the fit works on at a time.
+BLOCK = 1 << 19
 #: Documents are selected if P(grade >= GOOD) is at least this.
 GOOD, SELECT = 2, 0.5
 
@@ -61,54 +63,49 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
 
-def telling(index: np.ndarray, owner: np.ndarray, grades: np.ndarray) -> np.ndarray:
-    """Buckets whose rows have a share of some grade or better that chance alone would not give.
-
-    Each threshold is asked for itself: rows of a middle grade hardly move the mean of all grades.
-    """
-    n = np.bincount(index, minlength=1 << BITS)
-    known = np.zeros(1 << BITS, bool)
-    for k in range(1, int(grades.max()) + 1):
-        reached = (grades >= k).astype(np.float64)
-        share = np.bincount(index, reached[owner], minlength=1 << BITS) / np.maximum(n, 1)
-        known |= np.abs(share - reached.mean()) * np.sqrt(n) >= APART * reached.std()
-    return known & (n >= LEAST_ROWS)
+def objective(theta, column, bounds, grades, top, block=BLOCK):
+    """Penalised mean of -log P(grade) and its gradient; ``theta``: weights, first threshold, logarithms of the gaps."""
+    k, n = len(theta) - top, len(grades)
+    w, gaps = theta[:k], np.exp(theta[k + 1:])
+    cuts = theta[k] + np.concatenate([[0.0], np.cumsum(gaps)])
+    loss, by_weight, by_cut = PENALTY * (w @ w) / 2, PENALTY * w, np.zeros(top + 2)
+    at = 0
+    while at < n:
+        # as many rows as have about ``block`` numbers, so that no array as long as all of them is made
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + block, side="right")) - 1)
+        own, rows = column[bounds[at]:bounds[to]], np.arange(to - at)
+        owner = np.repeat(rows, np.diff(bounds[at:to + 1]))
+        score = np.bincount(owner, w[own], minlength=to - at)
+        tail = 1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -50, 50)))
+        full = np.concatenate([np.ones((to - at, 1)), tail, np.zeros((to - at, 1))], axis=1)
+        slope, g = full * (1 - full), grades[at:to]
+        p = np.maximum(full[rows, g] - full[rows, g + 1], 1e-12)
+        loss -= np.log(p).sum() / n
+        # derivative of -log p by the score, and by each threshold
+        by_score = -(slope[rows, g] - slope[rows, g + 1]) / p / n
+        np.add.at(by_cut, g, slope[rows, g] / p / n)
+        np.add.at(by_cut, g + 1, -slope[rows, g + 1] / p / n)
+        by_weight += np.bincount(own, by_score[owner], minlength=k)
+        at = to
+    later = np.cumsum(by_cut[1:top + 1][::-1])[::-1]
+    return loss, np.concatenate([by_weight, later[:1], later[1:] * gaps])
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, top: int) -> Model | None:
+def fit(column: np.ndarray, bounds: np.ndarray, grades: np.ndarray, used: np.ndarray, top: int, rounds=ROUNDS) -> Model | None:
     """Maximum penalised likelihood by full-batch Adam; thresholds stay ordered by their gaps.
 
-    None if there are fewer than two grades to tell apart.
+    Row i has the tokens ``column[bounds[i]:bounds[i + 1]]``, which are places in ``used``, the
+    buckets that have a weight. None if there are fewer than two grades to tell apart.
     """
     if len(set(grades.tolist())) < 2:
         return None
-    index = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    known = telling(index, owner, grades)
-    index, owner = index[known[index]], owner[known[index]]
-    used, column = np.unique(index, return_inverse=True)
     # start at the thresholds that the grades' shares alone give
     share = np.array([(np.sum(grades >= k) + 1) / (len(grades) + 2) for k in range(1, top + 1)])
     start = np.log((1 - share) / share)
     theta = np.concatenate([np.zeros(len(used)), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    at = np.arange(len(grades))
-    for t in range(1, ROUNDS + 1):
-        w, gaps = theta[:len(used)], np.exp(theta[len(used) + 1:])
-        cuts = theta[len(used)] + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = np.bincount(owner, w[column], minlength=len(rows))
-        tail = 1 / (1 + np.exp(np.clip(cuts[None, :] - score[:, None], -50, 50)))
-        full = np.concatenate([np.ones((len(rows), 1)), tail, np.zeros((len(rows), 1))], axis=1)
-        slope = full * (1 - full)
-        p = np.maximum(full[at, grades] - full[at, grades + 1], 1e-12)
-        # derivative of -log p by the score, and by each threshold
-        by_score = -(slope[at, grades] - slope[at, grades + 1]) / p / len(rows)
-        by_cut = np.zeros(top + 2)
-        np.add.at(by_cut, grades, slope[at, grades] / p / len(rows))
-        np.add.at(by_cut, grades + 1, -slope[at, grades + 1] / p / len(rows))
-        by_cut = by_cut[1:top + 1]
-        tails_of = np.cumsum(by_cut[::-1])[::-1]
-        gradient = np.concatenate([np.bincount(column, by_score[owner], minlength=len(used)) + PENALTY * w, tails_of[:1], tails_of[1:] * gaps])
+    for t in range(1, rounds + 1):
+        _, gradient = objective(theta, column, bounds, grades, top)
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient ** 2
         theta = theta - STEP * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
     weights = np.zeros(1 << BITS, np.float64)
@@ -125,28 +122,71 @@ def grades_of(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", grade.alias("grade")).dropna().groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
-def sample(docs: DataFrame, graded: DataFrame, most=SAMPLE, seed=29) -> tuple[list, np.ndarray]:
-    """Features and grades of the ``most`` graded rows that come first by a hash of their id."""
+def sample(docs: DataFrame, graded: DataFrame, most=SAMPLE, seed=29) -> DataFrame:
+    """Stored: doc_id, grade, features of the ``most`` graded rows that come first by a hash of their id."""
     first = graded.withColumn("order", F.xxhash64(F.lit(seed), "doc_id")).orderBy("order", "doc_id").limit(most).select("doc_id", "grade")
 
     def scan(batches):
-        for batch in batches:
-            found = [features(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "grade", "features"])
+        for batch in (b.slice(i, BATCH) for b in batches for i in range(0, len(b), BATCH)):
+            found = [features(t).astype(np.int32) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "grade", "features"])
 
     # at most ``most`` rows of two numbers: a proven bound
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(first), "doc_id").select("doc_id", "grade", "text")
-    found = arrow_pass(rows, scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, grade int, features array<long>")
-    table = found.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("features").alias("features")).orderBy("doc_id").toArrow()
-    flat = table.column("features").combine_chunks()
-    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
-    return [np.asarray(x.values, np.int64) if x.is_valid else np.zeros(0, np.int64) for x in flat], table.column("grade").to_numpy().astype(np.int64)
+    found = arrow_pass(rows, scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, grade int, features array<int>")
+    return stored(found.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("features").alias("features")), "graded")
+
+
+def telling(rows: DataFrame, per_grade: dict[int, int]) -> DataFrame:
+    """Buckets whose rows have a share of some grade or better that chance alone would not give.
+
+    Each threshold is asked for itself: rows of a middle grade hardly move the mean of all grades.
+    Counts are grouped sums, made in part before they are shuffled; at most 2^BITS buckets are left.
+    """
+    n, top = sum(per_grade.values()), max(per_grade)
+    met = rows.select("grade", F.explode("features").alias("bucket"))
+    reached = [F.sum((F.col("grade") >= k).cast("long")).alias(f"reached_{k}") for k in range(1, top + 1)]
+    counts = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *reached)
+    known = F.lit(False)
+    for k in range(1, top + 1):
+        mean = sum(c for g, c in per_grade.items() if g >= k) / n
+        known = known | (F.abs(F.col(f"reached_{k}") / F.col("n") - mean) * F.sqrt("n") >= APART * (mean * (1 - mean)) ** 0.5)
+    return counts.filter(known & (F.col("n") >= LEAST_ROWS)).select("bucket")
 
 
 def train(docs: DataFrame, graded: DataFrame, most=SAMPLE) -> Model | None:
-    """``graded`` has doc_id and grade (0, 1, ...)."""
-    rows, grades = sample(docs, graded, most)
-    return fit(rows, grades, int(grades.max())) if len(grades) else None
+    """``graded`` has doc_id and grade (0, 1, ...). Two passes over the stored sample: the first counts
+    (bucket, grade) in Spark, the second sends only telling buckets to the driver, four bytes each."""
+    rows = sample(docs, graded, most)
+    per_grade = {g: n for g, n in rows.groupBy("grade").count().collect()}
+    if len(per_grade) < 2:
+        release(rows)
+        return None
+    used = np.sort(np.asarray(telling(rows, per_grade).toArrow().column("bucket"), np.int64))
+    sent = docs.sparkSession.sparkContext.broadcast(used.astype(np.int32))
+
+    def narrow(batches):
+        for batch in batches:
+            kept, tokens = sent.value, batch.column(2)
+            values, lengths = np.asarray(tokens.flatten()), np.diff(np.asarray(tokens.offsets))
+            place = np.searchsorted(kept, values)
+            known = np.zeros(len(values), bool)
+            if len(kept):
+                known = kept[np.minimum(place, len(kept) - 1)] == values
+            ends = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(lengths)])].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(place[known].astype(np.int32)))], ["doc_id", "grade", "tokens"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    # in the order of ids, so that sums of a repeated run round alike
+    table = arrow_pass(rows, narrow, f"doc_id {kind}, grade int, tokens array<int>").orderBy("doc_id").select("grade", "tokens").toArrow()
+    tokens = table.column("tokens")
+    column = np.concatenate([np.zeros(0, np.int32), *[np.asarray(c.flatten()) for c in tokens.chunks]])
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(np.asarray(c.offsets)) for c in tokens.chunks]).astype(np.int64))])
+    grades = table.column("grade").to_numpy().astype(np.int64)
+    del table, tokens
+    release(rows)
+    sent.destroy()
+    return fit(column, bounds, grades, used, max(per_grade))
 
 
 def scored(docs: DataFrame, model: Model | None, good=GOOD, select=SELECT) -> DataFrame:

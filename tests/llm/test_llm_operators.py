@@ -163,3 +163,47 @@ def test_templates_of_deep_paths_keep_branches_behind_wildcards_apart(spark):
     rows = url_templates.template_tree(frame.select("host", url_templates.segment_shapes(F.col("path")).alias("shapes"), "good")).collect()
     deep = {(r.template, r.purity < 0.5) for r in rows if r.labelled}
     assert len(rows) == 121 and deep == {("h/a/b/c/*/spam", True), ("h/a/b/c/*/about", False)}
+
+
+def test_fit_is_where_an_independent_descent_ends():
+    """Loss and slopes by loops and finite differences; no point near the fitted one is better."""
+    rng = np.random.default_rng(6)
+    rows = [np.sort(rng.choice(5, rng.integers(0, 5), replace=False)) for _ in range(60)]
+    grades = np.array([min(2, max(0, int(round(len(r) / 2 + rng.normal())))) for r in rows])
+    column, bounds = np.concatenate(rows).astype(np.int32), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+
+    def loss(theta):
+        w, cuts = theta[:5], (theta[5], theta[5] + np.exp(theta[6]))
+        out = quality_classifier.PENALTY * sum(w ** 2) / 2
+        for r, g in zip(rows, grades):
+            tails = [1.0, *[1 / (1 + np.exp(c - sum(w[i] for i in r))) for c in cuts], 0.0]
+            out -= np.log(tails[g] - tails[g + 1]) / len(rows)
+        return out
+
+    for theta in rng.normal(size=(5, 7)):
+        value, slope = quality_classifier.objective(theta, column, bounds, grades, 2, block=7)
+        assert value == pytest.approx(loss(theta))
+        for i in range(7):
+            step = np.eye(7)[i] * 1e-6
+            assert slope[i] == pytest.approx((loss(theta + step) - loss(theta - step)) / 2e-6, abs=1e-6)
+    model = quality_classifier.fit(column, bounds, grades, np.arange(5), 2)
+    best = np.concatenate([model.weights[:5], model.thresholds[:1], np.log(np.diff(model.thresholds))])
+    theta = np.zeros(7)
+    for _ in range(4000):
+        theta -= 0.5 * np.array([(loss(theta + np.eye(7)[i] * 1e-6) - loss(theta - np.eye(7)[i] * 1e-6)) / 2e-6 for i in range(7)])
+    assert loss(best) == pytest.approx(loss(theta), abs=1e-4)
+
+
+def test_telling_buckets_are_counted_as_by_hand(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, int(g), sorted({int(b) for b in rng.integers(0, 40, 6)} | ({100} if g == 2 else set()) | ({101} if g == 1 and i % 2 else set()))) for i, g in enumerate(rng.integers(0, 3, 400))]
+    frame = spark.createDataFrame(rows, "doc_id long, grade int, features array<int>")
+    per_grade = {g: sum(r[1] == g for r in rows) for g in range(3)}
+    want = set()
+    for b in {b for r in rows for b in r[2]}:
+        own = [g for _, g, bs in rows if b in bs]
+        for k in (1, 2):
+            mean = sum(g >= k for _, g, _ in rows) / len(rows)
+            if len(own) >= quality_classifier.LEAST_ROWS and abs(sum(g >= k for g in own) / len(own) - mean) * len(own) ** 0.5 >= quality_classifier.APART * (mean * (1 - mean)) ** 0.5:
+                want.add(b)
+    assert {r.bucket for r in quality_classifier.telling(frame, per_grade).collect()} == want and 100 in want
