@@ -11,11 +11,13 @@ the length filter (sizes within t), the positional filter (what is left behind t
 still reach the overlap) and, per pair, the suffix filter (a split of both remainders at a pivot
 bounds the overlap) before sets are compared.
 
-Near copies of one text are thousands that all resemble each other. Where lists hold many more
-pairs than entries, pairs are not listed at first: in rounds, every list links its members to one
-hub. Then members of lists that still hold several components are compared with each other, so
-that every pair across components is decided. No link between components is lost, while pairs
-inside one need no comparison.
+Near copies of one text are thousands that all resemble each other. The order is one for all sets,
+so lists with the same members are met by each of them in the same order, and the first of them
+stands for the rest. Then each list links its members to one hub: the member that meets the gram
+first, which of near copies is the one that was changed least. Classes so linked are one component;
+what is left are pairs across components of one list. The filters are asked of all of them as they
+are met, so few are left to verify, and every one of these is verified. No link between components
+is lost, while pairs inside one need no comparison.
 """
 
 import zlib
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components, union
-from .shared import WordHashes, arrow_pass, gram_sets, release, stored
+from .shared import WordHashes, arrow_pass, free_names, gram_sets, release, stored
 
 GRAM = 5
 #: Similarity as a fraction of integers: 75 of 100.
@@ -36,8 +38,6 @@ SKETCH_BITS = 22
 #: Cells of the bitmap for each prefix gram, and its most bits (32 MB); beyond them it lets more
 #: through, and the result is the same. Tasks add sketch and bitmap up in pieces.
 CELLS, MOST_BITS, PIECES = 4, 28, 64
-#: Pairs across components, per entry of the lists, up to which all of them are decided at once.
-DENSE = 5
 #: Documents hashed at a time.
 BATCH = 512
 #: Bits of the bitmap that thins out the documents read again for their sets.
@@ -177,10 +177,12 @@ def reach(n, m, place, other):
 
 
 def entries(rows: DataFrame) -> DataFrame:
-    """Inverted lists of the prefix grams that at least two classes have: token, class, n, place.
+    """Stored: inverted lists of the prefix grams that at least two classes have (token, class, n, place), one of each set of members.
 
-    Grams alone in their cell of the bitmap go first, without a shuffle; then a grouped minimum
-    and maximum of the classes, which copies of one text do not change, finds the lists of one.
+    Grams alone in their cell of the bitmap go first, without a shuffle, then copies of one class
+    as arrays. Lists are told apart by the number of their members and two 64-bit digests that do
+    not depend on order; of equal ones the gram that comes first in its members' order stays, and
+    the first gram that two sets share is never dropped for a later one.
     """
     found, bits = repeated_cells(rows)
     sent = rows.sparkSession.sparkContext.broadcast(found)
@@ -189,19 +191,25 @@ def entries(rows: DataFrame) -> DataFrame:
         bitmap = sent.value
         for batch in batches:
             prefix = batch.column(2)
-            tokens = np.asarray(prefix.flatten())
-            lengths = np.diff(np.asarray(prefix.offsets))
+            tokens, offsets = np.asarray(prefix.flatten()), np.asarray(prefix.offsets)
+            lengths = np.diff(offsets)
             cells = repeat_cells(tokens, bits)
             keep = (bitmap[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
             place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            owner = np.repeat(np.arange(len(lengths)), lengths)[keep]
-            ns, keys = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(keys[owner]), pa.array(ns[owner].astype(np.int32)), pa.array(place[keep].astype(np.int32))], ["token", "class", "n", "place"])
+            ends = np.concatenate([[0], np.cumsum(keep)])[offsets - offsets[0]].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (tokens[keep], place[keep].astype(np.int32))]
+            some = pa.array(np.diff(ends) > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0).cast(pa.int32()), *lists], ["class", "n", "tokens", "places"]).filter(some)
 
-    each = arrow_pass(rows.filter("class is not null").select("n", "class", "prefix"), scan, "token long, class long, n int, place int")
-    shared = each.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("token")
-    out = stored(each.join(shared, "token").select("token", "class", "n", "place").distinct(), "gram-lists")
+    live = arrow_pass(rows.filter("class is not null").select("n", "class", "prefix"), scan, "class long, n int, tokens array<long>, places array<int>")
+    live = stored(live.dropDuplicates(["class"]), "gram-live")
     sent.destroy()
+    each = live.select("class", "n", F.explode(F.arrays_zip("tokens", "places")).alias("e")).select(F.col("e.tokens").alias("token"), "class", "n", F.col("e.places").alias("place"))
+    members = [F.bit_xor(F.xxhash64(F.lit(salt), "class")).alias(f"members_{salt}") for salt in (1, 2)]
+    per = each.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.sum("place").alias("places"), *members).filter("size > 1")
+    chosen = per.groupBy("size", "members_1", "members_2").agg(F.min_by("token", F.struct("places", "token")).alias("token")).select("token")
+    out = stored(each.join(chosen, "token"), "gram-lists")
+    release(live)
     return out
 
 
@@ -272,33 +280,31 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return arrow_pass(full.select("a", "b", "x", "y"), compare, "a long, b long")
 
 
-def hub_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """Each list's members with its hub, where components differ and the filters let them pass.
-
-    ``turn`` chooses another hub in every round: the least class under a bit pattern.
-    """
-    salt = (0x5DEECE66D * turn * 0x2545F4914F6CDD1D) & ((1 << 63) - 1)
-    key = F.col("class").bitwiseXOR(F.lit(salt))
-    hubs = lists.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(key.alias("key"), "class", "part", "n", "place")).alias("hub")).filter("low <> high").select(F.col("token").alias("t"), "hub")
-    met = lists.join(hubs, F.col("token") == F.col("t")).filter((F.col("part") != F.col("hub.part")) & reach(F.col("n"), F.col("hub.n"), F.col("place"), F.col("hub.place")))
+def hub_pairs(lists: DataFrame) -> DataFrame:
+    """Each list's members with its hub, the member that meets the gram first, where the filters let them pass."""
+    hubs = lists.groupBy("token").agg(F.min(F.struct("place", "class", "n")).alias("hub")).select(F.col("token").alias("t"), "hub")
+    met = lists.join(hubs, F.col("token") == F.col("t")).filter((F.col("class") != F.col("hub.class")) & reach(F.col("n"), F.col("hub.n"), F.col("place"), F.col("hub.place")))
     return met.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")).distinct()
 
 
-def cross_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs of one list in different components that the filters let pass."""
-    open_ = lists.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("token")
-    live = lists.join(open_, "token", "left_semi")
-    other = live.select("token", F.col("class").alias("b"), F.col("part").alias("q"), F.col("n").alias("m"), F.col("place").alias("other"))
-    met = live.join(other, "token").filter((F.col("class") < F.col("b")) & (F.col("part") != F.col("q")) & reach(F.col("n"), F.col("m"), F.col("place"), F.col("other")))
-    return met.select(F.col("class").alias("a"), "b").distinct()
+def open_lists(lists: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Lists with members of several components, each entry with its ``part``."""
+    placed = lists.withColumn("part", F.col("class")) if parts is None else lists.join(parts.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("part", F.coalesce("root", "class")).drop("root")
+    several = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("token")
+    return placed.join(several, "token", "left_semi")
 
 
-def cross_count(lists: DataFrame) -> int:
-    """Pairs of entries across components, by counting."""
-    per = lists.groupBy("token", "part").count()
-    n = F.col("count").cast("double")
-    own = per.groupBy("token").agg((F.sum(n) * F.sum(n) - F.sum(n * n)).alias("pairs"))
-    return int((own.agg(F.sum("pairs")).first()[0] or 0) // 2)
+def cross_pairs(live: DataFrame) -> DataFrame:
+    """All pairs of one list in different components that the filters let pass.
+
+    The smaller of two sets has to meet a gram that both share early enough to overlap one of its
+    own size at least, so only such entries are asked for partners of their size and above.
+    """
+    small = live.filter((F.col("n") - F.col("place")) * (OVER + UNDER) >= F.col("n") * (2 * OVER))
+    other = live.select("token", F.col("class").alias("b"), F.col("part").alias("q"), F.col("n").alias("m"), F.col("place").alias("other"))
+    larger = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("class") < F.col("b")))
+    met = small.join(other, "token").filter(larger & (F.col("part") != F.col("q")) & reach(F.col("n"), F.col("m"), F.col("place"), F.col("other")))
+    return met.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
 
 
 def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -306,46 +312,36 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     rows: doc_id, n, class; parts: class, rep, part (a class of the same connected component);
     links: a, b. The links connect exactly the classes that all links of the full graph connect;
-    pairs that were known to be in one component were not compared.
+    pairs that were known to be in one component were not compared. All three are stored.
     """
     sketch = docs.sparkSession.sparkContext.broadcast(count_sketch(docs))
-    rows = stored(with_prefixes(docs, sketch), "gram-rows")
+    hashed = stored(with_prefixes(docs, sketch), "gram-prefixes")
     sketch.destroy()
+    rows = stored(hashed.select("doc_id", "n", "class"), "gram-rows")
     classes = stored(rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "gram-classes")
-    lists = entries(rows)
-    links, checked, parts, sets, wanted = [], [], None, [], []
-    n_entries, turn, grown = lists.count(), 0, True
-    while True:
-        placed = lists.withColumn("part", F.col("class")) if parts is None else lists.join(parts.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("part", F.coalesce("root", "class")).drop("root")
-        placed = stored(placed, "gram-placed")
-        last = not grown or cross_count(placed) <= DENSE * n_entries
-        pairs = cross_pairs(placed) if last else hub_pairs(placed, turn)
-        if checked:
-            pairs = pairs.join(union(checked), ["a", "b"], "left_anti")
-        pairs = stored(pairs, "gram-pairs")
-        # documents are read again only for the sets that no earlier round has read
-        asked = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        asked = classes.join(asked, "class", "left_semi")
-        asked = stored(asked.join(union(wanted), "class", "left_anti") if wanted else asked, "gram-asked")
-        if not asked.isEmpty():
-            wanted.append(asked.select("class"))
-            sets.append(candidate_sets(docs, asked))
-        found = stored(verified(pairs, union(sets)), "gram-links") if sets else pairs
-        grown = not found.isEmpty()
-        checked.append(pairs)
-        links.append(found)
-        if grown:
-            parts = components(union(links))
-        release(placed)
-        turn += 1
-        if last:
-            break
-    release(lists, *sets)
+    lists = entries(hashed)
+    release(hashed)
+    asked = stored(classes.join(lists.select("class").distinct(), "class", "left_semi"), "gram-asked")
+    sets = candidate_sets(docs, asked)
+    first = stored(hub_pairs(lists), "gram-pairs")
+    links = stored(verified(first, sets), "gram-links")
+    parts = None if links.isEmpty() else components(links)
+    live = stored(open_lists(lists, parts), "gram-open")
+    rest = stored(cross_pairs(live).join(first, ["a", "b"], "left_anti"), "gram-pairs")
+    more = stored(verified(rest, sets), "gram-links")
+    if not more.isEmpty():
+        if parts is not None:
+            release(parts)
+        parts = components(union([links, more]))
+    release(lists, asked, sets, first, live, rest)
     if parts is None:
         out = classes.withColumn("part", F.col("class"))
     else:
         out = classes.join(parts.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "rep", F.coalesce("root", "class").alias("part"))
-    return rows.select("doc_id", "n", "class"), out, union(links)
+    out = stored(out, "gram-parts")
+    every = stored(union([links, more]), "gram-links")
+    release(classes, links, more, *([] if parts is None else [parts]))
+    return rows, out, every
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -364,62 +360,46 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "class")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component, with the columns of ``docs``: the one with the least id.
-
-    Rows without words are components of their own and all stay. Rows that share an id that
-    stays all stay if their texts differ; a row repeated with its id and text stays once. Where
-    no row of a component has an id, its rows without id stay. Ids decide who stays, so a text
-    moves once, in the join with those ids. Where ids are NULL or repeated more than one row of
-    a component can stay; ``one_row_of_each`` keeps exactly one.
-    """
-    found = near_duplicates(docs.select("doc_id", "text"))
-    stays = found.filter(F.col("class").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = stored(stays.groupBy(F.col("doc_id").alias("stays")).agg(F.count(F.lit(1)).alias("stays_n")), "gram-stays")
-    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    named = [f"`{c}`" for c in docs.columns]
-    kept = docs.filter(worded).join(stays, F.col("doc_id").eqNullSafe(F.col("stays")))
-    out = [kept.filter("stays_n = 1").select(*named), docs.filter(~worded).select(*named)]
-    if not stays.filter("stays_n > 1").isEmpty():
-        out.append(kept.filter("stays_n > 1").select(*named).dropDuplicates(["doc_id", "text"]))
-    return union(out)
-
-
-def with_class(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` and gram_class: the digest of a text's set, NULL where it has no words."""
+def with_class(docs: DataFrame, name: str) -> DataFrame:
+    """The columns of ``docs`` and ``name``: the digest of a text's set, NULL where it has no words."""
     names, place = docs.columns, docs.columns.index("text")
 
     def scan(batches):
         for batch in (b.slice(i, BATCH) for b in batches for i in range(0, len(b), BATCH)):
             texts = [None if t is None else t.encode() for t in batch.column(place).to_pylist()]
             keys = [set_key(own) if len(own) else None for own in gram_sets(texts, _WORDS, GRAM)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*names, "gram_class"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], [*names, name])
 
-    return arrow_pass(docs, scan, ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "gram_class long"]))
+    return arrow_pass(docs, scan, ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), f"`{name}` long"]))
 
 
 def one_row_of_each(docs: DataFrame) -> DataFrame:
-    """Exactly one row of each component, with the columns of ``docs``; rows without words all stay.
+    """Exactly one row of each component, with all the columns of ``docs``; rows without words all stay.
 
     Of a component its class with the least id stays (classes without id last; ties by digest),
     and of that class the row with this id and the first text. Where one row has the id, the id
-    alone finds it; NULL and repeated ids are told apart by the digests of their texts.
+    alone finds it; NULL and repeated ids are told apart by the digests of their texts. NULL and
+    empty texts have no words; long texts are hashed whole; rows repeated in full leave one. The
+    names of other columns are free: those used in between are chosen beside them.
     """
     rows, parts, _ = similar_classes(docs.select("doc_id", "text"))
+    stay, digest, own = free_names(docs.columns, "gram_stay", 3)
     first = parts.groupBy("part").agg(F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "class")).alias("first"))
     again = rows.filter("class is not null and doc_id is not null").groupBy(F.col("doc_id").alias("again")).count().filter("count > 1").select("again")
-    stays = first.select(F.col("first.rep").alias("stays"), F.col("first.class").alias("stays_class")).join(again, F.col("stays") == F.col("again"), "left")
-    stays = stored(stays.select("stays", "stays_class", (F.col("stays").isNotNull() & F.col("again").isNull()).alias("alone")), "gram-stays")
+    stays = first.select(F.col("first.rep").alias(stay), F.col("first.class").alias(digest)).join(again, F.col(stay) == F.col("again"), "left")
+    stays = stored(stays.select(stay, digest, (F.col(stay).isNotNull() & F.col("again").isNull()).alias("alone")), "gram-stays")
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    named = [f"`{c}`" for c in docs.columns]
+    named = [F.col(f"`{c}`") for c in docs.columns]
     kept = docs.filter(worded)
-    out = [kept.join(stays.filter("alone").select("stays"), F.col("doc_id") == F.col("stays")).select(*named), docs.filter(~worded).select(*named)]
-    shared = stays.filter("not alone")
+    single = stays.filter("alone").select(stay)
+    out = [kept.join(single, F.col("doc_id") == F.col(stay)).select(*named), docs.filter(~worded).select(*named)]
+    shared = stays.filter("not alone").select(stay, digest)
     if not shared.isEmpty():
-        repeated = shared.filter("stays is not null").select("stays").distinct()
-        asked = with_class(union([kept.filter("doc_id is null").select(*named), kept.join(repeated, F.col("doc_id") == F.col("stays"), "left_semi").select(*named)]))
-        met = asked.join(shared, F.col("doc_id").eqNullSafe(F.col("stays")) & (F.col("gram_class") == F.col("stays_class")))
+        repeated = shared.filter(F.col(stay).isNotNull()).select(stay).distinct()
+        asked = with_class(union([kept.filter("doc_id is null").select(*named), kept.join(repeated, F.col("doc_id") == F.col(stay), "left_semi").select(*named)]), own)
+        met = asked.join(shared, F.col("doc_id").eqNullSafe(F.col(stay)) & (F.col(own) == F.col(digest)))
         row = F.struct(*named)
-        one = met.groupBy("stays", "stays_class").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row"))
-        out.append(one.select("row.*"))
+        one = met.groupBy(stay, digest).agg(F.min_by(row, F.struct("text", F.to_json(row))).alias(own))
+        out.append(one.select(f"{own}.*"))
+    release(rows, parts)
     return union(out)
