@@ -178,71 +178,76 @@ def stacked(df: DataFrame, keep, columns: dict, tag: str, value: str) -> DataFra
     return df.select(*keep, F.stack(F.lit(len(columns)), *parts).alias(tag, value))
 
 
-# Most rank requests that may be held by every task; beyond it the rows are shuffled to them.
-BROADCAST_ASKS = 50_000
+# Rank error of the summaries: one part in so many of a group's rows. Brackets allow for twice as much,
+# and for two ranks more in groups of over SMALL_GROUP values; of smaller ones all values are inside.
+SUMMARY_ACCURACY, SMALL_GROUP = 10_000, 2_000
 
 
-def exact_quantiles(df: DataFrame, keys, wanted: dict, coded: bool = False) -> DataFrame:
+def _brackets(rows: DataFrame, keys, values: dict, asks: dict) -> DataFrame:
+    """Per key, as arrays by request: the number of values (``__n``) and two values between which the wanted ranks lie.
+
+    The summaries are of bounded size and are merged before anything is shuffled; their rank error is
+    guaranteed, so the brackets are sure and hold a few in a thousand of a large group's rows.
+    """
+    slack = 2.0 / SUMMARY_ACCURACY + 2.0 / SMALL_GROUP
+    edges = {c: [x for p in asks[c] for x in (max(0.0, p - slack), min(1.0, p + slack))] for c in values}
+    found = rows.groupBy(*keys).agg(*[x for c, v in values.items() for x in (
+        F.count(v).alias(f"__n_{v}"), F.min(v).alias(f"__min_{v}"), F.max(v).alias(f"__max_{v}"), F.percentile_approx(v, F.array(*map(F.lit, edges[c])), F.lit(SUMMARY_ACCURACY)).alias(f"__e_{v}"))])
+    places = [(v, i) for c, v in values.items() for i in range(len(asks[c]))]
+
+    def edge(v, end, i):
+        return F.when(F.col(f"__n_{v}") <= SMALL_GROUP, F.col(f"__{end}_{v}")).otherwise(F.get(f"__e_{v}", F.lit(i)))
+
+    return found.select(*keys, F.array(*[F.col(f"__n_{v}") for v, _ in places]).alias("__n"),
+                        F.array(*[edge(v, "min", 2 * i) for v, i in places]).alias("__lo"), F.array(*[edge(v, "max", 2 * i + 1) for v, i in places]).alias("__hi"))
+
+
+def exact_quantiles(df: DataFrame, keys, wanted: dict) -> DataFrame:
     """Exact linearly interpolated quantiles per key, for groups of any size.
 
     ``wanted`` maps output name -> (column, probability); NULL, NaN and infinite values are
-    skipped. A first job counts rows per (key, column, value bucket) and finds which
-    buckets hold a wanted rank. The second pass reads only those buckets, as
-    distinct values with counts, and numbers them in chunks of their codes, so neither a
-    group nor a bucket is sorted in one task, however its values lie together.
-    The rank requests (a few per key) are counted: up to ``BROADCAST_ASKS``
-    they are broadcast, so the data are filtered in place; a longer list is
-    joined by shuffle. Groups without any value are absent from the result.
-    With ``coded`` the columns hold codes already (:func:`value_code` of finite values), so a
-    caller that repeats its rows works them out once.
+    skipped. A first pass brackets every wanted rank between two values of a mergeable summary.
+    The second counts what lies below a bracket and, by value, what lies inside it, in partial sums
+    before the shuffle; only the values of a bracket (a few in a thousand of a large group's rows) are
+    put in order. Nothing runs before the result is asked for, and the join with the brackets, one
+    row a key, is Spark's to plan. Groups without any value are absent from the result.
     """
     keys = list(keys)
     columns = sorted({c for c, _ in wanted.values()})
-    codes = {i: F.col(c) if coded else value_code(finite(F.col(c).cast("double"))) for i, c in enumerate(columns)}
-    rows = stacked(df, keys, codes, "__m", "__k").where(F.col("__k").isNotNull()).withColumn("__b", value_bucket(F.col("__k")))
-    group = keys + ["__m"]
-    histogram = rows.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    w = W.partitionBy(*group).orderBy("__b")
-    histogram = (histogram
-                 .withColumn("__hi", F.sum("__c").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-                 .withColumn("__n", F.sum("__c").over(W.partitionBy(*group))))
-    specs = F.array(*[F.struct(F.lit(i).alias("name"), F.lit(columns.index(c)).alias("m"), F.lit(float(p)).alias("p"))
-                      for i, (c, p) in enumerate(wanted.values())])
-    low = F.col("__hi") - F.col("__c")
-
-    def here(s):
-        at = (F.col("__n") - 1) * s["p"]
-        return (s["m"] == F.col("__m")) & (((F.floor(at) >= low) & (F.floor(at) < F.col("__hi")))
-                                           | ((F.ceil(at) >= low) & (F.ceil(at) < F.col("__hi"))))
-
-    asks = F.transform(F.filter(specs, here), lambda s: F.struct(s["name"].alias("__name"), ((F.col("__n") - 1) * s["p"]).alias("__pos")))
-    needed = histogram.select(*group, "__b", low.alias("__lo"), asks.alias("__asks")).where(F.size("__asks") > 0)
-    few = needed.limit(BROADCAST_ASKS + 1).collect()
-    if len(few) <= BROADCAST_ASKS:
-        needed = F.broadcast(df.sparkSession.createDataFrame(few, needed.schema))
-    found = join_null_safe(rows, needed, group + ["__b"], "inner")
-    counts = found.groupBy(*group, "__b", "__k").agg(
-        F.count(F.lit(1)).alias("__c"), F.first("__lo").alias("__lo"), F.first("__asks").alias("__asks"))
-    counts = counts.withColumn("__i", _inside(F.col("__k"), F.col("__b"))).withColumn("__v", code_value(F.col("__k")))
-    counts = running_total(counts, group + ["__b"], "__i", "__c", "__in", _CODE_WIDTHS)
-    counts = counts.withColumn("__from", F.col("__lo") + F.col("__in"))
-    counts = counts.withColumn("__to", F.col("__from") + F.col("__c"))
-    hits = counts.select(*keys, "__v", "__from", "__to", F.inline("__asks"))
-    below, above = F.floor("__pos"), F.ceil("__pos")
-
-    def at(rank):
-        return F.max(F.when((rank >= F.col("__from")) & (rank < F.col("__to")), F.col("__v")))
-
-    points = hits.groupBy(*keys, "__name").agg(at(below).alias("__x"), at(above).alias("__y"),
-                                               F.first(F.col("__pos") - below).alias("__t"))
-    points = points.withColumn("__q", F.col("__x") + (F.col("__y") - F.col("__x")) * F.col("__t"))
-    return points.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("__name") == i, F.col("__q"))).alias(n) for i, n in enumerate(wanted)])
-
-
-def with_quantiles(grouped: DataFrame, df: DataFrame, keys, wanted: dict, coded: bool = False) -> DataFrame:
+    asks = {c: sorted({float(p) for x, p in wanted.values() if x == c}) for c in columns}
+    values = {c: f"__v{i}" for i, c in enumerate(columns)}
+    rows = df.select(*keys, *[finite(F.col(c).cast("double")).alias(v) for c, v in values.items()])
+    requests = [(c, p) for c in columns for p in asks[c]]
+    brackets = _brackets(rows, keys, values, asks)
+    met = join_null_safe(rows, brackets, keys, "inner") if keys else beside(rows, brackets)
+
+    def inside(i, v):
+        # NULL stands for all that is below the bracket, and comes first in order
+        return F.when(v <= F.get("__hi", F.lit(i)), F.struct(F.lit(i).alias("__r"), F.when(v >= F.get("__lo", F.lit(i)), v).alias("__v"), F.get("__n", F.lit(i)).alias("__n")))
+
+    told = met.select(*keys, F.inline(F.filter(F.array(*[inside(i, F.col(values[c])) for i, (c, _) in enumerate(requests)]), lambda x: x.isNotNull())))
+    counts = told.groupBy(*keys, "__r", "__v").agg(F.count(F.lit(1)).alias("__c"), F.max("__n").alias("__n"))
+    upto = F.sum("__c").over(W.partitionBy(*keys, "__r").orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    at = (F.col("__n") - 1) * F.element_at(F.array(*[F.lit(p) for _, p in requests]), F.col("__r") + 1)
+    counts = counts.withColumn("__to", upto).withColumn("__from", F.col("__to") - F.col("__c")).withColumn("__pos", at)
+
+    def ranked(rank, i):
+        return F.max(F.when((F.col("__r") == i) & (rank >= F.col("__from")) & (rank < F.col("__to")), F.col("__v")))
+
+    def quantile(i):
+        x, y = ranked(F.floor("__pos"), i), ranked(F.ceil("__pos"), i)
+        part = F.max(F.when(F.col("__r") == i, F.col("__pos") - F.floor("__pos")))
+        missed = part.isNotNull() & (x.isNull() | y.isNull())
+        return F.when(missed, F.raise_error(F.lit("a wanted rank lies outside of its bracket")).cast("double")).otherwise(x + (y - x) * part)
+
+    place = {request: i for i, request in enumerate(requests)}
+    out = counts.groupBy(*keys).agg(*[quantile(place[c, float(p)]).alias(n) for n, (c, p) in wanted.items()])
+    return out if keys else out.where(reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in wanted]))
+
+
+def with_quantiles(grouped: DataFrame, df: DataFrame, keys, wanted: dict) -> DataFrame:
     """``grouped`` (one row per key) widened by :func:`exact_quantiles`."""
-    found = exact_quantiles(df, keys, wanted, coded)
+    found = exact_quantiles(df, keys, wanted)
     if not keys:
         return beside(grouped, found)
     return join_null_safe(grouped, found, list(keys))

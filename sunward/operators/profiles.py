@@ -10,7 +10,7 @@ from ..functions.binning import cut, floor_bin
 from ..functions.errors import Pair
 from ..functions.values import beside, count_if, finite, holds, is_finite, ratio
 from .align import _tag, offset_block
-from .ordered import average_ranks, islands, stacked, value_code, with_quantiles
+from .ordered import average_ranks, islands, stacked, with_quantiles
 
 INF = float("inf")
 # Fixed bin edges.
@@ -139,7 +139,7 @@ def ratio_profiles(df: DataFrame, dimensions: dict, ratios, probabilities=(.1, .
     ``dimensions`` maps name -> label column. Rows are repeated per dimension,
     but what is shuffled is one count per (dimension, bin, value bucket).
     """
-    clean = df.withColumns({r: value_code(finite(F.col(r).cast("double"))) for r in ratios})
+    clean = df.withColumns({r: finite(F.col(r).cast("double")) for r in ratios})
     rows = stacked(clean, ratios, {n: c.cast("string") for n, c in dimensions.items()}, "dimension", "bin")
     keys = ["dimension", "bin"]
     counts = []
@@ -147,7 +147,7 @@ def ratio_profiles(df: DataFrame, dimensions: dict, ratios, probabilities=(.1, .
         counts += [F.count(r).alias(f"{r}_finite"), (F.count(F.lit(1)) - F.count(r)).alias(f"{r}_excluded")]
     base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), *counts)
     wanted = {f"{r}_p{round(p * 100)}": (r, p) for r in ratios for p in probabilities}
-    return with_quantiles(base, rows, keys, wanted, coded=True)
+    return with_quantiles(base, rows, keys, wanted)
 
 
 def stratified_medians(df: DataFrame, keys, values) -> DataFrame:

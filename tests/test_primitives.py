@@ -54,15 +54,28 @@ def test_islands_longer_than_many_chunks(spark):
     assert got == [("u", 0, 2499, 2500), ("u", 2501, 4999, 2499)]
 
 
-@pytest.mark.parametrize("bound", [50_000, 0])
-def test_exact_quantiles_broadcast_and_shuffle(df, frame, bound, monkeypatch):
-    monkeypatch.setattr(o, "BROADCAST_ASKS", bound)
+@pytest.mark.parametrize("accuracy, small, bound", [(10_000, 2_000, "10m"), (10_000, 100, "-1"), (7, 50, "10m")])
+def test_exact_quantiles_by_any_summary_and_join(df, frame, accuracy, small, bound, monkeypatch):
+    monkeypatch.setattr(o, "SUMMARY_ACCURACY", accuracy)
+    monkeypatch.setattr(o, "SMALL_GROUP", small)
+    before = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
     probs = (0.0, 0.01, 0.1, 0.5, 0.9, 0.999, 1.0)
     got = o.exact_quantiles(df, ["k"], {f"q{i}": ("v", p) for i, p in enumerate(probs)}).toPandas().set_index("k").sort_index()
+    df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     want = frame.groupby("k").v.quantile(list(probs)).unstack().sort_index()
     assert np.allclose(got.to_numpy(), want.to_numpy())
 
 
+def test_quantiles_run_no_job_before_they_are_asked_for(df):
+    tracker, group = df.sparkSession.sparkContext.statusTracker(), "quantile-plan"
+    df.sparkSession.sparkContext.setJobGroup(group, "planning only")
+    plan = o.exact_quantiles(df, ["k"], {"a": ("v", .1), "b": ("v", .9)})
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    df.sparkSession.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not tracker.getJobIdsForGroup(group) and text.count("Exchange hashpartitioning") <= 6
+
+
 def test_exact_quantiles_without_keys_and_with_null_key(spark):
     rows = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0), ("a", None)], "k string, v double")
     assert o.exact_quantiles(rows, [], {"m": ("v", 0.5)}).first().m == 3.0
@@ -87,23 +100,13 @@ def test_value_codes_are_the_bits_of_doubles(spark):
     assert (got.k.to_numpy() == np.where(got.v < 0, -bits, bits)).all() and (got.w == got.v).all()
 
 
-def test_quantiles_of_values_that_lie_together(spark, monkeypatch):
+def test_quantiles_of_values_that_lie_together(spark):
     rows = spark.range(20_000).select(F.lit("a").alias("k"), (230.0 + F.col("id") / 40_000).alias("v"))
     odd = spark.createDataFrame([("a", float("nan")), ("a", float("inf")), ("a", float("-inf")), ("b", float("nan"))], "k string, v double")
-    seen = []
-    plain = o.running_total
-
-    def watched(df, keys, order, weight, name, widths=o.TIME_WIDTHS):
-        if widths and "__b" in keys:
-            seen.append(df.groupBy(*keys, F.floor(F.col(order) / widths[0])).count().agg(F.max("count")).first()[0])
-        return plain(df, keys, order, weight, name, widths)
-
-    monkeypatch.setattr(o, "running_total", watched)
     got = {r.k: r for r in o.exact_quantiles(rows.unionByName(odd), ["k"], {"m": ("v", 0.5), "top": ("v", 1.0), "q": ("v", 0.1)}).collect()}
     assert got.keys() == {"a"} and abs(got["a"].m - (230 + 9999.5 / 40_000)) < 1e-12 and got["a"].top == 230 + 19_999 / 40_000
     ranks = {r.v: r.r for r in o.average_ranks(rows.unionByName(odd), ["k"], "v", "r").collect()}
     assert len(ranks) == 20_000 and ranks[230.0] == 1.0 and ranks[230 + 19_999 / 40_000] == 20_000
-    assert seen and max(seen) <= 2 ** 14
 
 
 def test_map_edges_have_values(spark):
