@@ -177,7 +177,7 @@ def reach(n, m, place, other):
 
 
 def entries(rows: DataFrame) -> DataFrame:
-    """Stored: inverted lists of the prefix grams that at least two classes have (token, class, n, place), one of each set of members.
+    """Stored: inverted lists of the prefix grams that at least two classes have (token, class, n, place, size), one of each set of members.
 
     Grams alone in their cell of the bitmap go first, without a shuffle, then copies of one class
     as arrays. Lists are told apart by the number of their members and two 64-bit digests that do
@@ -207,7 +207,7 @@ def entries(rows: DataFrame) -> DataFrame:
     each = live.select("class", "n", F.explode(F.arrays_zip("tokens", "places")).alias("e")).select(F.col("e.tokens").alias("token"), "class", "n", F.col("e.places").alias("place"))
     members = [F.bit_xor(F.xxhash64(F.lit(salt), "class")).alias(f"members_{salt}") for salt in (1, 2)]
     per = each.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.sum("place").alias("places"), *members).filter("size > 1")
-    chosen = per.groupBy("size", "members_1", "members_2").agg(F.min_by("token", F.struct("places", "token")).alias("token")).select("token")
+    chosen = per.groupBy("size", "members_1", "members_2").agg(F.min_by("token", F.struct("places", "token")).alias("token")).select("token", "size")
     out = stored(each.join(chosen, "token"), "gram-lists")
     release(live)
     return out
@@ -288,7 +288,8 @@ def hub_pairs(lists: DataFrame) -> DataFrame:
 
 
 def open_lists(lists: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """Lists with members of several components, each entry with its ``part``."""
+    """Lists of three and more (hubs have met all of two) with members of several components, each entry with its ``part``."""
+    lists = lists.filter("size > 2")
     placed = lists.withColumn("part", F.col("class")) if parts is None else lists.join(parts.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("part", F.coalesce("root", "class")).drop("root")
     several = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("token")
     return placed.join(several, "token", "left_semi")
@@ -321,9 +322,11 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     classes = stored(rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "gram-classes")
     lists = entries(hashed)
     release(hashed)
-    asked = stored(classes.join(lists.select("class").distinct(), "class", "left_semi"), "gram-asked")
-    sets = candidate_sets(docs, asked)
     first = stored(hub_pairs(lists), "gram-pairs")
+    # one reading of the texts serves both steps: what hubs meet, and what may be left across components
+    met = union([first.select(F.col("a").alias("class")), first.select(F.col("b").alias("class")), lists.filter("size > 2").select("class")])
+    asked = stored(classes.join(met.distinct(), "class", "left_semi"), "gram-asked")
+    sets = candidate_sets(docs, asked)
     links = stored(verified(first, sets), "gram-links")
     parts = None if links.isEmpty() else components(links)
     live = stored(open_lists(lists, parts), "gram-open")
