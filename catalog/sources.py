@@ -130,16 +130,45 @@ def s12(t):
     return t.spark.read.schema("o_orderpriority string, records long, total double").option("header", True).csv(path)
 
 
-@query("s14_provenance")
+#: The given tables, and of each the columns that both engines write alike as text.
+GIVEN = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_nationkey", "c_mktsegment"], "supplier": ["s_suppkey", "s_nationkey"],
+         "part": ["p_partkey", "p_brand", "p_size"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"],
+         "events": ["event_id", "user_id", "event_type", "props"], "documents": ["doc_id", "text", "lang", "source", "n_chars"], "embeddings": [], "pages": ["page_id", "url", "html"],
+         "benchmark": ["item_id", "text"], "labels": ["doc_id", "quality", "toxic"], "conversations": ["conv_id", "turn", "role", "text"]}
+_TABLE = r"/([a-z]+)\.parquet(/[^/]*)?$"
+_COUNTS = " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS records FROM {name}" for name in GIVEN)
+
+
+def _sums(h):
+    return ", ".join(f"sum(CAST('0x' || substr({h}, {1 + 8 * i}, 8) AS BIGINT)) AS word{i + 1}" for i in range(4))
+
+
+@query("s14_provenance", f"""
+SELECT 'input' AS kind, name, '{{"records":' || records || '}}' AS content FROM ({_COUNTS})
+UNION ALL SELECT 'count', event_type, '{{"event_type":"' || event_type || '","records":' || count(*) || '}}' FROM events GROUP BY event_type
+UNION ALL SELECT 'settings', 'settings', '{{"cadence_minutes": 5}}' UNION ALL SELECT 'policy', 'policy', '{{"cleaning": "none"}}'
+""")
 def s14(t):
     counts = t.events.groupBy("event_type").agg(F.count("*").alias("records"))
-    return src.provenance(src.manifest(t.spark, f"{t.path}/events.parquet"), counts,
-                          {"cadence_minutes": 5}, {"cleaning": "none"})
+    inputs = src.manifest(t.spark, t.path).groupBy(F.regexp_extract("path", _TABLE, 1).alias("path")).agg(F.sum("records").alias("records"))
+    return src.provenance(inputs, counts, {"cadence_minutes": 5}, {"cleaning": "none"})
 
 
-@query("s15_manifest")
+@query("s15_manifest", _COUNTS, i="records")
 def s15(t):
-    return src.manifest(t.spark, f"{t.path}/lineitem.parquet").select("path", "length", "records", "digest")
+    """Every file of the folder, summed by table; each has to have a digest of its own."""
+    files = src.manifest(t.spark, t.path)
+    return files.where("length > 0 and length(digest) = 64").groupBy(F.regexp_extract("path", _TABLE, 1).alias("name")).agg(F.sum("records").alias("records"))
+
+
+@query("s15_manifest_columns", " UNION ALL ".join(
+    f"""SELECT '{name}' AS name, '{c}' AS "column", count(*) AS records, {_sums('h')} FROM (SELECT md5(coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')) AS h FROM {name})""" for name, columns in GIVEN.items() for c in columns),
+       i="records word1 word2 word3 word4", covers=("S15", "S16"))
+def s15c(t):
+    """The digest tree down to columns, over all given tables."""
+    nodes = src.summed(src.digest_leaves(t.spark, t.path).withColumn("name", F.regexp_extract("path", _TABLE, 1)), ["name", "column"])
+    known = F.array(*[F.lit(f"{name}.{c}") for name, columns in GIVEN.items() for c in columns])
+    return nodes.where(F.array_contains(known, F.concat_ws(".", "name", "column"))).select("name", "column", "records", *src.WORDS)
 
 
 @query("s15_manifest_changes", """
@@ -171,6 +200,16 @@ def s16(t):
     return src.fingerprint(t.events, ["event_id", "user_id", "event_type", "props"], ["event_type"])
 
 
+@query("s16_fingerprint_after", f"""
+SELECT event_type, count(*) AS records, {_sums('h')} FROM (SELECT event_type, md5({_ROW}) AS h FROM events WHERE event_type <> 'view') GROUP BY 1
+""", i="records word1 word2 word3 word4")
+def s16b(t):
+    """Views taken from the fingerprint of all rows but the clicks, and the clicks added to it."""
+    of = lambda df: src.fingerprint(df, ["event_id", "user_id", "event_type", "props"], ["event_type"])
+    kind = F.col("event_type")
+    return src.fingerprint_after(of(t.events.where(kind != "click")), of(t.events.where(kind == "click")), of(t.events.where(kind == "view")), ["event_type"])
+
+
 LEDGER = [("click", 300.0, "above channel ceiling"), ("view", 200.0, "above channel ceiling"), ("error", 330.0, "spike")]
 
 

@@ -1,7 +1,9 @@
 """Scans, sinks and content checks."""
 
 import json
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
@@ -109,18 +111,96 @@ def provenance(inputs: DataFrame, counts: DataFrame, settings: dict, policy: dic
     return files.unionByName(rows).unionByName(fixed)
 
 
-def manifest(spark: SparkSession, path) -> DataFrame:
-    """Path, length, modification time, rows and content digest of each Parquet file, whatever its size.
-
-    The digest is the order-independent fingerprint of the file's rows, summed by the tasks that
-    scan its splits; no file is held as one record. Files without rows are not listed.
+#: Rows of a block: the finest part of a file that has a digest of its own.
+BLOCK_ROWS = 1 << 20
+#: Name under which whole rows stand beside the columns, and lines of files that are not Parquet.
+WHOLE_ROW, LINES = "*", "lines"
+
+
+def list_files(spark: SparkSession, path) -> DataFrame:
+    """path, length, modificationTime of every file, empty ones too; no content is read."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return listing.select("path", "length", "modificationTime")
+
+
+def _folder(path: str) -> str:
+    """The folder of a table's part; folders named key=value are inside of it."""
+    folder = path.rpartition("/")[0]
+    while "=" in folder.rpartition("/")[2]:
+        folder = folder.rpartition("/")[0]
+    return folder
+
+
+def _scans(spark: SparkSession, names) -> list:
+    """One scan for each folder of parts whose schemas agree, and one for each schema among other files."""
+    parts, alone, out = {}, [], []
+    for name in names:
+        if name.rpartition("/")[2].startswith("part-"):
+            parts.setdefault(_folder(name), []).append(name)
+        else:
+            alone.append(name)
+    for files in parts.values():
+        try:
+            out.append(spark.read.option("mergeSchema", True).parquet(*files))
+        except Py4JJavaError as error:
+            if "CANNOT_MERGE_SCHEMAS" not in str(error):
+                raise
+            alone += files  # one name, two types
+    schemas = {}
+    for name in alone:
+        schemas.setdefault(spark.read.parquet(name).schema.json(), []).append(name)
+    return out + [spark.read.parquet(*files) for files in schemas.values()]
+
+
+def digest_leaves(spark: SparkSession, path, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Leaves of the digest tree: path, block, column, records and the four summed words of the column's digests.
+
+    One scan for each table (a folder of parts under the schema its files have together, or files of
+    one schema), and one for all files that are not Parquet, by lines. A column that a file does
+    not have counts as NULL there. Words of a file, or of a column, are sums of its leaves' words.
+    """
+    names = [r.path for r in list_files(spark, path).select("path").collect()]  # names only, as any scan holds them
+    found = [_leaves(df, rows) for df in _scans(spark, [n for n in names if n.endswith(".parquet")])]
+    others = [n for n in names if not n.endswith(".parquet")]
+    if others:
+        found.append(_leaves(spark.read.text(others).withColumnRenamed("value", LINES), None))
+    none = spark.createDataFrame([], "path string, block long, column string, records long, word1 long, word2 long, word3 long, word4 long")
+    return reduce(DataFrame.unionByName, found) if found else none
+
+
+def _leaves(df: DataFrame, rows: int | None) -> DataFrame:
+    columns = df.schema.fields
+    text = {f.name: F.to_json(F.struct(F.col(f"`{f.name}`"))) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(f"`{f.name}`").cast("string") for f in columns}
+    given = {name: _behind_length(c) for name, c in text.items()}
+    given[WHOLE_ROW] = F.concat(*given.values())
+    block = F.lit(0).cast("long") if rows is None else F.floor(F.col("_metadata.row_index") / rows)
+    digests = df.select(F.col("_metadata.file_path").alias("path"), block.alias("block"), *[F.md5(c).alias(f"__d{i}") for i, c in enumerate(given.values())])
+    sums = digests.groupBy("path", "block").agg(F.count(F.lit(1)).alias("records"), *[x.alias(f"__{i}_{k}") for i in range(len(given)) for k, x in enumerate(_words(F.col(f"__d{i}")))])
+    leaf = [F.struct(F.lit(name).alias("column"), *[F.col(f"__{i}_{k}").alias(w) for k, w in enumerate(WORDS)]) for i, name in enumerate(given)]
+    return sums.select("path", "block", "records", F.inline(F.array(*leaf))).select("path", "block", "column", "records", *WORDS)
+
+
+def summed(leaves: DataFrame, keys) -> DataFrame:
+    """Nodes of the digest tree above the leaves: by file, by column, by any ``keys``."""
+    return leaves.groupBy(*keys).agg(F.sum("records").alias("records"), *[F.sum(w).alias(w) for w in WORDS])
+
+
+def manifest(spark: SparkSession, path, leaves: DataFrame | None = None) -> DataFrame:
+    """Path, length, modification time, rows and content digest of every file, whatever its size, schema or kind.
+
+    The digest is that of the file's node in the tree of :func:`digest_leaves`: it does not depend on
+    the order of rows, and any change of a value, a column or a row changes it. Files without rows
+    are listed with none.
     """
-    df = spark.read.option("recursiveFileLookup", True).parquet(path)
-    at = F.col("_metadata")
-    rows = df.select(at["file_path"].alias("path"), at["file_size"].alias("length"), at["file_modification_time"].alias("modificationTime"), F.struct(*df.columns).alias("row"))
-    sums = fingerprint(rows.withColumn("row", F.to_json("row", {"ignoreNullFields": "false"})), ["row"], ["path", "length", "modificationTime"])
-    digest = F.sha2(F.concat_ws("/", *[F.col(c).cast("string") for c in ("records", *WORDS)]), 256)
-    return sums.select("path", "length", "modificationTime", "records", digest.alias("digest"))
+    files = list_files(spark, path)
+    node = F.sha2(F.concat_ws("/", *[F.col(c).cast("string") for c in ("column", "records", *WORDS)]), 256)
+    nodes = summed(digest_leaves(spark, path) if leaves is None else leaves, ["path", "column"]).withColumn("node", node)
+    # as many nodes as the file has columns
+    roots = nodes.groupBy(F.col("path").alias("__path")).agg(F.max("records").alias("records"), F.sha2(F.concat_ws("/", F.sort_array(F.collect_list("node"))), 256).alias("digest"))
+    # a listing and a scan may write a local path with one or three signs
+    same = F.regexp_replace(F.col("path"), "^file:/+", "file:/") == F.regexp_replace(F.col("__path"), "^file:/+", "file:/")
+    empty = F.sha2(F.lit(""), 256)
+    return files.join(roots, same, "left").select("path", "length", "modificationTime", F.coalesce("records", F.lit(0)).alias("records"), F.coalesce("digest", empty).alias("digest"))
 
 
 def manifest_changes(before: DataFrame, after: DataFrame, name: Column | None = None) -> DataFrame:
@@ -135,20 +215,49 @@ def manifest_changes(before: DataFrame, after: DataFrame, name: Column | None =
             .unionByName(b.exceptAll(a).withColumn("state", F.lit("after"))))
 
 
+def changed_columns(before: DataFrame, after: DataFrame, name: Column | None = None) -> DataFrame:
+    """Where two sets of leaves differ: path, block, column and the records of both (NULL where there is none)."""
+    shown = F.col("path") if name is None else name
+    digest = F.struct("records", *WORDS)
+    a = before.select(shown.alias("path"), "block", "column", digest.alias("before"))
+    b = after.select(shown.alias("path"), "block", "column", digest.alias("after"))
+    both = a.join(b, ["path", "block", "column"], "full").where(~F.col("before").eqNullSafe(F.col("after")))
+    return both.select("path", "block", "column", F.col("before.records").alias("records_before"), F.col("after.records").alias("records_after"))
+
+
 #: The four words of a row digest.
 WORDS = ("word1", "word2", "word3", "word4")
 
 
+def _behind_length(text: Column) -> Column:
+    """A field behind its length; a NULL field is a single sign no length has, so different rows give different texts."""
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
+def _words(digest: Column) -> list:
+    """The summed 32-bit words of a column of hex digests."""
+    return [F.sum(F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long")) for i in range(4)]
+
+
 def fingerprint(df: DataFrame, columns, keys=()) -> DataFrame:
     """Order-independent content fingerprint: row count and the summed words of row digests.
 
-    Each field stands behind its length, and a NULL field is a single sign no length has, so
-    different rows give different texts.
+    It is a digest of the multiset of rows, so the fingerprints of parts can be added and
+    subtracted: see :func:`fingerprint_after`.
+    """
+    text = F.concat(*[_behind_length(F.col(c).cast("string")) for c in columns])
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), *[w.alias(n) for w, n in zip(_words(F.md5(text)), WORDS)])
+
+
+def fingerprint_after(known: DataFrame, added: DataFrame, removed: DataFrame, keys=()) -> DataFrame:
+    """The fingerprint of a table after rows came and went, from its own and those of the rows alone.
+
+    All three have the columns of :func:`fingerprint`; keys that no row is left of are dropped.
     """
-    text = F.concat(*[F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns])
-    digest = F.md5(text)
-    words = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)]
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), *[F.sum(w).alias(n) for w, n in zip(words, WORDS)])
+    names = ("records", *WORDS)
+    signed = [f.select(*keys, *[(sign * F.col(c)).alias(c) for c in names]) for f, sign in ((known, 1), (added, 1), (removed, -1))]
+    out = reduce(DataFrame.unionByName, signed).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
+    return out.where("records > 0") if keys else out
 
 
 def literal_ledger(spark: SparkSession, rows, schema) -> DataFrame:

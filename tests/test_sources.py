@@ -79,3 +79,38 @@ def test_bounded_ingestion_resumes(spark, tmp_path):
     st.append_available(stream, sink, mark)
     out = spark.read.parquet(sink)
     assert out.count() == 48 and out.select("v").distinct().count() == 48
+
+
+def test_manifest_of_two_schemas_an_empty_file_and_text(spark, tmp_path):
+    one = spark.createDataFrame([(1, "a"), (2, None)], "x int, y string")
+    two = spark.createDataFrame([(1, 5.0), (2, 7.0)], "x int, z double")
+    states = []
+    for name, z, extra in (("before", 5.0, "k\n"), ("after", 6.0, "k\nk\n")):
+        root = tmp_path / name
+        one.coalesce(1).write.parquet(str(root / "t"))
+        two.withColumn("z", F.when(F.col("x") == 1, F.lit(z)).otherwise(F.col("z"))).coalesce(1).write.mode("append").parquet(str(root / "t"))
+        one.limit(0).coalesce(1).write.parquet(str(root / "none"))
+        two.withColumn("x", F.col("x").cast("string")).coalesce(1).write.parquet(str(root / "clash"))
+        one.coalesce(1).write.mode("append").parquet(str(root / "clash"))
+        (root / "notes.txt").write_text(extra)
+        states.append((src.manifest(spark, str(root)), src.digest_leaves(spark, str(root), rows=1)))
+    rows = states[0][0].collect()
+    assert len(rows) == 6 and sorted(r.records for r in rows) == [0, 1, 2, 2, 2, 2]
+    tables = F.regexp_extract("path", r"/(t|none|clash|notes)[^/]*(/[^/]*)?$", 1)
+    changed = {r.path for r in src.manifest_changes(states[0][0], states[1][0], tables).collect()}
+    assert changed == {"t", "notes"}
+    where = {(r.path, r.column) for r in src.changed_columns(*[x.withColumn("path", tables).groupBy("path", "block", "column").agg(*[F.sum(c).alias(c) for c in ("records", *src.WORDS)]) for _, x in states]).collect()}
+    assert where == {("t", "z"), ("t", "*"), ("notes", "lines"), ("notes", "*")}
+
+
+def test_fingerprint_of_parts_adds_up(spark):
+    rows = spark.createDataFrame([(i % 3, f"v{i % 7}") for i in range(60)] + [(None, None)] * 3, "k int, v string")
+    part = rows.withColumn("no", F.monotonically_increasing_id()).withColumn("part", F.col("no") % 4)
+    of = lambda df: src.fingerprint(df, ["k", "v"], ["k"])
+    known, added, removed = part.where("part < 3"), part.where("part = 3"), part.where("part = 1")
+    found = src.fingerprint_after(of(known), of(added), of(removed), ["k"])
+    assert sorted(map(str, found.collect())) == sorted(map(str, of(part.where("part <> 1")).collect()))
+    nothing = src.fingerprint_after(of(known), of(added), of(part), ["k"])
+    assert nothing.count() == 0
+    whole = lambda df: src.fingerprint(df, ["k", "v"])
+    assert src.fingerprint_after(whole(known), whole(added), whole(removed)).first() == whole(part.where("part <> 1")).first()
