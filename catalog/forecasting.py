@@ -434,13 +434,14 @@ def m29(t):
 
 @query("m30_example_loader", sql("""
 SELECT p.block, count(*) AS rows, count(*) FILTER (NOT coalesce(target_ts >= cutoff AND target_ts < block_end, false)) AS outside_block FROM (
-  SELECT 1 AS block, target_ts FROM origins WHERE day(ts) <= 11 UNION ALL SELECT 2, target_ts FROM origins WHERE day(ts) BETWEEN 12 AND 15) p JOIN blocks USING (block)
-WHERE target_ts < TIMESTAMP '2024-01-14' GROUP BY 1
+  SELECT CASE WHEN day(ts) <= 11 THEN 1 WHEN day(ts) <= 20 THEN 2 ELSE 3 END AS block, target_ts FROM origins) p JOIN blocks USING (block)
+WHERE target_ts < TIMESTAMP '2024-02-01' GROUP BY 1
 """, "origins", "blocks"), i='block "rows" outside_block')
 def m30(t):
     rows = origins(t)
-    steps = {1: rows.where(F.dayofmonth("ts") <= 11), 2: rows.where(F.dayofmonth("ts").between(12, 15))}
-    return ft.load_examples(steps, ft.training_blocks(edges(t)), F.expr("TIMESTAMP_NTZ '2024-01-14'"))[1]
+    day = F.dayofmonth("ts")
+    steps = {1: rows.where(day <= 11), 2: rows.where(day.between(12, 20)), 3: rows.where(day > 20)}
+    return ft.load_examples(steps, ft.training_blocks(edges(t)), F.expr("TIMESTAMP_NTZ '2024-02-01'"))[1]
 
 
 TRIALS = """trials AS (SELECT o_orderpriority || '_' || month(o_orderdate) AS id, o_orderpriority AS family, month(o_orderdate) AS rank, avg(o_totalprice) / 1000 AS day_mae, CASE WHEN month(o_orderdate) = 5 THEN 'failed' ELSE 'complete' END AS status,

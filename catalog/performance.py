@@ -96,8 +96,10 @@ def r04b(t):
     return monthly(t)[1]
 
 
-def slope_sql(source, value, lags=3, unit_count=24, origin=1998, group="'all'", name="fit", rounds=60):
-    """Alternating projections: unit and calendar-month means are taken off in turn until nothing is left of them."""
+def slope_sql(source, value, lags=3, unit_count=24, origin=1998, group="'all'", name="fit", rounds=60, zero=None):
+    """Alternating projections: unit and calendar-month means are taken off in turn until nothing is left of them; a further column is taken off what remains."""
+    if zero:
+        return _slope_with_zero_sql(source, value, lags, unit_count, origin, group, name, rounds, zero)
     weights = " + ".join(f"2 * (1 - {l} / {lags + 1}.0) * coalesce(sum(s * lag{l}), 0)" for l in range(1, lags + 1))
     # as many quantiles as there can be months in the given tables, and more
     crit = ", ".join(f"({n}, {pe.t_quantile(0.975, n)!r})" for n in range(1, 400))
@@ -114,6 +116,18 @@ SELECT f.g AS {name}, slope, slope - crit * sqrt(greatest(meat, 0)) / q AS "lowe
   units + months12 AS "rank", units + 12 AS parameters FROM f JOIN m ON m.g = f.g JOIN (VALUES {crit}) AS c(n, crit) ON c.n = greatest(1, months - (units + 12) // {unit_count} - 2)"""
 
 
+def _slope_with_zero_sql(source, value, lags, unit_count, origin, group, name, rounds, zero):
+    plain = slope_sql(source, value, lags, unit_count, origin, group, name, rounds)
+    plain = plain.replace("AS t FROM", f"AS t, {zero}::DOUBLE AS z FROM").replace("month, t, y FROM a", "month, t, y, z FROM a")
+    for part in ("month(month)", "unit"):
+        plain = plain.replace(f"y - avg(y) OVER (PARTITION BY g, {part})", f"y - avg(y) OVER (PARTITION BY g, {part}) AS y, z - avg(z) OVER (PARTITION BY g, {part})")
+    plain = plain.replace("(PARTITION BY g, month(month)) FROM", "(PARTITION BY g, month(month)) AS z FROM").replace("z - avg(z) OVER (PARTITION BY g, unit) AS y FROM", "z - avg(z) OVER (PARTITION BY g, unit) AS z FROM")
+    less = "b0.{0} - k.{0}z / k.zz * b0.z"
+    rest = f"b AS (SELECT b0.g, unit, month, {less.format('t')} AS td, {less.format('y')} AS yd FROM b0 JOIN (SELECT g, sum(t * z) AS tz, sum(y * z) AS yz, sum(z * z) AS zz FROM b0 GROUP BY g) k ON k.g = b0.g)"
+    plain = plain.replace(f"b AS (SELECT g, unit, month, t AS td, y AS yd FROM p WHERE round = {rounds})", f"b0 AS (SELECT g, unit, month, t, y, z FROM p WHERE round = {rounds}),\n{rest}")
+    return plain.replace("units + months12", "units + months12 + 1").replace("units + 12", "units + 13")
+
+
 SL = dict(d='slope "lower" "upper"', i='months observations "rank" parameters')
 
 
@@ -140,7 +154,7 @@ def r06(t):
     return pe.regime_flags(unitmonth(t).select("unit", "month"), _jumps(t))
 
 
-@query("r06_slope_with_regimes")
+@query("r06_slope_with_regimes", sql("SELECT * FROM (" + slope_sql(f"""(WITH {JUMPSQL} SELECT u.unit || '|' || count(jm.boundary) AS unit, u.month, u.ratio FROM unitmonth u LEFT JOIN jm ON jm.unit = u.unit AND u.month >= jm.boundary GROUP BY u.unit, u.month, u.ratio)""", "ratio") + ")", "unitmonth"), **SL)
 def r06b(t):
     return pe.fit_slopes(slope_input(t), jumps=_jumps(t), origin_year=1998)
 
@@ -157,22 +171,23 @@ def statusmonth(t):
 def _grid_sql():
     parts = []
     for p, c in (("all", "true"), ("to_1999", "year(month) <= 1999"), ("from_1997", "year(month) >= 1997")):
-        parts.append(f"SELECT *, 'raw' AS treatment, '{p}' AS period FROM ({slope_sql(f'(SELECT * FROM statusmonth WHERE {c})', 'ratio', group='status', name='status')})")
+        for treatment, zero in (("raw", None), ("zeros", "zero_fraction")):
+            parts.append(f"SELECT *, '{treatment}' AS treatment, '{p}' AS period FROM ({slope_sql(f'(SELECT * FROM statusmonth WHERE {c})', 'ratio', group='status', name='status', zero=zero)})")
     return " UNION ALL ".join(parts)
 
 
 @query("r07_slope_grid", sql(_grid_sql(), "statusmonth"), **SL)
 def r07(t):
     periods = {"all": F.lit(True), "to_1999": F.year("month") <= 1999, "from_1997": F.year("month") >= 1997}
-    return pe.slope_grid(statusmonth(t), {"raw": {}}, periods, "status", origin_year=1998)
+    return pe.slope_grid(statusmonth(t), {"raw": {}, "zeros": {"zeros": True}}, periods, "status", origin_year=1998)
 
 
-@query("r07_slope_with_zeros")
+@query("r07_slope_with_zeros", sql("SELECT * FROM (" + slope_sql("statusmonth", "ratio", group="status", name="status", zero="zero_fraction") + ")", "statusmonth"), **SL)
 def r07b(t):
     return pe.fit_slopes(statusmonth(t), "status", zeros=True, origin_year=1998)
 
 
-@query("r07_unit_slopes")
+@query("r07_unit_slopes", sql("SELECT * FROM (" + slope_sql("(SELECT unit AS fit_unit, 'one' AS unit, month, 100 * ratio / median(ratio) OVER (PARTITION BY month) AS v FROM unitmonth)", "v", group="fit_unit", name="fit_unit") + ")", "unitmonth"), **SL)
 def r07c(t):
     """Each unit's own slope, after peer normalisation."""
     peers = wn.peer_normalised(unitmonth(t), "ratio", "month", "index").withColumn("fit_unit", F.col("unit")).withColumn("unit", F.lit("one"))

@@ -1,6 +1,6 @@
 """Score slices, paired block bootstrap and comparison tables."""
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import clock
 from ..functions.values import count_if
@@ -54,18 +54,23 @@ def paired_intervals(df: DataFrame, actual: str, model: str, reference: str, gro
                      ts: str = "ts") -> DataFrame:
     """Paired week-block bootstrap of the MAE saving and the relative improvements.
 
-    The data are reduced to weekly sums first, so resampling handles
-    ``draws x weeks`` short rows whatever the size of the data.
+    The data are reduced to weekly sums first. Each draw of a group is one row with the group's short
+    list of weeks; which of them it takes comes from a hash of draw and position, and their sums
+    are folded inside the row, so no table of draws by weeks is ever made.
     """
-    keys = list(groups)
+    keys, names = list(groups), ("n", "mae", "pmae", "mse", "pmse")
     sums = block_sums(df, actual, model, reference, keys, ts)
-    numbered = sums.withColumn("__i", F.row_number().over(W.partitionBy(*keys).orderBy("week")).cast("long") - 1)
-    size = sums.groupBy(*keys).agg(F.count(F.lit(1)).alias("blocks"))
-    picks = size.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picks = picks.withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    picks = picks.withColumn("__i", draw_index(F.col("draw"), F.col("__j"), seed, F.col("blocks")))
-    joined = picks.join(numbered, [*keys, "__i"])
-    t = joined.groupBy(*keys, "draw").agg(F.first("blocks").alias("blocks"), *[F.sum(c).alias(c) for c in ("n", "mae", "pmae", "mse", "pmse")])
+    week = F.struct("week", *[F.col(c).cast("double").alias(c) for c in names])
+    lists = sums.groupBy(*keys).agg(F.count(F.lit(1)).alias("blocks"), F.sort_array(F.collect_list(week)).alias("__weeks"))
+    drawn = lists.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+
+    def add(total, position):
+        taken = F.get("__weeks", draw_index(F.col("draw"), position, seed, F.col("blocks")).cast("int"))
+        return F.struct(*[(total[c] + taken[c]).alias(c) for c in names])
+
+    none = F.struct(*[F.lit(0.0).alias(c) for c in names])
+    folded = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), none, add)
+    t = drawn.select(*keys, "draw", "blocks", folded.alias("__s")).select(*keys, "draw", "blocks", "__s.*")
     ok = F.col("pmae") > 0
     saving = (F.col("pmae") - F.col("mae")) / F.col("n")
     relative = F.when(ok, 100.0 * (F.col("pmae") - F.col("mae")) / F.when(ok, F.col("pmae")))

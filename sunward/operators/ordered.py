@@ -31,6 +31,21 @@ def join_null_safe(left: DataFrame, right: DataFrame, names, how="left") -> Data
     return left.join(other, cond, how).drop(*[f"__k_{n}" for n in names])
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys, salts: int = 32, share: int = 200) -> DataFrame:
+    """Inner equi-join of many rows with one row a key, where a few keys may hold most of the rows.
+
+    Keys that hold more than one row in ``share`` are counted (there are fewer than ``share`` of
+    them); their rows are dealt over ``salts`` parts, and the other side's row goes to each part.
+    """
+    keys = list(keys)
+    per = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    heavy = per.where(F.col("__n") * share > per.agg(F.sum("__n").alias("a")).select("a").scalar()).select(*keys, F.lit(salts).alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    many = join_null_safe(left, F.broadcast(heavy), keys).withColumn("__salt", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("__parts")
+    one = join_null_safe(right, F.broadcast(heavy), keys).withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return join_null_safe(many, one, [*keys, "__salt"], "inner").drop("__salt")
+
+
 def neighbours(df: DataFrame, keys, order: str, carry, widths=TIME_WIDTHS) -> DataFrame:
     """Add ``prev_<c>`` and ``next_<c>`` for the adjacent rows of each key.
 

@@ -10,7 +10,7 @@ from ..functions.binning import cut, floor_bin
 from ..functions.errors import Pair
 from ..functions.values import beside, count_if, finite, holds, is_finite, ratio
 from .align import _tag, offset_block
-from .ordered import average_ranks, islands, stacked, with_quantiles
+from .ordered import average_ranks, islands, spread_join, stacked, with_quantiles
 
 INF = float("inf")
 # Fixed bin edges.
@@ -167,7 +167,9 @@ def describe(df: DataFrame, columns, probabilities=(.1, .25, .5, .75, .9)) -> Da
 def spearman(df: DataFrame, phase: str, quantities, variables) -> DataFrame:
     """Rank correlation per phase ('all' and each phase), quantity and variable.
 
-    Ranks come from distinct-value counts; no group is ever sorted in one task.
+    Ranks come from distinct-value counts; no group is ever sorted in one task. Distinct pairs meet
+    the ranks of one side, are summed by the value of the other, and only these sums meet its
+    ranks, so a value that many pairs share is no heavy key there; in the first join heavy values are spread.
     """
     combos = F.array(*[F.struct(F.lit(q).alias("quantity"), F.lit(v).alias("variable"), finite(q).alias("x"), finite(v).alias("y"))
                        for q in quantities for v in variables])
@@ -179,18 +181,17 @@ def spearman(df: DataFrame, phase: str, quantities, variables) -> DataFrame:
     pairs = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("w"))
     rx = average_ranks(pairs, keys, "x", "rx", "w")
     ry = average_ranks(pairs, keys, "y", "ry", "w")
-    ranked = pairs.join(rx.select(*keys, "x", "rx"), [*keys, "x"]).join(ry.select(*keys, "y", "ry"), [*keys, "y"])
-    w, a, b = F.col("w"), F.col("rx"), F.col("ry")
-    sums = pairs.groupBy(*keys).agg(F.sum("w").alias("valid"))
-    # With average ranks both means are (n + 1) / 2, so centred sums need one pass.
-    half = (F.col("valid") + 1) / 2.0
-    centred = ranked.join(sums.select(*keys, "valid"), keys).groupBy(*keys).agg(
-        F.first("valid").alias("valid"), F.sum(w * (a - half) * (b - half)).alias("sab"),
-        F.sum(w * (a - half) * (a - half)).alias("saa"), F.sum(w * (b - half) * (b - half)).alias("sbb"))
-    out = total.join(centred, keys, "left").withColumn("valid", F.coalesce("valid", F.lit(0).cast("long")))
-    spread = F.sqrt(F.col("saa") * F.col("sbb"))
+    met = spread_join(pairs, rx.select(*keys, "x", "rx"), [*keys, "x"])
+    by_y = met.groupBy(*keys, "y").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("rx")).alias("wx"), F.sum(F.col("w") * F.col("rx") * F.col("rx")).alias("wxx"))
+    ranked = by_y.join(ry.select(*keys, "y", "ry"), [*keys, "y"])
+    sums = ranked.groupBy(*keys).agg(F.sum("w").alias("valid"), F.sum("wxx").alias("xx"), F.sum(F.col("wx") * F.col("ry")).alias("xy"),
+                                     F.sum(F.col("w") * F.col("ry") * F.col("ry")).alias("yy"))
+    # With average ranks both means are (n + 1) / 2.
+    middle = F.col("valid") * F.pow((F.col("valid") + 1) / 2.0, 2)
+    out = total.join(sums, keys, "left").withColumn("valid", F.coalesce("valid", F.lit(0).cast("long")))
+    spread = F.sqrt((F.col("xx") - middle) * (F.col("yy") - middle))
     return out.select(*keys, "total", "valid", (F.col("total") - F.col("valid")).alias("excluded"),
-                      F.when(spread > 0, F.col("sab") / spread).alias("correlation"))
+                      F.when(spread > 0, (F.col("xy") - middle) / spread).alias("correlation"))
 
 
 def comparison_columns(x: str, y: str, mask: Column | None = None) -> list:

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import clock
 from ..functions.values import holds, strict_greatest
 from .align import _tag, offset_block
-from .ordered import TIME_WIDTHS, islands, neighbours, numbered
+from .ordered import TIME_WIDTHS, exact_quantiles, islands, join_null_safe, neighbours, numbered
 
 
 def adjacent(df: DataFrame, value: str, cadence: int = 300, keys=(), ts: str = "ts") -> DataFrame:
@@ -72,10 +72,10 @@ def alternate_dates(df: DataFrame, ts: str = "ts", keys=()) -> DataFrame:
 def peer_normalised(df: DataFrame, value: str, period: str, out: str, scale: float = 100.0) -> DataFrame:
     """Value over the median of all units in the same period.
 
-    The median is grouped and joined back; units per period are a short list.
+    The median is exact and bracketed first, so no period's values are gathered in one place.
     """
-    mid = df.groupBy(period).agg(F.median(value).alias("__m"))
-    return df.join(mid, period).withColumn(out, scale * F.col(value) / F.col("__m")).drop("__m")
+    mid = exact_quantiles(df, [period], {"__m": (value, .5)})
+    return join_null_safe(df, mid, [period]).withColumn(out, scale * F.col(value) / F.col("__m")).drop("__m")
 
 
 def run_edges(df: DataFrame, value: str, condition: Column, cadence: int, keys=(), ts: str = "ts") -> DataFrame:
