@@ -40,8 +40,8 @@ SKETCH_BITS = 22
 CELLS, MOST_BITS, PIECES = 4, 28, 64
 #: Documents hashed at a time.
 BATCH = 512
-#: Bits of the bitmap that thins out the documents read again for their sets.
-SLOT_BITS = 23
+#: Bits of the bitmaps that thin out documents read for their sets, and of that of the lists that stay.
+SLOT_BITS, CHOSEN_BITS = 23, 26
 
 _WORDS = WordHashes()
 
@@ -92,22 +92,38 @@ def added_up(parts: DataFrame, kind, fold, finish, out_kind) -> dict[int, np.nda
     return {piece: np.frombuffer(zlib.decompress(data), out_kind) for piece, data in sums}
 
 
-def count_sketch(docs: DataFrame) -> np.ndarray:
-    """How many documents' grams fall into each bucket: 2^SKETCH_BITS counts, whatever the input."""
-    def count(batches):
+def first_reading(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Stored rows (doc_id, n, class), and how many documents' grams fall into each bucket of the sketch.
+
+    The sketch is 2^SKETCH_BITS counts, whatever the input. Tasks write rows and pieces of their
+    counts side by side, so texts are read once for both.
+    """
+    names = ["piece", "data", "doc_id", "n", "class"]
+
+    def scan(batches):
         total, some = np.zeros(1 << SKETCH_BITS, np.int64), False
         for batch in batches:
-            for texts in batches_of(batch.column(0)):
-                met = np.concatenate(gram_sets(texts, _WORDS, GRAM))
-                total += np.bincount(buckets(met), minlength=len(total))
-                some = some or len(met) > 0
+            ns, keys = [], []
+            for texts in batches_of(batch.column(1)):
+                sets = gram_sets(texts, _WORDS, GRAM)
+                total += np.bincount(buckets(np.concatenate(sets)), minlength=len(total))
+                ns += [len(own) for own in sets]
+                keys += [set_key(own) if len(own) else None for own in sets]
+            some = some or any(ns)
+            nothing = pa.nulls(len(batch))
+            yield pa.RecordBatch.from_arrays([nothing.cast(pa.int32()), nothing.cast(pa.binary()), batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.int64())], names)
         if some:
-            yield in_pieces(np.minimum(total, 65535).astype(np.uint16))
+            pieces = in_pieces(np.minimum(total, 65535).astype(np.uint16))
+            nothing = pa.nulls(len(pieces), pa.int64())
+            yield pa.RecordBatch.from_arrays([*pieces.columns, nothing, nothing, nothing], names)
 
-    parts = arrow_pass(docs.select(F.col("text").cast("binary").alias("text")), count, "piece int, data binary")
-    pieces = added_up(parts, np.uint16, lambda held, x: x.astype(np.int64) if held is None else held + x, lambda x: np.minimum(x, 2 ** 31 - 1).astype(np.int32), np.int32)
+    read = arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), scan, "piece int, data binary, doc_id long, n long, class long")
+    read = stored(read, "gram-rows")
+    pieces = added_up(read.filter("piece is not null").select("piece", "data"), np.uint16, lambda held, x: x.astype(np.int64) if held is None else held + x, lambda x: np.minimum(x, 2 ** 31 - 1).astype(np.int32), np.int32)
     none = np.zeros((1 << SKETCH_BITS) // PIECES, np.int32)
-    return np.concatenate([pieces.get(i, none) for i in range(PIECES)])
+    rows = read.filter("piece is null").select("doc_id", "n", "class")
+    rows.stored_at = read.stored_at
+    return rows, np.concatenate([pieces.get(i, none) for i in range(PIECES)])
 
 
 def repeat_cells(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -151,20 +167,50 @@ def repeated_cells(rows: DataFrame) -> tuple[np.ndarray, int]:
     return np.concatenate([pieces.get(i, none) for i in range(PIECES)]), bits
 
 
-def with_prefixes(docs: DataFrame, sketch) -> DataFrame:
-    """doc_id, n (size of the set), class, prefix: the first grams in rare order, as longs."""
+def slot_of(key, doc_id):
+    """The bit of a (class, document) in a bitmap of 2^SLOT_BITS."""
+    return key.bitwiseXOR(F.coalesce(doc_id, F.lit(-1))).bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+
+
+def bitmap_of(slots: DataFrame) -> np.ndarray:
+    """Bits of the column ``slot``, as 64-bit words: a fixed size, whatever the input."""
+    bits = slots.select(F.shiftright("slot", 6).alias("at"), (F.col("slot") % 64).cast("int").alias("bit"))
+    out = np.zeros((1 << SLOT_BITS) // 64, np.int64)
+    for at, word in bits.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("word")).collect():  # 2^SLOT_BITS / 64 rows at most
+        out[at] = word
+    return out
+
+
+def in_bitmap(held: np.ndarray, slot: int) -> int:
+    return int(held[slot // 64]) >> (slot % 64) & 1
+
+
+def with_prefixes(docs: DataFrame, sketch, copied, reps) -> DataFrame:
+    """class, n, prefix (the first grams in rare order, as longs) of each class.
+
+    Bitmaps of the classes that several documents have, and of the (class, document) that stand for
+    these, leave out other copies; a task also writes a class once. What a bitmap lets through by
+    chance repeats a class, which later steps allow for.
+    """
     def scan(batches):
-        counts = sketch.value
+        counts, seen, mask = sketch.value, set(), (1 << SLOT_BITS) - 1
+        several, stands = copied.value, reps.value
         for batch in batches:
             ns, keys, prefixes = [], [], []
-            for texts in batches_of(batch.column(1)):
-                for grams in gram_sets(texts, _WORDS, GRAM):
+            for ids, texts in zip(batches_of(batch.column(0)), batches_of(batch.column(1))):
+                for doc_id, grams in zip(ids, gram_sets(texts, _WORDS, GRAM)):
+                    if not len(grams):
+                        continue
+                    key = set_key(grams)
+                    if in_bitmap(several, key & mask) and not in_bitmap(stands, (key ^ (-1 if doc_id is None else doc_id)) & mask) or key in seen:
+                        continue
+                    seen.add(key)
                     ns.append(len(grams))
-                    keys.append(set_key(grams) if len(grams) else None)
-                    prefixes.append(rare_order(grams, counts)[:prefix_length(len(grams))].view(np.int64) if len(grams) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "class", "prefix"])
+                    keys.append(key)
+                    prefixes.append(rare_order(grams, counts)[:prefix_length(len(grams))].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ns, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["class", "n", "prefix"])
 
-    return arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), scan, "doc_id long, n long, class long, prefix array<long>")
+    return arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), scan, "class long, n long, prefix array<long>")
 
 
 def reach(n, m, place, other):
@@ -176,40 +222,65 @@ def reach(n, m, place, other):
     return (F.least(n, m) * UNDER >= F.greatest(n, m) * OVER) & (left * (OVER + UNDER) >= (n + m) * OVER)
 
 
-def entries(rows: DataFrame) -> DataFrame:
-    """Stored: inverted lists of the prefix grams that at least two classes have (token, class, n, place, size), one of each set of members.
+def marked(tokens: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the cells that the tokens fall into."""
+    bits = CHOSEN_BITS
+    per = (1 << bits) // PIECES
+
+    def mark(batches):
+        out, some = np.zeros(1 << bits, bool), False
+        for batch in batches:
+            out[repeat_cells(np.asarray(batch.column(0)), bits)] = True
+            some = some or len(batch) > 0
+        if some:
+            yield in_pieces(np.packbits(out))
+
+    pieces = added_up(arrow_pass(tokens.select("token"), mark, "piece int, data binary"), np.uint8, lambda held, x: x if held is None else held | x, lambda x: x, np.uint8)
+    none = np.zeros(per // 8, np.uint8)
+    return np.concatenate([pieces.get(i, none) for i in range(PIECES)])
 
-    Grams alone in their cell of the bitmap go first, without a shuffle, then copies of one class
-    as arrays. Lists are told apart by the number of their members and two 64-bit digests that do
-    not depend on order; of equal ones the gram that comes first in its members' order stays, and
-    the first gram that two sets share is never dropped for a later one.
-    """
-    found, bits = repeated_cells(rows)
-    sent = rows.sparkSession.sparkContext.broadcast(found)
 
+def tokens_in(rows: DataFrame, sent, bits: int) -> DataFrame:
+    """token, class, n, place of the prefix grams whose cell is set in a bitmap."""
     def scan(batches):
         bitmap = sent.value
         for batch in batches:
             prefix = batch.column(2)
-            tokens, offsets = np.asarray(prefix.flatten()), np.asarray(prefix.offsets)
-            lengths = np.diff(offsets)
+            tokens = np.asarray(prefix.flatten())
+            lengths = np.diff(np.asarray(prefix.offsets))
             cells = repeat_cells(tokens, bits)
             keep = (bitmap[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
             place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            ends = np.concatenate([[0], np.cumsum(keep)])[offsets - offsets[0]].astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (tokens[keep], place[keep].astype(np.int32))]
-            some = pa.array(np.diff(ends) > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0).cast(pa.int32()), *lists], ["class", "n", "tokens", "places"]).filter(some)
+            owner = np.repeat(np.arange(len(lengths)), lengths)[keep]
+            ns, keys = np.asarray(batch.column(1)), np.asarray(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(keys[owner]), pa.array(ns[owner].astype(np.int32)), pa.array(place[keep].astype(np.int32))], ["token", "class", "n", "place"])
+
+    return arrow_pass(rows.select("class", "n", "prefix"), scan, "token long, class long, n int, place int")
+
 
-    live = arrow_pass(rows.filter("class is not null").select("n", "class", "prefix"), scan, "class long, n int, tokens array<long>, places array<int>")
-    live = stored(live.dropDuplicates(["class"]), "gram-live")
+def entries(rows: DataFrame) -> DataFrame:
+    """Stored: inverted lists of the prefix grams that at least two classes have (token, class, n, place, size), one of each set of members.
+
+    Grams alone in their cell of the bitmap go first, without a shuffle. Lists are told apart by the
+    number of their members and two sums of their digests, which do not depend on order and count a
+    class that repeats as often in each of its lists; of equal lists the gram that comes first in
+    its members' order stays, and the first gram that two sets share is never dropped for a later
+    one. Only entries of the lists that stay are shuffled whole.
+    """
+    spark = rows.sparkSession
+    found, bits = repeated_cells(rows)
+    sent = spark.sparkContext.broadcast(found)
+    part = lambda salt: F.sum(F.xxhash64(F.lit(salt), "class").bitwiseAND(F.lit((1 << 40) - 1))).alias(f"members_{salt}")
+    per = tokens_in(rows, sent, bits).groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.sum("place").alias("places"), part(1), part(2)).filter("size > 1")
+    chosen = stored(per.groupBy("size", "members_1", "members_2").agg(F.min_by("token", F.struct("places", "token")).alias("token")).select("token"), "gram-chosen")
     sent.destroy()
-    each = live.select("class", "n", F.explode(F.arrays_zip("tokens", "places")).alias("e")).select(F.col("e.tokens").alias("token"), "class", "n", F.col("e.places").alias("place"))
-    members = [F.bit_xor(F.xxhash64(F.lit(salt), "class")).alias(f"members_{salt}") for salt in (1, 2)]
-    per = each.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.sum("place").alias("places"), *members).filter("size > 1")
-    chosen = per.groupBy("size", "members_1", "members_2").agg(F.min_by("token", F.struct("places", "token")).alias("token")).select("token", "size")
-    out = stored(each.join(chosen, "token"), "gram-lists")
-    release(live)
+    kept = spark.sparkContext.broadcast(marked(chosen))
+    each = tokens_in(rows, kept, CHOSEN_BITS).join(chosen, "token").distinct()
+    lists = stored(each, "gram-entries")
+    kept.destroy()
+    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    out = stored(lists.join(sizes, "token"), "gram-lists")
+    release(chosen, lists)
     return out
 
 
@@ -220,14 +291,8 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     bit of its (class, rep), lets only those through that may be wanted; the join decides. So
     copies beside the class's representative are not carried.
     """
-    spark, mask = docs.sparkSession, (1 << SLOT_BITS) - 1
-    slot = F.col("class").bitwiseXOR(F.coalesce("rep", F.lit(-1))).bitwiseAND(F.lit(mask))
-    bits = wanted.select(F.shiftright(slot, 6).alias("at"), (slot % 64).cast("int").alias("bit"))
-    words = bits.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("word")).collect()  # 2^SLOT_BITS / 64 rows at most
-    bitmap = np.zeros((1 << SLOT_BITS) // 64, np.int64)
-    for at, word in words:
-        bitmap[at] = word
-    sent = spark.sparkContext.broadcast(bitmap)
+    mask = (1 << SLOT_BITS) - 1
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select(slot_of(F.col("class"), F.col("rep")).alias("slot"))))
 
     def scan(batches):
         held = sent.value
@@ -236,11 +301,10 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for doc_id, own in zip(batch.column(0).to_pylist(), gram_sets(batch.column(1).to_pylist(), _WORDS, GRAM)):
                 if len(own):
                     key = set_key(own)
-                    at = (key ^ (-1 if doc_id is None else doc_id)) & mask
-                    if int(held[at // 64]) >> (at % 64) & 1:
+                    if in_bitmap(held, (key ^ (-1 if doc_id is None else doc_id)) & mask):
                         keys.append(key)
                         ids.append(doc_id)
-                        grams.append(own.tobytes())
+                        grams.append(packed_grams(own))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(grams, pa.binary())], ["class", "doc_id", "grams"])
 
@@ -251,6 +315,17 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return out
 
 
+def packed_grams(grams: np.ndarray) -> bytes:
+    """Six bytes of each gram: in one pair of sets, two grams that differ agree in these with a chance of one in 10^8 for a thousand grams."""
+    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked_grams(data) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1)
+
+
 def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int) -> int:
     """An upper bound of the overlap of two ascending arrays from splits at pivots."""
     if depth == 0 or not len(a) or not len(b):
@@ -273,7 +348,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b: classes) that meet the threshold."""
     def compare(batches):
         for batch in batches:
-            keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3))]
+            keep = [similar(unpacked_grams(x.as_buffer()), unpacked_grams(y.as_buffer())) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     full = pairs.join(sets.select(F.col("class").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("grams").alias("y")), "b")
@@ -315,35 +390,43 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     links: a, b. The links connect exactly the classes that all links of the full graph connect;
     pairs that were known to be in one component were not compared. All three are stored.
     """
-    sketch = docs.sparkSession.sparkContext.broadcast(count_sketch(docs))
-    hashed = stored(with_prefixes(docs, sketch), "gram-prefixes")
-    sketch.destroy()
-    rows = stored(hashed.select("doc_id", "n", "class"), "gram-rows")
-    classes = stored(rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep")), "gram-classes")
+    context = docs.sparkSession.sparkContext
+    rows, counts = first_reading(docs)
+    known = stored(rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "gram-classes")
+    classes, copies = known.select("class", "rep"), known.filter("copies > 1")
+    mask = F.lit((1 << SLOT_BITS) - 1)
+    sent = [context.broadcast(x) for x in (counts, bitmap_of(copies.select(F.col("class").bitwiseAND(mask).alias("slot"))), bitmap_of(copies.select(slot_of(F.col("class"), F.col("rep")).alias("slot"))))]
+    hashed = stored(with_prefixes(docs, *sent), "gram-prefixes")
+    for x in sent:
+        x.destroy()
     lists = entries(hashed)
     release(hashed)
+    met = lambda pairs: pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     first = stored(hub_pairs(lists), "gram-pairs")
-    # one reading of the texts serves both steps: what hubs meet, and what may be left across components
-    met = union([first.select(F.col("a").alias("class")), first.select(F.col("b").alias("class")), lists.filter("size > 2").select("class")])
-    asked = stored(classes.join(met.distinct(), "class", "left_semi"), "gram-asked")
+    asked = stored(classes.join(met(first), "class", "left_semi"), "gram-asked")
     sets = candidate_sets(docs, asked)
     links = stored(verified(first, sets), "gram-links")
     parts = None if links.isEmpty() else components(links)
     live = stored(open_lists(lists, parts), "gram-open")
     rest = stored(cross_pairs(live).join(first, ["a", "b"], "left_anti"), "gram-pairs")
-    more = stored(verified(rest, sets), "gram-links")
+    # few classes are left; documents are read again for those that no hub has met
+    late = stored(classes.join(met(rest), "class", "left_semi"), "gram-asked")
+    own = stored(sets.join(late.select("class"), "class", "left_semi"), "gram-sets")
+    new = stored(late.join(asked, "class", "left_anti"), "gram-asked")
+    more_sets = [own] if new.isEmpty() else [own, candidate_sets(docs, new)]
+    more = stored(verified(rest, union(more_sets)), "gram-links")
     if not more.isEmpty():
         if parts is not None:
             release(parts)
         parts = components(union([links, more]))
-    release(lists, asked, sets, first, live, rest)
+    release(lists, asked, sets, first, live, rest, late, new, *more_sets)
     if parts is None:
-        out = classes.withColumn("part", F.col("class"))
+        out = classes.select("class", "rep", F.col("class").alias("part"))
     else:
         out = classes.join(parts.select(F.col("node").alias("class"), "root"), "class", "left").select("class", "rep", F.coalesce("root", "class").alias("part"))
     out = stored(out, "gram-parts")
     every = stored(union([links, more]), "gram-links")
-    release(classes, links, more, *([] if parts is None else [parts]))
+    release(known, links, more, *([] if parts is None else [parts]))
     return rows, out, every
 
 
