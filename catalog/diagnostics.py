@@ -324,4 +324,4 @@ def d13(t):
     units = ev(t).groupBy(clock.floor_to("ts", 5).alias("ts"), F.col("event_type").alias("inverter_id")).agg((F.avg("value") * 150).alias("value"))
     populations = {"all": F.lit(True), "day_qc_clear": (F.col("poa") > 0) & ~F.col("flagged") & F.hour("ts").between(6, 19),
                    "candidate": (F.col("poa") >= 300) & ~F.col("flagged") & (F.col("measured_ac_power") > 1000)}
-    return bl.frozen_baseline(prepared, units, meter15(t), flagged, ROSTER, model(t.spark), populations)
+    return bl.frozen_baseline(prepared, units, meter15(t), ROSTER, model(t.spark), populations)

@@ -10,6 +10,7 @@ from ..functions.binning import cut, floor_bin
 from ..functions.errors import Pair
 from ..functions.values import beside, count_if, finite, holds, is_finite, ratio
 from .align import _tag, offset_block
+from .histograms import grouped_quantiles
 from .ordered import average_ranks, islands, spread_join, stacked, with_quantiles
 
 INF = float("inf")
@@ -136,18 +137,14 @@ def device_bands(table: DataFrame, unit: str, bands: dict) -> DataFrame:
 def ratio_profiles(df: DataFrame, dimensions: dict, ratios, probabilities=(.1, .5, .9)) -> DataFrame:
     """Ratio quantiles over many one-dimensional groupings at once.
 
-    ``dimensions`` maps name -> label column. Rows are repeated per dimension,
-    but what is shuffled is one count per (dimension, bin, value bucket).
+    ``dimensions`` maps name -> label column. No row is repeated for a dimension: see
+    :func:`grouped_quantiles`, which runs one job when this is called.
     """
-    clean = df.withColumns({r: finite(F.col(r).cast("double")) for r in ratios})
-    rows = stacked(clean, ratios, {n: c.cast("string") for n, c in dimensions.items()}, "dimension", "bin")
-    keys = ["dimension", "bin"]
-    counts = []
-    for r in ratios:
-        counts += [F.count(r).alias(f"{r}_finite"), (F.count(F.lit(1)) - F.count(r)).alias(f"{r}_excluded")]
-    base = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), *counts)
-    wanted = {f"{r}_p{round(p * 100)}": (r, p) for r in ratios for p in probabilities}
-    return with_quantiles(base, rows, keys, wanted)
+    found = grouped_quantiles(df, dimensions, ratios, probabilities)
+    of = lambda r, c: F.max(F.when(F.col("measure") == r, F.col(c)))
+    cols = [x for r in ratios for x in (of(r, "finite").alias(f"{r}_finite"), (F.max("total") - of(r, "finite")).alias(f"{r}_excluded"))]
+    cols += [of(r, f"q{i}").alias(f"{r}_p{round(p * 100)}") for r in ratios for i, p in enumerate(probabilities)]
+    return found.groupBy("dimension", "bin").agg(F.max("total").alias("total"), *cols)
 
 
 def stratified_medians(df: DataFrame, keys, values) -> DataFrame:

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sunward.operators import align, fleet, modelling
+from sunward.operators import align, fleet, histograms, modelling, performance
 from sunward.sources import tables as src
 from sunward.operators import ordered as o
 
@@ -133,3 +133,55 @@ def test_repeated_devices_are_not_computed(spark):
 def test_fingerprints_of_fields_that_run_together(spark):
     one = lambda *row: src.fingerprint(spark.createDataFrame([row], "a string, b string"), ["a", "b"]).first()
     assert len({one("x|y", "z"), one("x", "y|z"), one("x", "y"), one(None, "~"), one("~", None), one("-", "~"), one("", "1:x")}) == 7
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+
+
+def test_quantiles_of_many_groupings_repeat_no_row(spark, frame):
+    rng = np.random.default_rng(4)
+    pdf = frame.assign(w=rng.lognormal(0, 1, len(frame)), month=rng.integers(1, 5, len(frame)))
+    pdf.loc[rng.random(len(pdf)) < .1, "k"] = None
+    df = spark.createDataFrame(pdf).withColumn("v", F.when(~F.isnan("v"), F.col("v"))).repartition(3)
+    dims, probs = {"k": F.col("k"), "month": F.col("month"), "all": F.lit("x")}, (0.0, .1, .5, 1.0)
+    got = {(r.dimension, r.bin, r.measure): r for r in histograms.grouped_quantiles(df, dims, ["v", "w"], probs).collect()}
+    for name, labels in (("k", pdf.k), ("month", pdf.month.astype(str)), ("all", pd.Series("x", pdf.index))):
+        for label in set(labels.where(labels.notna(), None)):
+            for measure in ("v", "w"):
+                own = pdf[measure][labels.isna() if label is None else labels == label]
+                r = got.pop((name, label, measure))
+                assert (r.total, r.finite) == (len(own), own.count())
+                assert np.allclose([r[f"q{i}"] for i in range(len(probs))], own.quantile(list(probs)))
+    assert not got
+    rows = df.select(*[c.cast("string").alias(n) for n, c in dims.items()], "v", "w")
+    out = rows.mapInArrow(histograms._count_task(list(dims), ["v", "w"]), "dimension string, bin string, measure string, bucket long, n long")
+    assert out.agg(F.sum("n")).first()[0] == 3 * 2 * len(pdf) and out.groupBy("dimension", "bin", "measure", "bucket").count().agg(F.max("count")).first()[0] <= 3
+
+
+def test_heavy_keys_are_spread_in_a_join(spark):
+    left = spark.range(20_000).select(F.when(F.col("id") % 10 < 6, F.lit(None)).otherwise(F.col("id") % 700).alias("k"), F.col("id").alias("x"))
+    right = left.select("k").distinct().withColumn("y", F.coalesce("k", F.lit(-1)) * 2)
+    got = o.spread_join(left, right, ["k"], salts=16)
+    assert got.count() == 20_000 and got.where("y <> coalesce(k, -1) * 2").count() == 0
+    parts = got.withColumn("p", F.spark_partition_id()).groupBy("p").count().agg(F.max("count")).first()[0]
+    assert parts < 12_000  # the heavy key alone is 12,000 rows
+
+
+def test_slope_grid_is_one_pass_whatever_its_size(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(u, y, m, 100 - (y - 2019) * .5 - (m == 4) + rng.normal() - 3 * (u == 1 and y >= 2021), rng.random()) for u in range(4) for y in range(2019, 2023) for m in range(1, 13)]
+    index = spark.createDataFrame(rows, "unit long, y int, m int, index double, zero_fraction double").select("unit", F.make_date("y", "m", F.lit(1)).cast("timestamp_ntz").alias("month"), "index", "zero_fraction", F.lit("s").alias("site"))
+    index.write.parquet(str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    jumps = spark.createDataFrame([(1, "2021-01-01")], "unit long, boundary string").withColumn("boundary", F.col("boundary").cast("timestamp_ntz"))
+    late = F.year("month") >= 2020
+    grid = performance.slope_grid(index, {"raw": {}, "steps": {"jumps": jumps}, "zeros": {"zeros": True}}, {"all": F.lit(True), "late": late}, "site")
+    one = performance.slope_grid(index, {"raw": {}}, {"all": F.lit(True)}, "site")
+    assert scans(grid) <= scans(one) + 3  # the running count of boundaries reads months and rows
+    got = {(r.treatment, r.period): r for r in grid.collect()}
+    assert len(got) == 6
+    for (t, p), r in got.items():
+        alone = performance.fit_slopes(index.where(late) if p == "late" else index, "site", jumps if t == "steps" else None, t == "zeros").first()
+        for c in ("slope", "lower", "upper", "months", "observations", "rank", "parameters"):
+            assert r[c] == pytest.approx(alone[c]), (t, p, c)
