@@ -60,11 +60,11 @@ def op10_chat_formatting(spark, sf_dir):
     tricky = "### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", "\\" + tricky), (-7, 1, "assistant", "\\" + tricky)], "conv_id long, turn long, role string, text string")
     chats = chat_trees.formatted(chat_trees.reply_chains(turns.unionByName(extra)))
-    read = chats.select(F.col("tree_id").alias("conv_id"), chat_trees.turns_of(F.col("output")).alias("turns"), F.length("output").cast("long").alias("formatted_chars"))
+    trained = F.transform(chat_trees.loss_spans(F.col("output")), lambda s: chat_trees.unescaped(F.substring(F.col("output"), s["start"] + 1, s["length"])))
+    read = chats.select(F.col("tree_id").alias("conv_id"), chat_trees.turns_of(F.col("output")).alias("turns"), F.concat_ws("", trained).alias("learned"), F.length("output").cast("long").alias("formatted_chars"))
     told = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
-    learned = F.concat_ws("", F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]))
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"),
-                       F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"), "formatted_chars")
+                       F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars")
 
 
 def op11_turn_repair(spark, sf_dir):

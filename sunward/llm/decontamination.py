@@ -8,7 +8,7 @@ position (the window must lie inside the document) and then verified word for wo
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import lower_ascii, stored, words_of
+from .shared import free_names, lower_ascii, release, stored, words_of
 
 WINDOW, SHINGLE = 13, 3
 #: What separates the words of documents and items: ASCII but letters and digits.
@@ -122,11 +122,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, share=20) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, share=20) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    """The rows of ``docs`` that are not contaminated, with all their columns.
+
+    NULL and empty texts are clean; long texts are judged whole; rows that repeat share their
+    verdict. The names of other columns are free: those used in between are chosen beside them.
+    """
     windows, _ = item_windows(benchmark)
     spans = stored(occurrences(docs, prefixes(docs, windows)).distinct(), "bench-hits")
+    mark, size, of, met, hit = free_names(docs.columns, "bench_mark", 5)
     # stored, so that Spark knows its size when it chooses the join
-    hits = stored(hit_words(spans).select(F.col("doc_id").alias("hit_doc"), F.col("print").alias("hit_print"), "n_hit"), "bench-marked")
-    marked = docs.withColumn("bench_print", fingerprint(F.col("text"))).withColumn("bench_words", F.size(words(F.col("text"))))
-    on = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("bench_print") == F.col("hit_print")) & (F.col("n_hit") * share >= F.col("bench_words"))
+    hits = stored(hit_words(spans).select(F.col("doc_id").alias(of), F.col("print").alias(met), F.col("n_hit").alias(hit)), "bench-marked")
+    marked = docs.withColumn(mark, fingerprint(F.col("text"))).withColumn(size, F.size(words(F.col("text"))))
+    on = F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(mark) == F.col(met)) & (F.col(hit) * share >= F.col(size))
+    release(spans)
     return marked.join(hits, on, "left_anti").select(*[f"`{c}`" for c in docs.columns])

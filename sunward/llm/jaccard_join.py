@@ -37,7 +37,7 @@ OVER, UNDER = 75, 100
 SKETCH_BITS = 22
 #: Cells of the bitmap for each prefix gram, and its most bits (32 MB); beyond them it lets more
 #: through, and the result is the same. Tasks add sketch and bitmap up in pieces.
-CELLS, MOST_BITS, PIECES = 4, 28, 64
+CELLS, MOST_BITS, PIECES = 8, 28, 64
 #: Documents hashed at a time.
 BATCH = 512
 #: Bits of the bitmaps that thin out documents read for their sets, and of that of the lists that stay.
@@ -127,7 +127,8 @@ def first_reading(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def repeat_cells(tokens: np.ndarray, bits: int) -> np.ndarray:
-    return (tokens.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    """Cells of grams. Prefixes hold mostly low hashes (ties in rarity are in order of hash), so bits are mixed first."""
+    return ((tokens.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def repeated_cells(rows: DataFrame) -> tuple[np.ndarray, int]:

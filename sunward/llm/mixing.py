@@ -10,7 +10,7 @@ range is taken or left.
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import stored
+from .shared import free_names, release, stored
 
 #: Mean rows in a key range.
 RANGE_ROWS = 4096
@@ -121,7 +121,8 @@ def mixed_documents(docs: DataFrame, size, weights=(3, 1, 2), share=1.5, most=2.
     its budget, so a source is off its target by at most half of that key's words. Only ids,
     sizes and keys are shuffled; a text meets its source's cut in a join with one row a source.
     Equal ids share a key and are taken or left together. Rows without words are in no mix.
-    NULLs and empty tables: as ``mix``.
+    NULLs and empty tables: as ``mix``. The names of other columns are free: those used in between
+    are chosen beside them.
     """
     rows = docs.select("doc_id", "source", size.cast("long").alias("size")).withColumn("key", mixing_key(F.col("doc_id"), seed))
     rows = stored(rows, "mix-rows")
@@ -133,8 +134,10 @@ def mixed_documents(docs: DataFrame, size, weights=(3, 1, 2), share=1.5, most=2.
     none = keys.select("source", (F.col("range") / F.col("ranges") - F.lit(1e-15)).alias("key"), F.col("cut_start").alias("end"), "rest").distinct()
     ends = ends.select("source", "key", "end", "rest").unionByName(none)
     last = ends.groupBy("source").agg(F.min_by("key", F.struct(F.abs(F.col("end") - F.col("rest")), F.col("key"))).alias("last_key"))
+    of, epochs, end, copies, epoch = free_names(docs.columns, "mix_plan", 5)
     take = by_source(plan.select("source", "epochs"), stored(last, "mix-last"), "left").select(
-        F.col("source").alias("mix_source"), F.col("epochs").alias("mix_epochs"), F.coalesce("last_key", F.lit(-1.0)).alias("mix_last"))
-    copies = F.col("mix_epochs") + (mixing_key(F.col("doc_id"), seed) <= F.col("mix_last")).cast("long")
-    chosen = docs.filter(size > 0).join(take, F.col("source").eqNullSafe(F.col("mix_source"))).withColumn("mix_copies", copies).filter("mix_copies > 0")
-    return chosen.withColumn("mix_epoch", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[f"`{c}`" for c in docs.columns])
+        F.col("source").alias(of), F.col("epochs").alias(epochs), F.coalesce("last_key", F.lit(-1.0)).alias(end))
+    release(rows)
+    times = F.col(epochs) + (mixing_key(F.col("doc_id"), seed) <= F.col(end)).cast("long")
+    chosen = docs.filter(size > 0).join(take, F.col("source").eqNullSafe(F.col(of))).withColumn(copies, times).filter(F.col(copies) > 0)
+    return chosen.withColumn(epoch, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[f"`{c}`" for c in docs.columns])

@@ -14,9 +14,9 @@ SLOTS = 8192
 MAP_SCHEMA = "version int, virtual_slot int, shard int, slot_bytes long, slot_rows long"
 
 
-def virtual_slot(id_column, slots=SLOTS):
-    """The slot of an id (NULL: that of an empty string), from md5 and nothing else."""
-    digest = F.md5(F.coalesce(id_column.cast("string"), F.lit("")))
+def virtual_slot(id_column, checksum, size, slots=SLOTS):
+    """The slot of a row, from md5 of its id (NULL: an empty string), checksum and size, so that rows of one id spread by their texts."""
+    digest = F.md5(F.concat_ws("|", F.coalesce(id_column.cast("string"), F.lit("")), checksum.cast("string"), size.cast("string")))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") % slots).cast("int")
 
 
@@ -25,10 +25,31 @@ def record_size(text):
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
 
 
-def slot_loads(docs: DataFrame, slots=SLOTS) -> list[tuple[int, int, int]]:
-    """(slot, bytes, rows) of every slot that holds a row: at most ``slots`` rows."""
-    sized = docs.select(virtual_slot(F.col("doc_id"), slots).alias("virtual_slot"), record_size(F.col("text")).alias("size"))
-    return [tuple(r) for r in sized.groupBy("virtual_slot").agg(F.sum("size"), F.count(F.lit(1))).orderBy("virtual_slot").collect()]
+def slotted(docs: DataFrame, slots=SLOTS) -> DataFrame:
+    """Stored: doc_id, size, text_crc32, virtual_slot and ``deal``, a number that tells equal rows apart."""
+    sized = docs.select("doc_id", record_size(F.col("text")).alias("size"), F.coalesce(F.crc32(F.col("text")), F.lit(0)).cast("long").alias("text_crc32"))
+    slot = virtual_slot(F.col("doc_id"), F.col("text_crc32"), F.col("size"), slots)
+    return stored(sized.select("*", slot.alias("virtual_slot"), F.xxhash64(F.monotonically_increasing_id()).alias("deal")), "slot-rows")
+
+
+def slot_loads(rows: DataFrame) -> list[tuple[int, int, int]]:
+    """(slot, bytes, rows) of every slot that holds a row: one row a slot."""
+    return [tuple(r) for r in rows.groupBy("virtual_slot").agg(F.sum("size"), F.count(F.lit(1))).orderBy("virtual_slot").collect()]
+
+
+def split_heavy(rows: DataFrame, loads, shards: int, slots=SLOTS) -> DataFrame:
+    """``rows`` with heavy slots split: rows that are equal in id, text and size are dealt out.
+
+    A slot with more than an eighth of a shard's share is dealt into as many parts as bring each
+    below that; part p of slot s is slot s + (p + 1) * slots. There are fewer than eight such slots a shard.
+    """
+    most = max(1.0, sum(b for _, b, _ in loads) / shards / 8)
+    heavy = [(slot, min(n, -int(-b // most))) for slot, b, n in loads if b > most and n > 1]
+    if not heavy:
+        return rows
+    parts = F.broadcast(rows.sparkSession.createDataFrame(heavy, "heavy int, parts int"))
+    part = F.pmod("deal", F.col("parts").cast("long")).cast("int")
+    return rows.join(parts, F.col("virtual_slot") == F.col("heavy"), "left").withColumn("virtual_slot", F.coalesce(F.col("virtual_slot") + (part + 1) * slots, "virtual_slot")).drop("heavy", "parts")
 
 
 def first_map(loads, shards: int) -> list[tuple]:
@@ -90,28 +111,29 @@ def newest(maps: DataFrame) -> DataFrame:
     return maps.join(top, F.col("version") == F.col("top")).drop("top")
 
 
-def assign(docs: DataFrame, slot_map: DataFrame, slots=SLOTS) -> DataFrame:
-    """Per row of ``docs``: doc_id, size, text_crc32, virtual_slot, shard, slot.
+def assign(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
+    """Per row of ``rows`` (:func:`slotted`, heavy slots split): doc_id, size, text_crc32, virtual_slot, shard, slot.
 
     ``slot`` is the row's place in its shard, without gaps from 0: the rows of the shard's
     earlier virtual slots (a running sum over the map) plus the place within its own virtual
     slot. So places come from thousands of small sorts, not from one a shard.
-
-    A NULL text has no bytes (size 16, checksum 0); NULL ids share one virtual slot, and so do
-    rows of equal id, which take neighbouring places in the order of their checksum and size.
-    An empty table gives an empty table.
     """
     order = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slot_map.select("virtual_slot", "shard", F.coalesce(F.sum("slot_rows").over(order), F.lit(0)).alias("offset"))
-    rows = docs.select("doc_id", record_size(F.col("text")).alias("size"), F.coalesce(F.crc32(F.col("text")), F.lit(0)).cast("long").alias("text_crc32"),
-                       virtual_slot(F.col("doc_id"), slots).alias("virtual_slot"))
     place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
-    # the map has at most ``slots`` rows of four numbers: a proven bound
+    # the map has one row a slot, fixed slots and parts of heavy ones: a proven bound
     return rows.withColumn("place", place).join(F.broadcast(offsets), "virtual_slot").select(
         "doc_id", "size", "text_crc32", "virtual_slot", "shard", (F.col("offset") + F.col("place")).cast("long").alias("slot"))
 
 
 def shard(docs: DataFrame, shards: int, slots=SLOTS) -> tuple[DataFrame, DataFrame]:
-    """Rows with their shards, and the stored map (version 1) that put them there."""
-    slot_map = stored(map_table(docs.sparkSession, first_map(slot_loads(docs, slots), shards)), "slot-map")
-    return assign(docs, slot_map, slots), slot_map
+    """Rows with their shards, and the stored map (version 1) that put them there.
+
+    Law ``bytes``: shards hold nearly equal bytes, also where ids are NULL or repeat, or rows are
+    equal in all. A NULL text has no bytes (size 16, checksum 0). Other columns are not looked at,
+    whatever their names; long texts are only measured. An empty table gives an empty table.
+    """
+    rows = slotted(docs, slots)
+    rows = split_heavy(rows, slot_loads(rows), shards, slots)
+    slot_map = stored(map_table(docs.sparkSession, first_map(slot_loads(rows), shards)), "slot-map")
+    return assign(rows, slot_map), slot_map

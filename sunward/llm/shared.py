@@ -4,6 +4,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -41,6 +42,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_OPEN_STEPS: list = []
+
+
+@contextmanager
+def step_tables():
+    """The list of all tables that are stored within, so that they can be released when the step's own result is stored."""
+    made: list = []
+    _OPEN_STEPS.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN_STEPS.remove(made)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends here.
 
@@ -52,6 +67,8 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    for made in _OPEN_STEPS:
+        made.append(out)
     return out
 
 

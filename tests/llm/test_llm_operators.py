@@ -210,3 +210,36 @@ def test_telling_buckets_are_counted_as_by_hand(spark):
             if len(own) >= quality_classifier.LEAST_ROWS and abs(sum(g >= k for g in own) / len(own) - mean) * len(own) ** 0.5 >= quality_classifier.APART * (mean * (1 - mean)) ** 0.5:
                 want.add(b)
     assert {r.bucket for r in quality_classifier.telling(frame, per_grade).collect()} == want and 100 in want
+
+
+def test_shards_are_even_where_ids_are_missing_and_rows_equal(spark):
+    rng = np.random.default_rng(9)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "same text in all of these rows" if i % 2 else "x" * int(rng.integers(10, 200))) for i in range(30_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("size", "deal", "heavy", "parts", "offset", "place")}).repartition(5)
+    out, _ = sharding.shard(frame, 40)
+    load = dict(out.groupBy("shard").agg(F.sum("size")).collect())
+    assert len(load) == 40 and max(load.values()) <= 1.01 * sum(load.values()) / 40
+    for r in out.groupBy("shard").agg(F.min("slot").alias("low"), F.max("slot").alias("high"), F.count_distinct("slot").alias("n"), F.count("*").alias("rows")).collect():
+        assert (r.low, r.high, r.n) == (0, r.rows - 1, r.rows)
+    assert out.select(F.max("virtual_slot")).first()[0] >= sharding.SLOTS
+
+
+def test_columns_of_any_name_pass_the_filters(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    frame = spark.createDataFrame([(1, text, "a"), (2, "clean words", "a"), (3, None, None)], "doc_id long, text string, source string")
+    names = ("n_hit", "bench_words", "hit_doc", "bench_print", "bench_mark_0", "mix_source", "mix_copies", "mix_plan_0", "mix_epoch", "print", "size", "key", "range")
+    clashing = frame.withColumns({c: F.lit(-5) for c in names})
+    clean = decontamination.decontaminated(clashing, spark.createDataFrame([(1, text)], "item_id long, text string"))
+    assert clean.columns == clashing.columns and sorted(r.doc_id for r in clean.collect()) == [2, 3] and all(r[c] == -5 for r in clean.collect() for c in names)
+    mixed = mixing.mixed_documents(clashing, n_words(F.col("text")))
+    assert mixed.columns == clashing.columns and all(r[c] == -5 for r in mixed.collect() for c in names)
+
+
+def test_very_long_texts_pass_every_stage(spark):
+    long = " ".join(f"w{i}" for i in range(600_000))
+    rows = [(1, long, "en", "a", 1), (2, long.replace("w77 ", "other "), "en", "a", 1), (3, "short one", "en", "b", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_join.near_duplicates(frame).collect()) == [(1, 1), (2, 1), (3, 3)]
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(100, 140)))], "item_id long, text string")
+    assert sorted((r.doc_id, r.n_hit) for r in decontamination.scan(frame, bench).collect()) == [(1, 40), (2, 40), (3, 0)]
+    assert sharding.shard(frame, 2)[0].count() == 3 and mixing.mixed_documents(frame, n_words(F.col("text"))).count() >= 3
