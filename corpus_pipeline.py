@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sunward.llm import decontamination, jaccard_join, mixing, quality_classifier, sharding
-from sunward.llm.shared import DOCUMENT_COLUMNS, n_words, stored, table
+from sunward.llm.shared import DOCUMENT_COLUMNS, n_words, release, step_tables, stored, table
 
 SHARDS = 40
 
@@ -45,5 +45,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with step_tables() as made:
+            kept = stored(stage(spark, docs, sf_dir), name)
+        release(docs, *[t for t in made if t is not kept])
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
