@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sunward.functions import clock, solar
 from sunward.functions.errors import Pair
 from sunward.functions.values import beside
+from sunward.operators import boosting
 from sunward.operators import evaluation as ev_
 from sunward.operators import features as ft
 from sunward.operators import learners as ml
@@ -206,7 +207,13 @@ def m11(t):
 
 @query("m12_boosted")
 def m12(t):
-    return _scored(t, "histogram", {"steps": 5, "depth": 3, "leaf": 20, "rate": 0.2})
+    """Both boosted families: depth-wise trees of Spark ML, and second-order trees grown best leaf first with a leaf cap and an L2 penalty."""
+    rows = training_table(t)
+    train, valid, p = rows.where("split = 'training'"), rows.where("split = 'validation'"), Pair("target", "prediction")
+    first = ml.fit_model(train, COLS, "target", "histogram", {"steps": 5, "depth": 3, "leaf": 20, "rate": 0.2}).predict(valid, "prediction")
+    second = boosting.fit_boosted(train, COLS, "target", steps=5, rate=0.2, leaves=8, l2=1.0, least=20).predict(valid)
+    scores = [df.agg(p.count().alias("n"), p.mae().alias("mae"), p.rmse().alias("rmse"), p.mbe().alias("bias")).withColumn("family", F.lit(name)) for name, df in (("depth_wise", first), ("best_leaf_first", second))]
+    return scores[0].unionByName(scores[1])
 
 
 PLAN = [("ridge", {"alpha": 0.1}), ("ridge", {"alpha": 1000.0}), ("forest", {"trees": 5, "depth": 4, "leaf": 5})]
@@ -219,7 +226,10 @@ def m13(t):
     blocks = ft.training_blocks(edges(t)).orderBy("block").collect()  # three cutoffs
     at = lambda x: F.lit(x).cast("timestamp_ntz")
     folds = [(str(b.block), train & (F.col("target_ts") < at(b.cutoff)), train & (F.col("target_ts") >= at(b.cutoff)) & (F.col("target_ts") < at(b.block_end))) for b in blocks]
-    ledger = ml.select_models(rows, COLS, "target", "ac_kw_lag0", folds, PLAN, lambda c: mk.constrained(c, "wind", F.lit(1.0)))
+    ledger = ml.Ledger(t.spark, scratch(t.spark, "folds"), ml.FOLD, ("fold", "family", "config"))
+    score = lambda plan: ml.select_models(rows, COLS, "target", "ac_kw_lag0", folds, plan, lambda c: mk.constrained(c, "wind", F.lit(1.0)), ledger)
+    score(PLAN[:1])  # as if interrupted here
+    ledger = score(PLAN)
     return pf.pooled_folds(ledger, ["family", "config"])
 
 
@@ -255,7 +265,9 @@ def _ledger(t, label="target"):
     rows = training_table(t).withColumn("day", F.hour("target_ts").between(6, 19))
     train, valid = rows.where("split = 'training' and target is not null"), rows.where("split = 'validation' and target is not null")
     plan = ml.planned(ml.search_plan(t.spark).where("family = 'ridge'")) + [("forest_00", "forest", {"trees": 5, "depth": 4}), ("broken_00", "unknown", {})]
-    return ml.run_search(train, valid, COLS, label, plan, "target", "day")
+    ledger = ml.Ledger(t.spark, scratch(t.spark, "trials"), ml.TRIAL)
+    ml.run_search(train, valid, COLS, label, plan[:-2], "target", "day", ledger=ledger, parallel=4)  # as if interrupted here
+    return ml.run_search(train, valid, COLS, label, plan, "target", "day", ledger=ledger, parallel=4)
 
 
 @query("m16_trial_ledger")

@@ -1,7 +1,11 @@
 """Preprocessing and Spark ML regression, selection and trial ledgers."""
 
+import hashlib
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressionModel,
                                    RandomForestRegressor)
@@ -111,7 +115,6 @@ class Fitted:
         names = [F.col(f"__keep_{c}").alias(c) if c in self.preprocessor.columns else F.col(c) for c in keep]
         return scored.select(*names, F.col("prediction").alias(out))
 
-
     def save(self, path: str) -> None:
         """Model, medians and scales below ``path``, a folder that all executors share."""
         self.model.write().overwrite().save(f"{path}/model")
@@ -135,7 +138,11 @@ def fit_model(train: DataFrame, columns, label: str, family: str, config: dict,
     """Fit one family on rows whose label is known."""
     train = train.where(F.col(label).isNotNull())
     pre = pre or fit_preprocessor(train, columns)
-    ready = pre.transform(train, family == "ridge").select("features", label)
+    return fit_prepared(pre.transform(train, family == "ridge").select("features", label), label, family, config, pre)
+
+
+def fit_prepared(ready: DataFrame, label: str, family: str, config: dict, pre: Preprocessor) -> Fitted:
+    """Fit one family on a table of ``features`` (scaled for ridge) and label."""
     model = fit_ridge(ready, label, config.get("alpha", 10.0)) if family == "ridge" else estimator(family, config, label).fit(ready)
     return Fitted(family, pre, model)
 
@@ -145,18 +152,56 @@ def fold_score(df: DataFrame, actual: str, prediction: str) -> dict:
     return df.agg(p.count().alias("n"), p.mae().alias("mae"), p.rmse().alias("rmse")).first().asDict()
 
 
-def select_models(df: DataFrame, columns, label: str, persistence: str, folds, plan, constrain=None, done=()):
+TRIAL = ("id string, family string, config string, rank long, status string, message string, day_n long, "
+         "day_mae double, day_rmse double, all_mae double")
+FOLD = "fold string, family string, config string, n long, mae double, rmse double"
+
+
+class Ledger:
+    """Results of trials, one file each in a shared folder: a trial is there as a whole or not at all.
+
+    A trial's file appears when its write is committed, so what an interrupted run has left half
+    done is simply done again, and nothing that is there is.
+    """
+
+    def __init__(self, spark, folder: str, schema: str, keys=("id",)):
+        self.spark, self.folder, self.schema, self.keys = spark, folder.rstrip("/"), schema, tuple(keys)
+
+    def rows(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(self.folder)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.schema)
+
+    def done(self) -> set:
+        return {tuple(r) for r in self.rows().select(*self.keys).collect()}  # a short list: one row a trial
+
+    def put(self, row: dict) -> None:
+        names = [f.split()[0] for f in self.schema.split(", ")]
+        name = hashlib.md5("|".join(str(row[k]) for k in self.keys).encode()).hexdigest()
+        self.spark.createDataFrame([tuple(row[n] for n in names)], self.schema).coalesce(1).write.mode("overwrite").json(f"{self.folder}/trial-{name}")
+
+
+def select_models(df: DataFrame, columns, label: str, persistence: str, folds, plan, constrain=None, ledger: Ledger | None = None):
     """Score a plan of ``(family, config)`` over expanding folds, beside a persistence row.
 
-    ``folds`` is a list of (name, train condition, valid condition).
-    ``done`` holds (fold, family, config text) triples of a saved ledger.
+    ``folds`` is a list of (name, train condition, valid condition). A ``ledger`` (of FOLD rows by
+    fold, family and config) receives each score when it is there, and what it holds is not fitted again.
     """
-    rows, done = [], set(done)
+    rows, done = [], set() if ledger is None else ledger.done()
+
+    def keep(row):
+        rows.append(row)
+        if ledger is not None:
+            ledger.put(row)
+
     for name, train_on, valid_on in folds:
         train, valid = df.where(train_on).where(F.col(label).isNotNull()), df.where(valid_on).where(F.col(label).isNotNull())
         if (name, "persistence", "{}") not in done:
             base = valid.withColumn("__p", constrain(F.col(persistence)) if constrain else F.col(persistence))
-            rows.append(dict(fold=name, family="persistence", config="{}", **fold_score(base, label, "__p")))
+            keep(dict(fold=name, family="persistence", config="{}", **fold_score(base, label, "__p")))
         pre = None
         for family, config in plan:
             text = config_text(config)
@@ -165,9 +210,10 @@ def select_models(df: DataFrame, columns, label: str, persistence: str, folds, p
             pre = pre or fit_preprocessor(train, columns)
             scored = fit_model(train, columns, label, family, config, pre).predict(valid, "__raw")
             scored = scored.withColumn("__p", constrain(F.col("__raw")) if constrain else F.col("__raw"))
-            rows.append(dict(fold=name, family=family, config=text, **fold_score(scored, label, "__p")))
-    schema = "fold string, family string, config string, n long, mae double, rmse double"
-    return df.sparkSession.createDataFrame([tuple(r[k] for k in ("fold", "family", "config", "n", "mae", "rmse")) for r in rows], schema)
+            keep(dict(fold=name, family=family, config=text, **fold_score(scored, label, "__p")))
+    if ledger is not None:
+        return ledger.rows()
+    return df.sparkSession.createDataFrame([tuple(r[k] for k in ("fold", "family", "config", "n", "mae", "rmse")) for r in rows], FOLD)
 
 
 def config_text(config: dict) -> str:
@@ -230,29 +276,46 @@ def planned(plan: DataFrame) -> list:
     return out
 
 
-def run_search(train: DataFrame, valid: DataFrame, columns, label: str, plan, actual: str, day: str, compose=None):
+def run_search(train: DataFrame, valid: DataFrame, columns, label: str, plan, actual: str, day: str, compose=None, ledger: Ledger | None = None, parallel: int = 1):
     """Fit every planned candidate once; failures stay in the ledger with their message.
 
-    ``plan`` is a list of (id, family, config); ``compose`` turns the raw
-    prediction into the scored power.
+    ``plan`` is a list of (id, family, config); ``compose`` turns the raw prediction into the
+    scored power. With a ``ledger`` each trial is written when it is over, trials that it holds
+    are not fitted again, and its rows are returned. ``parallel`` trials are fitted side by
+    side, on features that are prepared once.
     """
-    rows, pre = [], fit_preprocessor(train.where(F.col(label).isNotNull()), columns)
-    for order, (name, family, config) in enumerate(plan):
-        row = dict(id=name, family=family, config=config_text(config), rank=order, status="complete", message=None,
-                   day_n=None, day_mae=None, day_rmse=None, all_mae=None)
-        try:
-            scored = fit_model(train, columns, label, family, config, pre).predict(valid, "__raw")
-            scored = scored.withColumn("__p", compose(F.col("__raw")) if compose else F.col("__raw"))
-            light, every = Pair(actual, "__p", F.col(day)), Pair(actual, "__p")
-            row.update(scored.agg(light.count().alias("day_n"), light.mae().alias("day_mae"), light.rmse().alias("day_rmse"),
-                                  every.mae().alias("all_mae")).first().asDict())
-        except Exception as problem:  # a failed trial is a result
-            row.update(status="failed", message=str(problem))
-        rows.append(row)
-    names = ("id", "family", "config", "rank", "status", "message", "day_n", "day_mae", "day_rmse", "all_mae")
-    schema = ("id string, family string, config string, rank long, status string, message string, day_n long, "
-              "day_mae double, day_rmse double, all_mae double")
-    return train.sparkSession.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
+    known = train.where(F.col(label).isNotNull())
+    finished = set() if ledger is None else {i for i, in ledger.done()}
+    todo = [(order, *trial) for order, trial in enumerate(plan) if trial[0] not in finished]
+    rows = []
+    if todo:
+        pre = fit_preprocessor(known, columns)
+        ready = {scaled: pre.transform(known, scaled).select("features", label).persist(StorageLevel.DISK_ONLY) for scaled in (False, True)}
+
+        def one(trial):
+            order, name, family, config = trial
+            row = dict(id=name, family=family, config=config_text(config), rank=order, status="complete", message=None,
+                       day_n=None, day_mae=None, day_rmse=None, all_mae=None)
+            try:
+                scored = fit_prepared(ready[family == "ridge"], label, family, config, pre).predict(valid, "__raw")
+                scored = scored.withColumn("__p", compose(F.col("__raw")) if compose else F.col("__raw"))
+                light, every = Pair(actual, "__p", F.col(day)), Pair(actual, "__p")
+                row.update(scored.agg(light.count().alias("day_n"), light.mae().alias("day_mae"), light.rmse().alias("day_rmse"),
+                                      every.mae().alias("all_mae")).first().asDict())
+            except Exception as problem:  # a failed trial is a result
+                row.update(status="failed", message=str(problem))
+            if ledger is not None:
+                ledger.put(row)
+            return row
+
+        with ThreadPoolExecutor(parallel) as pool:
+            rows = list(pool.map(one, todo))
+        for table in ready.values():
+            table.unpersist()
+    if ledger is not None:
+        return ledger.rows()
+    names = [f.split()[0] for f in TRIAL.split(", ")]
+    return train.sparkSession.createDataFrame([tuple(r[n] for n in names) for r in rows], TRIAL)
 
 
 def winners(ledger: DataFrame) -> DataFrame:
