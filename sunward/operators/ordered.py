@@ -183,16 +183,6 @@ def _inside(code: Column, bucket: Column) -> Column:
     return code - F.shiftleft(bucket, _BUCKET_BITS)
 
 
-def stacked(df: DataFrame, keep, columns: dict, tag: str, value: str) -> DataFrame:
-    """One row per (row, column): ``tag`` names the column, ``value`` holds it.
-
-    The stack generator ends the compiled stage below it, so whatever derives
-    the columns and whatever consumes the many narrow rows compile separately.
-    """
-    parts = [x for name, c in columns.items() for x in (F.lit(name), c)]
-    return df.select(*keep, F.stack(F.lit(len(columns)), *parts).alias(tag, value))
-
-
 # Rank error of the summaries: one part in so many of a group's rows. Brackets allow for twice as much,
 # and for two ranks more in groups of over SMALL_GROUP values; of smaller ones all values are inside.
 SUMMARY_ACCURACY, SMALL_GROUP = 10_000, 2_000

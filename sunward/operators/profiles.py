@@ -11,7 +11,7 @@ from ..functions.errors import Pair
 from ..functions.values import beside, count_if, finite, holds, is_finite, ratio
 from .align import _tag, offset_block
 from .histograms import grouped_quantiles
-from .ordered import average_ranks, islands, spread_join, stacked, with_quantiles
+from .ordered import average_ranks, islands, spread_join, with_quantiles
 
 INF = float("inf")
 # Fixed bin edges.
