@@ -68,6 +68,21 @@ def strict_sum(outputs: DataFrame, value: str, roster, out: str, keys=("ts",), u
                           absent.alias("uncomputed_ids"))
 
 
+def represented_sum(nominal: DataFrame, value: str, roster, out: str, keys=("ts",)) -> DataFrame:
+    """:func:`strict_sum` of :func:`represent`, from the nominal rows themselves.
+
+    Every device repeats the same nominal rows, so a label's devices are all computed or all not,
+    and no row has to be sent once for each device.
+    """
+    ids = _ids(roster)
+    size = len(list(roster))
+    single = F.count(F.lit(1)) == 1
+    labels = nominal.groupBy(*keys).agg(F.when(single, F.max(F.when(is_finite(value), F.col(value)))).alias("__v"))
+    known = F.col("__v").isNotNull()
+    return labels.select(*keys, (F.col("__v") * size).alias(out), F.when(known, size).otherwise(0).cast("long").alias("computed"),
+                         F.when(known, F.array().cast("array<string>")).otherwise(F.array_sort(ids)).alias("uncomputed_ids"))
+
+
 def complete_fleet(outputs: DataFrame, value: str, roster_size: int, flagged: DataFrame | None, out: str,
                    ts: str = "ts", unit: str = "inverter_id") -> DataFrame:
     """Sum per label where all devices are finite, single, not negative and the label is unflagged; else NULL."""

@@ -8,7 +8,7 @@ from ..config import InverterParameters, LossConfig, SystemConfig
 from ..functions import physics as ph
 from ..functions.values import count_if, finite, is_finite, ratio
 from .align import offset_block
-from .fleet import represent, strict_sum
+from .fleet import represent, represented_sum
 from .masks import with_model_status
 
 MODULE_VALUES = ("vmp", "imp", "voc", "isc")
@@ -41,12 +41,14 @@ def module_dc(df: DataFrame, cells: DataFrame, poa_step: float, temp_step: float
               temp: str = "temp_cell", prefix: str = "", values=MODULE_VALUES) -> DataFrame:
     """Module operating point by bilinear look-up; exact zeros at zero irradiance.
 
-    The map is a small dimension table; whether it is broadcast follows its size.
+    The map is bounded by the module's range of irradiance and temperature, not by the readings, so
+    it is broadcast: its size is not known beforehand, and a join of unknown sides would shuffle every
+    reading, once for each scenario and once for each pass over the result.
     """
     p, t = F.col(poa), F.col(temp)
     pi, ti = F.floor(p / poa_step).cast("long"), F.floor(t / temp_step).cast("long")
     left = df.withColumn("__pi", pi).withColumn("__ti", ti)
-    joined = left.join(cells, (F.col("__pi") == F.col("pi")) & (F.col("__ti") == F.col("ti")), "left")
+    joined = left.join(F.broadcast(cells), (F.col("__pi") == F.col("pi")) & (F.col("__ti") == F.col("ti")), "left")
     x = (p - F.col("bi") * poa_step) / poa_step
     y = (t - F.col("bj") * temp_step) / temp_step
     on_map = (x <= 1) & (y <= 1)
@@ -116,8 +118,7 @@ class PlantModel:
 
     def plant_model(self, df: DataFrame, roster, keys=("ts",), value="expected_ac_power"):
         """Device outputs for a roster, and the strict plant sum per label."""
-        units = represent(df, roster)
-        return units, strict_sum(units, value, roster, "expected_plant_ac_power", keys)
+        return represent(df, roster), represented_sum(df, value, roster, "expected_plant_ac_power", keys)
 
     def scenarios(self, df: DataFrame, scenarios=ph.THERMAL_SCENARIOS, measured=None, poa="poa", ambient="ambient",
                   wind="wind") -> DataFrame:

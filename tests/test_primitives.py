@@ -130,6 +130,25 @@ def test_repeated_devices_are_not_computed(spark):
     assert [(r.m, r.m_samples) for r in align.strict_mean(anchors, series, "v", [0, 5], "m").orderBy("ts").collect()] == [(None, 1), (2.0, 2)]
 
 
+def test_plant_of_represented_devices_sends_no_row_per_device(spark):
+    rows = spark.createDataFrame([("t1", 2.5), ("t2", 1.0), ("t2", 1.0), ("t3", None), ("t4", float("nan")), (None, 4.0)], "ts string, expected_ac_power double")
+    roster = ["b", "a", "c"]
+    units, plant = modelling.PlantModel.plant_model(None, rows, roster)
+    plan = plant._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert units.count() == 18
+    assert sorted(map(str, plant.collect())) == sorted(map(str, fleet.strict_sum(units, "expected_ac_power", roster, "expected_plant_ac_power").select(*plant.columns).collect()))
+
+
+def test_module_look_up_shuffles_no_readings(spark):
+    grid = [(100.0 * i, 10.0 * j, 30.0, 1.0, 40.0, 2.0) for i in range(3) for j in range(3)]
+    cells = modelling.performance_cells(spark.createDataFrame(grid, "poa double, temp double, vmp double, imp double, voc double, isc double"), 100.0, 10.0)
+    rows = spark.range(100).select(F.col("id").cast("double").alias("poa"), F.lit(5.0).alias("temp_cell"))
+    found = modelling.module_dc(rows, cells, 100.0, 10.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and found.where("round(vmp, 9) = 30").count() == 99
+
+
 def test_fingerprints_of_fields_that_run_together(spark):
     one = lambda *row: src.fingerprint(spark.createDataFrame([row], "a string, b string"), ["a", "b"]).first()
     assert len({one("x|y", "z"), one("x", "y|z"), one("x", "y"), one(None, "~"), one("~", None), one("-", "~"), one("", "1:x")}) == 7
