@@ -83,6 +83,24 @@ def test_exact_quantiles_without_keys_and_with_null_key(spark):
     assert got == {None: 2.0, "a": 5.0}
 
 
+def test_no_row_is_repeated_for_a_probability(spark):
+    rows = spark.range(30_000).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("v"))
+    found = o.exact_quantiles(rows, ["k"], {f"p{i}": ("v", i / 8) for i in range(1, 8)})
+    assert [round(r.p4) for r in found.orderBy("k").collect()] == [14_999, 15_000]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction") == 0
+
+
+def test_rows_of_few_groups_are_not_brought_together_for_quantiles(spark):
+    rows = spark.range(30_000).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # sizes are not known before the first pass
+    found = o.exact_quantiles(rows, ["k"], {"m": ("v", .5)})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert [r.m for r in found.orderBy("k").collect()] == [14_999.0, 15_000.0]
+
+
 def test_average_ranks(df, frame):
     got = o.average_ranks(df, ["k"], "v", "r").toPandas().set_index(["k", "v"]).r
     want = frame.dropna().assign(r=frame.groupby("k").v.rank()).groupby(["k", "v"]).r.first()
