@@ -145,13 +145,17 @@ _view("strata", """SELECT ts, poa, ambient, wind, ambient + poa / (25 + 6.84 * w
 
 
 def strata(t):
+    return once(strata_rows(t))
+
+
+def strata_rows(t):
     from sunward.functions import physics as ph, solar
     from .physics import SITE
     rows = solar.with_geometry(wx(t), SITE).withColumn("temp_cell", ph.cell_temperature("poa", "ambient", "wind"))
-    return once(rows.select("ts", "poa", "ambient", "wind", "temp_cell", F.col("aoi_deg").alias("aoi"), F.col("solar_phase").alias("phase"),
+    return rows.select("ts", "poa", "ambient", "wind", "temp_cell", F.col("aoi_deg").alias("aoi"), F.col("solar_phase").alias("phase"),
                        F.when(F.col("tax") != 0.02, (600 + F.col("tax") * 500) / (700 - F.col("ambient"))).alias("voltage_ratio"),
                        ((F.col("poa") / 30 + F.col("wind")) / (F.col("poa") / 25)).alias("current_ratio"),
-                       ((F.col("poa") + F.col("ambient")) / (F.col("poa") + 30)).alias("power_ratio"), clock.season("ts").alias("season")))
+                       ((F.col("poa") + F.col("ambient")) / (F.col("poa") + 30)).alias("power_ratio"), clock.season("ts").alias("season"))
 
 
 RATIOS = ("voltage_ratio", "current_ratio", "power_ratio")
@@ -213,7 +217,7 @@ SELECT t.*, coalesce(v, 0) AS valid, total - coalesce(v, 0) AS excluded, correla
 LEFT JOIN (SELECT phase, quantity, variable, count(*) AS v, corr(rx, ry) AS correlation FROM r GROUP BY 1, 2, 3) USING (phase, quantity, variable)
 """, "strata"), d="correlation", i="total valid excluded")
 def a20(t):
-    return pf.spearman(strata(t), "phase", ["voltage_ratio", "power_ratio"], ["temp_cell", "wind", "poa"])
+    return pf.spearman(strata_rows(t), "phase", ["voltage_ratio", "power_ratio"], ["temp_cell", "wind", "poa"])
 
 
 CMP = """count(*) AS n, CASE WHEN count(*) >= 3 THEN corr(x, y) END AS correlation, CASE WHEN count(*) >= 3 THEN avg(abs(x - y)) END AS mae,

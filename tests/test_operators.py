@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,6 +291,27 @@ def test_spearman_small(spark):
     assert math.isclose(got["AM"], 1.0) and math.isclose(got["PM"], -1.0)
 
 
+def test_spearman_reads_its_input_once(spark):
+    rows = [(("AM", "PM", None)[i % 3], None if i % 7 == 0 else float(i % 40), None if i % 11 == 0 else float(i * i % 97), None if i % 5 == 0 else float(-i % 13)) for i in range(600)]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, "phase string, q double, v double, w double").mapInArrow(seen, "phase string, q double, v double, w double")
+    got = {(r.phase, r.variable): r for r in profiles.spearman(df, "phase", ["q"], ["v", "w"]).collect()}
+    assert read.value == len(rows)  # no pass over the rows for each pair, side and join
+    frame = pd.DataFrame(rows, columns=["phase", "q", "v", "w"])
+    for (phase, variable), r in got.items():
+        part = frame if phase == "all" else frame[frame.phase == phase]
+        both = part[["q", variable]].dropna()
+        assert (r.total, r.valid, r.excluded) == (len(part), len(both), len(part) - len(both))
+        assert math.isclose(r.correlation, both.q.rank().corr(both[variable].rank()), abs_tol=1e-9)
+    assert len(got) == 6
+
+
 def test_loading_bins(spark):
     df = spark.createDataFrame([(100.0, 99.0), (100.0, None), (-5.0, 1.0), (None, 1.0)], "e double, m double")
     got = {r.loading_bin: r for r in profiles.loading_summary(df, "e", "m", 100.0, "expected").collect()}
