@@ -8,7 +8,6 @@ reading gives out only the values of those buckets.
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -25,61 +24,113 @@ def buckets(values: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(values), code >> _LOW_BITS, NOTHING)
 
 
-def _columns(batch, labels: int):
-    """Codes and labels of each label column, and each measure as doubles."""
+def _columns(table, labels: int):
+    """Codes and labels of each label column."""
     for i in range(labels):
-        coded = batch.column(i).dictionary_encode()
+        coded = table.column(i).combine_chunks().dictionary_encode()
+        coded = coded if isinstance(coded, pa.DictionaryArray) else coded.unify_dictionaries().combine_chunks()
         yield np.asarray(coded.indices.fill_null(len(coded.dictionary))), [*coded.dictionary.to_pylist(), None]
 
 
-def _measures(batch, labels: int) -> list:
-    return [np.asarray(batch.column(i).cast(pa.float64()).fill_null(np.nan)) for i in range(labels, batch.num_columns)]
+def _measures(table, labels: int) -> list:
+    return [np.asarray(table.column(i).cast(pa.float64()).combine_chunks().fill_null(np.nan)) for i in range(labels, table.num_columns)]
+
+
+#: Rows that a task works on at once.
+_ROWS = 1 << 17
+
+
+def _tables(batches):
+    """The batches of a task, put together to some ``_ROWS`` rows."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= _ROWS:
+            yield pa.Table.from_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+# A label's number and a bucket as one integer; buckets are 22 bits and a sign, NOTHING goes below all of them.
+_SHIFT, _ZERO = 24, 1 << 23
+
+
+def _keys(numbers: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    return (numbers.astype(np.int64) << _SHIFT) + np.maximum(bucket, 1 - _ZERO) + _ZERO
+
+
+def _key_bucket(keys: np.ndarray) -> np.ndarray:
+    bucket = (keys & ((1 << _SHIFT) - 1)) - _ZERO
+    return np.where(bucket == 1 - _ZERO, NOTHING, bucket)
+
+
+def _summed(keys: list, counts: list):
+    """Distinct keys and the sums of their counts."""
+    found, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(place, np.concatenate(counts), len(found)).astype(np.int64)
 
 
 def _count_task(dimensions, measures):
     """One row for each (dimension, bin, measure, bucket) that the task has met."""
     def run(batches):
-        held = {}
-        for batch in batches:
-            found = [buckets(v) for v in _measures(batch, len(dimensions))]
-            for name, (codes, labels) in zip(dimensions, _columns(batch, len(dimensions))):
-                for measure, bucket in zip(measures, found):
-                    order = np.lexsort((bucket, codes))
-                    c, b = codes[order], bucket[order]
-                    first = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (b[1:] != b[:-1])]) if len(c) else np.zeros(0, int)
-                    for code, at, n in zip(c[first].tolist(), b[first].tolist(), np.diff(np.r_[first, len(c)]).tolist()):
-                        key = (name, labels[code], measure, at)
-                        held[key] = held.get(key, 0) + n
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in held], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))] + [pa.array(held.values(), pa.int64())],
+        held, numbers = {}, {name: {} for name in dimensions}
+        for table in _tables(batches):
+            found = [np.unique(buckets(v), return_inverse=True) for v in _measures(table, len(dimensions))]
+            for name, (codes, labels) in zip(dimensions, _columns(table, len(dimensions))):
+                known = np.array([numbers[name].setdefault(x, len(numbers[name])) for x in labels])
+                for measure, (distinct, place) in zip(measures, found):
+                    pairs = codes.astype(np.int64) * len(distinct) + place
+                    if len(labels) * len(distinct) <= 16 * _ROWS:
+                        counts = np.bincount(pairs)
+                        met = np.flatnonzero(counts)
+                        n = counts[met]
+                    else:
+                        met, n = np.unique(pairs, return_counts=True)
+                    keys = _keys(known[met // len(distinct)], distinct[met % len(distinct)])
+                    if (name, measure) in held:
+                        keys, n = _summed([held[name, measure][0], keys], [held[name, measure][1], n])
+                    held[name, measure] = keys, n
+        for (name, measure), (keys, n) in held.items():
+            labels = pa.array(list(numbers[name]), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.repeat(name, len(n)), labels.take(pa.array(keys >> _SHIFT)), pa.repeat(measure, len(n)), pa.array(_key_bucket(keys)), pa.array(n)],
                                              ["dimension", "bin", "measure", "bucket", "n"])
     return run
 
 
 def _values_task(dimensions, measures, wanted):
-    """Values (with their counts in the batch) that lie in a wanted bucket; ``wanted``: (dimension, bin, measure) -> buckets."""
+    """Values (with their counts in some rows) that lie in a wanted bucket; ``wanted``: (dimension, bin, measure) -> buckets."""
     def run(batches):
-        for batch in batches:
-            values = _measures(batch, len(dimensions))
-            found = [buckets(v) for v in values]
-            out = []
-            for name, (codes, labels) in zip(dimensions, _columns(batch, len(dimensions))):
-                for measure, value, bucket in zip(measures, values, found):
-                    for code in np.unique(codes).tolist():
-                        asked = wanted.get((name, labels[code], measure))
-                        if asked is not None:
-                            inside = value[(codes == code) & np.isin(bucket, asked)] + 0.0
-                            if len(inside):
-                                one, n = np.unique(inside, return_counts=True)
-                                out.append(pd.DataFrame({"dimension": name, "bin": labels[code], "measure": measure, "bucket": buckets(one), "value": one, "n": n}))
-            if out:
-                yield pa.RecordBatch.from_pandas(pd.concat(out), schema=_VALUES, preserve_index=False)
+        names = {d: {label: i for i, label in enumerate({b for n, b, _ in wanted if n == d})} for d in dimensions}
+        asked = {(d, m): np.sort(np.concatenate([np.zeros(0, np.int64), *[_keys(np.full(len(at), names[d][b]), np.asarray(at)) for (n, b, x), at in wanted.items() if (n, x) == (d, m)]]))
+                 for d in dimensions for m in measures}
+        some = {m: np.unique(np.concatenate([np.zeros(0, np.int64), *[np.asarray(at) for (_, _, x), at in wanted.items() if x == m]])) for m in measures}
+        for table in _tables(batches):
+            values = []
+            for measure, value in zip(measures, _measures(table, len(dimensions))):
+                bucket = buckets(value)
+                rows = np.flatnonzero(np.isin(bucket, some[measure]))
+                values.append((rows, value[rows] + 0.0, bucket[rows]))
+            for name, (codes, labels) in zip(dimensions, _columns(table, len(dimensions))):
+                known = np.array([names[name].get(x, -1) for x in labels])
+                order = pa.array(list(names[name]), pa.string())
+                for measure, (rows, value, bucket) in zip(measures, values):
+                    keys, mine = _keys(known[codes[rows]], bucket), asked[name, measure]
+                    if len(mine) == 0:
+                        continue
+                    hit = mine[np.minimum(np.searchsorted(mine, keys), len(mine) - 1)] == keys
+                    keys, inside = keys[hit], value[hit]
+                    if len(keys):
+                        by = np.lexsort((inside, keys))
+                        keys, inside = keys[by], inside[by]
+                        first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (inside[1:] != inside[:-1])])
+                        n, keys, inside = np.diff(np.r_[first, len(keys)]), keys[first], inside[first]
+                        yield pa.RecordBatch.from_arrays([pa.repeat(name, len(n)), order.take(pa.array(keys >> _SHIFT)), pa.repeat(measure, len(n)), pa.array(_key_bucket(keys)), pa.array(inside), pa.array(n)],
+                                                         ["dimension", "bin", "measure", "bucket", "value", "n"])
     return run
 
 
-_VALUES = pa.schema([("dimension", pa.string()), ("bin", pa.string()), ("measure", pa.string()), ("bucket", pa.int64()), ("value", pa.float64()), ("n", pa.int64())])
-
-
 def grouped_quantiles(df: DataFrame, dimensions: dict, measures, probabilities) -> DataFrame:
     """Per (dimension, bin, measure): total, finite, and exact interpolated quantiles ``q0, q1, ...``.
 

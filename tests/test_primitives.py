@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,6 +197,15 @@ def test_quantiles_of_many_groupings_repeat_no_row(spark, frame):
     assert out.agg(F.sum("n")).first()[0] == 3 * 2 * len(pdf) and out.groupBy("dimension", "bin", "measure", "bucket").count().agg(F.max("count")).first()[0] <= 3
 
 
+def test_histogram_tasks_work_on_many_batches_at_once():
+    batches = [pa.RecordBatch.from_pydict({"d": pa.array(["a", None, "b", "a"]), "m": pa.array([1.5, 1.5, 7.0, None])}) for _ in range(50)]
+    at = histograms.buckets(np.array([1.5]))
+    out = pa.Table.from_batches(histograms._values_task(["d"], ["m"], {("d", "a", "m"): at, ("d", None, "m"): at})(iter(batches))).to_pylist()
+    assert sorted((str(r["bin"]), r["value"], r["n"]) for r in out) == [("None", 1.5, 50), ("a", 1.5, 50)]  # not a row for each batch
+    counts = pa.Table.from_batches(histograms._count_task(["d"], ["m"])(iter(batches))).to_pylist()
+    assert {(r["bin"], r["bucket"]): r["n"] for r in counts} == {("a", at[0]): 50, (None, at[0]): 50, ("b", histograms.buckets(np.array([7.0]))[0]): 50, ("a", histograms.NOTHING): 50}
+
+
 def test_heavy_keys_are_spread_in_a_join(spark):
     left = spark.range(20_000).select(F.when(F.col("id") % 10 < 6, F.lit(None)).otherwise(F.col("id") % 700).alias("k"), F.col("id").alias("x"))
     right = left.select("k").distinct().withColumn("y", F.coalesce("k", F.lit(-1)) * 2)
