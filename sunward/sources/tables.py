@@ -3,6 +3,8 @@
 import json
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -171,15 +173,46 @@ def digest_leaves(spark: SparkSession, path, rows: int = BLOCK_ROWS) -> DataFram
 def _leaves(df: DataFrame, rows: int | None) -> DataFrame:
     columns = df.schema.fields
     text = {f.name: F.to_json(F.struct(F.col(f"`{f.name}`"))) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else F.col(f"`{f.name}`").cast("string") for f in columns}
-    given = {name: _behind_length(c) for name, c in text.items()}
-    given[WHOLE_ROW] = F.concat(*given.values())
+    given = [*text, WHOLE_ROW]
     block = F.lit(0).cast("long") if rows is None else F.floor(F.col("_metadata.row_index") / rows)
-    digests = df.select(F.col("_metadata.file_path").alias("path"), block.alias("block"), *[F.md5(c).alias(f"__d{i}") for i, c in enumerate(given.values())])
-    sums = digests.groupBy("path", "block").agg(F.count(F.lit(1)).alias("records"), *[x.alias(f"__{i}_{k}") for i in range(len(given)) for k, x in enumerate(_words(F.col(f"__d{i}")))])
+    # each text is used twice and twice again: columns of their own are worked out once
+    texts = df.select(F.col("_metadata.file_path").alias("path"), block.alias("block"), *[c.alias(f"__t{i}") for i, c in enumerate(text.values())])
+    fields = texts.select("path", "block", *[_behind_length(F.col(f"__t{i}")).alias(f"__f{i}") for i in range(len(text))])
+    behind = [F.col(f"__f{i}") for i in range(len(text))]
+    digests = fields.select("path", "block", F.unhex(F.concat(*[F.md5(c) for c in (*behind, F.concat(*behind))])).alias("digests"))
+    parts = digests.mapInArrow(_sum_task(len(given)), "path string, block long, records long, words array<long>")
+    sums = parts.groupBy("path", "block").agg(F.sum("records").alias("records"), *[F.sum(F.get("words", F.lit(4 * i + k))).alias(f"__{i}_{k}") for i in range(len(given)) for k in range(4)])
     leaf = [F.struct(F.lit(name).alias("column"), *[F.col(f"__{i}_{k}").alias(w) for k, w in enumerate(WORDS)]) for i, name in enumerate(given)]
     return sums.select("path", "block", "records", F.inline(F.array(*leaf))).select("path", "block", "column", "records", *WORDS)
 
 
+def _sum_task(columns: int):
+    """One row for each file and block that the task has met: its rows and the summed words of each column's digests.
+
+    Reading words out of hex digests one by one is most of the work otherwise.
+    """
+    def run(batches):
+        held = {}
+        for batch in batches:
+            path, block, digests = batch.column(0).dictionary_encode(), np.asarray(batch.column(1)), batch.column(2).cast(pa.binary())
+            if not len(block):
+                continue
+            _, offsets, data = digests.buffers()
+            start = int(np.frombuffer(offsets, np.int32)[digests.offset])
+            words = np.frombuffer(data, ">u4", len(block) * 4 * columns, start).reshape(len(block), -1)
+            codes = np.asarray(path.indices)
+            # rows of a file and block follow each other
+            first = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (block[1:] != block[:-1])])
+            for low, high in zip(first.tolist(), [*first[1:].tolist(), len(block)]):
+                key = path.dictionary[int(codes[low])].as_py(), int(block[low])
+                records, known = held.get(key, (0, 0))
+                held[key] = records + high - low, known + words[low:high].sum(axis=0, dtype=np.int64)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held]), pa.array([k[1] for k in held]), pa.array([n for n, _ in held.values()]), pa.array([w for _, w in held.values()], pa.list_(pa.int64()))],
+                                             ["path", "block", "records", "words"])
+    return run
+
+
 def summed(leaves: DataFrame, keys) -> DataFrame:
     """Nodes of the digest tree above the leaves: by file, by column, by any ``keys``."""
     return leaves.groupBy(*keys).agg(F.sum("records").alias("records"), *[F.sum(w).alias(w) for w in WORDS])

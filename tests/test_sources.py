@@ -1,5 +1,6 @@
 """Files: scans, sinks, manifests and bounded ingestion."""
 
+import hashlib
 import json
 
 import pytest
@@ -125,3 +126,17 @@ def test_fingerprint_of_parts_adds_up(spark):
     assert nothing.count() == 0
     whole = lambda df: src.fingerprint(df, ["k", "v"])
     assert src.fingerprint_after(whole(known), whole(added), whole(removed)).first() == whole(part.where("part <> 1")).first()
+
+
+def test_words_of_leaves_are_those_of_the_digests(spark, tmp_path):
+    rows = [(i, None if i % 3 == 0 else "x" * (i % 5)) for i in range(50)]
+    spark.createDataFrame(rows, "a long, b string").repartition(2, "a").write.parquet(str(tmp_path / "t"))
+    leaves = src.digest_leaves(spark, str(tmp_path / "t"), rows=7)
+    assert " conv(" not in leaves._jdf.queryExecution().optimizedPlan().toString()  # words are summed as arrays
+    assert leaves.where("column = 'a'").agg(F.max("records")).first()[0] == 7
+    field = lambda v: "-" if v is None else f"{len(str(v))}:{v}"
+    texts = {"a": [field(a) for a, _ in rows], "b": [field(b) for _, b in rows], src.WHOLE_ROW: [field(a) + field(b) for a, b in rows]}
+    for r in src.summed(leaves, ["column"]).collect():
+        digests = [hashlib.md5(x.encode()).hexdigest() for x in texts.pop(r.column)]
+        assert [r.records, *[r[w] for w in src.WORDS]] == [50, *[sum(int(d[8 * i:8 * i + 8], 16) for d in digests) for i in range(4)]]
+    assert not texts
