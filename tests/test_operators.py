@@ -387,3 +387,12 @@ def test_gates_refuse_what_they_are_for(spark):
     quality.check_measurements(weather)
     with pytest.raises(ValueError):
         quality.check_measurements(weather.where("poa < 0"))
+
+
+def test_training_tables_read_the_readings_once(spark):
+    from catalog import forecasting, registry
+    tables = registry.Tables(spark, "/root/testdata/sf0.001")
+    forecasting.training_table(tables)
+    plan = forecasting.split_features(tables)._jdf.queryExecution().withCachedData().toString()
+    spark.catalog.clearCache()
+    assert "InMemoryRelation" in plan and not [line for line in plan.splitlines() if "Relation [event_id" in line]
