@@ -16,19 +16,21 @@ so lists with the same members are met by each of them in the same order, and th
 stands for the rest. Then each list links its members to one hub: the member that meets the gram
 first, which of near copies is the one that was changed least. Classes so linked are one component;
 what is left are pairs across components of one list. The filters are asked of all of them as they
-are met, so few are left to verify, and every one of these is verified. No link between components
-is lost, while pairs inside one need no comparison.
+are met, so few are left to verify, and every one of these is verified: first by bitmaps of both
+sets, which bound the overlap from above, then by the sets, which move for the pairs that are left
+alone. No link between components is lost, while pairs inside one need no comparison.
 """
 
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components, union
-from .shared import WordHashes, arrow_pass, free_names, gram_sets, release, stored
+from .shared import WordHashes, arrow_pass, free_names, gram_sets, release, shuffles_cleaned, stored
 
 GRAM = 5
 #: Similarity as a fraction of integers: 75 of 100.
@@ -38,8 +40,8 @@ SKETCH_BITS = 22
 #: Cells of the bitmap for each prefix gram, and its most bits (32 MB); beyond them it lets more
 #: through, and the result is the same. Tasks add sketch and bitmap up in pieces.
 CELLS, MOST_BITS, PIECES = 8, 28, 64
-#: Documents hashed at a time.
-BATCH = 512
+#: Documents hashed at a time, and bytes kept of a gram in prefixes and sets.
+BATCH, GRAM_BYTES = 512, 6
 #: Bits of the bitmaps that thin out documents read for their sets, and of that of the lists that stay.
 SLOT_BITS, CHOSEN_BITS = 23, 26
 
@@ -131,35 +133,47 @@ def repeat_cells(tokens: np.ndarray, bits: int) -> np.ndarray:
     return ((tokens.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def packed_cells(cells: np.ndarray, again: np.ndarray) -> bytes:
+    """Ascending cells and a flag of each. Gaps are laid out by byte, as their upper bytes are mostly zero."""
+    gaps = np.diff(cells, prepend=0).astype("<u4")
+    return np.array([len(cells)], "<u4").tobytes() + gaps.view(np.uint8).reshape(-1, 4).T.tobytes() + np.packbits(again).tobytes()
+
+
+def unpacked_cells(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = int(data[:4].view("<u4")[0])
+    gaps = np.ascontiguousarray(data[4:4 + 4 * n].reshape(4, n).T).view("<u4").reshape(-1)
+    return np.cumsum(gaps, dtype=np.int64), np.unpackbits(data[4 + 4 * n:], count=n).astype(bool)
+
+
 def repeated_cells(rows: DataFrame) -> tuple[np.ndarray, int]:
     """A bitmap of the cells that two or more prefix grams fall into, and the bits of a cell's number.
 
     A gram alone in its cell is in no list of two, so it need not be shuffled; the bitmap lets
     through every gram that is not alone, and by chance some that are.
     """
-    n = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    n = rows.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
+    n //= GRAM_BYTES
     bits = min(MOST_BITS, max(12, (CELLS * n).bit_length()))
     per = (1 << bits) // PIECES
 
-    def packed(cells, first):
+    def bitmap(cells):
         out = np.zeros(per // 8, np.uint8)
-        at = cells - first
-        np.add.at(out, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))  # cells differ, so bits never carry
+        np.add.at(out, cells >> 3, np.uint8(128) >> (cells & 7).astype(np.uint8))  # cells differ, so bits never carry
         return out
 
     def mark(batches):
-        met = [repeat_cells(np.asarray(batch.column(0).flatten()), bits).astype(np.uint32) for batch in batches]
+        met = [repeat_cells(prefix_tokens(batch.column(0)), bits).astype(np.uint32) for batch in batches]
         if sum(map(len, met)):
             cells, counts = np.unique(np.concatenate(met), return_counts=True)
             cells, ends = cells.astype(np.int64), np.searchsorted(cells, np.arange(PIECES + 1) * per)
             data = []
             for i in range(PIECES):
-                own, again = cells[ends[i]:ends[i + 1]], counts[ends[i]:ends[i + 1]] > 1
-                data.append(zlib.compress(np.concatenate([packed(own, i * per), packed(own[again], i * per)]).tobytes(), 1))
+                data.append(zlib.compress(packed_cells(cells[ends[i]:ends[i + 1]] - i * per, counts[ends[i]:ends[i + 1]] > 1), 1))
             yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(data, pa.binary())], ["piece", "data"])
 
     def fold(held, x):
-        once, twice = x.reshape(2, -1)
+        cells, again = unpacked_cells(x)
+        once, twice = bitmap(cells), bitmap(cells[again])
         return (once, twice) if held is None else (held[0] | once, held[1] | twice | (held[0] & once))
 
     parts = arrow_pass(rows.filter("prefix is not null").select("prefix"), mark, "piece int, data binary")
@@ -187,7 +201,7 @@ def in_bitmap(held: np.ndarray, slot: int) -> int:
 
 
 def with_prefixes(docs: DataFrame, sketch, copied, reps) -> DataFrame:
-    """class, n, prefix (the first grams in rare order, as longs) of each class.
+    """class, n, prefix (the first grams in rare order, packed) of each class.
 
     Bitmaps of the classes that several documents have, and of the (class, document) that stand for
     these, leave out other copies; a task also writes a class once. What a bitmap lets through by
@@ -208,10 +222,15 @@ def with_prefixes(docs: DataFrame, sketch, copied, reps) -> DataFrame:
                     seen.add(key)
                     ns.append(len(grams))
                     keys.append(key)
-                    prefixes.append(rare_order(grams, counts)[:prefix_length(len(grams))].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ns, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["class", "n", "prefix"])
+                    prefixes.append(packed_grams(rare_order(grams, counts)[:prefix_length(len(grams))]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ns, pa.int64()), pa.array(prefixes, pa.binary())], ["class", "n", "prefix"])
+
+    return arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), scan, "class long, n long, prefix binary")
+
 
-    return arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), scan, "class long, n long, prefix array<long>")
+def prefix_tokens(column) -> np.ndarray:
+    """The grams of a column of prefixes, one after another. Two grams that agree in the bytes kept share a list, whose pairs are verified as any."""
+    return unpacked_grams(b"".join(column.to_pylist())).view(np.int64)
 
 
 def reach(n, m, place, other):
@@ -246,9 +265,8 @@ def tokens_in(rows: DataFrame, sent, bits: int) -> DataFrame:
     def scan(batches):
         bitmap = sent.value
         for batch in batches:
-            prefix = batch.column(2)
-            tokens = np.asarray(prefix.flatten())
-            lengths = np.diff(np.asarray(prefix.offsets))
+            tokens = prefix_tokens(batch.column(2))
+            lengths = np.asarray(pc.binary_length(batch.column(2))).astype(np.int64) // GRAM_BYTES
             cells = repeat_cells(tokens, bits)
             keep = (bitmap[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 > 0
             place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -285,45 +303,65 @@ def entries(rows: DataFrame) -> DataFrame:
     return out
 
 
-def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The sets of the classes in ``wanted`` (class, rep), as binary rows: class, grams.
+def candidate_sets(docs: DataFrame, wanted: DataFrame, reading: int) -> tuple[DataFrame, DataFrame]:
+    """The sets of the classes in ``wanted`` (class, rep), both stored: row, class, n, grams, cells, and the class, row, n, cells of one row a class.
 
     Documents are read again, and a bitmap of fixed size, in which every wanted class sets the
-    bit of its (class, rep), lets only those through that may be wanted; the join decides. So
-    copies beside the class's representative are not carried.
+    bit of its (class, rep), lets only those through that may be wanted. So copies beside the
+    class's representative are not carried. The sets stay where they were read: what the bitmap
+    let through by chance, and a class that several tasks wrote, is left out by ``row``, whose
+    numbers differ between readings 0 and 1.
     """
     mask = (1 << SLOT_BITS) - 1
     sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select(slot_of(F.col("class"), F.col("rep")).alias("slot"))))
 
     def scan(batches):
-        held = sent.value
+        held, seen = sent.value, set()
         for batch in (b.slice(i, BATCH) for b in batches for i in range(0, len(b), BATCH)):
-            keys, ids, grams = [], [], []
+            keys, ns, grams, cells = [], [], [], []
             for doc_id, own in zip(batch.column(0).to_pylist(), gram_sets(batch.column(1).to_pylist(), _WORDS, GRAM)):
                 if len(own):
                     key = set_key(own)
-                    if in_bitmap(held, (key ^ (-1 if doc_id is None else doc_id)) & mask):
+                    if in_bitmap(held, (key ^ (-1 if doc_id is None else doc_id)) & mask) and key not in seen:
+                        seen.add(key)
                         keys.append(key)
-                        ids.append(doc_id)
+                        ns.append(len(own))
                         grams.append(packed_grams(own))
+                        cells.append(set_cells(own))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(grams, pa.binary())], ["class", "doc_id", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ns, pa.int64()), pa.array(grams, pa.binary()), pa.array(cells, pa.binary())], ["class", "n", "grams", "cells"])
 
-    passed = arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), scan, "class long, doc_id long, grams binary")
-    found = passed.join(wanted.select(F.col("class").alias("c"), "rep"), (F.col("class") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    out = stored(found.select("class", "grams").dropDuplicates(["class"]), "gram-sets")
+    passed = arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), scan, "class long, n long, grams binary, cells binary")
+    sets = stored(passed.withColumn("row", F.monotonically_increasing_id() * 2 + reading), "gram-sets")
     sent.destroy()
-    return out
+    one = sets.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.min(F.struct("row", "n", "cells")).alias("one"))
+    return sets, stored(one.select("class", "one.*"), "gram-cells")
+
+
+def set_cells(grams: np.ndarray) -> bytes:
+    """A bitmap of the cells that the grams fall into: two to four for each gram, a power of two of them."""
+    m = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    out = np.zeros(m, bool)
+    out[(grams & np.uint64(m - 1)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
+def may_be_similar(n: int, x: np.ndarray, m: int, y: np.ndarray) -> bool:
+    """Whether bitmaps of two sets of n and m grams leave room for the overlap: a cell that one of them lacks holds a gram that it lacks."""
+    k = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(z.reshape(-1, k), axis=0) for z in (x, y))  # cells of the larger one fold onto those of the smaller
+    lacks = lambda a, b: int(np.bitwise_count(a & ~b).sum())
+    return min(n - lacks(x, y), m - lacks(y, x)) * (OVER + UNDER) >= (n + m) * OVER
 
 
 def packed_grams(grams: np.ndarray) -> bytes:
     """Six bytes of each gram: in one pair of sets, two grams that differ agree in these with a chance of one in 10^8 for a thousand grams."""
-    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - GRAM_BYTES:].tobytes()
 
 
 def unpacked_grams(data) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(data) // GRAM_BYTES, 8), np.uint8)
+    out[:, 8 - GRAM_BYTES:] = np.frombuffer(data, np.uint8).reshape(-1, GRAM_BYTES)
     return out.view("<u8").reshape(-1)
 
 
@@ -345,15 +383,46 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return len(np.intersect1d(a, b, assume_unique=True)) * (OVER + UNDER) >= total * OVER
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b: classes) that meet the threshold."""
+def close_pairs(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Of pairs (a, b: classes) those that the bitmaps of their sets let pass, stored, with the rows x and y of the sets."""
+    def bound(batches):
+        for batch in batches:
+            n, m = batch.column(4).to_pylist(), batch.column(6).to_pylist()
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint8) for v in batch.column(i)] for i in (5, 7))
+            yield batch.select([0, 1, 2, 3]).filter(pa.array([may_be_similar(*each) for each in zip(n, x, m, y)], pa.bool_()))
+
+    side = lambda name, row, *names: cells.select(F.col("class").alias(name), F.col("row").alias(row), *[F.col(c).alias(as_) for c, as_ in zip(("n", "cells"), names)])
+    full = pairs.join(side("a", "x", "n", "x_cells"), "a").join(side("b", "y", "m", "y_cells"), "b")
+    return stored(arrow_pass(full.select("a", "b", "x", "y", "n", "x_cells", "m", "y_cells"), bound, "a long, b long, x long, y long"), "gram-close")
+
+
+def sets_of(sets: DataFrame, sent) -> DataFrame:
+    """row, grams of the sets whose classes a bitmap lets pass, in place."""
+    def scan(batches):
+        held = sent.value
+        for batch in batches:
+            slots = np.asarray(batch.column(0)) & ((1 << SLOT_BITS) - 1)
+            yield batch.select([1, 2]).filter(pa.array((held[slots >> 6] >> (slots & 63)) & 1 > 0))
+
+    return arrow_pass(sets.select("class", "row", "grams"), scan, "row long, grams binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, cells: DataFrame) -> DataFrame:
+    """The pairs (a, b: classes) that meet the threshold, stored. Sets move only for pairs whose bitmaps leave it open."""
     def compare(batches):
         for batch in batches:
             keep = [similar(unpacked_grams(x.as_buffer()), unpacked_grams(y.as_buffer())) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    full = pairs.join(sets.select(F.col("class").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("class").alias("b"), F.col("grams").alias("y")), "b")
-    return arrow_pass(full.select("a", "b", "x", "y"), compare, "a long, b long")
+    close = close_pairs(pairs, cells)
+    sent = [pairs.sparkSession.sparkContext.broadcast(bitmap_of(close.select(F.col(c).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).alias("slot")))) for c in ("a", "b")]
+    left, right = (sets_of(sets, held) for held in sent)
+    full = close.join(left.select(F.col("row").alias("x"), F.col("grams").alias("p")), "x").join(right.select(F.col("row").alias("y"), F.col("grams").alias("q")), "y")
+    out = stored(arrow_pass(full.select("a", "b", "p", "q"), compare, "a long, b long"), "gram-links")
+    for held in sent:
+        held.destroy()
+    release(close)
+    return out
 
 
 def hub_pairs(lists: DataFrame) -> DataFrame:
@@ -384,6 +453,7 @@ def cross_pairs(live: DataFrame) -> DataFrame:
     return met.select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
 
 
+@shuffles_cleaned
 def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with their class, classes with their part, and the verified links between classes.
 
@@ -405,22 +475,21 @@ def similar_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     met = lambda pairs: pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     first = stored(hub_pairs(lists), "gram-pairs")
     asked = stored(classes.join(met(first), "class", "left_semi"), "gram-asked")
-    sets = candidate_sets(docs, asked)
-    links = stored(verified(first, sets), "gram-links")
+    sets, cells = candidate_sets(docs, asked, 0)
+    links = verified(first, sets, cells)
     parts = None if links.isEmpty() else components(links)
     live = stored(open_lists(lists, parts), "gram-open")
     rest = stored(cross_pairs(live).join(first, ["a", "b"], "left_anti"), "gram-pairs")
     # few classes are left; documents are read again for those that no hub has met
     late = stored(classes.join(met(rest), "class", "left_semi"), "gram-asked")
-    own = stored(sets.join(late.select("class"), "class", "left_semi"), "gram-sets")
     new = stored(late.join(asked, "class", "left_anti"), "gram-asked")
-    more_sets = [own] if new.isEmpty() else [own, candidate_sets(docs, new)]
-    more = stored(verified(rest, union(more_sets)), "gram-links")
+    late_sets = [] if new.isEmpty() else [candidate_sets(docs, new, 1)]
+    more = verified(rest, *(union(list(tables)) for tables in zip((sets, cells), *late_sets)))
     if not more.isEmpty():
         if parts is not None:
             release(parts)
         parts = components(union([links, more]))
-    release(lists, asked, sets, first, live, rest, late, new, *more_sets)
+    release(lists, asked, sets, cells, first, live, rest, late, new, *(t for tables in late_sets for t in tables))
     if parts is None:
         out = classes.select("class", "rep", F.col("class").alias("part"))
     else:
