@@ -2,8 +2,8 @@
 
 from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import InverterParameters
 from ..functions import clock
@@ -12,7 +12,8 @@ from ..functions.errors import Pair
 from ..functions.values import beside, count_if, finite, holds, is_finite, ratio
 from .align import _tag, offset_block
 from .histograms import grouped_quantiles
-from .ordered import islands, spread_join, value_bucket, value_code, with_quantiles
+from .ordered import islands, with_quantiles
+from .rank_pairs import rank_correlations
 
 INF = float("inf")
 # Fixed bin edges.
@@ -165,85 +166,21 @@ def describe(df: DataFrame, columns, probabilities=(.1, .25, .5, .75, .9)) -> Da
 def spearman(df: DataFrame, phase: str, quantities, variables) -> DataFrame:
     """Rank correlation per phase ('all' and each phase), quantity and variable.
 
-    Rows are first counted by phase and values together, and no row is repeated for a pair of
-    columns or for 'all': a column is ranked once, by counts of its values per phase, with a
-    weight for each partner that may be missing. Counted rows meet the ranks of a quantity (heavy
-    values are spread), are summed by the value of a variable, and only these sums meet its ranks.
-    Counts and ranks are kept on disk until the cache is cleared.
+    Runs jobs (see :func:`rank_correlations`): rows are read once, kept packed on disk while the
+    pairs follow one another, and nothing is left on disk in the end.
     """
     quantities, variables = list(quantities), list(variables)
-    names, size = quantities + variables, max(len(quantities), len(variables))
-    value = [f"__c{i}" for i in range(len(names))]
-    partners = [value[len(quantities):] if i < len(quantities) else value[:len(quantities)] for i in range(len(names))]
-    scope = F.coalesce(F.concat(F.lit("="), F.col(phase).cast("string")), F.lit(""))
-    rows = df.select(scope.alias("scope"), *[finite(c).cast("double").alias(v) for c, v in zip(names, value)])
-    rows = rows.groupBy("scope", *value).agg(F.count(F.lit(1)).alias("w")).persist(StorageLevel.DISK_ONLY)
-
-    def counted(i):
-        sizes = [F.when(F.col(p).isNotNull(), F.col("w")).otherwise(F.lit(0)).alias(f"m{k}") for k, p in enumerate(partners[i])]
-        return F.struct(F.lit(i).alias("side"), F.col(value[i]).alias("value"), *sizes, *[F.lit(0).cast("long").alias(f"m{k}") for k in range(len(sizes), size)])
-
-    sent = rows.select("scope", F.inline(F.array(*[counted(i) for i in range(len(names))]))).where("value is not null")
-    ranks = _ranks(sent.groupBy("side", "scope", "value").agg(*[F.sum(f"m{k}").alias(f"m{k}") for k in range(size)]), size).persist(StorageLevel.DISK_ONLY)
-
-    # squared ranks come from the ranks alone, products from counted rows
-    ends = []
-    for i in range(len(quantities)):
-        mine = ranks.where(F.col("side") == i).select("scope", F.col("value").alias(value[i]), *[f"{r}{k}" for r in ("every", "own") for k in range(len(variables))])
-        met = spread_join(rows.where(F.col(value[i]).isNotNull()), mine, ["scope", value[i]])
-        there = [F.struct(F.lit(len(quantities) + k).alias("side"), F.col(p).alias("value"), (F.col("w") * F.col(f"every{k}")).alias("every"), (F.col("w") * F.col(f"own{k}")).alias("own")) for k, p in enumerate(partners[i])]
-        by_value = met.select("scope", F.inline(F.array(*there))).where("value is not null").groupBy("side", "scope", "value").agg(F.sum("every").alias("every"), F.sum("own").alias("own"))
-        theirs = ranks.select("side", "scope", "value", F.col(f"every{i}").alias("__every"), F.col(f"own{i}").alias("__own"))
-        ends.append(by_value.join(theirs, ["side", "scope", "value"]).groupBy("side", "scope").agg(F.sum(F.col("every") * F.col("__every")).alias("every"), F.sum(F.col("own") * F.col("__own")).alias("own")).withColumn("quantity", F.lit(i)))
-    products = reduce(DataFrame.unionByName, ends).select("quantity", "side", "scope", F.struct(F.col("every").alias("e_xy"), F.col("own").alias("o_xy")).alias("s"))
-    squares = ranks.groupBy("side", "scope").agg(*[x for k in range(size) for x in (
-        F.sum(f"m{k}").alias(f"n{k}"), F.sum(F.col(f"m{k}") * F.pow(f"every{k}", F.lit(2))).alias(f"e{k}"), F.sum(F.col(f"m{k}") * F.pow(f"own{k}", F.lit(2))).alias(f"o{k}"))])
-
-    def squared(k, a, b):
-        return squares.select(F.col("side").alias(a), "scope", F.inline(F.array(*[F.struct(F.lit(j).alias(b), F.col(f"n{j - k}").alias("n"), F.col(f"e{j - k}").alias("e"), F.col(f"o{j - k}").alias("o")) for j in (range(len(quantities), len(names)) if k else range(len(quantities)))])))
-
-    x = squared(len(quantities), "quantity", "side").where(F.col("quantity") < len(quantities))
-    y = squared(0, "side", "quantity").where(F.col("side") >= len(quantities)).select("quantity", "side", "scope", F.col("e").alias("e_yy"), F.col("o").alias("o_yy"))
-    keys = ["quantity", "side", "scope"]
-    sums = x.select(*keys, "n", F.col("e").alias("e_xx"), F.col("o").alias("o_xx")).join(y, keys).join(products.select(*keys, "s.*"), keys)
-    told = [F.struct(phase_.alias("phase"), F.col("n").alias("valid"), *[F.col(f"{r}_{c}").alias(c) for c in ("xx", "xy", "yy")]) for phase_, r in ((F.lit("all"), "e"), (_phase("scope"), "o"))]
-    labels = lambda c, first: F.element_at(F.array(*[F.lit(n) for n in names]), F.col(c) + 1).alias(first)
-    sums = sums.select(labels("quantity", "quantity"), labels("side", "variable"), F.inline(F.array(*told))).where("phase is not null")
-    keys = ["phase", "quantity", "variable"]
-    sums = sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("valid", "xx", "xy", "yy")])
-    pairs = F.array(*[F.struct(F.lit(q).alias("quantity"), F.lit(v).alias("variable")) for q in quantities for v in variables])
-    total = rows.groupBy("scope").agg(F.sum("w").alias("total")).select(F.explode(F.array_compact(F.array(F.lit("all"), _phase("scope")))).alias("phase"), "total")
-    total = total.groupBy("phase").agg(F.sum("total").alias("total")).select("phase", "total", F.inline(pairs))
-    # With average ranks both means are (n + 1) / 2.
-    middle = F.col("valid") * F.pow((F.col("valid") + 1) / 2.0, 2)
-    out = total.join(sums, keys, "left").withColumn("valid", F.coalesce("valid", F.lit(0).cast("long")))
-    spread = F.sqrt((F.col("xx") - middle) * (F.col("yy") - middle))
-    return out.select(*keys, "total", "valid", (F.col("total") - F.col("valid")).alias("excluded"),
-                      F.when(spread > 0, (F.col("xy") - middle) / spread).alias("correlation"))
-
-
-def _phase(scope: str) -> Column:
-    return F.when(F.col(scope) != "", F.substring(scope, 2, 1 << 30))
-
-
-def _ranks(counts: DataFrame, size: int) -> DataFrame:
-    """Average ranks of counted values (side, scope, value, m0, m1, ...): ``own`` within the scope, ``every`` over all scopes of the side.
-
-    Values meet in buckets of the range of doubles, so a window sees one bucket, and running totals
-    of buckets are few; both kinds of ranks come from one exchange of the counts.
-    """
-    numbers = range(size)
-    counts = counts.withColumn("b", value_bucket(value_code(F.col("value"))))
-    before = W.unboundedPreceding
-    sums = counts.groupBy("side", "scope", "b").agg(*[F.sum(f"m{k}").alias(f"s{k}") for k in numbers])
-    own, every = W.partitionBy("side", "scope").orderBy("b").rowsBetween(before, -1), W.partitionBy("side").orderBy("b").rangeBetween(before, -1)
-    base = sums.select("side", "scope", "b", *[F.coalesce(F.sum(f"s{k}").over(w), F.lit(0)).alias(f"{n}{k}") for k in numbers for n, w in (("__own", own), ("__every", every))])
-    own, every = W.partitionBy("side", "b", "scope").orderBy("value").rowsBetween(before, W.currentRow), W.partitionBy("side", "b").orderBy("value").rangeBetween(before, W.currentRow)
-    tied = W.partitionBy("side", "b", "value")
-    inside = counts.select("*", *[F.sum(f"m{k}").over(w).alias(f"{n}{k}") for k in numbers for n, w in (("own", own), ("every", every), ("tied", tied))])
-    met = inside.join(base, ["side", "scope", "b"])
-    rank = lambda n, k, c: (F.col(f"__{n}{k}") + F.col(f"{n}{k}") - (F.col(c) - 1) / 2.0).alias(f"{n}{k}")
-    return met.select("side", "scope", "value", *[f"m{k}" for k in numbers], *[r for k in numbers for r in (rank("own", k, f"m{k}"), rank("every", k, f"tied{k}"))])
+    rows = df.select(F.col(phase).cast("string").alias("scope"), *[finite(c).cast("double").alias(f"__c{i}") for i, c in enumerate(quantities + variables)])
+    sizes, found = rank_correlations(rows, len(quantities))
+    out = []
+    for scope, total in sizes.items():
+        for (i, j), told in found.items():
+            valid, correlation = told[scope]
+            if total:
+                out.append(("all" if scope is None else scope, quantities[i], variables[j], total, valid, total - valid, correlation))
+    names = ["phase", "quantity", "variable", "total", "valid", "excluded", "correlation"]
+    columns = [pa.array([r[k] for r in out], pa.string() if k < 3 else pa.int64() if k < 6 else pa.float64()) for k in range(len(names))]
+    return df.sparkSession.createDataFrame(pa.Table.from_arrays(columns, names))
 
 
 def comparison_columns(x: str, y: str, mask: Column | None = None) -> list:
