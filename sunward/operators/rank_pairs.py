@@ -18,7 +18,7 @@ from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 # Rows of a chunk, rows that a task holds before it gives them out by stretches, and rows of a stretch.
-_CHUNK, _HELD, _PART = 1 << 17, 1 << 21, 1 << 19
+_CHUNK, _HELD, _PART = 1 << 17, 1 << 20, 1 << 19
 # Values that a chunk names as marks of its order, and stretches between the borders chosen from them.
 _MARKS, _STRETCHES = 256, 1024
 # A value is ranked by the counts alone if it holds one row in so many.
@@ -411,7 +411,7 @@ def rank_correlations(rows: DataFrame, quantities: int):
     spark, columns = rows.sparkSession, len(rows.columns) - 1
     partners = [list(range(quantities, columns)) if i < quantities else list(range(quantities)) for i in range(columns)]
     # chunks are large rows, so few of them are handed to Python at once
-    later = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "16"}
+    later = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "8"}
     kept = rows.mapInArrow(_chunks, "scopes array<string>, sizes array<long>, marks binary, data binary").persist(StorageLevel.DISK_ONLY)
     try:
         sizes, marks = {None: 0}, [[] for _ in range(columns)]
